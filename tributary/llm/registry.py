@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing
+from . import bpe, chat, packing, quality
 from .shared import public_vocabulary, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,8 +20,21 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), public_vocabulary("byte_bpe_50k.json"))
 
 
+def op7_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(table(spark, sf_dir, "documents"))
+
+
+def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_bpe": op1_bpe, "op4_best_fit_packing": op4_best_fit_packing}
+    return {
+        "op1_bpe": op1_bpe,
+        "op4_best_fit_packing": op4_best_fit_packing,
+        "op7_quality_ledger": op7_quality_ledger,
+        "op10_chat_windows": op10_chat_windows,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
