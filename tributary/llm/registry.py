@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, packing, quality
+from . import bpe, chat, packing, quality, secrets
 from .shared import public_vocabulary, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), public_vocabulary("byte_bpe_50k.json"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
@@ -32,6 +36,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_bpe": op1_bpe,
         "op4_best_fit_packing": op4_best_fit_packing,
+        "op5_secret_scan": op5_secret_scan,
         "op7_quality_ledger": op7_quality_ledger,
         "op10_chat_windows": op10_chat_windows,
     }
