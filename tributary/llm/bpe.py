@@ -33,7 +33,7 @@ from .shared import documents, file_bytes, widened
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: Fixed value: how byte-level vocabularies with use_regex split a text.
 _BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_MEMO = 400_000
+_MEMO = 150_000
 _OTHER_BLANK = re.compile(r"[^\S \n]")
 _BEYOND_LATIN = re.compile("[^\x00-\u02ff]")
 
@@ -68,10 +68,9 @@ class Bpe:
         self.inside, self.closing = self._pairs()
         self.ascii = {b: self.alphabet[b] for b in range(128)}
         self.blank = re.compile(r"(?: |[\t-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]){1,}")
-        self.library, self.unknown = Tokenizer.from_buffer(spec), None
+        self.spec, self.library, self.unknown = spec, None, None
         self.rank_coder = self._rank_coder()
         self.memo: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
         self.fragments: dict[tuple[str, bool], bytes] = {}
 
     def _pairs(self) -> tuple[set[str], set[str]]:
@@ -108,17 +107,7 @@ class Bpe:
             return array("I", self.rank_coder.encode_ordinary(chunk)).tobytes()
         if not chunk.isascii():
             chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
-        memo, out = self.words, []
-        for word in self.split.findall(self.blank.sub(" ", chunk).lower() if self.lower else chunk):
-            ids = memo.get(word)
-            if ids is None:
-                ids = self._word(word)
-                if len(word) <= 64:
-                    if len(memo) >= _MEMO:
-                        memo.clear()
-                    memo[word] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join([self._word(word) for word in self.split.findall(self.blank.sub(" ", chunk).lower() if self.lower else chunk)])
 
     def _plain(self, text: str) -> bytes:
         """Ids of a text without special tokens. Spaces are forced boundaries, so chunks between them are memoised.
@@ -162,6 +151,8 @@ class Bpe:
 
     def _library_split(self, text: str) -> list[str]:
         """Pre-tokens as the tokenizers library normalises and splits the text, in the byte-level alphabet."""
+        if self.library is None:
+            self.library = Tokenizer.from_buffer(self.spec)
         if self.library.normalizer is not None:
             text = self.library.normalizer.normalize_str(text)
         return [piece for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
@@ -174,11 +165,14 @@ class Bpe:
         pieces = self.cuts(symbols)
         for k, fragment in enumerate(pieces):
             key = (fragment, k == len(pieces) - 1)
-            if key not in self.fragments:
-                if len(self.fragments) >= _MEMO:
-                    self.fragments.clear()
-                self.fragments[key] = self._merge(*key)
-            out.append(self.fragments[key])
+            ids = self.fragments.get(key)
+            if ids is None:
+                ids = self._merge(*key)
+                if len(fragment) <= 64:
+                    if len(self.fragments) >= _MEMO:
+                        self.fragments.clear()
+                    self.fragments[key] = ids
+            out.append(ids)
         return b"".join(out)
 
     def encode(self, text: str) -> bytes:
@@ -219,15 +213,19 @@ def _lists(chunks: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(chunks), dtype="<u4").astype(np.int32)))
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from (batch.slice(k, rows) for k in range(0, batch.num_rows, rows))
+
+
 def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>) of every row. ``vocabulary``: path of a tokenizer file, read once and broadcast (1 to 2 MB)."""
     spec = df.sparkSession.sparkContext.broadcast(file_bytes(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(spec.value)
-        for batch in batches:
-            for part in (batch.slice(k, 2000) for k in range(0, batch.num_rows, 2000)):
-                yield pa.RecordBatch.from_arrays([part.column(0), _lists([bpe.encode(t) for t in part.column(1).to_pylist()])], names=[id_col, "ids"])
+        for part in _slices(batches):
+            yield pa.RecordBatch.from_arrays([part.column(0), _lists([bpe.encode(t) for t in part.column(1).to_pylist()])], names=[id_col, "ids"])
 
     return documents(df, id_col, text_col, id_col).mapInArrow(run, f"`{id_col}` long, ids array<int>")
 
@@ -236,20 +234,31 @@ def decode(df: DataFrame, vocabulary: str, keep: tuple[str, ...] = ("doc_id",),
     """Columns ``keep``, the ids, and ``decoded``: their text, special tokens included. Null ids decode to ''."""
     spec = df.sparkSession.sparkContext.broadcast(file_bytes(vocabulary))
     source = df.select(*keep, F.coalesce(F.col(ids_col), F.array().cast("array<int>")).alias("ids"))
-    schema = widened(source, decoded="string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(spec.value)
-        for batch in batches:
-            for part in (batch.slice(k, 2000) for k in range(0, batch.num_rows, 2000)):
-                texts = pa.array([bpe.decode(x) for x in part.column(part.num_columns - 1).to_pylist()], pa.string())
-                yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*part.schema.names, "decoded"])
+        for part in _slices(batches):
+            texts = pa.array([bpe.decode(x.as_py()) for x in part.column(part.num_columns - 1)], pa.string())
+            yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*part.schema.names, "decoded"])
+
+    return source.mapInArrow(run, widened(source, decoded="string"))
+
+
+def round_trip(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids, decoded): ``decode`` of ``encode`` in one pass, with one Python worker instead of two."""
+    spec = df.sparkSession.sparkContext.broadcast(file_bytes(vocabulary))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = loaded(spec.value)
+        for part in _slices(batches):
+            ids = [bpe.encode(t) for t in part.column(1).to_pylist()]
+            texts = pa.array([bpe.decode(array("I", x).tolist()) for x in ids], pa.string())
+            yield pa.RecordBatch.from_arrays([part.column(0), _lists(ids), texts], names=[id_col, "ids", "decoded"])
 
-    return source.mapInArrow(run, schema)
+    return documents(df, id_col, text_col, id_col).mapInArrow(run, f"`{id_col}` long, ids array<int>, decoded string")
 
 
 def digests(spark, sf_dir: str, vocabulary: str) -> DataFrame:
     """Query op1: every document's ids and round trip, as counts and digests."""
-    ids = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary)
-    both = decode(ids, vocabulary)
+    both = round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
