@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, packing, quality, secrets
+from . import bpe, chat, neardup, packing, quality, secrets, substring
 from .shared import public_vocabulary, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,14 @@ def op7_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op8_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digests(table(spark, sf_dir, "documents"))
+
+
 def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(table(spark, sf_dir, "conversations"))
 
@@ -38,6 +46,8 @@ def queries() -> dict[str, Query]:
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_secret_scan": op5_secret_scan,
         "op7_quality_ledger": op7_quality_ledger,
+        "op8_minhash_neardup": op8_minhash_neardup,
+        "op9_substring_dedup": op9_substring_dedup,
         "op10_chat_windows": op10_chat_windows,
     }
 
