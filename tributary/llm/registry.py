@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, html, neardup, packing, quality, secrets, substring, toxicity
+from . import bpe, chat, html, media, neardup, packing, quality, secrets, substring, toxicity
 from .shared import public_vocabulary, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op6_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.aligned(spark, sf_dir)
+
+
 def op7_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ def queries() -> dict[str, Query]:
         "op3_toxicity": op3_toxicity,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_secret_scan": op5_secret_scan,
+        "op6_chroma_fingerprints": op6_chroma_fingerprints,
         "op7_quality_ledger": op7_quality_ledger,
         "op8_minhash_neardup": op8_minhash_neardup,
         "op9_substring_dedup": op9_substring_dedup,
