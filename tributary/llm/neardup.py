@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import WORD, documents, settle
+from .shared import WORD, documents, settle, sized
 
 COORDINATES, MATCHES, SHINGLE = 64, 35, 4
 #: Ids are broadcast up to this number (8 MB); beyond it they are joined by a shuffle.
@@ -141,8 +141,7 @@ def _matching(pairs: DataFrame, sets: DataFrame, matches: int) -> DataFrame:
 
 def _texts_of(ids: DataFrame, rows: DataFrame) -> DataFrame:
     """Rows of the given ids: by a broadcast while that is at most BROADCAST_IDS, by a shuffle beyond."""
-    ids = ids.select("doc_id").distinct()
-    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    return rows.join(sized(settle(ids.select("doc_id").distinct()), BROADCAST_IDS), "doc_id", "left_semi")
 
 
 def confirmed(pairs: DataFrame, rows: DataFrame, shingle: int = SHINGLE, percent: int = 80) -> DataFrame:
@@ -221,3 +220,9 @@ def near_duplicates(df: DataFrame, shingle: int = SHINGLE, percent: int = 80, co
     labelled = classes.join(found.withColumnRenamed("node", "class_id"), "class_id", "left").select(*key, F.coalesce("component", "class_id").alias("component"))
     each = all_sets.select("doc_id", *key).join(labelled, key, "left")
     return each.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.col("component") == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def without_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``df`` but for those that link to a document with a smaller id; rows with a null id stay."""
+    gone = settle(near_duplicates(df, id_col=id_col, text_col=text_col).where("not kept").select(F.col("doc_id").alias("copy_id")).distinct())
+    return df.join(sized(gone, BROADCAST_IDS), F.col(id_col) == F.col("copy_id"), "left_anti")

@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import documents, settle
+from .shared import documents, settle, sized
 
 #: Kinds in the order that breaks ties. Runs of hexadecimal digits and access keys are matched with their least length
 #: at once, which finds the same spans; an assignment that is too short still hides what it covers, so it is dropped later.
@@ -128,8 +128,8 @@ def report(df: DataFrame) -> DataFrame:
 
 def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]") -> DataFrame:
     """Rows of ``df`` with each secret replaced by ``mark``. Ids must be unique; rows without secrets pass unchanged."""
-    found = scan(df, id_col, text_col).where(F.size("spans") > 0).select(F.col(id_col).alias("secret_of"), "spans")
+    found = settle(scan(df, id_col, text_col).where(F.size("spans") > 0).select(F.col(id_col).alias("secret_of"), "spans"))
     step = f"named_struct('at', greatest(a.at, x.e), 'out', if(x.s >= a.at, concat(a.out, substring(`{text_col}`, a.at + 1, x.s - a.at), '{mark}'), a.out))"
     clean = f"aggregate(spans, named_struct('at', 0, 'out', ''), (a, x) -> {step}, a -> concat(a.out, substring(`{text_col}`, a.at + 1)))"
-    joined = df.join(found, F.col(id_col) == F.col("secret_of"), "left")
+    joined = df.join(sized(found, 200_000), F.col(id_col) == F.col("secret_of"), "left")
     return joined.withColumn(text_col, F.when(F.col("spans").isNotNull(), F.expr(clean)).otherwise(F.col(text_col))).select(*df.columns)

@@ -39,6 +39,19 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(*settled: DataFrame) -> None:
+    """Delete what ``settle`` wrote for these; nothing lazy may still need them."""
+    for df in settled:
+        for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def sized(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """``df``, to be broadcast in a join while it has at most ``rows`` rows; give rows of tens of bytes. It is counted, so settle it."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_id: str = "doc_id") -> DataFrame:
     """Only (id, text) with a null text as the empty one, so that no other column can clash."""
     return df.select(F.col(id_col).cast("long").alias(out_id), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

@@ -239,32 +239,49 @@ def spans(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col:
     return travelling.groupBy("bucket").applyInPandas(count, f"`{id_col}` long, start long, end long")
 
 
+def _kept(words: list[str], starts: list[int], ends: list[int]) -> list[str]:
+    edge = np.zeros(len(words) + 1, dtype=np.int64)
+    np.add.at(edge, np.asarray(starts, dtype=np.int64), 1)
+    np.add.at(edge, np.asarray(ends, dtype=np.int64), -1)
+    return [w for w, gone in zip(words, np.cumsum(edge)[:-1].tolist(), strict=True) if not gone]
+
+
+def _with_spans(df: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
+    """``df`` with the columns span_of, span_starts, span_ends, null where nothing goes. The smaller side is hashed, so texts are not sorted."""
+    found = spans(df, window, id_col, text_col).groupBy(F.col(id_col).alias("span_of"))
+    gone = found.agg(F.collect_list("start").alias("span_starts"), F.collect_list("end").alias("span_ends"))
+    return df.join(gone.hint("shuffle_hash"), F.col(id_col) == F.col("span_of"), "left")
+
+
 def cleaned(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, n_removed, text): the words that stay, joined by one space."""
-    gone = spans(df, window, id_col, text_col).groupBy(F.col(id_col).alias("span_of")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    joined = documents(df, id_col, text_col, id_col).where(F.col(id_col).isNotNull()).join(gone.hint("shuffle_hash"), F.col(id_col) == F.col("span_of"), "left")
-    source = joined.select(id_col, "text", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
+    source = _with_spans(documents(df, id_col, text_col, id_col).where(F.col(id_col).isNotNull()), window, id_col, "text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_removed, texts = [], [], []
             for text, starts, ends in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
                 words = _WORD.findall(text)
+                kept = _kept(words, starts, ends) if starts else words
                 n_words.append(len(words))
-                if starts:
-                    edge = np.zeros(len(words) + 1, dtype=np.int64)
-                    np.add.at(edge, starts, 1)
-                    np.add.at(edge, ends, -1)
-                    stays = (np.cumsum(edge)[:-1] == 0).tolist()
-                    kept = [w for w, stay in zip(words, stays, strict=True) if stay]
-                    n_removed.append(len(words) - len(kept))
-                    texts.append(" ".join(kept))
-                else:
-                    n_removed.append(0)
-                    texts.append(" ".join(words))
+                n_removed.append(len(words) - len(kept))
+                texts.append(" ".join(kept))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(texts, pa.string())], names=[id_col, "n_words", "n_removed", "text"])
 
-    return source.mapInArrow(keep, f"`{id_col}` long, n_words long, n_removed long, text string")
+    return source.select(id_col, "text", "span_starts", "span_ends").mapInArrow(keep, f"`{id_col}` long, n_words long, n_removed long, text string")
+
+
+def without_repeats(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``df`` without the repeated words: texts that lose words become the rest, joined by one space; those that lose all go."""
+
+    @F.pandas_udf("string")
+    def rest(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+        return pd.Series([" ".join(_kept(_WORD.findall(t), s, e)) if len(s) else t for t, s, e in zip(texts, starts, ends, strict=True)], dtype=object)
+
+    joined = _with_spans(df, window, id_col, text_col)
+    none = F.array().cast("array<long>")
+    after = F.when(F.col("span_of").isNotNull(), rest(F.coalesce(F.col(text_col), F.lit("")), F.coalesce("span_starts", none), F.coalesce("span_ends", none))).otherwise(F.col(text_col))
+    return joined.withColumn(text_col, after).where(F.col("span_of").isNull() | (F.col(text_col) != "")).select(*df.columns)
 
 
 def digests(df: DataFrame) -> DataFrame:

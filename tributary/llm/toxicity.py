@@ -25,11 +25,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import documents, settle
+from .shared import documents, release, settle
 
 FOLDS, TRAIN_ROWS, LEXICON, CONTEXT, CAP = 5, 40_000, 512, 6, 3
 _WORD = re.compile(r"[^\W\d_]+")
@@ -90,6 +91,10 @@ class Model:
     #: Of the constant and of plain, misspelled and quoted matches.
     weights: list[float]
 
+    def probability(self, found: list[tuple[int, int, bool]]) -> float:
+        z = self.weights[0] + sum(a * b for a, b in zip(self.weights[1:], features(found), strict=True))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+
 
 def edits_for(n: int) -> int:
     return 0 if n < 5 else 1 if n < 9 else 2
@@ -226,6 +231,7 @@ def fit(df: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model
     kinds = ("not z.quoted and z.terms >= 0", "not z.quoted and z.terms < 0", "z.quoted")
     counted = found.withColumn("on", on).select("toxic", use.alias("m")).select("toxic", *(F.expr(f"least({CAP}, size(filter(m, z -> {k})))").alias(f"f{i}") for i, k in enumerate(kinds)))
     rows = counted.groupBy("f0", "f1", "f2").agg(F.sum("toxic").alias("pos"), F.count("*").alias("n")).collect()
+    release(train, found)
     return Model(terms, fuzzy, _regression([((r["f0"], r["f1"], r["f2"]), r["pos"], r["n"]) for r in rows]))
 
 
@@ -233,12 +239,12 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     """(id, score, n_matches) of every row, in one pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher, w = Matcher(model.terms, model.fuzzy), model.weights
+        matcher = Matcher(model.terms, model.fuzzy)
         for batch in batches:
             scores, n = [], []
             for text in batch.column(1).to_pylist():
                 found = matcher.matches(text) if model.terms else []
-                scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, w[0] + sum(a * b for a, b in zip(w[1:], features(found), strict=True)))))))
+                scores.append(model.probability(found))
                 n.append(len(found))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(n, pa.int64())], names=[id_col, "score", "n_matches"])
 
@@ -251,7 +257,14 @@ def judged(df: DataFrame, labels: DataFrame) -> DataFrame:
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_matches")
 
 
-def without_toxic(df: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of ``df`` that the model does not call toxic; ids must be unique for one verdict each."""
-    gone = judged(df, labels).where("predicted = 1").select(F.col("doc_id").alias("toxic_id")).distinct()
-    return df.join(gone, df["doc_id"] == gone["toxic_id"], "left_anti")
+def without_toxic(df: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
+    """Rows of ``df`` that a model of its labelled rows does not call toxic, with all their columns."""
+    model = fit(df, labels)
+
+    @F.pandas_udf("double")
+    def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        matcher = Matcher(model.terms, model.fuzzy)
+        for part in texts:
+            yield part.map(lambda t: model.probability(matcher.matches(t) if model.terms else []))
+
+    return df.where(scored(F.coalesce(F.col(text_col), F.lit(""))) < 0.5)
