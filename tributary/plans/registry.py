@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import relational_queries, similarity_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
+_MODULES = (similarity_queries, relational_queries)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: f for module in _MODULES for name, (f, _) in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for module in _MODULES for name, (_, sql) in module.QUERIES.items() if sql}
