@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import relational_queries, similarity_queries
+from . import relational_queries, similarity_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (similarity_queries, relational_queries)
+_MODULES = (similarity_queries, relational_queries, text_queries)
 
 
 def queries() -> dict[str, Query]:
