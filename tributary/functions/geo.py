@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: Kilometres to a degree of latitude, and of longitude at the latitude of Czechia.
 KM_LATITUDE, KM_LONGITUDE = 111.319, 71.941
@@ -29,7 +30,7 @@ def great_circle_km(lat_a: Column, lon_a: Column, lat_b: Column, lon_b: Column)
     return 2 * EARTH_KM * F.asin(F.least(F.lit(1.0), F.sqrt(y * y + F.cos(F.radians(lat_a)) * F.cos(F.radians(lat_b)) * x * x)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def geodesic_km(lat_a: pd.Series, lon_a: pd.Series, lat_b: pd.Series, lon_b: pd.Series) -> pd.Series:
     """On the ellipsoid, by Vincenty's inverse formula, whole batches at once; null where a point is null or the formula does not settle."""
     f, a = FLATTENING, AXIS_KM

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from ..functions import text as T
 from .nearest import top_k
@@ -177,7 +178,7 @@ def context_end(text: str, start: int, span: int = RANGE, reach: int = REACH) ->
     return end
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def context_ends(text: pd.Series, start: pd.Series) -> pd.Series:
     return pd.Series([context_end(t, int(s)) for t, s in zip(text, start, strict=True)], dtype="int32")
 
