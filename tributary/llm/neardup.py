@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import WORD, documents, settle, sized
+from .shared import WORD, documents, settle, sized, unused
 
 COORDINATES, MATCHES, SHINGLE = 64, 35, 4
 #: Ids are broadcast up to this number (8 MB); beyond it they are joined by a shuffle.
@@ -224,5 +224,6 @@ def near_duplicates(df: DataFrame, shingle: int = SHINGLE, percent: int = 80, co
 
 def without_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``df`` but for those that link to a document with a smaller id; rows with a null id stay."""
-    gone = settle(near_duplicates(df, id_col=id_col, text_col=text_col).where("not kept").select(F.col("doc_id").alias("copy_id")).distinct())
-    return df.join(sized(gone, BROADCAST_IDS), F.col(id_col) == F.col("copy_id"), "left_anti")
+    copy = unused(df, "copy_id")
+    gone = settle(near_duplicates(df, id_col=id_col, text_col=text_col).where("not kept").select(F.col("doc_id").alias(copy)).distinct())
+    return df.join(sized(gone, BROADCAST_IDS), F.col(id_col) == F.col(copy), "left_anti")

@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import documents, settle, sized
+from .shared import documents, settle, sized, unused
 
 #: Kinds in the order that breaks ties. Runs of hexadecimal digits and access keys are matched with their least length
 #: at once, which finds the same spans; an assignment that is too short still hides what it covers, so it is dropped later.
@@ -64,11 +64,12 @@ def _tested() -> str:
 
 
 def candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, base spans, tested candidates) of every text."""
+    """(id, hash of the text, base spans, tested candidates) of every text."""
     rows = documents(df, id_col, text_col, id_col)
     found = rows.select(
         id_col,
         "text",
+        F.xxhash64("text").alias("print"),
         *(F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias(f"m{k}") for k, p in enumerate((ASSIGN, ACCESS, HEX, CANDIDATE))),
     )
 
@@ -76,15 +77,16 @@ def candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         return F.when(F.size(f"m{k}") > 0, F.split("text", pattern, -1)).alias(f"p{k}")
 
     group = F.when(F.size("m0") > 0, F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2))).alias("g0")
-    cut = found.select(id_col, *(f"m{k}" for k in range(4)), *(parts(k, p) for k, p in enumerate((ASSIGN, ACCESS, HEX, CANDIDATE))), group)
+    cut = found.select(id_col, "print", *(f"m{k}" for k in range(4)), *(parts(k, p) for k, p in enumerate((ASSIGN, ACCESS, HEX, CANDIDATE))), group)
     placed = cut.select(
         id_col,
+        "print",
         F.array_sort(F.concat(_spans(0, "m0", "p0", "g0"), _spans(1, "m1", "p1"), _spans(2, "m2", "p2"))).alias("base"),
         "m3",
         _spans(3, "m3", "p3").alias("places"),
     )
     fresh = F.expr("filter(zip_with(places, m3, (a, t) -> named_struct('s', a.s, 'e', a.e, 't', t)), c -> not exists(base, b -> b.s < c.e and c.s < b.e) and c.t rlike '[A-Za-z]')")
-    return placed.select(id_col, "base", fresh.alias("raw")).select(id_col, "base", F.expr(_tested()).alias("tested"))
+    return placed.select(id_col, "print", "base", fresh.alias("raw")).select(id_col, "print", "base", F.expr(_tested()).alias("tested"))
 
 
 def _stratum(n: str) -> str:
@@ -108,12 +110,12 @@ def discoveries(tested: DataFrame) -> dict[int, int]:
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, base, spans): arrays of (s: start, k: place in KINDS, e: end), by start, then kind."""
+    """(id, hash of the text, base, spans): arrays of (s: start, k: place in KINDS, e: end), by start, then kind."""
     tested = settle(candidates(df, id_col, text_col))
     cuts = discoveries(tested)
     least = "case " + " ".join(f"when {_stratum('c.n')} = {k} then {b}" for k, b in sorted(cuts.items())) + " else 9999 end" if cuts else "9999"
     more = F.expr(f"transform(filter(tested, c -> least(400, floor(-10 * log10(greatest(c.p, 1e-45D)))) >= {least}), c -> named_struct('s', c.s, 'k', 3, 'e', c.e))")
-    return tested.select(id_col, "base", F.array_sort(F.concat("base", more)).alias("spans"))
+    return tested.select(id_col, "print", "base", F.array_sort(F.concat("base", more)).alias("spans"))
 
 
 def _joined(spans: str) -> Column:
@@ -127,9 +129,15 @@ def report(df: DataFrame) -> DataFrame:
 
 
 def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]") -> DataFrame:
-    """Rows of ``df`` with each secret replaced by ``mark``. Ids must be unique; rows without secrets pass unchanged."""
-    found = settle(scan(df, id_col, text_col).where(F.size("spans") > 0).select(F.col(id_col).alias("secret_of"), "spans"))
+    """Rows of ``df`` with each secret replaced by ``mark``; rows without secrets pass unchanged.
+
+    Rows meet their spans by id and hash of the text, so rows with null or repeated ids are masked too.
+    """
+    of, hashed, places = (unused(df, name) for name in ("secret_of", "secret_print", "secret_spans"))
+    some = scan(df, id_col, text_col).where(F.size("spans") > 0).select(F.col(id_col).alias(of), F.col("print").alias(hashed), F.col("spans").alias(places))
+    found = settle(some.dropDuplicates([of, hashed]))
     step = f"named_struct('at', greatest(a.at, x.e), 'out', if(x.s >= a.at, concat(a.out, substring(`{text_col}`, a.at + 1, x.s - a.at), '{mark}'), a.out))"
-    clean = f"aggregate(spans, named_struct('at', 0, 'out', ''), (a, x) -> {step}, a -> concat(a.out, substring(`{text_col}`, a.at + 1)))"
-    joined = df.join(sized(found, 200_000), F.col(id_col) == F.col("secret_of"), "left")
-    return joined.withColumn(text_col, F.when(F.col("spans").isNotNull(), F.expr(clean)).otherwise(F.col(text_col))).select(*df.columns)
+    clean = f"aggregate(`{places}`, named_struct('at', 0, 'out', ''), (a, x) -> {step}, a -> concat(a.out, substring(`{text_col}`, a.at + 1)))"
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(of)) & (F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == F.col(hashed))
+    joined = df.join(sized(found, 200_000), same, "left")
+    return joined.withColumn(text_col, F.when(F.col(places).isNotNull(), F.expr(clean)).otherwise(F.col(text_col))).select(*df.columns)

@@ -57,6 +57,14 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", out
     return df.select(F.col(id_col).cast("long").alias(out_id), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def public_vocabulary(name: str) -> str:
     """Place of a public tokenizer file on this machine; operators take any other path as a parameter."""
     import public_tokenizers

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WORD, documents
+from .shared import WORD, documents, unused
 
 WINDOW = 13
 BUCKET_CHARS = 12_000_000
@@ -246,16 +246,20 @@ def _kept(words: list[str], starts: list[int], ends: list[int]) -> list[str]:
     return [w for w, gone in zip(words, np.cumsum(edge)[:-1].tolist(), strict=True) if not gone]
 
 
-def _with_spans(df: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
-    """``df`` with the columns span_of, span_starts, span_ends, null where nothing goes. The smaller side is hashed, so texts are not sorted."""
-    found = spans(df, window, id_col, text_col).groupBy(F.col(id_col).alias("span_of"))
-    gone = found.agg(F.collect_list("start").alias("span_starts"), F.collect_list("end").alias("span_ends"))
-    return df.join(gone.hint("shuffle_hash"), F.col(id_col) == F.col("span_of"), "left")
+def _with_spans(df: DataFrame, window: int, id_col: str, text_col: str) -> tuple[DataFrame, str, str, str]:
+    """``df`` with three more columns, and their names: id, starts and ends of its spans, null where nothing goes.
+
+    The smaller side is hashed, so texts are not sorted.
+    """
+    of, starts, ends = (unused(df, name) for name in ("span_of", "span_starts", "span_ends"))
+    found = spans(df, window, id_col, text_col).groupBy(F.col(id_col).alias(of))
+    gone = found.agg(F.collect_list("start").alias(starts), F.collect_list("end").alias(ends))
+    return df.join(gone.hint("shuffle_hash"), F.col(id_col) == F.col(of), "left"), of, starts, ends
 
 
 def cleaned(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, n_removed, text): the words that stay, joined by one space."""
-    source = _with_spans(documents(df, id_col, text_col, id_col).where(F.col(id_col).isNotNull()), window, id_col, "text")
+    source, _, starts, ends = _with_spans(documents(df, id_col, text_col, id_col).where(F.col(id_col).isNotNull()), window, id_col, "text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -268,7 +272,7 @@ def cleaned(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_co
                 texts.append(" ".join(kept))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(texts, pa.string())], names=[id_col, "n_words", "n_removed", "text"])
 
-    return source.select(id_col, "text", "span_starts", "span_ends").mapInArrow(keep, f"`{id_col}` long, n_words long, n_removed long, text string")
+    return source.select(id_col, "text", starts, ends).mapInArrow(keep, f"`{id_col}` long, n_words long, n_removed long, text string")
 
 
 def without_repeats(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -278,10 +282,10 @@ def without_repeats(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
     def rest(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
         return pd.Series([" ".join(_kept(_WORD.findall(t), s, e)) if len(s) else t for t, s, e in zip(texts, starts, ends, strict=True)], dtype=object)
 
-    joined = _with_spans(df, window, id_col, text_col)
+    joined, of, starts, ends = _with_spans(df, window, id_col, text_col)
     none = F.array().cast("array<long>")
-    after = F.when(F.col("span_of").isNotNull(), rest(F.coalesce(F.col(text_col), F.lit("")), F.coalesce("span_starts", none), F.coalesce("span_ends", none))).otherwise(F.col(text_col))
-    return joined.withColumn(text_col, after).where(F.col("span_of").isNull() | (F.col(text_col) != "")).select(*df.columns)
+    after = F.when(F.col(of).isNotNull(), rest(F.coalesce(F.col(text_col), F.lit("")), F.coalesce(starts, none), F.coalesce(ends, none))).otherwise(F.col(text_col))
+    return joined.withColumn(text_col, after).where(F.col(of).isNull() | (F.col(text_col) != "")).select(*df.columns)
 
 
 def digests(df: DataFrame) -> DataFrame:
