@@ -270,17 +270,17 @@ def dice_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.overlap(_pairs(spark, sf), left, right).select(F.col("a").alias("item_id"), F.round(evaluation.dice(F.col("common"), F.col("total")), 6).alias("dice"))
 
 
-_CORR = "with r as (select l_returnflag as by, l_quantity as x, l_extendedprice as y, rank() over (partition by l_returnflag order by l_quantity) + (count(*) over (partition by l_returnflag, l_quantity) - 1) / 2 as rx, rank() over (partition by l_returnflag order by l_extendedprice) + (count(*) over (partition by l_returnflag, l_extendedprice) - 1) / 2 as ry from lineitem), e as (select by, corr(x, y) as pearson, corr(rx, ry) as spearman, count(*) as n from r group by 1) "
+_CORR = "with r as (select l_returnflag as flag, l_quantity as x, l_extendedprice as y, rank() over (partition by l_returnflag order by l_quantity) + (count(*) over (partition by l_returnflag, l_quantity) - 1) / 2 as rx, rank() over (partition by l_returnflag order by l_extendedprice) + (count(*) over (partition by l_returnflag, l_extendedprice) - 1) / 2 as ry from lineitem), e as (select flag, corr(x, y) as pearson, corr(rx, ry) as spearman, count(*) as n from r group by 1) "
 
 
 def _correlations(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("by"), "l_quantity", "l_extendedprice")
-    return evaluation.correlations(rows, "by", "l_quantity", "l_extendedprice")
+    rows = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("flag"), "l_quantity", "l_extendedprice")
+    return evaluation.correlations(rows, "flag", "l_quantity", "l_extendedprice")
 
 
-@query("op_e19_pearson_spearman", _CORR + "select by, round(pearson, 6) as pearson, round(spearman, 6) as spearman, n from e")
+@query("op_e19_pearson_spearman", _CORR + "select flag, round(pearson, 6) as pearson, round(spearman, 6) as spearman, n from e")
 def pearson_spearman(spark: SparkSession, sf: str) -> DataFrame:
-    return _correlations(spark, sf).select("by", F.round("pearson", 6).alias("pearson"), F.round("spearman", 6).alias("spearman"), "n")
+    return _correlations(spark, sf).select("flag", F.round("pearson", 6).alias("pearson"), F.round("spearman", 6).alias("spearman"), "n")
 
 
 @query("op_e20_mean_correlations", _CORR + "select round(avg(pearson), 6) as pearson, round(avg(spearman), 6) as spearman, round(sum(pearson * n) / sum(n), 6) as pearson_weighted, round(sum(spearman * n) / sum(n), 6) as spearman_weighted from e")
