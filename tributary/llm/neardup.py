@@ -12,8 +12,12 @@ a million, so:
 
 Only components are asked for, so lists are not expanded into all pairs. First each list's members meet its leader (the
 member with the most shared values) alone; what links to it needs no other link in that list. Then, in lists whose
-members lie in several components, only pairs across components are formed, and only those that an exact bound admits:
-two sets link only if each has 4/9 of their joint size in shingles that other such sets share too.
+members lie in several components, each member meets DRAWS others, drawn by a hash for each list; a set has many lists,
+so where links are common nearly all of a group joins here. Last, in lists that still have several components, the pairs
+across components that agree often enough are formed. All these pairs must be admitted by an exact bound: two sets link
+only if each has 4/9 of their joint size in shingles that the other can have. Shingles that at most RARE sets hold are
+listed with their holders, whose pairs are formed there; all other pairs can have only the more common ones in common,
+so a set that was edited in many places meets few others.
 
 Copies are one row from the start: sets are grouped by size and digest, and the smallest id stands for them.
 
@@ -37,7 +41,7 @@ from pyspark.sql import functions as F
 from .graph import components
 from .shared import WORD, documents, settle, sized, unused
 
-COORDINATES, MATCHES, SHINGLE = 64, 35, 4
+COORDINATES, MATCHES, SHINGLE, DRAWS, RARE = 64, 35, 4, 6, 16
 #: Ids are broadcast up to this number (8 MB); beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _WORD = re.compile(WORD)
@@ -132,11 +136,23 @@ def postings(sets: DataFrame, matches: int = MATCHES) -> DataFrame:
     return enough.select("doc_id", "m", F.explode(F.expr(f"slice(values, 1, m - {matches} + 1)")).alias("v")).select("doc_id", "m", F.col("v.key").alias("key"))
 
 
+def _agreeing(a: str, b: str) -> str:
+    """SQL for the number of coordinates in which two signatures agree."""
+    return f"aggregate(zip_with({a}, {b}, (x, y) -> if(x = y, 1, 0)), 0, (s, x) -> s + x)"
+
+
+def _open(lists: DataFrame, component: DataFrame) -> DataFrame:
+    """(key, doc_id, component) of the lists whose members lie in several components."""
+    placed = lists.join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    return placed.join(mixed.select("key"), "key")
+
+
 def _matching(pairs: DataFrame, sets: DataFrame, matches: int) -> DataFrame:
     """The pairs (a, b) whose signatures match often enough."""
     side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("signature").alias(f"signature_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.where(F.expr(f"aggregate(zip_with(signature_a, signature_b, (x, y) -> if(x = y, 1, 0)), 0, (s, x) -> s + x) >= {matches}")).select("a", "b")
+    return both.where(F.expr(f"{_agreeing('signature_a', 'signature_b')} >= {matches}")).select("a", "b")
 
 
 def _texts_of(ids: DataFrame, rows: DataFrame) -> DataFrame:
@@ -171,17 +187,30 @@ def confirmed(pairs: DataFrame, rows: DataFrame, shingle: int = SHINGLE, percent
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _lone_shingles(texts: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, alone): how many shingles of each set no other row of ``texts`` has, where there are any."""
+def _shingles_of(texts: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, shingle): the set of each row of ``texts`` as 64-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _portions(batches):
             sizes, hashes = shingle_sets(part.column(1).to_pylist(), shingle)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), sizes)), pa.array(hashes.view(np.int64))], names=["doc_id", "shingle"])
 
-    each = texts.mapInArrow(run, "doc_id long, shingle long")
-    lone = each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1")
-    return lone.groupBy("doc_id").agg(F.count("*").alias("alone"))
+    return texts.mapInArrow(run, "doc_id long, shingle long")
+
+
+def _rare_shingles(each: DataFrame) -> DataFrame:
+    """(shingle, docs): the sets that hold each shingle of ``each`` which at most RARE of them hold."""
+    popular = settle(each.groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") > RARE).select("shingle"))
+    return settle(each.join(sized(popular), "shingle", "left_anti").groupBy("shingle").agg(F.collect_list("doc_id").alias("docs")))
+
+
+def _sharing_rare(rare: DataFrame, member: DataFrame, able: DataFrame, bound: str) -> DataFrame:
+    """Pairs (a, b) across components that hold a rare shingle both; a shingle makes at most RARE * (RARE - 1) / 2."""
+    known = able.join(member.select("doc_id", "component").distinct(), "doc_id").select("doc_id", F.struct("doc_id", "component", "n", "shared").alias("set"))
+    held = rare.where(F.size("docs") > 1).select("shingle", F.explode("docs").alias("doc_id")).join(known, "doc_id")
+    mixed = held.groupBy("shingle").agg(F.collect_list("set").alias("sets")).where("size(array_distinct(sets.component)) > 1")
+    both = mixed.select(F.explode("sets").alias("x"), "sets").select("x", F.explode("sets").alias("y"))
+    return both.where(F.expr(bound)).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
 
 
 def links(sets: DataFrame, rows: DataFrame, shingle: int = SHINGLE, matches: int = MATCHES, percent: int = 80) -> DataFrame:
@@ -191,22 +220,34 @@ def links(sets: DataFrame, rows: DataFrame, shingle: int = SHINGLE, matches: int
     stars = lists.join(leaders, "key").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
     first = settle(confirmed(settle(_matching(stars, sets, matches)), rows, shingle, percent=percent))
 
-    component = components(first)
-    placed = lists.join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    head = leaders.join(component.withColumnRenamed("node", "b"), "b", "left").select("key", F.coalesce("component", "b").alias("head"))
-    open_lists = settle(placed.join(mixed.select("key"), "key").join(head, "key"))
-    texts = _texts_of(open_lists, rows)
-    alone = _lone_shingles(texts, shingle)
-    sizes = open_lists.select("doc_id").distinct().join(sets.select("doc_id", "n_shingles"), "doc_id").join(alone, "doc_id", "left")
-    able = sizes.select("doc_id", F.col("n_shingles").alias("n"), (F.col("n_shingles") - F.coalesce("alone", F.lit(0))).alias("shared")).where(F.expr(f"100 * shared >= {percent} * n"))
-    member = settle(open_lists.join(able, "doc_id"))
-    one = member.where("component <> head").select("key", *(F.col(c).alias(f"{c}_1") for c in ("doc_id", "component", "n", "shared")))
-    two = member.select("key", "head", *(F.col(c).alias(f"{c}_2") for c in ("doc_id", "component", "n", "shared")))
-    bound = f"component_1 <> component_2 and (component_2 = head or doc_id_1 < doc_id_2) and (100 + {percent}) * least(shared_1, shared_2) >= {percent} * (n_1 + n_2)"
-    across = one.join(two, "key").where(F.expr(bound)).select(F.col("doc_id_1").alias("a"), F.col("doc_id_2").alias("b")).distinct()
-    second = confirmed(settle(_matching(across, sets, matches)), rows, shingle, percent=percent)
-    return settle(first.union(second))
+    member = settle(_open(lists, components(first)))
+    rare = _rare_shingles(settle(_shingles_of(_texts_of(member, rows), shingle)))
+    own = rare.select(F.explode("docs").alias("doc_id"), (F.size("docs") == 1).cast("long").alias("lone")).groupBy("doc_id").agg(F.count("*").alias("rare"), F.sum("lone").alias("lone"))
+    sizes = member.select("doc_id").distinct().join(sets.select("doc_id", "n_shingles"), "doc_id").join(own, "doc_id", "left").na.fill(0)
+    able = settle(sizes.select("doc_id", F.col("n_shingles").alias("n"), F.expr("n_shingles - lone").alias("shared"), F.expr("n_shingles - rare").alias("common")).where(f"100 * shared >= {percent} * n"))
+    admits = f"(100 + {percent}) * least({{0}}, {{1}}) >= {percent} * ({{2}} + {{3}})"
+    near = _sharing_rare(rare, member, able, "x.doc_id < y.doc_id and x.component <> y.component and " + admits.format("x.shared", "y.shared", "x.n", "y.n"))
+
+    # What follows are pairs without a common rare shingle.
+    able = able.where(f"100 * common >= {percent} * n")
+    bound = "component_1 <> component_2 and " + admits.format("common_1", "common_2", "n_1", "n_2")
+
+    def sides(rows: DataFrame, *columns: str) -> list[DataFrame]:
+        return [rows.select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "component", "n", "common", *columns))) for k in (1, 2)]
+
+    one, two = sides(member.join(able, "doc_id"))
+    drawn = two.groupBy("key").agg(*(F.min_by(F.struct(*two.columns[1:]), F.xxhash64("doc_id_2", "key", F.lit(k))).alias(f"draw_{k}") for k in range(DRAWS)))
+    drawn = drawn.select("key", F.explode(F.array_distinct(F.array(*drawn.columns[1:]))).alias("d")).select("key", "d.*")
+    some = one.join(drawn, "key").where(F.expr(bound)).select(F.least("doc_id_1", "doc_id_2").alias("a"), F.greatest("doc_id_1", "doc_id_2").alias("b"))
+    second = settle(confirmed(settle(_matching(near.union(some).distinct(), sets, matches)), rows, shingle, percent=percent))
+
+    left = _open(lists, components(first.union(second))).join(able, "doc_id")
+    head = left.groupBy("key").agg(F.min_by("component", F.xxhash64("doc_id", "key")).alias("head"))
+    one, two = sides(settle(left.join(sets.select("doc_id", "signature"), "doc_id")), "signature")
+    each = one.join(head, "key").where("component_1 <> head").join(two, "key")
+    across = each.where(F.expr(f"{bound} and (component_2 = head or doc_id_1 < doc_id_2) and {_agreeing('signature_1', 'signature_2')} >= {matches}"))
+    third = confirmed(settle(across.select(F.col("doc_id_1").alias("a"), F.col("doc_id_2").alias("b")).distinct()), rows, shingle, percent=percent)
+    return settle(first.union(second).union(third))
 
 
 def near_duplicates(df: DataFrame, shingle: int = SHINGLE, percent: int = 80, coordinates: int = COORDINATES, matches: int = MATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
