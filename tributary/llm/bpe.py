@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models
 
-from .shared import documents, file_bytes, widened
+from .shared import documents, file_bytes, tidy, widened
 
 #: Fixed values of the byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -53,8 +53,7 @@ class Bpe:
         self.vocab: dict[str, int] = model["vocab"]
         self.end = model.get("end_of_word_suffix") or ""
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ", 1)) for m in model["merges"]]
-        self.inner = models.BPE(vocab=self.vocab, merges=merges)
-        self.last = models.BPE(vocab=self.vocab, merges=merges, end_of_word_suffix=self.end) if self.end else self.inner
+        self.merges, self.models = merges, None
         self.special = {t["content"]: t["id"] for t in data.get("added_tokens", [])}
         self.token = {i: t for t, i in [*self.vocab.items(), *self.special.items()]}
         self.byte_level_decoder = (data.get("decoder") or {}).get("type") == "ByteLevel"
@@ -99,7 +98,10 @@ class Bpe:
 
     def _merge(self, fragment: str, final: bool) -> bytes:
         """Merges inside one fragment: the tokenizers library's BPE model, with the end mark only on a final fragment."""
-        return array("I", [t.id for t in (self.last if final else self.inner).tokenize(fragment)]).tobytes()
+        if self.models is None:
+            inner = models.BPE(vocab=self.vocab, merges=self.merges)
+            self.models = inner, models.BPE(vocab=self.vocab, merges=self.merges, end_of_word_suffix=self.end) if self.end else inner
+        return array("I", [t.id for t in self.models[final].tokenize(fragment)]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
         """Ids of what stands between two spaces."""
@@ -227,7 +229,7 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
         for part in _slices(batches):
             yield pa.RecordBatch.from_arrays([part.column(0), _lists([bpe.encode(t) for t in part.column(1).to_pylist()])], names=[id_col, "ids"])
 
-    return documents(df, id_col, text_col, id_col).mapInArrow(run, f"`{id_col}` long, ids array<int>")
+    return documents(df, id_col, text_col, id_col).mapInArrow(tidy(run), f"`{id_col}` long, ids array<int>")
 
 
 def decode(df: DataFrame, vocabulary: str, keep: tuple[str, ...] = ("doc_id",), ids_col: str = "ids") -> DataFrame:
@@ -241,7 +243,7 @@ def decode(df: DataFrame, vocabulary: str, keep: tuple[str, ...] = ("doc_id",),
             texts = pa.array([bpe.decode(x.as_py()) for x in part.column(part.num_columns - 1)], pa.string())
             yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*part.schema.names, "decoded"])
 
-    return source.mapInArrow(run, widened(source, decoded="string"))
+    return source.mapInArrow(tidy(run), widened(source, decoded="string"))
 
 
 def round_trip(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -255,7 +257,7 @@ def round_trip(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
             texts = pa.array([bpe.decode(array("I", x).tolist()) for x in ids], pa.string())
             yield pa.RecordBatch.from_arrays([part.column(0), _lists(ids), texts], names=[id_col, "ids", "decoded"])
 
-    return documents(df, id_col, text_col, id_col).mapInArrow(run, f"`{id_col}` long, ids array<int>, decoded string")
+    return documents(df, id_col, text_col, id_col).mapInArrow(tidy(run), f"`{id_col}` long, ids array<int>, decoded string")
 
 
 def digests(spark, sf_dir: str, vocabulary: str) -> DataFrame:

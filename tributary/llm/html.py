@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import settle
+from .shared import settle, small_batches, tidy
 
 PATHS, BROADCAST_HOSTS, FAIR = 4, 100_000, 0.4
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -174,7 +174,7 @@ def votes(pages: DataFrame) -> DataFrame:
                     weights.append(best[0][0])
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(weights, pa.float64())], names=["host", "path", "weight"])
 
-    return pages.mapInArrow(run, "host string, path string, weight double").groupBy("host", "path").agg(F.count("*").alias("pages"), F.sum(F.log1p("weight")).alias("weight"))
+    return pages.mapInArrow(tidy(run), "host string, path string, weight double").groupBy("host", "path").agg(F.count("*").alias("pages"), F.sum(F.log1p("weight")).alias("weight"))
 
 
 def winning_paths(counted: DataFrame, paths: int = PATHS) -> DataFrame:
@@ -185,6 +185,7 @@ def winning_paths(counted: DataFrame, paths: int = PATHS) -> DataFrame:
 
 def extract(df: DataFrame, paths: int = PATHS, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text, path, by_vote) of every page."""
+    small_batches(df.sparkSession)
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col), "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     pages = df.select(F.col(id_col).cast("long").alias(id_col), host.alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), F.col(url_col).alias("url"))
     won = settle(winning_paths(votes(pages.select(id_col, "host", "html")), paths))
@@ -207,7 +208,7 @@ def extract(df: DataFrame, paths: int = PATHS, id_col: str = "page_id", url_col:
                 voted.append(chosen is not None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(used, pa.string()), pa.array(voted, pa.bool_())], names=[id_col, "url", "text", "path", "by_vote"])
 
-    return joined.mapInArrow(run, f"`{id_col}` long, url string, text string, path string, by_vote boolean")
+    return joined.mapInArrow(tidy(run), f"`{id_col}` long, url string, text string, path string, by_vote boolean")
 
 
 def main_texts(df: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import settle, table
+from .shared import settle, small_batches, table, tidy
 
 RATE, FRAME, HOP = 4000, 1024, 256
 #: (rows of pitch classes, first pitch class, frames, kind): kinds compare halves in pitch, in time, diagonals, and the
@@ -95,8 +95,9 @@ def fingerprints(df: DataFrame, id_col: str = "rec_id", pcm_col: str = "pcm") ->
                 prints = [fingerprint(np.frombuffer(x.as_py()[: len(x.as_py()) // 2 * 2], dtype="<i2")).astype("<u4").tobytes() for x in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints, pa.binary())], names=["rec_id", "fingerprint"])
 
+    small_batches(df.sparkSession)
     source = df.select(F.col(id_col).cast("long").alias("rec_id"), F.coalesce(F.col(pcm_col), F.lit(b"")).alias("pcm"))
-    return source.mapInArrow(run, "rec_id long, fingerprint binary")
+    return source.mapInArrow(tidy(run), "rec_id long, fingerprint binary")
 
 
 class Index:
@@ -157,7 +158,7 @@ def align(prints: DataFrame, queries: DataFrame, block: int = BLOCK) -> DataFram
                     found.append(memo[x])
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], names=["rec_id", "matches"])
 
-        each = prints.select("rec_id", "fingerprint").mapInArrow(run, "rec_id long, matches array<struct<query: long, offset: int, bit_errors: double>>")
+        each = prints.select("rec_id", "fingerprint").mapInArrow(tidy(run), "rec_id long, matches array<struct<query: long, offset: int, bit_errors: double>>")
         out = each if out is None else out.union(each)
     return out if parts == 1 else out.groupBy("rec_id").agg(F.flatten(F.collect_list("matches")).alias("matches"))
 
@@ -183,7 +184,7 @@ def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary())], names=["rec_id", "pcm"])
 
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("rec_id"), F.coalesce(F.col("embedding").cast("array<double>"), F.array().cast("array<double>")).alias("embedding"))
-    return vectors.mapInArrow(run, "rec_id long, pcm binary")
+    return vectors.mapInArrow(tidy(run), "rec_id long, pcm binary")
 
 
 def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:

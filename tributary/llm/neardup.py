@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import WORD, documents, settle, sized, unused
+from .shared import WORD, documents, settle, sized, tidy, unused
 
 COORDINATES, MATCHES, SHINGLE, DRAWS, RARE = 64, 35, 4, 6, 16
 #: Ids are broadcast up to this number (8 MB); beyond it they are joined by a shuffle.
@@ -124,7 +124,7 @@ def signatures(df: DataFrame, shingle: int = SHINGLE, coordinates: int = COORDIN
             offsets = pa.array(np.arange(0, (len(sizes) + 1) * coordinates, coordinates, dtype=np.int32))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), *digests, pa.ListArray.from_arrays(offsets, pa.array(values.ravel()))], names=["doc_id", "n_shingles", "digest_a", "digest_b", "signature"])
 
-    return df.mapInArrow(run, "doc_id long, n_shingles long, digest_a long, digest_b long, signature array<int>")
+    return df.mapInArrow(tidy(run), "doc_id long, n_shingles long, digest_a long, digest_b long, signature array<int>")
 
 
 def postings(sets: DataFrame, matches: int = MATCHES) -> DataFrame:
@@ -184,7 +184,7 @@ def confirmed(pairs: DataFrame, rows: DataFrame, shingle: int = SHINGLE, percent
                 keep.append(100 * common >= percent * (len(one) + len(two) - common))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(tidy(run), "a long, b long")
 
 
 def _shingles_of(texts: DataFrame, shingle: int) -> DataFrame:
@@ -195,7 +195,7 @@ def _shingles_of(texts: DataFrame, shingle: int) -> DataFrame:
             sizes, hashes = shingle_sets(part.column(1).to_pylist(), shingle)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), sizes)), pa.array(hashes.view(np.int64))], names=["doc_id", "shingle"])
 
-    return texts.mapInArrow(run, "doc_id long, shingle long")
+    return texts.mapInArrow(tidy(run), "doc_id long, shingle long")
 
 
 def _rare_shingles(each: DataFrame) -> DataFrame:

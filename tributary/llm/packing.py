@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import loaded
-from .shared import documents, file_bytes, widened
+from .shared import documents, file_bytes, tidy, widened
 
 LIMIT = 2048
 GROUP_DOCUMENTS = 8192
@@ -87,7 +87,7 @@ def pieces(df: DataFrame, vocabulary: str, limit: int = LIMIT, closing: int = 0,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(spec.value)
         for batch in batches:
-            for part in (batch.slice(k, 2000) for k in range(0, batch.num_rows, 2000)):
+            for part in (batch.slice(k, 500) for k in range(0, batch.num_rows, 500)):
                 rows: list[tuple] = []
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     ids = bpe.encode(text) + end
@@ -99,7 +99,7 @@ def pieces(df: DataFrame, vocabulary: str, limit: int = LIMIT, closing: int = 0,
                         start = stop
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=[id_col, "piece", "start", "length", "tokens"])
 
-    return documents(df, id_col, text_col, id_col).mapInArrow(run, f"`{id_col}` long, piece int, start long, length long, tokens binary")
+    return documents(df, id_col, text_col, id_col).mapInArrow(tidy(run), f"`{id_col}` long, piece int, start long, length long, tokens binary")
 
 
 def pack(df: DataFrame, n_documents: int, limit: int = LIMIT, group_documents: int = GROUP_DOCUMENTS, id_col: str = "doc_id") -> DataFrame:

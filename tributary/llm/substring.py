@@ -32,11 +32,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WORD, documents, unused
+from .shared import WORD, documents, give_back, tidy, unused
 
 WINDOW = 13
 BUCKET_CHARS = 12_000_000
-BATCH_CHARS = 6_000_000
+BATCH_CHARS = 4_000_000
 SAMPLE_DOCUMENTS = 20_000
 FREQUENT_PAIRS = 4096
 _WORD = re.compile(WORD)
@@ -185,7 +185,7 @@ def _frequent_pairs(rows: DataFrame, n_documents: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(found[keep].astype(np.int64)), pa.array(n[keep].astype(np.int64))], names=["pair", "n"])
 
     sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) == 0)
-    top = sample.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "pair").limit(FREQUENT_PAIRS)
+    top = sample.mapInArrow(tidy(count), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "pair").limit(FREQUENT_PAIRS)
     return np.array(sorted(r["pair"] for r in top.collect()), dtype=np.uint64)
 
 
@@ -233,9 +233,10 @@ def spans(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col:
             order = np.lexsort((where, which))
             found.append(_spans(where[order], which[order], window))
         d, s, e = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, dtype=np.int64) for k in range(3))
+        give_back()
         return pd.DataFrame({id_col: d, "start": s, "end": e})
 
-    travelling = rows.mapInArrow(cut, "bucket int, super_kmers binary, settled binary")
+    travelling = rows.mapInArrow(tidy(cut), "bucket int, super_kmers binary, settled binary")
     return travelling.groupBy("bucket").applyInPandas(count, f"`{id_col}` long, start long, end long")
 
 
@@ -272,7 +273,7 @@ def cleaned(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_co
                 texts.append(" ".join(kept))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(texts, pa.string())], names=[id_col, "n_words", "n_removed", "text"])
 
-    return source.select(id_col, "text", starts, ends).mapInArrow(keep, f"`{id_col}` long, n_words long, n_removed long, text string")
+    return source.select(id_col, "text", starts, ends).mapInArrow(tidy(keep), f"`{id_col}` long, n_words long, n_removed long, text string")
 
 
 def without_repeats(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -30,14 +30,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import documents, release, settle
+from .shared import documents, give_back, release, settle, tidy
 
 FOLDS, TRAIN_ROWS, LEXICON, CONTEXT, CAP = 5, 40_000, 512, 6, 3
 _WORD = re.compile(r"[^\W\d_]+")
 _QUOTES = "\"'“”„«»‘’`"
 #: Words of reporting that mark a quotation.
 REPORTING = frozenset("said says quote quoted quotes called calling word words term wrote reported citing dit mot cite sagte wort zitat dijo palabra cita".split())
-_MEMO = 300_000
+_MEMO = 200_000
 
 
 class Trie:
@@ -221,7 +221,7 @@ def fit(df: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model
             found = [matcher.matches(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[t if d == 0 else -t - 1 for d, t, q in f] for f in found], pa.list_(pa.int32())), pa.array([[q for *_, q in f] for f in found], pa.list_(pa.bool_()))], names=["toxic", "terms", "quoted"])
 
-    found = settle(train.select("toxic", "text").mapInArrow(find, "toxic int, terms array<int>, quoted array<boolean>"))
+    found = settle(train.select("toxic", "text").mapInArrow(tidy(find), "toxic int, terms array<int>, quoted array<boolean>"))
     near = found.select("toxic", F.explode(F.array_distinct(F.filter("terms", lambda t: t < 0))).alias("t")).groupBy("t").agg(F.sum("toxic").alias("pos"), F.count("*").alias("n")).collect()
     fuzzy = [True] * len(terms)
     for r in near:
@@ -248,7 +248,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
                 n.append(len(found))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(n, pa.int64())], names=[id_col, "score", "n_matches"])
 
-    return documents(df, id_col, text_col, id_col).mapInArrow(run, f"`{id_col}` long, score double, n_matches long")
+    return documents(df, id_col, text_col, id_col).mapInArrow(tidy(run), f"`{id_col}` long, score double, n_matches long")
 
 
 def judged(df: DataFrame, labels: DataFrame) -> DataFrame:
@@ -266,5 +266,7 @@ def without_toxic(df: DataFrame, labels: DataFrame, text_col: str = "text") -> D
         matcher = Matcher(model.terms, model.fuzzy)
         for part in texts:
             yield part.map(lambda t: model.probability(matcher.matches(t) if model.terms else []))
+        del matcher
+        give_back()
 
     return df.where(scored(F.coalesce(F.col(text_col), F.lit(""))) < 0.5)
