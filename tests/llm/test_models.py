@@ -45,6 +45,12 @@ def test_levenshtein_automaton_agrees_with_the_table():
             assert trie.nearest(word, edits) == (best if best[0] <= edits else None)
 
 
+def test_matches_survive_a_full_memo(monkeypatch):
+    monkeypatch.setattr(toxicity, "_MEMO", 2)
+    found = toxicity.Matcher(["stupid", "clown"]).matches("you stupid clown, what a stupyd and endless lot of other words, clown")
+    assert [(d, t) for d, t, _ in found] == [(0, 0), (0, 1), (1, 0), (0, 1)]
+
+
 def test_main_text_of_pages(spark):
     frame = "<html><head><title>T</title><script>x='<p>'</script></head><body><nav><a href=/>Home</a></nav><div class='cookie-notice'>We use cookies</div>{}<div id=comments><p>Reader says hello to all of you here</p></div><aside>More</aside><form>Name <input></form><footer>&copy; us</footer></body></html>"
     body = "<div class='post-{}'><h1>Head &amp; tail</h1><p>First  para\n graph with <b>bold</b> words that go on.<p>Second&nbsp;one<br>goes on for some time as well.</p><ul><li>a<li>b</ul></div>"

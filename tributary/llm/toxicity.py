@@ -129,7 +129,7 @@ class Matcher:
         """(edits, term, quoted) of every match, in order."""
         low = text.lower()
         words = _WORD.findall(low)
-        memo, hit = self.memo, set()
+        memo, hit = self.memo, {}
         for w in set(words):
             if w in memo:
                 found = memo[w]
@@ -138,7 +138,7 @@ class Matcher:
                     memo.clear()
                 found = memo[w] = self._look(w)
             if found is not None:
-                hit.add(w)
+                hit[w] = found
         if not hit:
             return []
         out = []
@@ -148,7 +148,7 @@ class Matcher:
                 a, b = max(0, k - CONTEXT), min(len(words), k + CONTEXT + 1)
                 before, after = low[places[a][0] : places[k][0]], low[places[k][1] : places[b - 1][1]]
                 marked = any(q in before for q in _QUOTES if q != "'") and any(q in after for q in _QUOTES if q != "'")
-                out.append((*memo[w], marked or not REPORTING.isdisjoint(words[a:b])))
+                out.append((*hit[w], marked or not REPORTING.isdisjoint(words[a:b])))
         return out
 
 
