@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from .shared import WORD, documents, give_back, tidy, unused
 
 WINDOW = 13
-BUCKET_CHARS = 12_000_000
-BATCH_CHARS = 4_000_000
+BUCKET_CHARS = 6_000_000
+BATCH_CHARS = 3_000_000
 SAMPLE_DOCUMENTS = 20_000
 FREQUENT_PAIRS = 4096
 _WORD = re.compile(WORD)
