@@ -137,6 +137,21 @@ def test_random_tokens_are_found_and_words_are_not(spark):
     assert not any("random" in found[100 + k]["spans"] for k in range(60))
 
 
+def test_random_tokens_of_every_encoding_are_found(spark):
+    import random
+
+    draw = random.Random(8)
+    alphabets = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789", "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz"]
+    kinds = [(a, n) for a in alphabets for n in (20, 32, 64)] + [("0123456789abcdef", 20), ("0123456789abcdef", 23)]
+    texts = [(100 * k + i, "the value is " + "".join(draw.choice(a) for _ in range(n)) + " here") for k, (a, n) in enumerate(kinds) for i in range(40)]
+    names = ["getUserAccountSettingsForTenant{}Configuration", "module_for_account_settings_v{}", "internationalization", "/usr/share/locale/messages{}", "Donaudampfschifffahrtsgesellschaft", "HTTPSConnectionURLParser{}", "report-2024-01-{}-final-version"]
+    texts += [(10_000 + i, f"see {names[i % len(names)].format(10 + i)} now") for i in range(210)]
+    found = by_key(secrets.report(spark.createDataFrame(texts, "doc_id long, text string")), "doc_id")
+    for k, (alphabet, n) in enumerate(kinds):
+        assert sum(f"random:13:{13 + n}" in found[100 * k + i]["spans"] for i in range(40)) >= 36, (alphabet, n)
+    assert not any("random" in found[10_000 + i]["spans"] for i in range(210))
+
+
 def test_quality(spark, sf_dir, rows, odd, none):
     for df, source in both(spark, sf_dir, rows, odd, registry.op7_quality_ledger, quality.verdicts):
         found = by_key(df, "doc_id")

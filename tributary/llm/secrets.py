@@ -1,12 +1,14 @@
 """Operator 5: secrets by fixed patterns, and by a battery of randomness tests under false-discovery control.
 
-Fixed patterns give the base spans. Beside them, every run of 16 or more key-like characters that mixes character
-classes is a candidate: its encoding is inferred from its alphabet, then tested three ways.
+Fixed patterns give the base spans. Beside them, every run of 16 or more key-like characters with a letter is a
+candidate: its encoding is inferred from its alphabet (ENCODINGS), then tested.
 
 * Uniformity: chi-squared of its character counts against the alphabet's uniform distribution must not reject.
 * Serial correlation of neighbouring code points must not reject independence.
-* Runs: changes of character class are binomial for identifiers and words, at most CLASS_CHANGE a step; Chernoff's
-  bound on seeing as many gives a p-value, smaller for longer tokens.
+* Runs and pairs: how probable the token is as words and identifiers, against uniform draws from its own encoding's
+  alphabet. Words and identifiers change character class with a probability of at most CLASS_CHANGE a step, and pairs of
+  letters are as frequent as in words (PAIRS). Both parts multiply; by Markov's inequality the ratio is a p-value, also
+  over the choice of encoding.
 
 Benjamini and Hochberg's procedure at level FDR, within strata of length, decides which candidates are reported. The
 p-values meet in a histogram of at most 401 bins for each of the four strata, the only thing that crosses documents.
@@ -32,9 +34,23 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 _KEY = "[A-Za-z0-9+/_-]"
-CANDIDATE = rf"(?<!{_KEY})(?={_KEY}*?(?:[0-9]|[a-z][A-Z])){_KEY}{{16,}}+"
+CANDIDATE = rf"(?<!{_KEY})(?={_KEY}*?[A-Za-z]){_KEY}{{16,}}+"
 #: Most probable share of class changes between neighbours in identifiers; level of false discoveries; standard scores beyond which a test rejects.
 CLASS_CHANGE, FDR, UNIFORM_Z, SERIAL_Z = 0.25, 0.01, 4.0, 3.5
+#: (alphabet, its size): the first that a candidate keeps to is its encoding.
+ENCODINGS = (("[0-9a-f]+|[0-9A-F]+", 16), ("[a-z]+|[A-Z]+", 26), ("[A-Z2-7]+|[a-z2-7]+", 32), ("[a-z0-9]+|[A-Z0-9]+", 36), ("[A-Za-z]+", 52), ("[A-Za-z0-9]+", 62), (".+", 64))
+#: -5 ln of the share of each letter at the start of a word and after each letter, as code points from 48: means over
+#: words of English, French, German and Spanish, mixed with a tenth of the letters' own shares.
+PAIRS = (
+    "<C>=9EFD>MK?C?=DD@@;BFFTRJ CG<@APHH=MP@D9DJK=;<9JMQMT CPHK6RPJEDX7OG8OSGGHDTVT?T BQFK=RQ59XG>OG<QRFI@>SVTST >GGF4QOD;VWEPC9QSDBAASITOT "
+    "=HA??JHG>MP?E8CHI9;?BILGOB =CBJ=GFA>XH?OF7GR;@;BGQSOC 7CIL6RH??XMCM>@LSC?@@LHTUK :CDL5RHB>XIBGC=EGAB>FEITTI @H>F7FHIDLSBB8:IHB?<HGQPVN "
+    "2NII9ONHEVOIMD=OPFHEBQSQQQ DPJI1PLIBXWFNEHGRHBGGSISSS ;LGG6KMJ8PU:KG@MNGCDESRT;S >FJK5RPG6XUJHG;@SDGDGSTTQT =D?<;M<D@KIBDD>FFA@8CFKTOJ "
+    "CGCDB@IJ?KOFC5FGK<<C;LKQUT 5QKK?8QI<XW@PG:GSAIBDSUTIT GPKJCRPJGXWJPFIQSGIH1SUTUS :BCG5NDC?MGCFB@FK=@?CFJTKH >G:F;PG=?HREDEAHGCB6<NNTLT "
+    ";GGK7QK9:XLELF@HM<CBDJMTK? @EFJ6GJCAXMAC8AEL>@>HJI>VM >PKL3RPJ6XXKOG>QSIJHJSUTUT <OKKAQP3:XWHOD:QRCGGJSTTUS 4N@K<MOIAXWCDF>@D?I;JFUPSP "
+    "=D?D:PKC=TWCG>8?PC<:HRFSTQ >A?F8QFE=HBCCFCLECFB5GUSSM"
+).split()
+#: Costs in nats of a digit and of a sign.
+_DIGIT, _SIGN = math.log(10), math.log(2)
 _SPAN = "array<struct<s: int, k: int, e: int>>"
 
 
@@ -46,20 +62,29 @@ def _spans(kind: int, found: str, between: str, size: str | None = None) -> Colu
     return F.expr(f"if(size({found}) = 0, cast(array() as {_SPAN}), aggregate({zipped}, named_struct('at', 0, 'out', cast(array() as {_SPAN})), (s, x) -> {step}, s -> s.out))")
 
 
+def _costs() -> str:
+    """SQL for costs in nats, at 29 * before + after: 0 starts a word, then letters, 27 a digit, 28 a sign."""
+    rows = [[(ord(c) - 48) / 5 for c in row] for row in PAIRS]
+    rows += [rows[0], rows[0]]
+    return "array(" + ", ".join(f"{x:.3f}D" for row in rows for x in (0.0, *row, _DIGIT, _SIGN)) + ")"
+
+
 def _tested() -> str:
     """SQL for a candidate's tests: struct(s, e, n, p) from its text ``t``."""
-    k = "case when c.t rlike '^([0-9a-f]+|[0-9A-F]+)$' then 16 when c.t rlike '^[A-Z2-7]+$' then 32 when c.t rlike '^([a-z0-9]+|[A-Z0-9]+)$' then 36 else 64 end"
+    k = "case " + " ".join(f"when c.t rlike '^({alphabet})$' then {size}" for alphabet, size in ENCODINGS) + " end"
     square = "aggregate(transform(array_distinct(c.chars), x -> length(c.t) - length(replace(c.t, x, ''))), 0L, (a, n) -> a + n * n)"
     mean = "(aggregate(c.codes, 0.0D, (a, x) -> a + x) / size(c.codes))"
     ahead = "zip_with(slice(c.codes, 1, size(c.codes) - 1), slice(c.codes, 2, size(c.codes) - 1), (a, b) -> struct(a as a, b as b))"
     changes = "length(regexp_replace(c.t, '(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Z])|(?<=[0-9])(?=[^0-9])|(?<=[^A-Za-z0-9])(?=[A-Za-z0-9])', '\\\\n')) - length(c.t)"
-    first = f"transform(raw, c -> named_struct('s', c.s, 'e', c.e, 't', c.t, 'n', cast(length(c.t) as double), 'k', cast({k} as double), 'chars', split(c.t, ''), 'changes', cast({changes} as double)))"
-    second = f"transform({first}, c -> named_struct('s', c.s, 'e', c.e, 'n', c.n, 'k', c.k, 'x', c.changes / (c.n - 1), 'square', {square}, 'codes', transform(c.chars, x -> cast(ascii(x) as double))))"
-    third = f"transform({second}, c -> named_struct('s', c.s, 'e', c.e, 'n', c.n, 'x', c.x, 'k', c.k, 'chi', c.k * c.square / c.n - c.n, 'codes', c.codes, 'mean', {mean}))"
+    kinds = "transform(split(lower(regexp_replace(c.t, '(?<=[a-z])(?=[A-Z])', ' ')), ''), x -> case when x = ' ' then 0 when x between 'a' and 'z' then ascii(x) - 96 when x between '0' and '9' then 27 else 28 end)"
+    letters = f"aggregate({kinds}, named_struct('at', 0, 'sum', 0.0D), (a, x) -> named_struct('at', x, 'sum', a.sum + element_at({_costs()}, 29 * a.at + x + 1)), a -> a.sum)"
+    first = f"transform(raw, c -> named_struct('s', c.s, 'e', c.e, 't', c.t, 'n', cast(length(c.t) as double), 'k', cast({k} as double), 'chars', split(c.t, ''), 'changes', cast({changes} as double), 'letters', {letters}))"
+    second = f"transform({first}, c -> named_struct('s', c.s, 'e', c.e, 'n', c.n, 'k', c.k, 'changes', c.changes, 'q', least(c.changes / (c.n - 1), {CLASS_CHANGE}D), 'letters', c.letters, 'square', {square}, 'codes', transform(c.chars, x -> cast(ascii(x) as double))))"
+    third = f"transform({second}, c -> named_struct('s', c.s, 'e', c.e, 'n', c.n, 'changes', c.changes, 'q', c.q, 'letters', c.letters, 'k', c.k, 'chi', c.k * c.square / c.n - c.n, 'codes', c.codes, 'mean', {mean}))"
     serial = f"(aggregate({ahead}, 0.0D, (a, p) -> a + (p.a - c.mean) * (p.b - c.mean)) / greatest(aggregate(c.codes, 0.0D, (a, x) -> a + (x - c.mean) * (x - c.mean)), 1e-9D))"
-    q = CLASS_CHANGE
-    bound = f"exp(-(c.n - 1) * (if(c.x > 0, c.x * ln(greatest(c.x, 1e-9D) / {q}D), 0.0D) + if(c.x < 1, (1 - c.x) * ln(greatest(1 - c.x, 1e-9D) / {1 - q}D), 0.0D)))"
-    p = f"if(c.x <= {q}D or (c.chi - c.k + 1) / sqrt(2 * (c.k - 1)) > {UNIFORM_Z}D or abs({serial}) * sqrt(c.n) > {SERIAL_Z}D, 1.0D, {bound})"
+    # A change leads to one of at least two likely classes.
+    runs = "-(if(c.changes > 0, c.changes * ln(greatest(c.q, 1e-9D) / 2), 0.0D) + (c.n - 1 - c.changes) * ln(1 - c.q))"
+    p = f"if((c.chi - c.k + 1) / sqrt(2 * (c.k - 1)) > {UNIFORM_Z}D or abs({serial}) * sqrt(c.n) > {SERIAL_Z}D, 1.0D, exp(-greatest(0.0D, {runs} + c.letters - c.n * ln(c.k) - {math.log(len(ENCODINGS))}D)))"
     return f"transform({third}, c -> named_struct('s', c.s, 'e', c.e, 'n', cast(c.n as int), 'p', {p}))"
 
 
@@ -85,7 +110,7 @@ def candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         "m3",
         _spans(3, "m3", "p3").alias("places"),
     )
-    fresh = F.expr("filter(zip_with(places, m3, (a, t) -> named_struct('s', a.s, 'e', a.e, 't', t)), c -> not exists(base, b -> b.s < c.e and c.s < b.e) and c.t rlike '[A-Za-z]')")
+    fresh = F.expr("filter(zip_with(places, m3, (a, t) -> named_struct('s', a.s, 'e', a.e, 't', t)), c -> not exists(base, b -> b.s < c.e and c.s < b.e))")
     return placed.select(id_col, "print", "base", fresh.alias("raw")).select(id_col, "print", "base", F.expr(_tested()).alias("tested"))
 
 
