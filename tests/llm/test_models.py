@@ -61,6 +61,28 @@ def test_main_text_of_pages(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in found.values())
 
 
+def test_articles_in_several_containers_are_whole(spark):
+    part = "<div class='{}'><p>{}</p></div>"
+    say = lambda k, n: f"{' '.join(f'word{chr(97 + k)}{chr(97 + i % 26)}' for i in range(n))}."
+    one = lambda k: f"<html><body><div class='wrap'>{part.format('post', say(k, 80))}</div></body></html>"
+    two = f"<html><body><div class='wrap'>{part.format('post', say(20, 60))}{part.format('post', say(21, 50))}</div></body></html>"
+    numbered = [f"<html><body><div>{''.join(part.format(f'part-{i}', say(k + i, 60)) for i in range(n))}</div></body></html>" for k, n in ((1, 1), (2, 1), (3, 1), (4, 3))]
+    other = f"<html><body><div class='wrap'>{part.format('post', say(5, 40))}<div class='more'><p>{say(6, 60)}</p></div></div></body></html>"
+    pages = [(k, "http://a.example/", one(k)) for k in range(5)] + [(10, "http://a.example/", two), (11, "http://a.example/", other)] + [(20 + k, "http://b.example/", h) for k, h in enumerate(numbered)]
+    found = {r["page_id"]: r for r in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert found[0]["text"] == say(0, 80) and found[0]["by_vote"]
+    assert found[10]["text"] == f"{say(20, 60)}\n{say(21, 50)}" and found[10]["by_vote"]
+    assert found[11]["text"] == f"{say(5, 40)}\n{say(6, 60)}"
+    assert found[23]["text"] == "\n".join(say(4 + i, 60) for i in range(3))
+
+
+def test_winning_paths_of_a_host_with_many(spark):
+    counted = spark.range(5000).selectExpr("if(id % 2 = 0, 'h', '') as host", "concat('p', id) as path", "id div 3 as pages", "cast(id % 7 as double) as weight")
+    rows = sorted(counted.collect(), key=lambda r: (r["host"], -r["pages"], -r["weight"], r["path"]))
+    want = {h: [r["path"] for r in rows if r["host"] == h][:4] for h in ("h", "")}
+    assert {r["host"]: r["paths"] for r in html.winning_paths(counted).collect()} == want
+
+
 def test_recordings_align_at_their_offset(spark):
     draw = np.random.default_rng(1)
     time = np.arange(2000) / media.RATE

@@ -2,10 +2,11 @@
 
 Every page's containers are scored by the text in their blocks that is neither boilerplate nor links. The best one votes
 for its generalised path (tags with their classes, numbers masked) within its host. Votes are counted in Spark and each
-page is extracted again with its host's winning paths: the first of them that the page has, and that holds a fair part
-of its text, is the container; else the page's own best one is.
+page is extracted again with its host's winning paths: all containers of the first of them that the page has, and that
+together hold nearly all unlinked text of the page's own best container, make the text; else that one does.
 
-Votes are grouped with map-side counts, so a host with a third of all pages is no hot spot. Hosts' paths are broadcast
+Votes are grouped with map-side counts and ranked by bounded lists, so a host with a third of all pages or with many
+paths is no hot spot. Hosts' paths are broadcast
 while there are at most BROADCAST_HOSTS of them and joined by a shuffle beyond.
 
 Edge cases: null and empty pages give an empty text; broken markup is read as far as tags can be matched; pages without
@@ -23,10 +24,12 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .shared import settle, small_batches, tidy
 
-PATHS, BROADCAST_HOSTS, FAIR = 4, 100_000, 0.4
+#: Least share of the unlinked text of the page's own best container that a vote's containers must hold.
+PATHS, BROADCAST_HOSTS, NEARLY = 4, 100_000, 0.9
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img".split())
 _SILENT = frozenset("script style noscript template head title iframe object svg canvas audio video map nav footer aside form button select option textarea input dialog menu".split())
@@ -147,18 +150,36 @@ class Page(HTMLParser):
         out = [(max(0, c.good - 2 * c.linked) * (1 + c.bonus + 0.001 * min(c.depth, 100)), -k, c) for k, c in enumerate(self.containers) if c.good]
         return [(s, c) for s, _, c in sorted(out, key=lambda x: (-x[0], x[1]))]
 
-    def text_of(self, container: _Node | None) -> str:
-        if container is None:
+    def text_of(self, containers: list[_Node]) -> str:
+        """Blocks inside any of the containers, in page order; all blocks if there are none."""
+        if not containers:
             return "\n".join(self.blocks)
+        inside = set(map(id, containers))
         keep = []
         for block, node in zip(self.blocks, self.owners, strict=True):
             at: _Node | None = node
-            while at is not None and at is not container:
+            while at is not None and id(at) not in inside:
                 at = at.parent
-            if at is container:
+            if at is not None:
                 keep.append(block)
         return "\n".join(keep)
 
+    def holding(self, path: str) -> list[_Node]:
+        """The containers of a path; none of them lies in another, as a path tells the depth."""
+        return [c for c in self.containers if c.path == path and c.good]
+
+    def unlinked(self, containers: list[_Node], within: _Node) -> int:
+        """Characters outside links that the containers hold of what ``within`` holds."""
+        out = 0
+        for c in containers:
+            inner, outer = (c, within) if c.depth >= within.depth else (within, c)
+            at: _Node | None = inner
+            while at is not None and at is not outer:
+                at = at.parent
+            if at is outer:
+                out += inner.good - inner.linked
+        return out
+
 
 def votes(pages: DataFrame) -> DataFrame:
     """(host, path, pages, weight) of the containers that pages (page_id, host, html) score best."""
@@ -178,9 +199,15 @@ def votes(pages: DataFrame) -> DataFrame:
 
 
 def winning_paths(counted: DataFrame, paths: int = PATHS) -> DataFrame:
-    """(host, paths): the paths with most votes, most first; ties by weight, then by path. A host has few paths, as they are generalised."""
-    ranked = F.struct((-F.col("pages")).alias("pages"), (-F.round("weight", 3)).alias("weight"), "path")
-    return counted.groupBy("host").agg(F.slice(F.sort_array(F.collect_list(ranked)), 1, paths).alias("r")).select("host", F.col("r.path").alias("paths"))
+    """(host, paths): the paths with most votes, most first; ties by weight, then by path.
+
+    Ranked by salted parts of a host first, so that no task sorts all paths of a large one and no row holds them.
+    """
+    order = (F.desc("pages"), F.desc(F.round("weight", 3)), "path")
+    salted = counted.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(64)))
+    some = salted.withColumn("k", F.row_number().over(Window.partitionBy("host", "salt").orderBy(*order))).where(F.col("k") <= paths)
+    ranked = some.withColumn("k", F.row_number().over(Window.partitionBy("host").orderBy(*order))).where(F.col("k") <= paths)
+    return ranked.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("k", "path"))).alias("r")).select("host", F.col("r.path").alias("paths"))
 
 
 def extract(df: DataFrame, paths: int = PATHS, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -197,14 +224,12 @@ def extract(df: DataFrame, paths: int = PATHS, id_col: str = "page_id", url_col:
             for html, ways in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 page = Page(html)
                 scored = page.scored()
-                best = scored[0] if scored else (0.0, None)
-                by_path: dict[str, tuple[float, _Node]] = {}
-                for s, c in scored:
-                    by_path.setdefault(c.path, (s, c))
-                chosen = next((by_path[w] for w in ways or [] if w in by_path and by_path[w][0] >= FAIR * best[0]), None)
-                node = (chosen or best)[1]
-                texts.append(page.text_of(node))
-                used.append(node.path if node is not None else None)
+                best = [scored[0][1]] if scored else []
+                least = NEARLY * (best[0].good - best[0].linked) if best else 0
+                chosen = next((c for c in map(page.holding, ways or []) if c and page.unlinked(c, best[0]) >= least), None)
+                nodes = chosen or best
+                texts.append(page.text_of(nodes))
+                used.append(nodes[0].path if nodes else None)
                 voted.append(chosen is not None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(used, pa.string()), pa.array(voted, pa.bool_())], names=[id_col, "url", "text", "path", "by_vote"])
 
