@@ -51,6 +51,33 @@ def test_matches_survive_a_full_memo(monkeypatch):
     assert [(d, t) for d, t, _ in found] == [(0, 0), (0, 1), (1, 0), (0, 1)]
 
 
+def test_balanced_labels_and_a_large_lexicon(spark):
+    import random
+
+    draw = random.Random(6)
+    spell = lambda n: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    common, bad = [spell(7) for _ in range(300)], [spell(8) for _ in range(600)]
+    source, marks = [], []
+    for k in range(1600):
+        text = [draw.choice(common) for _ in range(60)]
+        if k % 2:
+            text += draw.sample(bad, 40)
+        draw.shuffle(text)
+        source.append((k, " ".join(text)))
+        marks.append((k, k % 2))
+    model = toxicity.fit(spark.createDataFrame(source, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int"))
+    assert set(bad) == set(model.terms)
+    matcher = toxicity.Matcher(model.terms, model.fuzzy)
+    scores = [(model.probability(matcher.matches(t)) >= 0.5) == bool(k % 2) for k, t in source]
+    assert all(scores)
+
+
+def test_misspellings_with_digits_and_insertions():
+    find = lambda text: [(d, t) for d, t, _ in toxicity.Matcher(["stupid", "clownish", "abcdefg"]).matches(text)]
+    assert find("so st0pid a man of 2024 and stupid123, 5tupid") == [(1, 0), (0, 0), (1, 0)]
+    assert find("abxcdexfg") == [(2, 2)] and find("cl0wn1sh") == [] and find("cl0wnish") == [(1, 1)]
+
+
 def test_main_text_of_pages(spark):
     frame = "<html><head><title>T</title><script>x='<p>'</script></head><body><nav><a href=/>Home</a></nav><div class='cookie-notice'>We use cookies</div>{}<div id=comments><p>Reader says hello to all of you here</p></div><aside>More</aside><form>Name <input></form><footer>&copy; us</footer></body></html>"
     body = "<div class='post-{}'><h1>Head &amp; tail</h1><p>First  para\n graph with <b>bold</b> words that go on.<p>Second&nbsp;one<br>goes on for some time as well.</p><ul><li>a<li>b</ul></div>"

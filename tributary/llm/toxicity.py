@@ -1,15 +1,17 @@
 """Operator 3: toxicity by a learned lexicon, matched also in misspelled form, and weighed by its context.
 
 Fitting reads labelled rows only: of those whose crc32 of the id is not divisible by FOLDS a sample of about TRAIN_ROWS,
-drawn by a hash of the id. Terms that toxic texts use more than chance explains make the lexicon (a log-likelihood
-ratio test, corrected for the number of terms, over distinct neighbourhoods, so that copies of one text count once).
+drawn by a hash of the id. All terms that toxic texts use more than chance explains make the lexicon (a log-likelihood
+ratio test, corrected for the number of terms, over distinct neighbourhoods, so that copies of one text count once) where
+their odds in toxic texts are over ODDS times those in clean ones, which any share of toxic labels leaves possible.
 The lexicon is a trie, and a word is looked up by running its Levenshtein automaton along the trie: one edit for words
-of 5 letters or more, two from 9. A term whose misspellings clean texts contain as often as toxic ones is matched
+of 5 letters or more, two from 9; digits may stand in words, and where such a word is no term its runs of letters are
+looked up. A term whose misspellings clean texts contain as often as toxic ones is matched
 exactly only. Each match has a context window of CONTEXT words; quotation marks around it or words of reporting in it
 make it a quotation. A ridge-penalised logistic regression turns a text's counts of plain, misspelled and quoted
 matches into a score; it is fitted to the table of these counts, which has at most 128 rows.
 
-Fitting is bounded by TRAIN_ROWS and LEXICON and runs as Spark jobs; scoring is one pass without a shuffle. Language,
+Fitting is bounded by TRAIN_ROWS and runs as Spark jobs; scoring is one pass without a shuffle. Language,
 source, ids and labels never enter a score.
 
 Edge cases: null and empty texts score as texts without a match; repeated rows score the same; several labels of one
@@ -32,8 +34,8 @@ from pyspark.sql import functions as F
 
 from .shared import documents, give_back, release, settle, tidy
 
-FOLDS, TRAIN_ROWS, LEXICON, CONTEXT, CAP = 5, 40_000, 512, 6, 3
-_WORD = re.compile(r"[^\W\d_]+")
+FOLDS, TRAIN_ROWS, ODDS, CONTEXT, CAP = 5, 40_000, 3, 6, 3
+_WORD, _LETTERS = re.compile(r"(?<![^\W_])\d*+[^\W\d_][^\W_]*"), re.compile(r"[^\W\d_]+")
 _QUOTES = "\"'“”„«»‘’`"
 #: Words of reporting that mark a quotation.
 REPORTING = frozenset("said says quote quoted quotes called calling word words term wrote reported citing dit mot cite sagte wort zitat dijo palabra cita".split())
@@ -100,6 +102,11 @@ def edits_for(n: int) -> int:
     return 0 if n < 5 else 1 if n < 9 else 2
 
 
+def most_edits(n: int) -> int:
+    """Edits of the words that may be misspellings of a term of ``n`` letters."""
+    return max(edits_for(n + d) for d in range(3) if edits_for(n + d) >= d)
+
+
 class Matcher:
     """Finds a text's matches; remembers words it has seen."""
 
@@ -108,19 +115,25 @@ class Matcher:
         self.fuzzy = fuzzy or [True] * len(terms)
         parts = set()
         for t, on in zip(terms, self.fuzzy, strict=True):
-            pieces = edits_for(len(t) + 1) + 1
+            pieces = most_edits(len(t)) + 1
             if on and pieces > 1:
                 cut = [len(t) * k // pieces for k in range(pieces + 1)]
                 parts |= {t[a:b] for a, b in zip(cut, cut[1:])}
         #: Some part of a term stands unchanged in every misspelling of it.
-        self.parts = re.compile("|".join(sorted(map(re.escape, parts)))) if parts else None
+        self.parts, self.sizes = parts, sorted({len(x) for x in parts})
         self.memo: dict[str, tuple[int, int] | None] = {}
 
     def _look(self, word: str) -> tuple[int, int] | None:
+        found = self._look_whole(word)
+        if found is None and not word.isalpha():
+            found = min(filter(None, map(self._look_whole, _LETTERS.findall(word))), default=None)
+        return found
+
+    def _look_whole(self, word: str) -> tuple[int, int] | None:
         if word in self.exact:
             return 0, self.exact[word]
         edits = edits_for(len(word))
-        if not edits or self.parts is None or not self.parts.search(word):
+        if not edits or not any(word[a : a + n] in self.parts for n in self.sizes for a in range(len(word) - n + 1)):
             return None
         found = self.trie.nearest(word, edits)
         return found if found and self.fuzzy[found[1]] else None
@@ -173,7 +186,7 @@ def _lexicon(train: DataFrame, n_toxic: int, n: int) -> list[str]:
     near = "transform(sequence(1, size(words)), i -> struct(element_at(words, i) as term, xxhash64(try_element_at(words, i - 1 + if(i = 1, size(words), 0)), try_element_at(words, i + 1)) as near))"
     rate = math.log(n_toxic / n)
     # Before neighbourhoods are counted, only terms that could pass: those much more frequent in toxic texts.
-    could = tested.where(F.expr(f"pos * {n} > 3 * n * {n_toxic}")).select("term", "n", "pos")
+    could = tested.where(F.expr(f"(pos + 0.5D) * ({n - n_toxic} - n + pos + 0.5D) > {ODDS} * (n - pos + 0.5D) * ({n_toxic} - pos + 0.5D)")).select("term", "n", "pos")
     around = train.where("toxic = 1 and size(words) > 0").select(F.explode(F.expr(near)).alias("w")).select("w.term", "w.near").join(could, "term")
     kinds = around.groupBy("term", "near").agg(F.max("n").alias("n"), F.max("pos").alias("pos")).groupBy("term").agg(F.count("*").alias("kinds"), F.max("n").alias("n"), F.max("pos").alias("pos"))
     least = 2 * math.log(terms) + 6
@@ -181,7 +194,8 @@ def _lexicon(train: DataFrame, n_toxic: int, n: int) -> list[str]:
     others = (F.col("n") - F.col("pos")).cast("double")
     share = c / (c + others)
     ratio = 2 * (c * (F.log(share) - rate) + F.when(others > 0, others * (F.log(1 - share) - math.log(max(1e-9, 1 - n_toxic / n)))).otherwise(-others))
-    strong = kinds.select("term", ratio.alias("g"), share.alias("share")).where((F.col("g") > least) & (F.col("share") > 3 * n_toxic / n)).orderBy(F.desc("g"), "term").limit(LEXICON)
+    odds = (c + 0.5) * (n - n_toxic - others + 0.5) > ODDS * (others + 0.5) * (n_toxic - c + 0.5)
+    strong = kinds.select("term", ratio.alias("g"), share.alias("share"), odds.alias("odds")).where((F.col("g") > least) & (F.col("share") > n_toxic / n) & F.col("odds")).orderBy(F.desc("g"), "term")
     return [r["term"] for r in strong.collect()]
 
 
@@ -226,8 +240,8 @@ def fit(df: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model
     fuzzy = [True] * len(terms)
     for r in near:
         fuzzy[-r["t"] - 1] = r["pos"] * (n - n_toxic) > 3 * (r["n"] - r["pos"]) * n_toxic
-    on = F.array(*map(F.lit, fuzzy))
-    use = F.expr("filter(arrays_zip(terms, quoted), z -> z.terms >= 0 or get(on, -z.terms - 1))")
+    on = F.lit("".join("01"[x] for x in fuzzy))
+    use = F.expr("filter(arrays_zip(terms, quoted), z -> z.terms >= 0 or substring(on, -z.terms, 1) = '1')")
     kinds = ("not z.quoted and z.terms >= 0", "not z.quoted and z.terms < 0", "z.quoted")
     counted = found.withColumn("on", on).select("toxic", use.alias("m")).select("toxic", *(F.expr(f"least({CAP}, size(filter(m, z -> {k})))").alias(f"f{i}") for i, k in enumerate(kinds)))
     rows = counted.groupBy("f0", "f1", "f2").agg(F.sum("toxic").alias("pos"), F.count("*").alias("n")).collect()
