@@ -126,6 +126,44 @@ def test_recordings_align_at_their_offset(spark):
     assert found == {0: {0: 0}, 1: {0: -20}, 2: {}, 3: {}, 4: {}}
 
 
+def every_offset(queries, x):
+    """query -> (least share of differing bits, offset) over all offsets that overlap by half."""
+    out = {}
+    for q, other in queries:
+        tried = []
+        for shift in range(1 - len(other), len(x)):
+            a, b = max(0, shift), min(len(x), len(other) + shift)
+            if 2 * (b - a) >= min(len(x), len(other)):
+                tried.append((float(np.bitwise_count(x[a:b] ^ other[a - shift : b - shift]).sum()) / (32 * (b - a)), abs(shift), shift))
+        if tried and min(tried)[0] <= media.BIT_ERRORS:
+            out[q] = (min(tried)[0], min(tried)[2])
+    return out
+
+
+def test_alignment_finds_what_every_offset_finds():
+    draw = np.random.default_rng(3)
+    queries = [(q, draw.integers(0, 1 << 32, 110, dtype=np.uint32)) for q in range(40)]
+    index = media.Index([(q, x.astype("<u4").tobytes()) for q, x in queries])
+    for rate, least in ((0.0, 1.0), (0.1, 1.0), (0.2, 0.99), (0.23, 0.95)):
+        want, same = 0, 0
+        for q, x in queries:
+            flip = np.packbits(draw.random((110, 32)) < rate, axis=1).view(">u4").ravel().astype(np.uint32)
+            heard = (x ^ flip)[q:]
+            brute = every_offset(queries, heard)
+            found = {k: (e, at) for k, at, e in index.align(heard)}
+            assert found.items() <= brute.items()
+            want, same = want + len(brute), same + len(found)
+        assert want >= 35 and same >= least * want, (rate, same, want)
+
+
+def test_rows_with_repeated_or_null_ids_stay_apart_in_any_number_of_blocks(spark):
+    draw = np.random.default_rng(4)
+    one, two, three = (draw.integers(0, 1 << 32, 60, dtype=np.uint32).astype("<u4").tobytes() for _ in range(3))
+    prints = spark.createDataFrame([(1, one), (1, two), (None, one), (None, three), (2, b""), (3, three)], "rec_id long, fingerprint binary")
+    said = lambda block: sorted((str(r["rec_id"]), [m["query"] for m in r["matches"]]) for r in media.align(prints, prints.where("rec_id in (1, 3)"), block).collect())
+    assert said(1) == said(4096) == [("1", [1]), ("1", [1]), ("2", []), ("3", [3]), ("None", [1]), ("None", [3])]
+
+
 def test_pipeline_keeps_clean_documents(spark, sf_dir):
     import corpus_pipeline
     import plain

@@ -2,11 +2,12 @@
 
 Sound becomes overlapping frames, each frame's spectrum twelve pitch classes. An integral image over frames and pitch
 classes gives any rectangle's sum in four look-ups; FILTERS compare rectangles and quantise the difference to two bits,
-so each place in time has one packed 32-bit integer. Two recordings are aligned by the histogram of offsets between
-equal integers; the share of bits that differ along the best offset decides.
+so each place in time has one packed 32-bit integer. Every offset at which two recordings have a place with 16 equal bits
+(those of one of BANDS) is tried; the least share of bits that differ along one of them decides.
 
 A stated set of queries is matched against all recordings, in blocks: a block of at most BLOCK queries (2 MB) is indexed
 and broadcast, each task looks its recordings up and returns one row for each, so pairs never multiply between tasks.
+With several blocks each one's rows are written before the next is broadcast.
 Equal fingerprints are one query.
 
 Edge cases: null and empty sound, and sound shorter than the filters, have an empty fingerprint and match nothing;
@@ -30,8 +31,10 @@ RATE, FRAME, HOP = 4000, 1024, 256
 #: middle third with the rest. Made by rule: each kind at several widths and places.
 FILTERS = [(h, (5 * k + h) % (13 - h), w, k % 4) for k, (h, w) in enumerate([(4, 4), (6, 8), (12, 8), (3, 12), (2, 8), (8, 4), (6, 12), (9, 16), (12, 4), (4, 16), (6, 4), (3, 8), (10, 12), (8, 16), (12, 16), (6, 16)])]
 WIDTH = max(w for _, _, w, _ in FILTERS)
-#: Quantiser limits on log ratios of areas; least equal integers at one offset; most differing bits.
-LIMITS, COLLISIONS, BIT_ERRORS, BLOCK = (-0.25, 0.0, 0.25), 4, 0.25, 4096
+#: Quantiser limits on log ratios of areas; first bits of the bands of 16 that are looked up; most differing bits.
+LIMITS, BANDS, BIT_ERRORS, BLOCK = (-0.25, 0.0, 0.25), (0, 4, 8, 12, 16), 0.25, 4096
+#: Numbers that are compared at once.
+_AT_ONCE = 1_000_000
 _GRAY = np.array([0, 1, 3, 2], dtype=np.uint32)
 
 
@@ -100,20 +103,68 @@ def fingerprints(df: DataFrame, id_col: str = "rec_id", pcm_col: str = "pcm") ->
     return source.mapInArrow(tidy(run), "rec_id long, fingerprint binary")
 
 
+def _runs(sizes: np.ndarray) -> list[tuple[int, int]]:
+    """Slices of ``sizes`` whose sums are about _AT_ONCE at most, or that are single."""
+    if not len(sizes):
+        return []
+    cut = np.flatnonzero(np.diff(np.cumsum(sizes) // _AT_ONCE)) + 1
+    return list(zip([0, *cut.tolist()], [*cut.tolist(), len(sizes)], strict=True))
+
+
+def _spread(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... for each of ``sizes``, one after the other."""
+    return np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
 class Index:
     """Inverted index over a block of queries."""
 
-    def __init__(self, queries: list[tuple[int, bytes]]):
-        self.ids = np.array([q for q, _ in queries], dtype=np.int64)
-        self.prints = [np.frombuffer(x, dtype="<u4") for _, x in queries]
-        sizes = [len(x) for x in self.prints]
-        values = np.concatenate([*self.prints, np.zeros(0, dtype=np.uint32)])
-        order = np.argsort(values, kind="stable")
-        self.values = values[order]
-        self.owner = np.repeat(np.arange(len(sizes)), sizes)[order]
-        self.place = np.concatenate([*(np.arange(s) for s in sizes), np.zeros(0, dtype=np.int64)]).astype(np.int64)[order]
-
-    def align(self, x: np.ndarray) -> list[tuple[int, int, float]]:
+    def __init__(self, queries: list[tuple[int | None, bytes]]):
+        self.ids = [q for q, _ in queries]
+        prints = [np.frombuffer(x, dtype="<u4") for _, x in queries]
+        self.sizes = np.array([len(x) for x in prints], dtype=np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.values = np.concatenate([*prints, np.zeros(0, dtype=np.uint32)])
+        self.owner = np.repeat(np.arange(len(prints)), self.sizes)
+        self.place = np.arange(len(self.values)) - np.repeat(self.starts, self.sizes)
+        self.bands = []
+        for bit in BANDS:
+            word = self.values >> np.uint32(bit) & np.uint32(0xFFFF)
+            order = np.argsort(word, kind="stable").astype(np.int32)
+            self.bands.append((bit, order, np.searchsorted(word[order], np.arange(65537))))
+
+    def _offsets(self, x: np.ndarray) -> np.ndarray:
+        """Distinct (query << 32 | offset + 2 ** 31) at which some place has an equal band."""
+        found = [np.zeros(0, dtype=np.int64)]
+        for bit, order, first in self.bands:
+            word = (x >> np.uint32(bit) & np.uint32(0xFFFF)).astype(np.int64)
+            low, n = first[word], first[word + 1] - first[word]
+            for a, b in _runs(n):
+                at = order[_spread(low[a:b], n[a:b])]
+                found.append(np.unique(self.owner[at] << 32 | np.repeat(np.arange(a, b), n[a:b]) - self.place[at] + (1 << 31)))
+        return np.unique(np.concatenate(found))
+
+    def align(self, x: np.ndarray) -> list[tuple[int | None, int, float]]:
+        """(query, offset, share of differing bits) of every query that aligns; offset: place here minus place there."""
+        key = self._offsets(x)
+        query, shift = key >> 32, (key & 0xFFFFFFFF) - (1 << 31)
+        first = np.maximum(0, shift)
+        n = np.minimum(len(x), self.sizes[query] + shift) - first
+        enough = 2 * n >= np.minimum(len(x), self.sizes[query])
+        query, shift, first, n = query[enough], shift[enough], first[enough], n[enough]
+        best: dict[int, tuple[float, int, int]] = {}
+        for a, b in _runs(n):
+            here = _spread(first[a:b], n[a:b])
+            there = _spread(self.starts[query[a:b]] + first[a:b] - shift[a:b], n[a:b])
+            bits = np.add.reduceat(np.bitwise_count(x[here] ^ self.values[there]).astype(np.int64), np.cumsum(n[a:b]) - n[a:b])
+            errors = bits / (32 * n[a:b])
+            for k in np.flatnonzero(errors <= BIT_ERRORS).tolist():
+                q, at = int(query[a + k]), int(shift[a + k])
+                best[q] = min(best.get(q, (2.0, 0, 0)), (float(errors[k]), abs(at), at))
+        return [(self.ids[q], at, e) for q, (e, _, at) in sorted(best.items())]
+
+
+def align(self, x: np.ndarray) -> list[tuple[int, int, float]]:
         """(query, offset, share of differing bits) of every query that aligns; offset: place here minus place there."""
         low, high = np.searchsorted(self.values, x, "left"), np.searchsorted(self.values, x, "right")
         n = high - low
@@ -140,9 +191,13 @@ def align(prints: DataFrame, queries: DataFrame, block: int = BLOCK) -> DataFram
     context = prints.sparkSession.sparkContext
     distinct = settle(queries.groupBy("fingerprint").agg(F.min("rec_id").alias("rec_id")).where(F.length("fingerprint") > 0))
     parts = max(1, -(-distinct.count() // block))
+    # Ids may repeat or be null, so blocks' rows meet by a key of their own.
+    keyed = prints.select("rec_id", "fingerprint", (F.lit(0) if parts == 1 else F.monotonically_increasing_id()).cast("long").alias("row"))
+    if parts > 1:
+        keyed = settle(keyed)
     out = None
     for part in range(parts):
-        rows = distinct.where(F.pmod(F.xxhash64("rec_id"), F.lit(parts)) == part).orderBy("rec_id").collect()
+        rows = distinct.where(F.pmod(F.xxhash64("fingerprint"), F.lit(parts)) == part).orderBy("rec_id").collect()
         index = context.broadcast([(r["rec_id"], bytes(r["fingerprint"])) for r in rows])
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
@@ -156,11 +211,14 @@ def align(prints: DataFrame, queries: DataFrame, block: int = BLOCK) -> DataFram
                             memo.clear()
                         memo[x] = [{"query": q, "offset": o, "bit_errors": e} for q, o, e in lookup.align(np.frombuffer(x, dtype="<u4"))]
                     found.append(memo[x])
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], names=["rec_id", "matches"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, kind)], names=["rec_id", "row", "matches"])
 
-        each = prints.select("rec_id", "fingerprint").mapInArrow(tidy(run), "rec_id long, matches array<struct<query: long, offset: int, bit_errors: double>>")
+        each = keyed.mapInArrow(tidy(run), "rec_id long, row long, matches array<struct<query: long, offset: int, bit_errors: double>>")
+        if parts > 1:
+            each = settle(each)
+            index.destroy()
         out = each if out is None else out.union(each)
-    return out if parts == 1 else out.groupBy("rec_id").agg(F.flatten(F.collect_list("matches")).alias("matches"))
+    return out.select("rec_id", "matches") if parts == 1 else out.groupBy("row").agg(F.first("rec_id").alias("rec_id"), F.flatten(F.collect_list("matches")).alias("matches")).drop("row")
 
 
 def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
