@@ -7,6 +7,7 @@ import sys
 from pathlib import Path
 
 import compare
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,3 +50,16 @@ def test_entry_imports_without_a_session():
     top = Path(__file__).parent.parent
     done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=top, capture_output=True, text=True, timeout=120, check=False)
     assert done.returncode == 0 and int(done.stdout.split()[0]) > 100
+
+
+@pytest.mark.parametrize("name", ["op_h7_find_occurrences", "op_h21_concordance", "op_e21_keyword_histogram"])
+def test_texts_whose_lower_case_is_longer(spark, tmp_path, name):
+    import __spark_entry__ as driver
+
+    texts = ["Of the old town \u0130stanbul'da \u0130\u0130 a license for x, License again " + "y" * 700 + " LICENSE end", "no \u0130 word", "\u0130" * 30 + "L\u0130CENSE of some length here", "plain text with more than twenty letters before its license stands"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    compare.views(con, str(tmp_path))
+    df = driver.queries()[name](spark, str(tmp_path))
+    assert {0, 2} <= {r["doc_id"] for r in df.collect()}
+    assert compare.difference(df, con, driver.oracle_sql()[name]) == ""

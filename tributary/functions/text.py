@@ -105,10 +105,13 @@ def cpv_codes(text: Column) -> Column:
 
 
 def positions(text: Column, keyword: str, limit: int = 1002) -> Column:
-    """Starts (from 0) of a keyword's occurrences from the left, in either case: the parts between them give the places."""
+    """Starts (from 0) of a keyword's occurrences from the left, in either case: the parts between them give the places.
+
+    The dotted capital I, the only character whose lower case is longer, becomes a plain i, so that places are the text's.
+    """
     n = len(keyword)
     quoted = "\\Q" + keyword.lower() + "\\E"
-    parts = F.slice(F.split(F.lower(text), quoted, -1), 1, limit + 1)
+    parts = F.slice(F.split(F.lower(F.translate(text, "\u0130", "i")), quoted, -1), 1, limit + 1)
     lengths = F.transform(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.length(p))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
     folded = F.aggregate(lengths, start, lambda s, p: F.struct((s["at"] + p + n).alias("at"), F.array_append(s["out"], s["at"] + p).alias("out")))

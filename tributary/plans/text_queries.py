@@ -117,7 +117,7 @@ def split_query_text(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op_h7_find_occurrences", "select doc_id, (length(text) - length(replace(lower(text), 'license', ''))) // 7 as n, coalesce(nullif(position('license' in lower(text)), 0) - 1, -1) as first from documents where length(lower(text)) = length(text)")
 def find_occurrences(spark: SparkSession, sf: str) -> DataFrame:
-    found = table(spark, sf, "documents").where(F.length(F.lower("text")) == F.length("text")).select("doc_id", T.positions(F.col("text"), "License").alias("at"))
+    found = table(spark, sf, "documents").select("doc_id", T.positions(F.col("text"), "License").alias("at"))
     return found.select("doc_id", F.size("at").cast("long").alias("n"), F.coalesce(F.get("at", F.lit(0)), F.lit(-1)).cast("long").alias("first"))
 
 
@@ -175,7 +175,7 @@ def address(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op_h21_concordance", "select doc_id, text[position('license' in lower(text)) - 20 : position('license' in lower(text)) + 26] as context from documents where position('license' in lower(text)) > 20 and length(lower(text)) = length(text)")
 def concordance(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "documents").where(F.length(F.lower("text")) == F.length("text")).select("doc_id", "text", F.get(T.positions(F.col("text"), "license"), F.lit(0)).alias("at")).where("at >= 20")
+    rows = table(spark, sf, "documents").select("doc_id", "text", F.get(T.positions(F.col("text"), "license"), F.lit(0)).alias("at")).where("at >= 20")
     return rows.select("doc_id", F.expr("substring(text, at - 19, 47)").alias("context"))
 
 
@@ -217,7 +217,7 @@ g as (select doc_id, unnest(range(length(text) // 680 + 1)) as bin from document
 select g.doc_id, g.bin, coalesce(n, 0) as n from g left join (select doc_id, occ // 680 as bin, count(*) as n from o group by 1, 2) h on h.doc_id = g.doc_id and h.bin = g.bin""",
 )
 def keyword_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").where(F.length(F.lower("text")) == F.length("text"))
+    docs = table(spark, sf, "documents")
     found = docs.select("doc_id", F.explode(T.positions(F.col("text"), "license")).alias("occ"))
     grid = docs.select("doc_id", F.explode(F.expr("sequence(0L, length(text) div 680)")).alias("bin"))
     counted = found.groupBy("doc_id", F.expr("cast(occ div 680 as long)").alias("bin")).agg(F.count("*").alias("n"))
