@@ -196,6 +196,22 @@ def test_near_duplicates_on_chains_and_variants(spark):
     assert found == plain.near_copies(source)
 
 
+def test_near_duplicates_of_repeated_rows(spark, monkeypatch):
+    base = [f"w{k}" for k in range(103)]
+    source = [(doc, " ".join([*base[: 4 * doc], f"x{doc}", *base[4 * doc + 1 :]])) for doc in range(1, 25)]
+    calls, matching = [], neardup._matching
+
+    def without_the_first(pairs, sets, matches):
+        calls.append(1)
+        return matching(pairs, sets, matches).where(F.lit(len(calls) > 1))
+
+    # Without the leaders' stars, all links are left to what counts shingles.
+    monkeypatch.setattr(neardup, "_matching", without_the_first)
+    df = spark.createDataFrame(source * 6, "doc_id long, text string")
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(df).collect()}
+    assert found == plain.near_copies(source)
+
+
 def test_repeated_passages(spark, sf_dir, rows, odd, none):
     for df, source in both(spark, sf_dir, rows, odd, registry.op9_substring_dedup, substring.digests):
         assert {k: (r["n_words"], r["n_removed"], r["kept_sha256"]) for k, r in by_key(df, "doc_id").items()} == plain.without_repeats(source)

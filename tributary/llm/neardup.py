@@ -213,15 +213,16 @@ def _sharing_rare(rare: DataFrame, member: DataFrame, able: DataFrame, bound: st
     return both.where(F.expr(bound)).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
 
 
-def links(sets: DataFrame, rows: DataFrame, shingle: int = SHINGLE, matches: int = MATCHES, percent: int = 80) -> DataFrame:
-    """Edges (a, b) that connect what all links of ``sets`` (doc_id, n_shingles, signature) connect; ``rows`` has the texts."""
+def links(sets: DataFrame, rows: DataFrame, shingle: int = SHINGLE, matches: int = MATCHES, percent: int = 80, repeated: bool = False) -> DataFrame:
+    """Edges (a, b) that connect what all links of ``sets`` (doc_id, n_shingles, signature) connect; ``rows`` has the texts, ``repeated``: with ids that repeat."""
     lists = settle(postings(sets, matches))
     leaders = lists.groupBy("key").agg(F.max(F.struct("m", (-F.col("doc_id")).alias("id"))).alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", (-F.col("leader.id")).alias("b"))
     stars = lists.join(leaders, "key").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
     first = settle(confirmed(settle(_matching(stars, sets, matches)), rows, shingle, percent=percent))
 
     member = settle(_open(lists, components(first)))
-    rare = _rare_shingles(settle(_shingles_of(_texts_of(member, rows), shingle)))
+    each = _shingles_of(_texts_of(member, rows), shingle)
+    rare = _rare_shingles(settle(each.distinct() if repeated else each))
     own = rare.select(F.explode("docs").alias("doc_id"), (F.size("docs") == 1).cast("long").alias("lone")).groupBy("doc_id").agg(F.count("*").alias("rare"), F.sum("lone").alias("lone"))
     sizes = member.select("doc_id").distinct().join(sets.select("doc_id", "n_shingles"), "doc_id").join(own, "doc_id", "left").na.fill(0)
     able = settle(sizes.select("doc_id", F.col("n_shingles").alias("n"), F.expr("n_shingles - lone").alias("shared"), F.expr("n_shingles - rare").alias("common")).where(f"100 * shared >= {percent} * n"))
@@ -256,8 +257,10 @@ def near_duplicates(df: DataFrame, shingle: int = SHINGLE, percent: int = 80, co
     all_sets = settle(signatures(rows, shingle, coordinates))
     key = ["n_shingles", "digest_a", "digest_b"]
     classes = settle(all_sets.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("class_id")))
-    sets = settle(all_sets.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n_shingles", "signature"))
-    found = components(links(sets, rows, shingle, matches, percent))
+    sets = all_sets.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n_shingles", "signature")
+    repeated = not all_sets.groupBy("doc_id").count().where("count > 1").isEmpty()
+    sets = settle(sets.distinct() if repeated else sets)
+    found = components(links(sets, rows, shingle, matches, percent, repeated))
     labelled = classes.join(found.withColumnRenamed("node", "class_id"), "class_id", "left").select(*key, F.coalesce("component", "class_id").alias("component"))
     each = all_sets.select("doc_id", *key).join(labelled, key, "left")
     return each.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.col("component") == F.col("doc_id"), F.lit(True)).alias("kept"))
