@@ -71,9 +71,9 @@ def shingles(text: str | None, size: int = 4) -> frozenset:
     return frozenset(tuple(w[k : k + size]) for k in range(len(w) - size + 1)) if len(w) >= size else frozenset([tuple(w)] if w else [])
 
 
-def near_copies(rows) -> dict:
-    """doc -> (size of its set, component, kept), from every pair that shares a shingle."""
-    sets = {doc: shingles(text) for doc, text in rows}
+def near_copies(rows, size: int = 4) -> dict:
+    """doc -> (size of its set, component, kept), from every pair that shares a shingle of ``size`` words."""
+    sets = {doc: shingles(text, size) for doc, text in rows}
     having = defaultdict(list)
     for doc, s in sets.items():
         for x in s:

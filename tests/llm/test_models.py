@@ -173,7 +173,7 @@ def test_pipeline_keeps_clean_documents(spark, sf_dir):
     toxic = corpus_pipeline.STAGES[0][1](spark, docs, sf_dir)
     left = {r["doc_id"]: r["text"] for r in toxic.collect()}
     assert toxic.columns == docs.columns and all(source[k] == t for k, t in left.items())
-    near = {k for k, (_, _, kept) in plain.near_copies(list(left.items())).items() if kept}
+    near = {k for k, (_, _, kept) in plain.near_copies(list(left.items()), size=5).items() if kept}
     packed = corpus_pipeline.run(spark, sf_dir)
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} <= near
     second = corpus_pipeline.STAGES[1][1](spark, toxic, sf_dir)

@@ -171,7 +171,7 @@ def test_ablation_counts_each_rule(odd):
 
 
 def test_near_duplicates(spark, sf_dir, rows, odd, none):
-    for df, source in both(spark, sf_dir, rows, odd, registry.op8_minhash_neardup, neardup.near_duplicates):
+    for df, source in both(spark, sf_dir, rows, odd, registry.op8_minhash_neardup, lambda df: neardup.near_duplicates(df, shingle=4)):
         assert {k: (r["n_shingles"], r["component_id"], r["kept"]) for k, r in by_key(df, "doc_id").items()} == plain.near_copies(source)
     assert neardup.near_duplicates(none).count() == 0
     assert neardup.without_copies(odd).columns == odd.columns
@@ -192,7 +192,7 @@ def test_near_duplicates_on_chains_and_variants(spark):
             for _ in range(draw.choice([1, 2, 3, 5])):
                 text[draw.randrange(len(text))] = draw.choice(vocabulary)
     df = spark.createDataFrame(source, "doc_id long, text string")
-    found = {k: (r["n_shingles"], r["component_id"], r["kept"]) for k, r in by_key(neardup.near_duplicates(df), "doc_id").items()}
+    found = {k: (r["n_shingles"], r["component_id"], r["kept"]) for k, r in by_key(neardup.near_duplicates(df, shingle=4), "doc_id").items()}
     assert found == plain.near_copies(source)
 
 
@@ -208,7 +208,7 @@ def test_near_duplicates_of_repeated_rows(spark, monkeypatch):
     # Without the leaders' stars, all links are left to what counts shingles.
     monkeypatch.setattr(neardup, "_matching", without_the_first)
     df = spark.createDataFrame(source * 6, "doc_id long, text string")
-    found = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(df).collect()}
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(df, shingle=4).collect()}
     assert found == plain.near_copies(source)
 
 

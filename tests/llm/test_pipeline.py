@@ -49,7 +49,7 @@ def test_pipeline_in_plain_python(spark, sf_dir, tmp_path):
     sf_dir = str(tmp_path)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     clean = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_toxic(spark, docs, sf_dir).collect()]
-    near = plain.near_copies(clean)
+    near = plain.near_copies(clean, size=5)
     once = without_passages([(doc, text) for doc, text in clean if near[doc][2]])
     # Spans beside the base patterns depend on all texts; they are taken from the operator.
     scanned = secrets.scan(spark.createDataFrame(list(once.items()), "doc_id long, text string")).collect()

@@ -12,7 +12,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node reachable from each node of ``edges`` (a, b).
 
     Each round takes the least label among neighbours and then follows labels one step; chains shrink by half, stars
-    end at once. Rounds stop when no label changes. Grouping pre-aggregates, so a hub's edges do not meet in one task.
+    end at once. Rounds stop when no label changes. Edges meet the one label of their far end in a join that AQE can split
+    at a hub; grouping by the near end pre-aggregates before its shuffle.
     """
     both = settle(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
     labels = settle(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("component")))

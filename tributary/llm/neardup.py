@@ -14,7 +14,9 @@ Only components are asked for, so lists are not expanded into all pairs. First e
 member with the most shared values) alone; what links to it needs no other link in that list. Then, in lists whose
 members lie in several components, each member meets DRAWS others, drawn by a hash for each list; a set has many lists,
 so where links are common nearly all of a group joins here. Last, in lists that still have several components, the pairs
-across components that agree often enough are formed. All these pairs must be admitted by an exact bound: two sets link
+across components that agree often enough are formed, each pair in one list alone: that of the first coordinate in which
+both agree and are posted, which a 64-bit mask of posted coordinates tells. So a pair that meets in thirty lists is made
+once. All these pairs must be admitted by an exact bound: two sets link
 only if each has 4/9 of their joint size in shingles that the other can have. Shingles that at most RARE sets hold are
 listed with their holders, whose pairs are formed there; all other pairs can have only the more common ones in common,
 so a set that was edited in many places meets few others.
@@ -23,8 +25,8 @@ Copies are one row from the start: sets are grouped by size and digest, and the
 
 Edge cases: null, empty and blank texts have an empty set, link with nothing and are kept; texts of fewer words than a
 shingle have their whole sequence as the only one; rows with one id count as one document with the sets of each; rows
-with a null id are left out, as nothing can refer to them; an empty table gives an empty result; only the id and the
-text are read.
+with a null id have a size, link with nothing (component null) and are kept, as nothing can refer to them; an empty
+table gives an empty result; only the id and the text are read.
 """
 
 from __future__ import annotations
@@ -41,7 +43,7 @@ from pyspark.sql import functions as F
 from .graph import components
 from .shared import WORD, documents, settle, sized, tidy, unused
 
-COORDINATES, MATCHES, SHINGLE, DRAWS, RARE = 64, 35, 4, 6, 16
+COORDINATES, MATCHES, SHINGLE, DRAWS, RARE = 64, 35, 5, 6, 16
 #: Ids are broadcast up to this number (8 MB); beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _WORD = re.compile(WORD)
@@ -244,30 +246,35 @@ def links(sets: DataFrame, rows: DataFrame, shingle: int = SHINGLE, matches: int
 
     left = _open(lists, components(first.union(second))).join(able, "doc_id")
     head = left.groupBy("key").agg(F.min_by("component", F.xxhash64("doc_id", "key")).alias("head"))
-    one, two = sides(settle(left.join(sets.select("doc_id", "signature"), "doc_id")), "signature")
+    posted = lists.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.shiftright("key", 32).cast("int"))).alias("posted"))
+    one, two = sides(settle(left.join(sets.select("doc_id", "signature"), "doc_id").join(posted, "doc_id")), "signature", "posted")
     each = one.join(head, "key").where("component_1 <> head").join(two, "key")
-    across = each.where(F.expr(f"{bound} and (component_2 = head or doc_id_1 < doc_id_2) and {_agreeing('signature_1', 'signature_2')} >= {matches}"))
-    third = confirmed(settle(across.select(F.col("doc_id_1").alias("a"), F.col("doc_id_2").alias("b")).distinct()), rows, shingle, percent=percent)
+    agree = "filter(array_intersect(posted_1, posted_2), i -> signature_1[i] = signature_2[i])"
+    here = f"shiftright(key, 32) = try_element_at({agree}, 1)"
+    across = each.where(F.expr(f"{bound} and (component_2 = head or doc_id_1 < doc_id_2) and {_agreeing('signature_1', 'signature_2')} >= {matches} and {here}"))
+    third = confirmed(settle(across.select(F.least("doc_id_1", "doc_id_2").alias("a"), F.greatest("doc_id_1", "doc_id_2").alias("b")).distinct()), rows, shingle, percent=percent)
     return settle(first.union(second).union(third))
 
 
 def near_duplicates(df: DataFrame, shingle: int = SHINGLE, percent: int = 80, coordinates: int = COORDINATES, matches: int = MATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Query op8: (doc_id, n_shingles, component_id, kept) of every document."""
-    rows = documents(df, id_col, text_col).where("doc_id is not null")
+    """(doc_id, n_shingles, component_id, kept) of every document."""
+    rows = documents(df, id_col, text_col)
     all_sets = settle(signatures(rows, shingle, coordinates))
+    rows = rows.where("doc_id is not null")
     key = ["n_shingles", "digest_a", "digest_b"]
-    classes = settle(all_sets.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("class_id")))
+    classes = settle(all_sets.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("class_id")))
     sets = all_sets.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n_shingles", "signature")
-    repeated = not all_sets.groupBy("doc_id").count().where("count > 1").isEmpty()
+    repeated = not all_sets.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
     sets = settle(sets.distinct() if repeated else sets)
     found = components(links(sets, rows, shingle, matches, percent, repeated))
     labelled = classes.join(found.withColumnRenamed("node", "class_id"), "class_id", "left").select(*key, F.coalesce("component", "class_id").alias("component"))
     each = all_sets.select("doc_id", *key).join(labelled, key, "left")
-    return each.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.col("component") == F.col("doc_id"), F.lit(True)).alias("kept"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return each.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("component") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def without_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_copies(df: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``df`` but for those that link to a document with a smaller id; rows with a null id stay."""
     copy = unused(df, "copy_id")
-    gone = settle(near_duplicates(df, id_col=id_col, text_col=text_col).where("not kept").select(F.col("doc_id").alias(copy)).distinct())
+    gone = settle(near_duplicates(df, shingle, id_col=id_col, text_col=text_col).where("not kept").select(F.col("doc_id").alias(copy)).distinct())
     return df.join(sized(gone, BROADCAST_IDS), F.col(id_col) == F.col(copy), "left_anti")

@@ -41,7 +41,7 @@ def op7_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,15 +56,16 @@ def sized(df: DataFrame, rows: int = 500_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-#: Rows of text that one Arrow batch holds, where the session leaves Spark's default of 10,000.
-BATCH_ROWS = 1000
+#: Rows and bytes of text that one Arrow batch holds, where the session leaves Spark's defaults.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Let whole texts travel to Python in small batches, as batches are bounded by rows and texts may be long."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, str(BATCH_ROWS))
+    """Let whole texts travel to Python in small batches, of few rows and, as texts may be long, of few bytes."""
+    for name, default, least in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", "67108864b", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(name, default) == default:
+            spark.conf.set(name, str(least))
 
 
 def give_back() -> None:

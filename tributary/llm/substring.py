@@ -7,15 +7,17 @@ Every word that a window covers which also starts in a document with a smaller i
 
 Scale: before anything is shuffled, windows that repeat within a task's batch are resolved there, so that a passage
 copied a million times leaves each task once. Buckets are as many as the text needs at ``BUCKET_CHARS`` each. Their
-payloads are compressed, about 1.5 times the input in all. Texts are shuffled once more, to meet their spans.
+payloads are compressed, about 1.5 times the input in all. Overlapping spans of a document are merged and written; they
+are broadcast to the texts while they are at most ``BROADCAST_SPANS`` (16 MB), and joined by the planner's choice beyond.
 
 Windows are compared by 64-bit fingerprints of their words, and equal fingerprints word by word; should two different
 windows share one, all are fingerprinted anew with another multiplier. The result does not depend on the order of
 minimisers, whose frequent pairs come from a sample of about ``SAMPLE_DOCUMENTS`` documents.
 
 Edge cases: null, empty and short texts have no window and stay whole; rows with one id count as one document, and each
-row is cleaned by the spans of all (give ids that are unique); rows with a null id are left out, as nothing can refer
-to them; an empty table gives an empty result; only the id and the text are read.
+row is cleaned by the spans of all (give ids that are unique); rows with a null id stay whole and take nothing from
+others, as they have no place in the order of ids; an empty table gives an empty result; only the id and the text are
+read.
 """
 
 from __future__ import annotations
@@ -32,11 +34,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WORD, documents, give_back, tidy, unused
+from .shared import WORD, documents, give_back, settle, tidy, unused
 
 WINDOW = 13
-BUCKET_CHARS = 6_000_000
-BATCH_CHARS = 3_000_000
+BUCKET_CHARS = 3_000_000
+BATCH_CHARS = 1_500_000
+BROADCAST_SPANS = 1_000_000
 SAMPLE_DOCUMENTS = 20_000
 FREQUENT_PAIRS = 4096
 _WORD = re.compile(WORD)
@@ -144,6 +147,7 @@ class Batch:
         done = np.array(_spans((starts - base[doc_of])[later], docs[later], window))
         starts, docs, doc_of = starts[~later], docs[~later], doc_of[~later]
         pairs = _pairs(hashes[ids])
+        del ids, hashes, later
         if len(self.frequent):
             at = np.minimum(np.searchsorted(self.frequent, pairs), len(self.frequent) - 1)
             pairs = np.where(self.frequent[at] == pairs, pairs | _LAST, pairs)
@@ -152,6 +156,7 @@ class Batch:
             step = min(width, window - 1 - width)
             least, width = np.minimum(least[:-step], least[step:]), width + step
         least = least[starts]
+        del pairs
         new = np.concatenate([[True], (starts[1:] != starts[:-1] + 1) | (least[1:] != least[:-1]) | (doc_of[1:] != doc_of[:-1])]) if len(starts) else np.zeros(0, dtype=bool)
         at = np.flatnonzero(new)
         ends = starts[np.concatenate([at[1:], [len(starts)]]).astype(np.int64) - 1] + window if len(at) else at
@@ -247,20 +252,25 @@ def _kept(words: list[str], starts: list[int], ends: list[int]) -> list[str]:
     return [w for w, gone in zip(words, np.cumsum(edge)[:-1].tolist(), strict=True) if not gone]
 
 
-def _with_spans(df: DataFrame, window: int, id_col: str, text_col: str) -> tuple[DataFrame, str, str, str]:
-    """``df`` with three more columns, and their names: id, starts and ends of its spans, null where nothing goes.
+#: SQL that merges sorted, overlapping spans ``s`` of structs (start, end).
+_MERGED = (
+    "aggregate(slice(s, 2, size(s)), slice(s, 1, 1), (m, x) -> if(x.start <= element_at(m, -1).end, "
+    "array_append(slice(m, 1, size(m) - 1), named_struct('start', element_at(m, -1).start, 'end', greatest(element_at(m, -1).end, x.end))), array_append(m, x)))"
+)
+
 
-    The smaller side is hashed, so texts are not sorted.
-    """
+def _with_spans(df: DataFrame, window: int, id_col: str, text_col: str) -> tuple[DataFrame, str, str, str]:
+    """``df`` with three more columns, and their names: id, starts and ends of its spans, null where nothing goes."""
     of, starts, ends = (unused(df, name) for name in ("span_of", "span_starts", "span_ends"))
-    found = spans(df, window, id_col, text_col).groupBy(F.col(id_col).alias(of))
-    gone = found.agg(F.collect_list("start").alias(starts), F.collect_list("end").alias(ends))
-    return df.join(gone.hint("shuffle_hash"), F.col(id_col) == F.col(of), "left"), of, starts, ends
+    found = spans(df, window, id_col, text_col).groupBy(F.col(id_col).alias(of)).agg(F.collect_list(F.struct("start", "end")).alias("s"))
+    gone = settle(found.select(of, F.array_sort("s").alias("s")).select(of, F.expr(_MERGED).alias("s")).select(of, F.col("s.start").alias(starts), F.col("s.end").alias(ends)))
+    size = gone.agg(F.count("*") + F.coalesce(F.sum(F.size(starts)), F.lit(0))).first()[0]
+    return df.join(F.broadcast(gone) if size <= BROADCAST_SPANS else gone, F.col(id_col) == F.col(of), "left"), of, starts, ends
 
 
 def cleaned(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, n_removed, text): the words that stay, joined by one space."""
-    source, _, starts, ends = _with_spans(documents(df, id_col, text_col, id_col).where(F.col(id_col).isNotNull()), window, id_col, "text")
+    source, _, starts, ends = _with_spans(documents(df, id_col, text_col, id_col), window, id_col, "text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -279,10 +289,11 @@ def cleaned(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_co
 def without_repeats(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` without the repeated words: texts that lose words become the rest, joined by one space; those that lose all go."""
 
-    @F.pandas_udf("string")
     def rest(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
         return pd.Series([" ".join(_kept(_WORD.findall(t), s, e)) if len(s) else t for t, s, e in zip(texts, starts, ends, strict=True)], dtype=object)
 
+    # Said to be nondeterministic, so that the filter on its result does not make it run twice.
+    rest = F.pandas_udf(rest, "string").asNondeterministic()
     joined, of, starts, ends = _with_spans(df, window, id_col, text_col)
     none = F.array().cast("array<long>")
     after = F.when(F.col(of).isNotNull(), rest(F.coalesce(F.col(text_col), F.lit("")), F.coalesce(starts, none), F.coalesce(ends, none))).otherwise(F.col(text_col))
