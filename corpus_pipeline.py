@@ -27,8 +27,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: the document with the smallest id of each group stays."""
-    return neardup.without_copies(docs)
+    """Operator 8 on shingles of five words: the document with the smallest id of each group stays."""
+    return neardup.without_copies(docs, shingle=5)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
