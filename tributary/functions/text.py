@@ -170,9 +170,3 @@ def plain_namespaces(xml: Column) -> Column:
 def address_of(*parts: Column) -> Column:
     """Parts joined by commas, missing ones empty."""
     return F.concat_ws(",", *(F.coalesce(p, F.lit("")) for p in parts))
-
-
-def token_counts(text: Column) -> Column:
-    """Map from each word to how often it occurs."""
-    words = F.filter(F.split(text, WORDS), lambda w: w != "")
-    return F.map_from_entries(F.transform(F.array_distinct(words), lambda w: F.struct(w, F.size(F.filter(words, lambda x: x == w)))))

@@ -28,11 +28,6 @@ def regrouped(rows: DataFrame, key: str, order: list[str], columns: dict[str, st
     return grouped.select(key, *(F.col("all.kept").getField(c).alias(name) for c, name in columns.items()))
 
 
-def keep_nulls(*values: str) -> Column:
-    """``array_agg`` as databases have it: null elements are kept."""
-    return F.transform(F.collect_list(F.struct(*values)), lambda r: r[values[0]])
-
-
 def joined_items(links: DataFrame, enumeration: DataFrame, link: str, key: str = "id") -> DataFrame:
     """Inner join of (contract_id, link) with an enumeration."""
     return links.join(enumeration, links[link] == enumeration[key]).drop(link)
@@ -112,10 +107,3 @@ def frequent(rows: DataFrame, value: str, more_than: int = 100) -> DataFrame:
 def batches(rows: DataFrame, order: list[str], size: int = 100) -> DataFrame:
     """Consecutive batches of a size, as a column."""
     return numbered(rows, "batch", order, 0).withColumn("batch", F.expr(f"batch div {size}"))
-
-
-def dense_histogram(rows: DataFrame, key: str, place: str, weight: str, width: int, length: str) -> DataFrame:
-    """(key, bin, weight) on every bin of ``width`` up to the row's length, also where nothing falls."""
-    grid = rows.groupBy(key).agg(F.max(length).alias("_length")).select(key, F.explode(F.expr(f"sequence(0L, greatest(cast((_length - 1) div {width} as long), 0L))")).alias("bin"))
-    summed = rows.where(F.col(place).isNotNull()).groupBy(key, F.expr(f"cast({place} div {width} as long)").alias("bin")).agg(F.sum(weight).alias("weight"))
-    return grid.join(summed, [key, "bin"], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
