@@ -32,7 +32,10 @@ def great_circle_km(lat_a: Column, lon_a: Column, lat_b: Column, lon_b: Column)
 
 @F.pandas_udf(DoubleType())
 def geodesic_km(lat_a: pd.Series, lon_a: pd.Series, lat_b: pd.Series, lon_b: pd.Series) -> pd.Series:
-    """On the ellipsoid, by Vincenty's inverse formula, whole batches at once; null where a point is null or the formula does not settle."""
+    """On the ellipsoid, by Vincenty's inverse formula, whole batches at once; null where a point is null.
+
+    Where the formula does not settle, which only nearly opposite points make it do, the great circle stands in (within 0.6 %).
+    """
     f, a = FLATTENING, AXIS_KM
     b = a * (1 - f)
     u1, u2 = (np.arctan((1 - f) * np.tan(np.radians(v.astype(float)))) for v in (lat_a, lat_b))
@@ -56,4 +59,6 @@ def geodesic_km(lat_a: pd.Series, lon_a: pd.Series, lat_b: pd.Series, lon_b: pd.
         big = 1 + k / 16384 * (4096 + k * (-768 + k * (320 - 175 * k)))
         small = k / 1024 * (256 + k * (-128 + k * (74 - 47 * k)))
         rest = small * sin_s * (mid + small / 4 * (cos_s * (2 * mid**2 - 1) - small / 6 * mid * (4 * sin_s**2 - 3) * (4 * mid**2 - 3)))
-        return pd.Series(np.where(done, b * big * (s - rest), np.nan), index=lat_a.index).astype(float).replace({np.nan: None})
+        half = np.sin(np.radians(lat_b.astype(float) - lat_a.astype(float)) / 2) ** 2 + np.cos(np.radians(lat_a.astype(float))) * np.cos(np.radians(lat_b.astype(float))) * np.sin(gap / 2) ** 2
+        circle = 2 * EARTH_KM * np.arcsin(np.sqrt(np.clip(half, 0, 1)))
+        return pd.Series(np.where(done, b * big * (s - rest), circle), index=lat_a.index).astype(float).replace({np.nan: None})

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -104,14 +106,17 @@ def cpv_codes(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"(^|[^\d])([\d]{8}-\d)($|[^\d])"), F.lit(2))
 
 
-def positions(text: Column, keyword: str, limit: int = 1002) -> Column:
+def positions(text: Column, keyword: str, limit: int | None = 1002) -> Column:
     """Starts (from 0) of a keyword's occurrences from the left, in either case: the parts between them give the places.
 
+    At most ``limit`` of them (a fixed value of the engine), all with None.
+
     The dotted capital I, the only character whose lower case is longer, becomes a plain i, so that places are the text's.
     """
     n = len(keyword)
     quoted = "\\Q" + keyword.lower() + "\\E"
-    parts = F.slice(F.split(F.lower(F.translate(text, "\u0130", "i")), quoted, -1), 1, limit + 1)
+    every = F.split(F.lower(F.translate(text, "\u0130", "i")), quoted, -1)
+    parts = every if limit is None else F.slice(every, 1, limit + 1)
     lengths = F.transform(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.length(p))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
     folded = F.aggregate(lengths, start, lambda s, p: F.struct((s["at"] + p + n).alias("at"), F.array_append(s["out"], s["at"] + p).alias("out")))
@@ -129,11 +134,24 @@ def letter_ratio(text: Column, letters: str = LOWER_LETTERS) -> Column:
     return F.coalesce(F.try_divide(kept, F.length(text)), F.lit(0.0))
 
 
+def _counts(text: str, bins: int) -> np.ndarray:
+    return np.bincount(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4") % bins, minlength=bins)
+
+
 def character_vector(text: Column, bins: int = 500) -> Column:
-    """Counts of code points modulo ``bins``; bin 0 holds the length besides."""
-    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c) % bins)
-    sizes = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda k: F.size(F.filter(codes, lambda c: c == k)))
-    return F.transform(sizes, lambda n, k: F.when(k == 0, n + F.length(text)).otherwise(n))
+    """Counts of code points modulo ``bins``; bin 0 holds the length besides. A text at a time in Arrow batches: 500 counts a text would be 500 scans."""
+
+    @F.pandas_udf("array<int>")
+    def vector(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: _counts(t, bins) + np.where(np.arange(bins) == 0, len(t), 0))
+
+    return vector(F.coalesce(text, F.lit("")))
+
+
+def ignore_mask(letters: str, bins: int = 500) -> Column:
+    """1 for each bin that none of the ignored letters falls into, else 0. Bin 0, which counts the length, is ignored with any letter."""
+    used = _counts(letters, bins) + np.where(np.arange(bins) == 0, len(letters), 0)
+    return F.lit(np.where(used == 0, 1, 0).tolist()).cast("array<int>")
 
 
 def merged_documents(docs: Column) -> Column:

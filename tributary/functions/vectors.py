@@ -36,3 +36,9 @@ def usable(a: Column) -> Column:
     """Neither null, empty, all zero, nor with a NaN or null."""
     sound = F.exists(a, lambda x: x != 0) & ~F.exists(a, lambda x: F.isnan(x) | x.isNull())
     return F.coalesce(sound, F.lit(False))
+
+
+def hashed_embedding(text: Column, dims: int = 300, seed: int = 0) -> Column:
+    """A vector of numbers from 0 to 1 that stands for no meaning: equal texts have equal vectors, on any machine."""
+    number = lambda i: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), i, F.coalesce(text, F.lit("")))), 1, 8), 16, 10).cast("double") / 4294967296
+    return F.transform(F.sequence(F.lit(1), F.lit(dims)), number)

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -30,32 +31,48 @@ KEYWORDS = {
 }
 #: Characters of a context, bins to a context, contexts to a document, and how far a context may reach.
 RANGE, BINS, CONTEXTS, REACH = 2040, 3, 10, 3
+#: Words that headings and lists of goods have.
+ARTICLE, NAME, GOODS, TOPICS = "článek", "název", "Zboží", ("cena", "doba", "místo")
+#: Characters of a block of text, and of those before and after it that belong to it as well.
+_BLOCK, _BEHIND, _AHEAD = 512, 32, 160
+
+
+def _blocks(text: Column) -> Column:
+    """The text in overlapping blocks, so that what stands around a place is cut out of a block, not of the whole text."""
+    return F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / _BLOCK).cast("int")), lambda k: F.substring(text, F.greatest(k * _BLOCK - _BEHIND, F.lit(0)) + 1, F.lit(_BEHIND + _BLOCK + _AHEAD)))
 
 
 def occurrences(docs: DataFrame, keywords: dict[str, float] = KEYWORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, keyword, occ, rat) of every occurrence of a keyword, in either case.
 
-    A rating is the keyword's weight times a coefficient that signs of a heading or of a defining sentence raise.
+    A rating is the keyword's weight times a coefficient that signs of a heading or of a defining sentence raise. Rows
+    of occurrences carry the few characters around them, not the text.
     """
-    found = F.array(*(F.struct(F.lit(k).alias("keyword"), F.lit(float(w)).alias("weight"), T.positions(F.col(text), k).alias("at")) for k, w in keywords.items()))
-    each = docs.select(key, F.col(text).alias("_text"), F.explode(found).alias("k")).select(key, "_text", "k.keyword", "k.weight", F.explode("k.at").alias("occ"))
-    body, occ, n = F.col("_text"), F.col("occ"), F.length("keyword")
-    ahead = lambda size: F.substring(body, occ + 1, size)
-    behind = F.substring(body, F.greatest(occ - 20, F.lit(0)) + 1, F.least(occ, F.lit(20)))
+
+    def around(at: Column, blocks: Column) -> Column:
+        return F.transform(at, lambda p: F.struct(p.alias("occ"), F.get(blocks, F.floor(p / _BLOCK).cast("int")).alias("block"), F.least(p, p % _BLOCK + F.when(p >= _BLOCK, _BEHIND).otherwise(0)).cast("int").alias("off")))
+
+    blocked = docs.select(key, F.col(text).alias("_text"), _blocks(F.col(text)).alias("_blocks"))
+    cut = lambda hits: F.transform(hits, lambda h: F.struct(h["occ"].alias("occ"), F.substring(h["block"], F.greatest(h["off"] - 20, F.lit(0)) + 1, F.least(h["off"], F.lit(20))).alias("behind"), F.substring(h["block"], h["off"] + 1, F.lit(_AHEAD)).alias("ahead")))
+    found = F.array(*(F.struct(F.lit(k).alias("keyword"), F.lit(float(w)).alias("weight"), cut(around(T.positions(F.col("_text"), k), F.col("_blocks"))).alias("hits")) for k, w in keywords.items()))
+    each = blocked.select(key, F.explode(found).alias("k")).select(key, "k.keyword", "k.weight", F.explode("k.hits").alias("h")).select(key, "keyword", "weight", "h.occ", "h.behind", "h.ahead")
+    behind, n = F.col("behind"), F.length("keyword")
+    ahead = lambda size: F.substring(F.col("ahead"), F.lit(1), size)
     plus = lambda condition, by: F.when(condition, by).otherwise(0.0)
+    alone = ((behind == "") | F.endswith(behind, F.lit("\n"))) & F.substring(F.col("ahead"), n + 1, F.lit(1)).isin("", "\n")
     coefficient = (
         F.lit(1.0)
-        + plus(F.lower(T.line_at(body, occ)) == F.lower("keyword"), 2.0)
+        + plus(alone, 2.0)
         + plus(ahead(n) == F.col("keyword"), 1.5)
         + plus(ahead(n) == F.upper("keyword"), 1.5)
         + plus(F.contains(ahead(n * 3), F.lit("\n")), 2.0)
         + plus(behind.rlike("\n[ ]*[0-9]"), 2.0)
         + plus(F.contains(ahead(n * 2), F.lit(" je ")), 2.0)
-        + plus(F.contains(F.lower(behind), F.lit("článek")), 2.0)
+        + plus(F.contains(F.lower(behind), F.lit(ARTICLE)), 2.0)
         + plus(F.length(behind) - F.length(F.replace(behind, F.lit("I"), F.lit(""))) > 1, 2.0)
-        + T.letter_ratio(F.substring(body, occ + 51, F.lit(50)))
+        + T.letter_ratio(F.substring("ahead", 51, 50))
     )
-    halved = F.when(F.contains(ahead(F.lit(150)), F.lit("Zboží")), 0.5).otherwise(1.0)
+    halved = F.when(F.contains(ahead(F.lit(150)), F.lit(GOODS)), 0.5).otherwise(1.0)
     return each.select(key, "keyword", "occ", (F.col("weight") * coefficient * halved).alias("rat"))
 
 
@@ -93,9 +110,9 @@ def fixed_contexts(docs: DataFrame, found: DataFrame, key: str = "doc_id", text:
 
 def refined_starts(docs: DataFrame, found: DataFrame, keywords: dict[str, float] = KEYWORDS, key: str = "doc_id", text: str = "text", span: int = RANGE, contexts: int = CONTEXTS) -> DataFrame:
     """(key, start): of the ``contexts`` best starts each moves to its best occurrence inside its window; equal ones are one."""
-    few = top_k(found, F.col("score").desc(), contexts, [key], ["start"])
+    few = top_k(found, F.round("score", 9).desc(), contexts, [key], ["start"])
     windows = fixed_contexts(docs, few, key, text, span).withColumn("_window", F.struct(key, "start"))
-    best = occurrences(windows.select("_window", F.col("context").alias("text")), keywords, "_window").groupBy("_window").agg(F.min_by("occ", F.struct((-F.col("rat")).alias("r"), "occ")).alias("occ"))
+    best = occurrences(windows.select("_window", F.col("context").alias("text")), keywords, "_window").groupBy("_window").agg(F.min_by("occ", F.struct((-F.round("rat", 9)).alias("r"), "occ")).alias("occ"))
     return windows.select("_window").join(best, "_window", "left").select(F.col(f"_window.{key}").alias(key), (F.col("_window.start") + F.coalesce("occ", F.lit(0))).alias("start")).distinct()
 
 
@@ -104,78 +121,93 @@ def _line(text: str, at: int) -> str:
     return text[text.rfind("\n", 0, at) + 1 : len(text) if end < 0 else end]
 
 
-#: Patterns of numbered, Roman and capital headings.
-_NUMBERED, _ROMAN, _CAPITALS = re.compile("\n[ \t]*(\\d+)[^/]"), re.compile(r"\s(?=[XVI])(X{0,3})(I[XV]|V?I{0,3})[\s\W]+"), "[A-ZĚŠČŘŽÝÁÍÉÚŮŇŤÓĎ ]{4,}"
-_SHORT, _NEAR = 50, 50
-Found = Iterator[int]
-
+#: Patterns of numbered, Roman and capital headings, and of quotation marks.
+_NUMBERED, _NUMBER_BEFORE = re.compile("\n[ \t]*\\d+[^/]"), re.compile("\n[ \t]*(\\d+)(?:(?=[^/])|(?<=\\d\\d))")
+_ROMAN, _CAPITALS = re.compile(r"\s(?=[XVI])(X{0,3})(I[XV]|V?I{0,3})[\s\W]+"), re.compile("[A-ZĚŠČŘŽÝÁÍÉÚŮŇŤÓĎ ]{4,}")
+_OPENING, _CLOSING = re.compile('[„"]'), re.compile('["“]')
+#: Characters of a short line and of one that goes on, and how near a trigger must be.
+_SHORT, _LONG, _NEAR = 50, 30, 50
 
-def _numbered(text: str, start: int, end: int) -> Found:
-    """The heading with the next number or the one after it."""
-    before = [int(m[1]) for m in _NUMBERED.finditer(text[max(start - _NEAR, 0) : start])]
-    if before:
-        for m in _NUMBERED.finditer(text[start:end]):
-            at = start + m.start()
-            number = re.search(r"\d+", text[at : at + 10])
-            line = _line(text, at + 1)
-            if number and before[-1] < int(number[0]) < before[-1] + 3 and len(line) < _SHORT and len(re.findall(r"\d", line)) <= 5:
-                yield at
 
+def _any_case(word: str) -> re.Pattern:
+    return re.compile(word, re.IGNORECASE)
 
-def _roman(text: str, start: int, end: int) -> Found:
-    if _ROMAN.search(text[max(start - _NEAR, 0) : start]):
-        yield from (start + m.start() for m in _ROMAN.finditer(text[start:end]) if len(_line(text, start + m.start() + 1)) < _SHORT)
 
+def _heading(line: str) -> bool:
+    m = _CAPITALS.search(line)
+    return bool(m) and len(m[0]) > len(line) / 2
 
-def _article(text: str, start: int, end: int) -> Found:
-    if "článek" in text[max(start - _NEAR, 0) : start].lower():
-        yield from (start + m.start() for m in re.finditer("článek", text[start:end].lower()) if len(_line(text, start + m.start())) < _SHORT)
 
+def _next_number(text: str, at: int, trigger: re.Match) -> bool:
+    """A short line of few digits whose number is the trigger's next or the one after."""
+    number, line = re.search(r"\d+", text[at : at + 10]), _line(text, at + 1)
+    return bool(number) and 0 < int(number[0]) - int(trigger[1]) < 3 and len(line) < _SHORT and len(re.findall(r"\d", line)) <= 5
 
-def _heading(line: str) -> bool:
-    m = re.search(_CAPITALS, line)
-    return bool(m) and len(m[0]) > len(line) / 2
 
+@dataclass(frozen=True)
+class EndRule:
+    """Where a context may end: at the first match of ``mark`` that ``accepts`` says yes to, from ``start`` on or from the trigger's place
+    (``after_trigger``), if ``trigger`` (its last match) stands within ``behind`` and ``ahead`` characters of the start."""
 
-def _capitals(text: str, start: int, end: int) -> Found:
-    line = _line(text, start)
-    if _heading(line):
-        after = start + len(line)
-        yield from (after + m.start() for m in re.finditer(_CAPITALS.lower(), text[after:end].lower()) if _heading(_line(text, after + m.start())))
+    name: str
+    mark: re.Pattern
+    accepts: Callable[[str, int, re.Match | None], bool]
+    trigger: re.Pattern | None = None
+    behind: int = 0
+    ahead: int = 0
+    after_trigger: bool = False
+    shift: int = 0
 
+    def find(self, text: str, start: int, end: int) -> int:
+        """The place, or 0."""
+        said, begin = None, start
+        if self.trigger is not None:
+            low = max(start - self.behind, 0)
+            found = list(self.trigger.finditer(text[low : start + self.ahead]))
+            if not found:
+                return 0
+            said = found[0] if self.after_trigger else found[-1]
+            begin = low + said.start() if self.after_trigger else start
+        places = (begin + m.start() for m in self.mark.finditer(text[begin:end]))
+        return next((at + self.shift for at in places if self.accepts(text, at, said)), 0)
 
-def _named(text: str, start: int, end: int) -> Found:
-    if "název" in text[max(start - _NEAR, 0) : start + _NEAR].lower():
-        yield from (start + m.start() for m in re.finditer("\n", text[start:end]) if len(_line(text, start + m.start())) > 30)
 
+@dataclass(frozen=True)
+class CapitalsRule(EndRule):
+    """A heading in capitals ends at the next one."""
 
-def _quoted(text: str, start: int, end: int) -> Found:
-    opening = re.search('[„"]', text[start : start + _NEAR])
-    if opening:
-        closing = re.search('["“]', text[start + opening.start() : end])
-        if closing:
-            yield start + opening.start() + closing.start() + 1
+    def find(self, text: str, start: int, end: int) -> int:
+        line = _line(text, start)
+        return EndRule.find(self, text, start + len(line), end) if _heading(line) else 0
 
 
-def _next_topic(text: str, start: int, end: int) -> Found:
-    for word in ("cena", "doba", "místo"):
-        yield from (start + m.start() for m in re.finditer(word, text[start:end].lower()) if len(_line(text, start + m.start())) < _SHORT)
+def _short_line(shift: int) -> Callable[[str, int, re.Match | None], bool]:
+    return lambda text, at, _: len(_line(text, at + shift)) < _SHORT
 
 
 #: In this order the first that finds an end decides.
-END_RULES: tuple[Callable[[str, int, int], Found], ...] = (_numbered, _roman, _article, _capitals, _named, _quoted, _next_topic)
+END_RULES: tuple[EndRule, ...] = (
+    EndRule("numbered", _NUMBERED, _next_number, _NUMBER_BEFORE, behind=_NEAR),
+    EndRule("roman", _ROMAN, _short_line(1), _ROMAN, behind=_NEAR),
+    EndRule("article", _any_case(ARTICLE), _short_line(0), _any_case(ARTICLE), behind=_NEAR),
+    CapitalsRule("capitals", re.compile(_CAPITALS.pattern, re.IGNORECASE), lambda text, at, _: _heading(_line(text, at))),
+    EndRule("named", re.compile("\n"), lambda text, at, _: len(_line(text, at)) > _LONG, _any_case(NAME), behind=_NEAR, ahead=_NEAR),
+    EndRule("quoted", _CLOSING, lambda *_: True, _OPENING, ahead=_NEAR, after_trigger=True, shift=1),
+    *(EndRule(f"topic {word}", _any_case(word), _short_line(0)) for word in TOPICS),
+)
+
+
+def reach_end(text: str, start: int, span: int = RANGE, reach: int = REACH) -> int:
+    """Where a context ends at the latest: at the next file's header, or after ``reach`` spans."""
+    end = min(start + span * reach, len(text))
+    mark = _any_case("<FILE").search(text[start:end])
+    return start + mark.start() if mark else end
 
 
 def context_end(text: str, start: int, span: int = RANGE, reach: int = REACH) -> int:
-    """Where the context that starts at ``start`` ends: the first rule's first finding, else the next file or the reach."""
-    end = min(start + span * reach, len(text))
-    mark = text[start:end].lower().find("<file")
-    end = start + mark if mark >= 0 else end
-    for rule in END_RULES:
-        found = next(rule(text, start, end), 0)
-        if found:
-            return found
-    return end
+    """Where the context that starts at ``start`` ends: what the first rule with a finding says, else ``reach_end``."""
+    end = reach_end(text, start, span, reach)
+    return next(filter(None, (rule.find(text, start, end) for rule in END_RULES)), end)
 
 
 @F.pandas_udf(IntegerType())

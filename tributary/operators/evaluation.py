@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import vectors as V
+from . import relational
 
 
 def tokens(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -69,3 +71,58 @@ def dictionary(rows: DataFrame, text: str, least: int = 1) -> DataFrame:
     """(word, n) of words that occur at least a number of times."""
     words = F.filter(F.split(F.col(text), T.WORDS), lambda w: w != "")
     return rows.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+
+def validated(found: DataFrame, references: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, score): multiset Jaccard of each found text with its reference; 0 without common words."""
+    pairs = found.join(references.select(key), key, "left_semi").select(F.col(key).alias("a"), F.col(key).alias("b"))
+    side = lambda rows, name: tokens(rows.select(F.col(key).alias(name), F.col(text).alias("text")), name)
+    return overlap(pairs, side(found, "a"), side(references, "b")).select(F.col("a").alias(key), jaccard(F.col("common"), F.col("either")).alias("score"))
+
+
+def similarity_matrix(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(a, b, similarity) of every pair of an evaluation's texts, their own included, by multiset Jaccard.
+
+    Common words are counted by a join on words; the pairs themselves are the result, so give it a set whose square is wanted.
+    """
+    ids = rows.select(F.col(key).alias("a"))
+    words = tokens(rows.select(F.col(key).alias("a"), F.col(text).alias("text")), "a")
+    pairs = ids.join(ids.withColumnRenamed("a", "b"))
+    return overlap(pairs, words, words.withColumnRenamed("a", "b")).select("a", "b", jaccard(F.col("common"), F.col("either")).alias("similarity"))
+
+
+def sts(pairs: DataFrame, vectors_of: DataFrame, key: str, dims: int) -> DataFrame:
+    """(name, pearson, spearman, n) of pairs (key, name, a, b, score): cosine similarity of mean word vectors against the score, by dataset."""
+    mean = lambda c: word_means(pairs.select(key, F.col(c).alias("text")), vectors_of, key, "text", dims).withColumnRenamed("vector", f"vector_{c}")
+    both = pairs.join(mean("a"), key).join(mean("b"), key)
+    scored = both.select("name", (1 - V.cosine_distance(F.col("vector_a"), F.col("vector_b"), V.norm(F.col("vector_a")), V.norm(F.col("vector_b")))).alias("similarity"), "score")
+    return correlations(scored, "name", "similarity", "score")
+
+
+def matched_well(matches: DataFrame, text: str, diff: str, lines: float = 0.25, most: float = 0.1) -> DataFrame:
+    """Matches whose text has not too many line breaks for its length, and whose difference is small for it."""
+    size, breaks = F.length(text), F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit("")))
+    return matches.where((breaks / (size + 1) <= lines) & (F.try_divide(F.col(diff), size) < most))
+
+
+def aggregated_matches(matches: DataFrame, path: str) -> DataFrame:
+    """Matches with the name of the document, the last part of its path, and of the contract, the second to fourth."""
+    parts = F.split(path, "/")
+    return matches.withColumn("doc_name", F.element_at(parts, -1)).withColumn("contr_name", F.array_join(F.slice(parts, 2, 3), "/"))
+
+
+def contract_texts(docs: DataFrame) -> DataFrame:
+    """(contr_name, id, text) of documents (contr_name, doc_name, contr_id, text): texts behind banners in order of names, and
+    the id that most documents have, of equals the first one's."""
+    banner = "=" * 23
+    listed = docs.groupBy("contr_name").agg(F.sort_array(F.collect_list(F.struct("doc_name", "text"))).alias("all"))
+    text = F.array_join(F.transform("all", lambda d: F.concat(F.lit(banner), d["doc_name"].cast("string"), F.lit(banner + "\n"), d["text"])), "")
+    ids = relational.most_frequent(docs, "contr_name", "contr_id", "doc_name").withColumnRenamed("contr_id", "id")
+    return listed.select("contr_name", text.alias("text")).join(ids, "contr_name")
+
+
+def concordances(docs: DataFrame, keywords: list[str], key: str = "doc_id", text: str = "text", around: int = 50) -> DataFrame:
+    """(key, keyword, at, context): every place of every keyword, in either case, with the characters around it."""
+    found = F.array(*(F.struct(F.lit(k).alias("keyword"), T.positions(F.col(text), k, None).alias("places")) for k in keywords))
+    cut = lambda k: F.transform(k["places"], lambda p: F.struct(k["keyword"].alias("keyword"), p.alias("at"), F.substring(F.col(text), F.greatest(p - around, F.lit(0)) + 1, F.least(p, F.lit(around)) + F.length(k["keyword"]) + around).alias("context")))
+    return docs.select(key, F.explode(F.flatten(F.transform(found, cut))).alias("h")).select(key, "h.keyword", "h.at", "h.context")

@@ -18,10 +18,18 @@ from ..functions import geo, vectors
 QUERY_ROWS = 20_000
 
 
-def top_k(df: DataFrame, by: Column, k: int, partition: list[str], ties: list[str], rank: str = "rank") -> DataFrame:
-    """The first k rows of each partition in the order of ``by`` (give it with asc or desc), then of ``ties``; null and NaN never come."""
+def top_k(df: DataFrame, by: Column, k: int | None, partition: list[str], ties: list[str], rank: str = "rank") -> DataFrame:
+    """The first k rows of each partition in the order of ``by`` (give it with asc or desc), then of ``ties``; all with k None.
+
+    Rows whose value is null or NaN never come: callers leave them out (``usable``) before.
+    """
     order = Window.partitionBy(*partition).orderBy(by, *ties)
-    return df.withColumn(rank, F.row_number().over(order)).where(F.col(rank) <= k)
+    ranked = df.withColumn(rank, F.row_number().over(order))
+    return ranked if k is None else ranked.where(F.col(rank) <= k)
+
+
+def usable(df: DataFrame, value: str) -> DataFrame:
+    return df.where(F.col(value).isNotNull() & ~F.isnan(value))
 
 
 def in_blocks(queries: DataFrame, key: list[str], run: Callable[[DataFrame], DataFrame], rows: int = QUERY_ROWS) -> DataFrame:
@@ -61,7 +69,7 @@ def vector_distances(items: DataFrame, queries: DataFrame, distance: str = "cosi
     return pairs.where(~F.isnan("distance"))
 
 
-def nearest_items(items: DataFrame, queries: DataFrame, k: int = 1, distance: str = "cosine", item_key: tuple[str, ...] = ("contract_id", "pos"), query_key: tuple[str, ...] = ("query_id", "query_pos")) -> DataFrame:
+def nearest_items(items: DataFrame, queries: DataFrame, k: int | None = 1, distance: str = "cosine", item_key: tuple[str, ...] = ("contract_id", "pos"), query_key: tuple[str, ...] = ("query_id", "query_pos")) -> DataFrame:
     """The k nearest items of every query vector, ascending; equal distances go by the item's key."""
     pairs = vector_distances(items, queries, distance, item_key, query_key)
     return top_k(pairs, F.round("distance", 9).asc(), k, [*query_key], [*item_key])
@@ -78,17 +86,23 @@ def nearest_items_block(items: DataFrame, queries: DataFrame, k: int = 1) -> Dat
 
         def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys, q = sent.value
+            if not len(keys):
+                return
             q = q / np.linalg.norm(q, axis=1, keepdims=True)
-            kept: list[tuple] = []
+            # The k best so far of each query, in rows: rounded and whole distance, contract, position.
+            near, whole, ids, at = (np.zeros((len(keys), 0), dtype=t) for t in (float, float, np.int64, np.int64))
             for batch in batches:
-                if batch.num_rows and len(keys):
-                    ids, pos = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
-                    v = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-                    d = 1 - (v / np.linalg.norm(v, axis=1, keepdims=True)) @ q.T
-                    for j in range(len(keys)):
-                        order = np.lexsort((pos, ids, np.round(d[:, j], 9)))[:k]
-                        kept += [(*keys[j], int(ids[i]), int(pos[i]), float(d[i, j])) for i in order]
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in kept], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "query_pos", "contract_id", "pos", "distance"])
+                if not batch.num_rows:
+                    continue
+                v = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                d = 1 - q @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T
+                fresh = [np.tile(batch.column(c).to_numpy(zero_copy_only=False), (len(keys), 1)) for c in (0, 1)]
+                near, whole, ids, at = (np.hstack(x) for x in ((near, np.round(d, 9)), (whole, d), (ids, fresh[0]), (at, fresh[1])))
+                order = np.lexsort((at, ids, near), axis=1)[:, :k]
+                near, whole, ids, at = (np.take_along_axis(x, order, axis=1) for x in (near, whole, ids, at))
+            n = near.shape[1]
+            mine = np.repeat(np.array(keys, dtype=np.int64), n, axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (mine[:, 0].copy(), mine[:, 1].copy(), ids.ravel(), at.ravel(), whole.ravel())], names=["query_id", "query_pos", "contract_id", "pos", "distance"])
 
         source = items.where(vectors.usable(F.col("embedding"))).select("contract_id", F.col("pos").cast("long").alias("pos"), "embedding")
         return source.mapInArrow(best, "query_id long, query_pos long, contract_id long, pos long, distance double")
@@ -107,7 +121,7 @@ def location_distances(places: DataFrame, queries: DataFrame, kind: str = "plana
 
 
 def nearest_places(places: DataFrame, queries: DataFrame, k: int = 1, kind: str = "planar") -> DataFrame:
-    pairs = location_distances(places, queries, kind)
+    pairs = usable(location_distances(places, queries, kind), "distance")
     return top_k(pairs, F.round("distance", 9).asc(), k, ["query_id"], ["contract_id"])
 
 

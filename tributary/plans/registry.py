@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import relational_queries, similarity_queries, text_queries
+from . import engine_queries, extraction_queries, relational_queries, similarity_queries, storage_queries, text_queries, tree_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (similarity_queries, relational_queries, text_queries)
+_MODULES = (similarity_queries, engine_queries, relational_queries, storage_queries, text_queries, extraction_queries, tree_queries)
 
 
 def queries() -> dict[str, Query]:

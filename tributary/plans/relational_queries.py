@@ -107,9 +107,10 @@ def interest_items(spark: SparkSession, sf: str) -> DataFrame:
     return relational.regrouped(table(spark, sf, "events").where("value > 90"), "user_id", ["event_id"], {"event_type": "items"})
 
 
-@query("op_a14_processed_documents", with_roles("contract_doc") + "select contract_id, list(doc_id order by doc_id) as ids, list(length(text) order by doc_id) as sizes from contract_doc where doc_id % 7 <> 0 group by 1")
+@query("op_a14_processed_documents", with_roles("contract_doc") + "select contract_id, list(doc_id order by doc_id) as ids, list(length(text) order by doc_id) as sizes from contract_doc where doc_id in (select doc_id from labels) group by 1")
 def processed_documents(spark: SparkSession, sf: str) -> DataFrame:
-    grouped = relational.regrouped(roles.contract_doc(spark, sf).where("doc_id % 7 <> 0"), "contract_id", ["doc_id"], {"doc_id": "ids", "text": "texts"})
+    done = table(spark, sf, "labels").select("doc_id")
+    grouped = relational.regrouped(roles.contract_doc(spark, sf).join(done, "doc_id", "left_semi"), "contract_id", ["doc_id"], {"doc_id": "ids", "text": "texts"})
     return grouped.select("contract_id", "ids", F.transform("texts", lambda t: F.length(t).cast("long")).alias("sizes"))
 
 
@@ -143,10 +144,10 @@ def array_to_rows(spark: SparkSession, sf: str) -> DataFrame:
     return grouped.select("o_custkey", F.posexplode("items").alias("pos", "item"))
 
 
-@query("op_b2_known_codes_only", with_roles("cpv") + "select l_orderkey as contract_id, id as cpv_id from lineitem join cpv on id = l_partkey and l_partkey % 2 = 0")
+@query("op_b2_known_codes_only", with_roles("cpv") + "select o_orderkey as contract_id, id as cpv_id from orders join cpv on id = o_orderkey")
 def known_codes_only(spark: SparkSession, sf: str) -> DataFrame:
-    known = roles.cpv(spark, sf).where("id % 2 = 0")
-    found = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("contract_id"), F.col("l_partkey").alias("id")).join(known, "id")
+    """Most orders name a code that no part has."""
+    found = table(spark, sf, "orders").select(F.col("o_orderkey").alias("contract_id"), F.col("o_orderkey").alias("id")).join(roles.cpv(spark, sf), "id")
     return found.select("contract_id", F.col("id").alias("cpv_id"))
 
 
@@ -155,10 +156,11 @@ def generated_keys(spark: SparkSession, sf: str) -> DataFrame:
     return relational.numbered(table(spark, sf, "customer").select("c_custkey", "c_mktsegment"), "user_id", ["c_mktsegment", "c_custkey"]).select("c_custkey", F.col("user_id").cast("long").alias("user_id"))
 
 
-@query("op_b6_update_columns", "select s_suppkey, coalesce(c_name, s_name) as s_name, coalesce(c_acctbal, s_acctbal) as s_acctbal from supplier left join customer on c_custkey = s_suppkey and c_custkey % 3 = 0")
+@query("op_b6_update_columns", "select c_custkey, coalesce(s_name, c_name) as c_name, coalesce(s_acctbal, c_acctbal) as c_acctbal from customer left join supplier on c_custkey = s_suppkey")
 def update_columns(spark: SparkSession, sf: str) -> DataFrame:
-    changes = table(spark, sf, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("s_suppkey"), F.col("c_name").alias("s_name"), F.col("c_acctbal").alias("s_acctbal"))
-    return relational.updated(table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_acctbal"), changes, "s_suppkey", ["s_name", "s_acctbal"])
+    """There are more customers than suppliers, so most rows have no change."""
+    changes = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("c_custkey"), F.col("s_name").alias("c_name"), F.col("s_acctbal").alias("c_acctbal"))
+    return relational.updated(table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal"), changes, "c_custkey", ["c_name", "c_acctbal"])
 
 
 @query("op_e9_most_frequent_value", "select l_suppkey, arg_min(l_returnflag, (-n, first)) as l_returnflag from (select l_suppkey, l_returnflag, count(*) as n, min(l_orderkey * 10 + l_linenumber) as first from lineitem group by 1, 2) group by 1")
@@ -244,10 +246,10 @@ def batches(spark: SparkSession, sf: str) -> DataFrame:
     return relational.batches(table(spark, sf, "customer").select("c_custkey"), ["c_custkey"]).select("c_custkey", F.col("batch").cast("long").alias("batch"))
 
 
-@query("op_g1_outer_merge_items", "select k as contract_id, list_concat(coalesce(a, []), coalesce(b, [])) as items from (select coalesce(x.o_custkey, y.c_custkey) as k, a, b from (select o_custkey, list(o_orderkey order by o_orderkey) as a from orders where o_orderkey % 3 = 0 group by 1) x full join (select c_custkey, list(c_nationkey::bigint) as b from customer where c_custkey % 2 = 0 group by 1) y on x.o_custkey = y.c_custkey)")
+@query("op_g1_outer_merge_items", "select k as contract_id, list_concat(coalesce(a, []), coalesce(b, [])) as items from (select coalesce(x.o_custkey, y.user_id) as k, a, b from (select o_custkey, list(o_orderkey order by o_orderkey) as a from orders where o_orderstatus = 'F' group by 1) x full join (select user_id, list(event_id order by event_id) as b from events where event_type = 'purchase' group by 1) y on x.o_custkey = y.user_id)")
 def outer_merge(spark: SparkSession, sf: str) -> DataFrame:
-    own = relational.regrouped(table(spark, sf, "orders").where("o_orderkey % 3 = 0").withColumnRenamed("o_custkey", "contract_id"), "contract_id", ["o_orderkey"], {"o_orderkey": "items"})
-    more = table(spark, sf, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("contract_id"), F.array(F.col("c_nationkey").cast("long")).alias("items"))
+    own = relational.regrouped(table(spark, sf, "orders").where("o_orderstatus = 'F'").withColumnRenamed("o_custkey", "contract_id"), "contract_id", ["o_orderkey"], {"o_orderkey": "items"})
+    more = relational.regrouped(table(spark, sf, "events").where("event_type = 'purchase'").withColumnRenamed("user_id", "contract_id"), "contract_id", ["event_id"], {"event_id": "items"})
     return relational.merged_items(own, more)
 
 

@@ -15,15 +15,15 @@ def ref_item(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_item(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").where("vec_id < 20").select(F.expr("vec_id div 2").alias("query_id"), F.expr("vec_id % 2").alias("query_pos"), F.col("embedding").cast("array<double>").alias("embedding"))
+    return table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.expr("vec_id div 100").alias("query_id"), F.expr("(vec_id div 50) % 2").alias("query_pos"), F.col("embedding").cast("array<double>").alias("embedding"))
 
 
 def entity_item(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("contract_id"), F.col("vec_id").alias("pos"), F.col("embedding").cast("array<double>").alias("embedding"))
 
 
-def _place(rows: DataFrame, key: str, name: str) -> DataFrame:
-    return rows.select(F.col(key).alias(name), F.expr(f"48.55D + (({key} * 37) % 250) / 100D").alias("lat"), F.expr(f"12.10D + (({key} * 53) % 670) / 100D").alias("lon"))
+def _place(rows: DataFrame, key: str, name: str, north: int = 37, east: int = 53) -> DataFrame:
+    return rows.select(F.expr(key).alias(name), F.expr(f"48.55D + (({key} * {north}) % 250) / 100D").alias("lat"), F.expr(f"12.10D + (({key} * {east}) % 670) / 100D").alias("lon"))
 
 
 def location(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +31,8 @@ def location(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_location(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _place(table(spark, sf_dir, "supplier").where("s_suppkey <= 10"), "s_suppkey", "query_id")
+    """Every fiftieth customer is a query, from another place than its own."""
+    return _place(table(spark, sf_dir, "customer").where("c_custkey % 50 = 0"), "(c_custkey div 50)", "query_id", 41, 59)
 
 
 def cpv(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,10 +47,10 @@ def contract_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same in DuckDB's SQL; queries that join them start with WITH and the ones they need.
 SQL = {
     "ref_item": "ref_item as (select vec_id // 5 as contract_id, vec_id % 5 as pos, embedding::double[] as embedding from embeddings)",
-    "query_item": "query_item as (select vec_id // 2 as query_id, vec_id % 2 as query_pos, embedding::double[] as embedding from embeddings where vec_id < 20)",
+    "query_item": "query_item as (select vec_id // 100 as query_id, (vec_id // 50) % 2 as query_pos, embedding::double[] as embedding from embeddings where vec_id % 50 = 0)",
     "entity_item": "entity_item as (select label::bigint as contract_id, vec_id as pos, embedding::double[] as embedding from embeddings)",
     "location": "location as (select c_custkey as contract_id, 48.55::double + ((c_custkey * 37) % 250) / 100.0::double as lat, 12.10::double + ((c_custkey * 53) % 670) / 100.0::double as lon from customer)",
-    "query_location": "query_location as (select s_suppkey as query_id, 48.55::double + ((s_suppkey * 37) % 250) / 100.0::double as lat, 12.10::double + ((s_suppkey * 53) % 670) / 100.0::double as lon from supplier where s_suppkey <= 10)",
+    "query_location": "query_location as (select c_custkey // 50 as query_id, 48.55::double + ((c_custkey // 50 * 41) % 250) / 100.0::double as lat, 12.10::double + ((c_custkey // 50 * 59) % 670) / 100.0::double as lon from customer where c_custkey % 50 = 0)",
     "cpv": "cpv as (select p_partkey as id, lpad(((p_partkey * 12345) % 100000000)::varchar, 8, '0') || '-' || (p_partkey % 10)::varchar as code, p_name as name from part)",
     "contract_doc": "contract_doc as (select doc_id // 3 as contract_id, doc_id, text from documents)",
 }

@@ -125,7 +125,29 @@ def great_circle_nearest(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(nearest.nearest_places(roles.location(spark, sf), roles.query_location(spark, sf), 5, "great_circle"), "distance")
 
 
-@query("op_c4_geodesic_nearest")
+def _geodesic_sql(rounds: int = 12, k: int = 5) -> str:
+    """The inverse formula on the ellipsoid with a fixed number of rounds; near points settle in a few."""
+    f, a = f"{geo.FLATTENING!r}::double", f"{geo.AXIS_KM!r}::double"
+    angles = "sqrt(pow(cos(u2) * sin(l), 2) + pow(cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(l), 2)) as ss, sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos(l) as cs"
+    more = "*, atan2(ss, cs) as s, case when ss = 0 then 0 else cos(u1) * cos(u2) * sin(l) / ss end as sa"
+    mid = "*, 1 - sa * sa as c2, case when sa * sa = 1 then 0 else cs - 2 * sin(u1) * sin(u2) / (1 - sa * sa) end as m"
+    factor = f"*, {f} / 16 * c2 * (4 + {f} * (4 - 3 * c2)) as c"
+
+    def measured(name: str) -> str:
+        return f"(select {factor} from (select {mid} from (select {more} from (select *, {angles} from {name}))))"
+
+    steps = [f"g0 as (select q.query_id, p.contract_id, atan((1 - {f}) * tan(radians(p.lat))) as u1, atan((1 - {f}) * tan(radians(q.lat))) as u2, radians(q.lon - p.lon) as gap, radians(q.lon - p.lon) as l from location p, query_location q)"]
+    for n in range(rounds):
+        steps.append(f"g{n + 1} as (select query_id, contract_id, u1, u2, gap, gap + (1 - c) * {f} * sa * (s + c * ss * (m + c * cs * (2 * m * m - 1))) as l from {measured(f'g{n}')})")
+    b = f"({a} * (1 - {f}))"
+    steps.append(f"k as (select *, c2 * ({a} * {a} - {b} * {b}) / ({b} * {b}) as e from {measured(f'g{rounds}')})")
+    steps.append("w as (select *, 1 + e / 16384 * (4096 + e * (-768 + e * (320 - 175 * e))) as big, e / 1024 * (256 + e * (-128 + e * (74 - 47 * e))) as small from k)")
+    steps.append(f"pairs as (select query_id, contract_id, {b} * big * (s - small * ss * (m + small / 4 * (cs * (2 * m * m - 1) - small / 6 * m * (4 * ss * ss - 3) * (4 * m * m - 3)))) as d from w)")
+    steps.append("ranked as (select *, row_number() over (partition by query_id order by round(d, 9), contract_id) as rank from pairs)")
+    return with_roles("location", "query_location") + ", " + ", ".join(steps) + f" select query_id, contract_id, round(d, 6) + 0.0 as distance, rank::int as rank from ranked where rank <= {k}"
+
+
+@query("op_c4_geodesic_nearest", _geodesic_sql())
 def geodesic_nearest(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(nearest.nearest_places(roles.location(spark, sf), roles.query_location(spark, sf), 5, "geodesic"), "distance")
 
@@ -174,11 +196,11 @@ def random_bias(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "supplier").select("s_suppkey", biased.alias("b")).select("s_suppkey", F.col("b").between(1.5, 2.0).alias("inside"))
 
 
-_ITEMS = f""", mean as (select query_id, contract_id, sum(s * s) / sum(s) as similarity from (select q.query_id, i.contract_id, (2 - ({_COS})) / 2 as s from {{items}} i, query_item q) group by all)"""
-_PLACES = f""", near as (select query_id, contract_id, case when d <= 0 then 1 else least(1, 1 / ln(1 + d)) end as similarity from (select q.query_id, l.contract_id, {_PLANAR} as d from location l, query_location q))"""
+ITEMS = f""", mean as (select query_id, contract_id, sum(s * s) / sum(s) as similarity from (select q.query_id, i.contract_id, (2 - ({_COS})) / 2 as s from {{items}} i, query_item q) group by all)"""
+PLACES = f""", near as (select query_id, contract_id, case when d <= 0 then 1 else least(1, 1 / ln(1 + d)) end as similarity from (select q.query_id, l.contract_id, {_PLANAR} as d from location l, query_location q))"""
 
 
-def _top_sql(source: str, k: int) -> str:
+def top_sql(source: str, k: int) -> str:
     return f"""
 select query_id, contract_id, round(similarity, 6) as similarity, rank::int as rank from
 (select *, row_number() over (partition by query_id order by round(similarity, 9) desc, contract_id) as rank from ({source})) where rank <= {k}"""
@@ -200,17 +222,17 @@ def group_weighted_mean(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(similarity.self_weighted_mean(table(spark, sf, "lineitem"), ("l_suppkey",), "l_discount", "l_quantity"), "similarity")
 
 
-@query("op_e4_contract_similarity_topk", with_roles("ref_item", "query_item") + _ITEMS.format(items="ref_item") + _top_sql("select * from mean", 10))
+@query("op_e4_contract_similarity_topk", with_roles("ref_item", "query_item") + ITEMS.format(items="ref_item") + top_sql("select * from mean", 10))
 def contract_similarity(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(similarity.top(similarity.by_items(roles.ref_item(spark, sf), roles.query_item(spark, sf)), 10), "similarity")
 
 
-@query("op_c9_entity_similarity_topk", with_roles("entity_item", "query_item") + _ITEMS.format(items="entity_item") + _top_sql("select * from mean", 3))
+@query("op_c9_entity_similarity_topk", with_roles("entity_item", "query_item") + ITEMS.format(items="entity_item") + top_sql("select * from mean", 3))
 def entity_similarity(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(similarity.top(similarity.by_items(roles.entity_item(spark, sf), roles.query_item(spark, sf)), 3), "similarity")
 
 
-@query("op_e6_location_similarity_topk", with_roles("location", "query_location") + _PLACES + _top_sql("select * from near", 10))
+@query("op_e6_location_similarity_topk", with_roles("location", "query_location") + PLACES + top_sql("select * from near", 10))
 def location_similarity(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(similarity.top(similarity.by_place(roles.location(spark, sf), roles.query_location(spark, sf)), 10), "similarity")
 
@@ -225,18 +247,18 @@ def _fused(spark: SparkSession, sf: str, parts: tuple[str, ...], k: int) -> Data
     return _rounded(similarity.top(similarity.fused({p: every[p]() for p in parts}), k), "similarity")
 
 
-_FUSE = ", mean_entity as (select query_id, contract_id, sum(s * s) / sum(s) as similarity from (select q.query_id, i.contract_id, (2 - (" + _COS + ")) / 2 as s from entity_item i, query_item q) group by all)"
-_THREE = "select query_id, contract_id, sum(w * similarity) / 1.2 as similarity from (select *, 1.0::double as w from mean union all select *, 0.1::double from near union all select *, 0.1::double from mean_entity) group by all"
+FUSE = ", mean_entity as (select query_id, contract_id, sum(s * s) / sum(s) as similarity from (select q.query_id, i.contract_id, (2 - (" + _COS + ")) / 2 as s from entity_item i, query_item q) group by all)"
+THREE = "select query_id, contract_id, sum(w * similarity) / 1.2 as similarity from (select *, 1.0::double as w from mean union all select *, 0.1::double from near union all select *, 0.1::double from mean_entity) group by all"
 _TWO = "select query_id, contract_id, sum(w * similarity) / 1.1 as similarity from (select *, 1.0::double as w from mean union all select *, 0.1::double from near) group by all"
 _ROLES = with_roles("ref_item", "query_item", "entity_item", "location", "query_location")
 
 
-@query("op_e7_weighted_fusion_topk", _ROLES + _ITEMS.format(items="ref_item") + _PLACES + _FUSE + _top_sql(_THREE, 10))
+@query("op_e7_weighted_fusion_topk", _ROLES + ITEMS.format(items="ref_item") + PLACES + FUSE + top_sql(THREE, 10))
 def weighted_fusion(spark: SparkSession, sf: str) -> DataFrame:
     return _fused(spark, sf, ("subject", "locality", "entity_subject"), 10)
 
 
-@query("op_e8_component_subset_topk", _ROLES + _ITEMS.format(items="ref_item") + _PLACES + _top_sql(_TWO, 10))
+@query("op_e8_component_subset_topk", _ROLES + ITEMS.format(items="ref_item") + PLACES + top_sql(_TWO, 10))
 def component_subset(spark: SparkSession, sf: str) -> DataFrame:
     return _fused(spark, sf, ("subject", "locality"), 10)
 

@@ -6,13 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import contexts, evaluation, relational
+from ..operators import evaluation, relational
 from . import roles
 from .roles import table, with_roles
 
 QUERIES: dict = {}
-#: Keywords that occur in the test documents, with weights, in place of the Czech ones.
-SAMPLE = {"the": 3.0, "la": 2.0, "der": 1.0}
 
 
 def query(name: str, sql: str | None = None):
@@ -115,7 +113,7 @@ def split_query_text(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "benchmark").select("item_id", F.split("text", "\n").alias("items"))
 
 
-@query("op_h7_find_occurrences", "select doc_id, (length(text) - length(replace(lower(text), 'license', ''))) // 7 as n, coalesce(nullif(position('license' in lower(text)), 0) - 1, -1) as first from documents where length(lower(text)) = length(text)")
+@query("op_h7_find_occurrences", "select doc_id, (length(text) - length(replace(lower(translate(text, 'İ', 'i')), 'license', ''))) // 7 as n, coalesce(nullif(position('license' in lower(translate(text, 'İ', 'i'))), 0) - 1, -1) as first from documents")
 def find_occurrences(spark: SparkSession, sf: str) -> DataFrame:
     found = table(spark, sf, "documents").select("doc_id", T.positions(F.col("text"), "License").alias("at"))
     return found.select("doc_id", F.size("at").cast("long").alias("n"), F.coalesce(F.get("at", F.lit(0)), F.lit(-1)).cast("long").alias("first"))
@@ -173,7 +171,7 @@ def address(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").select("c_custkey", made.alias("address"))
 
 
-@query("op_h21_concordance", "select doc_id, text[position('license' in lower(text)) - 20 : position('license' in lower(text)) + 26] as context from documents where position('license' in lower(text)) > 20 and length(lower(text)) = length(text)")
+@query("op_h21_concordance", "select doc_id, text[place - 20 : place + 26] as context from (select *, position('license' in lower(translate(text, 'İ', 'i'))) as place from documents) where place > 20")
 def concordance(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "documents").select("doc_id", "text", F.get(T.positions(F.col("text"), "license"), F.lit(0)).alias("at")).where("at >= 20")
     return rows.select("doc_id", F.expr("substring(text, at - 19, 47)").alias("context"))
@@ -189,9 +187,14 @@ def md5_key(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.md5("text").alias("key"))
 
 
-@query("op_e10_character_vector", "select item_id, list_transform(range(128), lambda k: len(list_filter(string_split(text, ''), lambda c: ascii(c) % 500 = k)) + case when k = 0 then length(text) else 0 end) as vector from benchmark")
+@query("op_e10_character_vector", "select item_id, list_transform(range(500), lambda k: len(list_filter(string_split(text, ''), lambda c: ascii(c) % 500 = k)) + case when k = 0 then length(text) else 0 end) as vector from benchmark")
 def character_vector(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "benchmark").select("item_id", F.transform(F.slice(T.character_vector(F.col("text")), 1, 128), lambda x: x.cast("long")).alias("vector"))
+    return table(spark, sf, "benchmark").select("item_id", F.transform(T.character_vector(F.col("text")), lambda x: x.cast("long")).alias("vector"))
+
+
+@query("op_e11_ignore_mask", "select list_transform(range(500), lambda k: case when k = 0 or list_contains([ord(' '), ord(chr(10)), ord('.'), ord('ž')], k) then 0 else 1 end) as mask")
+def ignore_mask(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.range(1).select(T.ignore_mask(" \n.ž").alias("mask"))
 
 
 @query("op_e12_letter_ratio", "select doc_id, round(length(regexp_replace(text, '[^a-z]', '', 'g')) / greatest(length(text), 1), 6) as ratio from documents")
@@ -205,15 +208,16 @@ def first_character(spark: SparkSession, sf: str) -> DataFrame:
     return relational.most_frequent(rows, "doc_id", "top", "i")
 
 
-@query("op_i1_keyword_occurrences")
-def keyword_occurrences(spark: SparkSession, sf: str) -> DataFrame:
-    return contexts.occurrences(table(spark, sf, "documents"), SAMPLE)
+@query("op_e13_first_two_characters", "select doc_id, arg_min(c, (-n, first)) as top from (select doc_id, c, count(*) as n, min(i) as first from (select doc_id, l[1:2] as c, i from (select doc_id, unnest(string_split(text, chr(10))) as l, generate_subscripts(string_split(text, chr(10)), 1) as i from documents)) where length(c) = 2 group by 1, 2) group by 1")
+def first_two_characters(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).select("doc_id", "i", F.substring("line", 1, 2).alias("top")).where("length(top) = 2")
+    return relational.most_frequent(rows, "doc_id", "top", "i")
 
 
 @query(
     "op_e21_keyword_histogram",
-    """with o as (select doc_id, unnest(list_filter(range(length(text)::bigint), lambda i: lower(text[i + 1 : i + 7]) = 'license')) as occ from documents where length(lower(text)) = length(text)),
-g as (select doc_id, unnest(range(length(text) // 680 + 1)) as bin from documents where length(lower(text)) = length(text))
+    """with o as (select doc_id, unnest(list_filter(range(length(text)::bigint), lambda i: lower(translate(text[i + 1 : i + 7], 'İ', 'i')) = 'license')) as occ from documents),
+g as (select doc_id, unnest(range(length(text) // 680 + 1)) as bin from documents)
 select g.doc_id, g.bin, coalesce(n, 0) as n from g left join (select doc_id, occ // 680 as bin, count(*) as n from o group by 1, 2) h on h.doc_id = g.doc_id and h.bin = g.bin""",
 )
 def keyword_histogram(spark: SparkSession, sf: str) -> DataFrame:
@@ -224,30 +228,12 @@ def keyword_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return grid.join(counted, ["doc_id", "bin"], "left").select("doc_id", "bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("op_i3_context_starts")
-def context_starts(spark: SparkSession, sf: str) -> DataFrame:
-    return contexts.starts(table(spark, sf, "documents"), SAMPLE)
-
-
-@query("op_i4_fixed_contexts")
-def fixed_contexts(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
-    return contexts.fixed_contexts(docs, contexts.starts(docs, SAMPLE))
-
-
-@query("op_i5_refined_starts")
-def refined_starts(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
-    return contexts.refined_starts(docs, contexts.starts(docs, SAMPLE), SAMPLE)
-
-
-@query("op_i14_contexts")
-def detected_contexts(spark: SparkSession, sf: str) -> DataFrame:
-    return contexts.contexts(table(spark, sf, "documents"), SAMPLE)
-
-
-def _pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "benchmark").select(F.col("item_id").alias("a"), F.col("item_id").alias("b"))
+def _overlap(spark: SparkSession, sf: str) -> DataFrame:
+    """Each benchmark text with the document of the same id; only documents that are asked for are cut into words."""
+    pairs = table(spark, sf, "benchmark").select(F.col("item_id").alias("a"), F.col("item_id").alias("b"))
+    left = evaluation.tokens(table(spark, sf, "benchmark").withColumnRenamed("item_id", "a"), "a")
+    right = evaluation.tokens(table(spark, sf, "documents").withColumnRenamed("doc_id", "b").join(pairs.select("b"), "b", "left_semi"), "b")
+    return evaluation.overlap(pairs, left, right)
 
 
 _TOKENS = """with a as (select item_id as a, w, count(*) as n from (select item_id, unnest(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) as w from benchmark) group by 1, 2),
@@ -258,16 +244,12 @@ select item_id, """
 
 @query("op_c14_jaccard_tokens", _TOKENS + "round(coalesce(common, 0) / (t.size + s.size - coalesce(common, 0)), 6) as jaccard from benchmark join t on t.a = item_id join s on s.a = item_id left join c on c.a = item_id")
 def jaccard_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    left = evaluation.tokens(table(spark, sf, "benchmark").withColumnRenamed("item_id", "a"), "a")
-    right = evaluation.tokens(table(spark, sf, "documents").withColumnRenamed("doc_id", "b"), "b")
-    return evaluation.overlap(_pairs(spark, sf), left, right).select(F.col("a").alias("item_id"), F.round(evaluation.jaccard(F.col("common"), F.col("either")), 6).alias("jaccard"))
+    return _overlap(spark, sf).select(F.col("a").alias("item_id"), F.round(evaluation.jaccard(F.col("common"), F.col("either")), 6).alias("jaccard"))
 
 
 @query("op_c15_dice_tokens", _TOKENS + "round(2 * coalesce(common, 0) / (t.size + s.size), 6) as dice from benchmark join t on t.a = item_id join s on s.a = item_id left join c on c.a = item_id")
 def dice_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    left = evaluation.tokens(table(spark, sf, "benchmark").withColumnRenamed("item_id", "a"), "a")
-    right = evaluation.tokens(table(spark, sf, "documents").withColumnRenamed("doc_id", "b"), "b")
-    return evaluation.overlap(_pairs(spark, sf), left, right).select(F.col("a").alias("item_id"), F.round(evaluation.dice(F.col("common"), F.col("total")), 6).alias("dice"))
+    return _overlap(spark, sf).select(F.col("a").alias("item_id"), F.round(evaluation.dice(F.col("common"), F.col("total")), 6).alias("dice"))
 
 
 _CORR = "with r as (select l_returnflag as flag, l_quantity as x, l_extendedprice as y, rank() over (partition by l_returnflag order by l_quantity) + (count(*) over (partition by l_returnflag, l_quantity) - 1) / 2 as rx, rank() over (partition by l_returnflag order by l_extendedprice) + (count(*) over (partition by l_returnflag, l_extendedprice) - 1) / 2 as ry from lineitem), e as (select flag, corr(x, y) as pearson, corr(rx, ry) as spearman, count(*) as n from r group by 1) "
