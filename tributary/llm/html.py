@@ -6,20 +6,27 @@ page is extracted again with its host's winning paths: all containers of the fir
 together hold nearly all unlinked text of the page's own best container, make the text; else that one does.
 
 Votes are grouped with map-side counts and ranked by bounded lists, so a host with a third of all pages or with many
-paths is no hot spot. Hosts' paths are broadcast
-while there are at most BROADCAST_HOSTS of them and joined by a shuffle beyond.
-
-Edge cases: null and empty pages give an empty text; broken markup is read as far as tags can be matched; pages without
-a usable url vote together under the empty host; repeated rows are extracted each; an empty table gives an empty
-result; only the three named columns are read. White space inside a block becomes one space, ``br`` counts as white
-space, blocks are joined by a line feed.
+paths is no hot spot. Hosts' paths are broadcast while there are at most BROADCAST_HOSTS of them and joined by a shuffle
+beyond. Reading a page takes time and memory in proportion to it, however deep its elements lie: blocks are numbered, and
+an element is a range of them, so what it holds is a difference of prefix sums.
+
+What a class, id or role calls a menu, a notice, comments and the like is left out, but a name alone does not decide: an
+element that holds most of the page's unlinked text stays if other words of it speak of content or layout, or if it has
+the page's heading or article inside; and if nothing else has text, what is left over stays.
+
+Edge cases: null and empty pages give an empty text; markup that is not closed at the end of a page is left out, wrong
+declarations count as comments, end tags without a start are ignored; pages without a usable url vote together under the
+empty host; repeated rows are extracted each; an empty table gives an empty result; only the three named columns are
+read. White space inside a block becomes one space, ``br`` counts as white space, blocks are joined by a line feed.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,12 +35,16 @@ from pyspark.sql.window import Window
 
 from .shared import settle, small_batches, tidy
 
-#: Least share of the unlinked text of the page's own best container that a vote's containers must hold.
+#: Paths of a host that are tried; hosts that are broadcast; least share of the unlinked text of the page's own best
+#: container that a vote's containers must hold.
 PATHS, BROADCAST_HOSTS, NEARLY = 4, 100_000, 0.9
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img".split())
-_SILENT = frozenset("script style noscript template head title iframe object svg canvas audio video map nav footer aside form button select option textarea input dialog menu".split())
-_CONTAINERS = frozenset("body main article section div td center".split())
+_SILENT = frozenset("script style noscript template head title iframe object svg canvas audio video map nav footer aside button select option textarea input dialog menu noembed noframes xmp".split())
+#: Elements whose content is no markup.
+_RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
+_CONTAINERS = frozenset("body main article section div td center form".split())
+_LANDMARKS = frozenset("article main h1".split())
 #: What a class, id or role may say, as a whole word, of parts that are not the article.
 _BOILERPLATE = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies "
@@ -41,144 +52,238 @@ _BOILERPLATE = frozenset(
     "pager pagination popup promo promoted promotion related recommended recommendations reply replies respond search share sharing sidebar sitemap "
     "skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets complementary contentinfo alert".split()
 )
+#: Of these an article or main element can be one, too.
+_REPLIES = frozenset("ad advert advertisement comment comments promo related reply replies sponsored".split())
 _CONTENT = frozenset("article body content entry main post story text".split())
+#: Words that say of an element that it has, or lacks, such parts.
+_LAYOUT = frozenset("col columns container has layout no page row site with without wrap wrapper".split())
+#: Elements that end when one of these begins; only these, and rows of tables, are looked through for it.
 _CLOSES = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
-_SCOPE = frozenset("body div article section main td th table ul ol dl blockquote form nav footer aside header".split())
+_LOOSE = frozenset("p li td th tr dt dd option tbody thead tfoot".split())
 _NAME = re.compile(r"[A-Za-z]+")
 _NUMBER = re.compile(r"\d+")
+_TAG_END = r"""(?>[^>=]++|=\s*+(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*+|(?=>)))*+>"""
+#: Comment, wrong declaration or end tag, end tag, start tag; else markup that is not closed.
+_MARKUP = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</(?![A-Za-z])[^>]*(?:>|\Z)|</([A-Za-z][^\s/>]*+){_TAG_END}|<([A-Za-z][^\s/>]*+)({_TAG_END})|</?[A-Za-z].*", re.DOTALL)
+_ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
+_READ = frozenset(("class", "id", "role", "style", "hidden", "aria-hidden"))
 
 
 class _Node:
-    __slots__ = ("tag", "path", "parent", "silent", "good", "linked", "bonus", "depth")
+    __slots__ = ("tag", "label", "parent", "block", "silent", "link", "within", "depth", "bonus", "suspect", "excused", "first", "last", "path", "inline")
 
-    def __init__(self, tag: str, label: str, parent: _Node | None, silent: bool, bonus: float):
-        self.tag, self.parent, self.silent, self.bonus = tag, parent, silent, bonus
-        self.path = f"{parent.path}>{label}" if parent else label
+    def __init__(self, tag: str, label: str, parent: _Node | None, first: int):
+        self.tag, self.label, self.parent, self.first, self.last = tag, label, parent, first, first
+        self.block = self if parent is None or tag not in _INLINE else parent.block
         self.depth = parent.depth + 1 if parent else 0
-        self.good = self.linked = 0
+        self.link = tag == "a" or (parent is not None and parent.link)
+        #: Stands for the path from the root.
+        self.path = hash((parent.path, label)) if parent else 0
+        self.silent = self.suspect = self.excused = self.within = False
+        self.bonus = 0.0
+        self.inline: Counter | None = None
+
+    def way(self) -> str:
+        labels, node = [], self
+        while node.parent is not None:
+            labels.append(node.label)
+            node = node.parent
+        return ">".join(reversed(labels))
+
 
+def _attributes(said: str) -> dict[str, str]:
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(said):
+        name = m[1].lower()
+        if name in _READ and name not in out:
+            out[name] = unescape(m[2] or m[3] or m[4] or "")
+    return out
 
-class Page(HTMLParser):
-    """Blocks of text with the containers that hold them."""
+
+class Page:
+    """Blocks of text, and the containers that hold them as ranges of blocks."""
 
     def __init__(self, html: str):
-        super().__init__(convert_charrefs=True)
-        self.node = _Node("", "", None, False, 0)
-        self.containers: list[_Node] = []
+        self.node = _Node("", "", None, 0)
+        #: The root stands for a body that is not written.
+        self.containers: list[_Node] = [self.node]
+        self.suspects: list[_Node] = []
+        self.landmarks: list[int] = []
         self.blocks: list[str] = []
-        self.owners: list[_Node] = []
+        self.links: list[int] = []
         self.text: list[str] = []
-        self.link_depth, self.link_chars = 0, 0
-        self.feed(html)
-        self.close()
+        self.linked = 0
+        self.open: Counter = Counter()
+        self._read(html)
         self._end_block()
+        while self.node.parent is not None:
+            self._pop()
+        self.node.last = len(self.blocks)
+        self._judge()
+
+    def _read(self, html: str) -> None:
+        at, n = 0, len(html)
+        while at < n:
+            m = _MARKUP.search(html, at)
+            if m is None:
+                self._data(html[at:])
+                return
+            if m.start() > at:
+                self._data(html[at : m.start()])
+            at = m.end()
+            if m[1]:
+                self._end(m[1].lower())
+            elif m[2]:
+                tag = m[2].lower()
+                self._start(tag, m[3])
+                if tag in _RAW:
+                    close = re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE).search(html, at)
+                    at = close.start() if close else n
+
+    def _data(self, raw: str) -> None:
+        if not self.node.silent:
+            data = unescape(raw) if "&" in raw else raw
+            self.text.append(data)
+            if self.node.link:
+                self.linked += len(data.strip())
 
     def _end_block(self) -> None:
         if self.text:
             text = " ".join("".join(self.text).split())
             if text:
-                node: _Node | None = self.node
                 self.blocks.append(text)
-                self.owners.append(node)
-                while node is not None:
-                    node.good += len(text)
-                    node.linked += self.link_chars
-                    node = node.parent
-        self.text, self.link_chars = [], 0
-
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+                self.links.append(self.linked)
+        self.text, self.linked = [], 0
+
+    def _pop(self) -> None:
+        node = self.node
+        node.last = len(self.blocks)
+        if node.tag in _INLINE:
+            node.block.inline[node.tag] -= 1
+        else:
+            self.open[node.tag] -= 1
+        self.node = node.parent
+
+    def _start(self, tag: str, said: str) -> None:
         if tag in _VOID:
             if tag == "br":
                 self.text.append(" ")
             elif tag == "hr":
                 self._end_block()
             return
-        if tag == "a":
-            self.link_depth += 1
         if tag not in _INLINE:
             self._end_block()
-            closes, node = _CLOSES.get(tag, {"p"}), self.node
-            while node.parent is not None and node.tag not in closes and node.tag not in _SCOPE:
-                node = node.parent
-            if node.parent is not None and node.tag in closes:
-                self.node = node.parent
-        self._open(tag, attrs)
-
-    def _open(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        values = dict(attrs)
-        said = " ".join(values.get(k) or "" for k in ("class", "id", "role"))
-        names = {w.lower() for w in _NAME.findall(said)} if said.strip() else set()
+            closes, node = _CLOSES.get(tag, {"p"}), self.node.block
+            while node.tag in _LOOSE and node.tag not in closes:
+                node = node.parent.block
+            if node.tag in closes:
+                while self.node is not node:
+                    self._pop()
+                self._pop()
+        self._open(tag, _attributes(said))
+
+    def _open(self, tag: str, values: dict[str, str]) -> None:
+        names = {w.lower() for k in ("class", "id", "role") if k in values for w in _NAME.findall(values[k])}
         inside = self.node
-        silent = inside.silent or tag in _SILENT or "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in (values.get("style") or "").replace(" ", "").lower()
-        if not silent and tag not in ("html", "body", "main", "article"):
-            silent = not _BOILERPLATE.isdisjoint(names)
-        if tag == "header" and not silent:
-            node, silent = inside, True
-            while node is not None:
-                silent = silent and node.tag not in ("article", "main", "section") and not node.bonus
-                node = node.parent
-        bonus = (0.5 if tag in ("article", "main") or "main" in names else 0.25 if not _CONTENT.isdisjoint(names) else 0.0)
-        label = tag + "".join(f".{_NUMBER.sub('#', c)}" for c in sorted((values.get("class") or "").split())[:2])
-        self.node = _Node(tag, label, inside, silent, bonus)
-        if tag in _CONTAINERS and not silent:
-            self.containers.append(self.node)
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag == "a":
-            self.link_depth = max(0, self.link_depth - 1)
-        if tag in _VOID:
+        label = tag + "".join(f".{_NUMBER.sub('#', c)}" for c in sorted(values.get("class", "").split()))
+        node = _Node(tag, label, inside, len(self.blocks))
+        node.bonus = 0.5 if tag in ("article", "main") or "main" in names else 0.25 if not _CONTENT.isdisjoint(names) else 0.0
+        node.within = inside.within or tag in ("article", "main", "section") or node.bonus > 0
+        node.silent = inside.silent or tag in _SILENT or "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in values.get("style", "").replace(" ", "").lower() or (tag == "header" and not inside.within)
+        self.node = node
+        if tag in _INLINE:
+            if node.block.inline is None:
+                node.block.inline = Counter()
+            node.block.inline[tag] += 1
+        else:
+            self.open[tag] += 1
+        if node.silent:
             return
-        node = self.node
-        while node.parent is not None and node.tag != tag:
-            if tag in _INLINE and node.tag in _SCOPE:
-                return
-            node = node.parent
-        if node.parent is None:
+        words = _REPLIES if tag in ("article", "main") else _BOILERPLATE
+        node.suspect = tag not in ("html", "body") and (tag == "form" or not words.isdisjoint(names))
+        if node.suspect:
+            node.excused = not _CONTENT.isdisjoint(names) or not _LAYOUT.isdisjoint(names)
+            self.suspects.append(node)
+        elif tag in _LANDMARKS:
+            self.landmarks.append(len(self.blocks))
+        if tag in _CONTAINERS:
+            self.containers.append(node)
+
+    def _end(self, tag: str) -> None:
+        if tag == "br":
+            self.text.append(" ")
             return
-        if tag not in _INLINE:
+        if tag in _INLINE:
+            inline = self.node.block.inline
+            if inline and inline[tag]:
+                while self.node.tag != tag:
+                    self._pop()
+                self._pop()
+            return
+        if tag == "p" or self.open[tag]:
             self._end_block()
-        self.node = node.parent
-
-    def handle_data(self, data: str) -> None:
-        if not self.node.silent:
-            self.text.append(data)
-            if self.link_depth:
-                self.link_chars += len(data.strip())
+        if self.open[tag]:
+            while self.node.tag != tag:
+                self._pop()
+            self._pop()
+
+    def _judge(self) -> None:
+        """Leave out the blocks of parts that are not the article, and sum up the rest."""
+        free = [max(0, len(b) - k) for b, k in zip(self.blocks, self.links, strict=True)]
+        before = [0, *accumulate(free)]
+        keep = [True] * len(free)
+        marks = [0] * (len(free) + 2)
+        for at in self.landmarks:
+            marks[at + 1] += 1
+        marks = list(accumulate(marks))
+        doubtful = []
+        gone_to = 0
+        for node in self.suspects:
+            most = 2 * (before[node.last] - before[node.first]) > before[-1]
+            # A landmark that starts at block k lies inside if k is among its blocks.
+            if most and (node.excused or marks[node.last] > marks[node.first]):
+                continue
+            doubtful.append(node)
+            for k in range(max(node.first, gone_to), node.last):
+                keep[k] = False
+            gone_to = max(gone_to, node.last)
+        if doubtful and not any(f and k for f, k in zip(free, keep, strict=True)):
+            keep = [True] * len(free)
+        self.keep = keep
+        self.good = [0, *accumulate(len(b) if k else 0 for b, k in zip(self.blocks, keep, strict=True))]
+        self.free = [0, *accumulate(f if k else 0 for f, k in zip(free, keep, strict=True))]
+        self.bound = [0, *accumulate(n if k else 0 for n, k in zip(self.links, keep, strict=True))]
 
     def scored(self) -> list[tuple[float, _Node]]:
-        """Containers with their scores, best first; of equals the deeper one."""
-        out = [(max(0, c.good - 2 * c.linked) * (1 + c.bonus + 0.001 * min(c.depth, 100)), -k, c) for k, c in enumerate(self.containers) if c.good]
-        return [(s, c) for s, _, c in sorted(out, key=lambda x: (-x[0], x[1]))]
+        """Containers with their scores, best first; of equals the deeper one, then the first."""
+        out = []
+        for k, c in enumerate(self.containers):
+            good = self.good[c.last] - self.good[c.first]
+            if good:
+                out.append((-max(0, good - 2 * (self.bound[c.last] - self.bound[c.first])) * (1 + c.bonus), -c.depth, k))
+        return [(-score, self.containers[k]) for score, _, k in sorted(out)]
 
     def text_of(self, containers: list[_Node]) -> str:
         """Blocks inside any of the containers, in page order; all blocks if there are none."""
         if not containers:
-            return "\n".join(self.blocks)
-        inside = set(map(id, containers))
-        keep = []
-        for block, node in zip(self.blocks, self.owners, strict=True):
-            at: _Node | None = node
-            while at is not None and id(at) not in inside:
-                at = at.parent
-            if at is not None:
-                keep.append(block)
-        return "\n".join(keep)
-
-    def holding(self, path: str) -> list[_Node]:
+            return "\n".join(b for b, k in zip(self.blocks, self.keep, strict=True) if k)
+        out, at = [], 0
+        for c in sorted(containers, key=lambda c: c.first):
+            out += [self.blocks[k] for k in range(max(at, c.first), c.last) if self.keep[k]]
+            at = max(at, c.last)
+        return "\n".join(out)
+
+    def holding(self, way: str) -> list[_Node]:
         """The containers of a path; none of them lies in another, as a path tells the depth."""
-        return [c for c in self.containers if c.path == path and c.good]
+        path = 0
+        for label in way.split(">") if way else ():
+            path = hash((path, label))
+        return [c for c in self.containers if c.path == path and self.good[c.last] > self.good[c.first]]
 
     def unlinked(self, containers: list[_Node], within: _Node) -> int:
         """Characters outside links that the containers hold of what ``within`` holds."""
-        out = 0
-        for c in containers:
-            inner, outer = (c, within) if c.depth >= within.depth else (within, c)
-            at: _Node | None = inner
-            while at is not None and at is not outer:
-                at = at.parent
-            if at is outer:
-                out += inner.good - inner.linked
-        return out
+        cut = ((max(c.first, within.first), min(c.last, within.last)) for c in containers)
+        return sum(self.free[b] - self.free[a] for a, b in cut if a < b)
 
 
 def votes(pages: DataFrame) -> DataFrame:
@@ -191,7 +296,7 @@ def votes(pages: DataFrame) -> DataFrame:
                 best = Page(html).scored()[:1]
                 if best and best[0][0] > 0:
                     hosts.append(host)
-                    paths.append(best[0][1].path)
+                    paths.append(best[0][1].way())
                     weights.append(best[0][0])
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(weights, pa.float64())], names=["host", "path", "weight"])
 
@@ -225,11 +330,11 @@ def extract(df: DataFrame, paths: int = PATHS, id_col: str = "page_id", url_col:
                 page = Page(html)
                 scored = page.scored()
                 best = [scored[0][1]] if scored else []
-                least = NEARLY * (best[0].good - best[0].linked) if best else 0
+                least = NEARLY * page.unlinked(best, best[0]) if best else 0
                 chosen = next((c for c in map(page.holding, ways or []) if c and page.unlinked(c, best[0]) >= least), None)
                 nodes = chosen or best
                 texts.append(page.text_of(nodes))
-                used.append(nodes[0].path if nodes else None)
+                used.append(nodes[0].way() if nodes else None)
                 voted.append(chosen is not None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(used, pa.string()), pa.array(voted, pa.bool_())], names=[id_col, "url", "text", "path", "by_vote"])
 
