@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tributary.llm import html, media, registry, toxicity
 
@@ -78,6 +79,59 @@ def test_misspellings_with_digits_and_insertions():
     assert find("abxcdexfg") == [(2, 2)] and find("cl0wn1sh") == [] and find("cl0wnish") == [(1, 1)]
 
 
+def slow_score(model, text: str) -> float:
+    """The score by comparing every word with every term."""
+    import math
+    import re
+
+    def distance(a: str, b: str) -> int:
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    def whole(word: str):
+        if word in model.terms:
+            return 0, model.terms.index(word)
+        edits = 0 if len(word) < 5 else 1 if len(word) < 9 else 2
+        d, k = min(((distance(word, t), k) for k, t in enumerate(model.terms)), default=(9, 0))
+        return (d, k) if edits and d <= edits and model.fuzzy[k] else None
+
+    low = text.lower()
+    places = [m.span() for m in re.finditer(r"(?<![^\W_])\d*+[^\W\d_][^\W_]*", low)]
+    words = [low[a:b] for a, b in places]
+    sums = [0.0, 0.0, 0.0]
+    for k, w in enumerate(words):
+        hit = whole(w) or (None if w.isalpha() else min(filter(None, map(whole, re.findall(r"[^\W\d_]+", w))), default=None))
+        if hit:
+            a, b = max(0, k - 6), min(len(words), k + 7)
+            quotes = [any(c in '"“”„«»‘’`' for c in low[x:y]) for x, y in ((places[a][0], places[k][0]), (places[k][1], places[b - 1][1]))]
+            near = min([abs(j - k) for j in range(a, b) if words[j] in toxicity.REPORTING], default=7)
+            q = 1.0 if all(quotes) else 1 - max(0, near - 1) / 6
+            sums[int(hit[0] > 0)] += 1 - q
+            sums[2] += q
+    z = model.weights[0] + sum(w * math.floor(2 * math.log2(1 + x) + 0.5) / 2 for w, x in zip(model.weights[1:], sums, strict=True))
+    return 1 / (1 + math.exp(-z))
+
+
+def test_scores_by_comparing_every_word_with_every_term(spark):
+    import random
+
+    draw = random.Random(9)
+    model = toxicity.Model(["stupid", "clownish", "rat", "idiotface"], [True, True, True, False], [-2.0, 1.7, 1.1, -0.4])
+    parts = ["stupid", "stupyd", "stpid", "clownissh", "clwnish", "rat", "rats", "idiotface", "idiotfaces", "st0pid", "said", "word", '"', "“", "the", "of", "man", "7", "stupid7", ",", "Clownish"]
+    source = [(k, " ".join(draw.choice(parts) for _ in range(draw.randrange(40)))) for k in range(200)] + [(900, None), (901, ""), (902, "stupid " * 3000), (903, "x" * 20_000), (0, "stupid")]
+    found = sorted((r["doc_id"], round(r["score"], 9)) for r in toxicity.score(spark.createDataFrame(source, "doc_id long, text string"), model).collect())
+    assert found == sorted((k, round(slow_score(model, t or ""), 9)) for k, t in source)
+
+
+def test_a_match_counts_as_quotation_the_nearer_a_word_of_reporting_stands():
+    scores = [q for *_, q in toxicity.Matcher(["stupid"]).matches(" ".join(["stupid", *["x"] * 20, "stupid", "said", *["x"] * 20, "said", "a", "b", "stupid", *["x"] * 20, '"', "stupid", '"', "end"]))]
+    assert [round(q, 2) for q in scores[:3]] == [0, 1, 0.67] and scores[3] in (0, 1)
+
+
 def test_main_text_of_pages(spark):
     frame = "<html><head><title>T</title><script>x='<p>'</script></head><body><nav><a href=/>Home</a></nav><div class='cookie-notice'>We use cookies</div>{}<div id=comments><p>Reader says hello to all of you here</p></div><aside>More</aside><form>Name <input></form><footer>&copy; us</footer></body></html>"
     body = "<div class='post-{}'><h1>Head &amp; tail</h1><p>First  para\n graph with <b>bold</b> words that go on.<p>Second&nbsp;one<br>goes on for some time as well.</p><ul><li>a<li>b</ul></div>"
@@ -103,6 +157,48 @@ def test_articles_in_several_containers_are_whole(spark):
     assert found[23]["text"] == "\n".join(say(4 + i, 60) for i in range(3))
 
 
+def test_markup_that_is_broken_or_misleading(spark):
+    made = {
+        "<p>a<![foo b": "a",
+        "<p>x<![foo b]>yes": "xyes",
+        "<!--unclosed <p>a": "",
+        "<p>k<a href='x><p>abc": "k",
+        "<div class='no-sidebar content'><p>Some long text</p></div>": "Some long text",
+        "<div class='layout-with-sidebar'><h1>H</h1><p>Some long text here</p><div class=sidebar>side</div></div>": "H\nSome long text here",
+        "<div class='page has-notice'><p>Some text</p></div>": "Some text",
+        "<div class='article social-news'><p>Some text</p></div>": "Some text",
+        "<body><form><p>All in a form</p><input></form></body>": "All in a form",
+        "<p>a text</p><div id=comments>" + "<p>so says a reader</p>" * 30 + "</div>": "a text",
+        "<ul><li>a<li>b</ul><table><tr><td>x<td>y</table>": "a\nb\nx\ny",
+        "a < b &amp; c": "a < b & c",
+    }
+    source = [(k % 3, "http://x.example/", h, k) for k, h in enumerate(made)]
+    df = spark.createDataFrame(source, "page_id long, url string, html string, text int").withColumn("path", F.lit(1)).withColumn("host", F.lit("h"))
+    found = sorted((r["page_id"], r["text"]) for h in made for r in html.extract(df.where(F.col("html") == h)).collect())
+    assert found == sorted((k % 3, t) for k, t in enumerate(made.values()))
+    assert html.main_texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_deep_pages_take_no_longer_than_their_length():
+    import time
+
+    for html_of in (lambda n: "<div class=a>" * n + "".join(f"<p>w {i}" for i in range(n)) + "</div>" * n, lambda n: "<b>" * n + "<p>x</b>" * n, lambda n: "<div>" * n + "</x>" * n, lambda n: "<" * n + "a='" * n):
+        took = []
+        for n in (3_000, 30_000):
+            began = time.perf_counter()
+            page = html.Page(html_of(n))
+            page.text_of([page.scored()[0][1]] if page.scored() else [])
+            took.append(time.perf_counter() - began)
+        assert took[1] < 40 * took[0] + 1
+
+
+def test_ties_and_rows_that_repeat(spark):
+    page = "<body><div class=a1><p>{0}</p></div><div class=b1><p>{0}</p></div></body>"
+    source = [(k, "http://t.example/", page.format("same words here in both")) for k in (1, 1, 2)]
+    rows = html.extract(spark.createDataFrame(source, "page_id long, url string, html string")).collect()
+    assert len(rows) == 3 and len({(r["text"], r["path"]) for r in rows}) == 1
+
+
 def test_winning_paths_of_a_host_with_many(spark):
     counted = spark.range(5000).selectExpr("if(id % 2 = 0, 'h', '') as host", "concat('p', id) as path", "id div 3 as pages", "cast(id % 7 as double) as weight")
     rows = sorted(counted.collect(), key=lambda r: (r["host"], -r["pages"], -r["weight"], r["path"]))
@@ -156,12 +252,33 @@ def test_alignment_finds_what_every_offset_finds():
         assert want >= 35 and same >= least * want, (rate, same, want)
 
 
+def test_silence_takes_no_longer_than_its_length(spark):
+    import time
+
+    took = []
+    for n in (4_000, 64_000):
+        silence = np.zeros(n, dtype=np.uint32)
+        index = media.Index([(1, silence.astype("<u4").tobytes()), (2, np.random.default_rng(2).integers(0, 1 << 32, n, dtype=np.uint32).astype("<u4").tobytes())])
+        began = time.perf_counter()
+        assert index.align(silence) == [(1, 0, 0.0)]
+        took.append(time.perf_counter() - began)
+    assert took[1] < 60 * took[0] + 1
+    part = np.zeros(500, dtype=np.uint32)
+    part[100:200] = np.random.default_rng(1).integers(0, 1 << 32, 100, dtype=np.uint32)
+    assert media.Index([(5, part.astype("<u4").tobytes())]).align(part[60:460]) == [(5, -60, 0.0)] == [(q, at, e) for q, (e, at) in every_offset([(5, part)], part[60:460]).items()]
+    empty = spark.createDataFrame([], "rec_id long, pcm binary")
+    odd = spark.createDataFrame([(1, bytes(20_000), 3), (1, bytes(20_000), 3), (2, None, 4)], "rec_id long, pcm binary, fingerprint int").withColumn("matches", F.lit(1))
+    prints = media.fingerprints(odd)
+    assert media.fingerprints(empty).count() == 0 == media.align(media.fingerprints(empty), prints).count()
+    assert sorted((r["rec_id"], len(r["matches"])) for r in media.align(prints, prints).collect()) == [(1, 1), (1, 1), (2, 0)]
+
+
 def test_rows_with_repeated_or_null_ids_stay_apart_in_any_number_of_blocks(spark):
     draw = np.random.default_rng(4)
     one, two, three = (draw.integers(0, 1 << 32, 60, dtype=np.uint32).astype("<u4").tobytes() for _ in range(3))
     prints = spark.createDataFrame([(1, one), (1, two), (None, one), (None, three), (2, b""), (3, three)], "rec_id long, fingerprint binary")
     said = lambda block: sorted((str(r["rec_id"]), [m["query"] for m in r["matches"]]) for r in media.align(prints, prints.where("rec_id in (1, 3)"), block).collect())
-    assert said(1) == said(4096) == [("1", [1]), ("1", [1]), ("2", []), ("3", [3]), ("None", [1]), ("None", [3])]
+    assert said(1) == said(1 << 20) == [("1", [1]), ("1", [1]), ("2", []), ("3", [3]), ("None", [1]), ("None", [3])]
 
 
 def test_pipeline_keeps_clean_documents(spark, sf_dir):

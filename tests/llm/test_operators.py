@@ -116,6 +116,36 @@ def test_secrets(spark, sf_dir, rows, odd, none):
     assert secrets.report(none).count() == 0
 
 
+def test_random_tokens_of_every_encoding_are_found_and_words_are_not(spark):
+    import random
+    import string
+
+    draw = random.Random(1)
+    alphabets = [string.ascii_uppercase + "234567", string.ascii_lowercase + string.digits, "0123456789ABCDEF", string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_lowercase]
+    tokens = [(k, n, "see " + "".join(draw.choice(a) for _ in range(n)) + " end") for k, a in enumerate(alphabets) for n in (20, 32, 64) for _ in range(20)]
+    words = "configuration server table reader value number counter mainframe dataset column index update handler".split()
+    joins = [lambda w: "_".join(w), lambda w: "-".join(w), lambda w: w[0] + "".join(x.title() for x in w[1:]), lambda w: "/".join(w) + "7"]
+    names = [(9, 0, "use " + draw.choice(joins)([draw.choice(words) for _ in range(4)]) + " here") for _ in range(400)]
+    rows = [(i, text) for i, (*_, text) in enumerate(tokens + names)]
+    found = by_key(secrets.report(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id")
+    for k in range(len(alphabets)):
+        mine = [i for i, t in enumerate(tokens + names) if t[0] == k]
+        assert sum(found[i]["spans"] != "" for i in mine) >= 0.95 * len(mine), k
+    assert not any(found[i]["spans"] for i, t in enumerate(tokens + names) if t[0] == 9)
+
+
+def test_many_secrets_in_one_text(spark):
+    import random
+
+    draw = random.Random(2)
+    parts = ["".join(draw.choice("0123456789abcdef") for _ in range(30)) for _ in range(3000)]
+    text = " é ".join(parts) + " token = abcdefgh"
+    df = spark.createDataFrame([(1, text), (None, text), (1, "token=abcdef")], "doc_id long, text string")
+    said = {r["spans"] for r in secrets.report(df).collect() if r["n_hex"]}
+    assert said == {",".join(f"{('assign', 'access', 'hex')[k]}:{s}:{e}" for s, k, e in plain.base_spans(text))}
+    assert {r["text"] for r in secrets.redact(df).collect()} == {" é ".join(["[secret]"] * 3000) + " [secret]", "[secret]"}
+
+
 def test_redaction_keeps_columns_and_hides_secrets(odd):
     out = by_key(secrets.redact(odd), "doc_id")
     assert list(out[1]) == odd.columns

@@ -2,13 +2,15 @@
 
 Sound becomes overlapping frames, each frame's spectrum twelve pitch classes. An integral image over frames and pitch
 classes gives any rectangle's sum in four look-ups; FILTERS compare rectangles and quantise the difference to two bits,
-so each place in time has one packed 32-bit integer. Every offset at which two recordings have a place with 16 equal bits
-(those of one of BANDS) is tried; the least share of bits that differ along one of them decides.
+so each place in time has one packed 32-bit integer. A histogram of offsets counts the places at which two recordings have
+16 equal bits (those of one of BANDS). Offsets with one hit or more, and with a share of HITS of their overlap, are tried:
+chance gives hits at 1 in 13,000 places, recordings that differ in a quarter of their bits at 1 in 20. The least share of
+bits that differ along one of them decides. Runs of one value, as silence has, are counted as runs, and where no bit
+differs no further offset is tried, so an hour of silence takes no longer than its length.
 
-A stated set of queries is matched against all recordings, in blocks: a block of at most BLOCK queries (2 MB) is indexed
-and broadcast, each task looks its recordings up and returns one row for each, so pairs never multiply between tasks.
-With several blocks each one's rows are written before the next is broadcast.
-Equal fingerprints are one query.
+A stated set of queries is matched against all recordings, in blocks: a block of at most BLOCK bytes of fingerprints is
+indexed and broadcast, each task looks its recordings up and returns one row for each, so pairs never multiply between
+tasks. With several blocks each one's rows are written before the next is broadcast. Equal fingerprints are one query.
 
 Edge cases: null and empty sound, and sound shorter than the filters, have an empty fingerprint and match nothing;
 silence has equal integers everywhere and matches silence; repeated rows get a row each; an empty table gives an empty
@@ -31,8 +33,9 @@ RATE, FRAME, HOP = 4000, 1024, 256
 #: middle third with the rest. Made by rule: each kind at several widths and places.
 FILTERS = [(h, (5 * k + h) % (13 - h), w, k % 4) for k, (h, w) in enumerate([(4, 4), (6, 8), (12, 8), (3, 12), (2, 8), (8, 4), (6, 12), (9, 16), (12, 4), (4, 16), (6, 4), (3, 8), (10, 12), (8, 16), (12, 16), (6, 16)])]
 WIDTH = max(w for _, _, w, _ in FILTERS)
-#: Quantiser limits on log ratios of areas; first bits of the bands of 16 that are looked up; most differing bits.
-LIMITS, BANDS, BIT_ERRORS, BLOCK = (-0.25, 0.0, 0.25), (0, 4, 8, 12, 16), 0.25, 4096
+#: Quantiser limits on log ratios of areas; first bits of the bands of 16 that are looked up; most differing bits; least
+#: share of hits in an overlap; bytes of a block.
+LIMITS, BANDS, BIT_ERRORS, HITS, BLOCK = (-0.25, 0.0, 0.25), (0, 4, 8, 12, 16), 0.25, 0.004, 2 << 20
 #: Numbers that are compared at once.
 _AT_ONCE = 1_000_000
 _GRAY = np.array([0, 1, 3, 2], dtype=np.uint32)
@@ -116,8 +119,19 @@ def _spread(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
 
 
+def _run_lengths(word: np.ndarray, apart: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(first place, length) of each run of one value; ``apart``: where runs must not go on."""
+    if not len(word):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    new = np.concatenate([[True], word[1:] != word[:-1]])
+    if apart is not None:
+        new[apart] = True
+    at = np.flatnonzero(new)
+    return at, np.diff(np.concatenate([at, [len(word)]]))
+
+
 class Index:
-    """Inverted index over a block of queries."""
+    """Inverted index over a block of queries: for each band the runs of equal words, by word."""
 
     def __init__(self, queries: list[tuple[int | None, bytes]]):
         self.ids = [q for q, _ in queries]
@@ -125,72 +139,71 @@ class Index:
         self.sizes = np.array([len(x) for x in prints], dtype=np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.values = np.concatenate([*prints, np.zeros(0, dtype=np.uint32)])
-        self.owner = np.repeat(np.arange(len(prints)), self.sizes)
-        self.place = np.arange(len(self.values)) - np.repeat(self.starts, self.sizes)
+        owner = np.repeat(np.arange(len(prints)), self.sizes)
         self.bands = []
         for bit in BANDS:
             word = self.values >> np.uint32(bit) & np.uint32(0xFFFF)
-            order = np.argsort(word, kind="stable").astype(np.int32)
-            self.bands.append((bit, order, np.searchsorted(word[order], np.arange(65537))))
-
-    def _offsets(self, x: np.ndarray) -> np.ndarray:
-        """Distinct (query << 32 | offset + 2 ** 31) at which some place has an equal band."""
-        found = [np.zeros(0, dtype=np.int64)]
-        for bit, order, first in self.bands:
+            at, length = _run_lengths(word, self.starts[self.sizes > 0])
+            order = np.argsort(word[at], kind="stable")
+            at, length = at[order], length[order]
+            self.bands.append((bit, owner[at], at - self.starts[owner[at]], length, np.searchsorted(word[at], np.arange(65537))))
+
+    def _histogram(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query << 32 | offset + 2 ** 31, places with an equal band) of every offset that has some."""
+        keys, counts = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for bit, owner, place, length, first in self.bands:
             word = (x >> np.uint32(bit) & np.uint32(0xFFFF)).astype(np.int64)
-            low, n = first[word], first[word + 1] - first[word]
+            here, size = _run_lengths(word)
+            low = first[word[here]]
+            n = first[word[here] + 1] - low
             for a, b in _runs(n):
-                at = order[_spread(low[a:b], n[a:b])]
-                found.append(np.unique(self.owner[at] << 32 | np.repeat(np.arange(a, b), n[a:b]) - self.place[at] + (1 << 31)))
-        return np.unique(np.concatenate(found))
+                there, mine = _spread(low[a:b], n[a:b]), np.repeat(np.arange(a, b), n[a:b])
+                # Runs of r and s places meet at r + s - 1 offsets, at min(r, s) places at most.
+                r, s = size[mine], length[there]
+                begin = here[mine] - (place[there] + s - 1)
+                for c, d in _runs(r + s - 1):
+                    wide = (r + s - 1)[c:d]
+                    step = _spread(np.zeros(d - c, dtype=np.int64), wide)
+                    keys.append((owner[there][c:d] << 32).repeat(wide) | begin[c:d].repeat(wide) + step + (1 << 31))
+                    counts.append(np.minimum(np.minimum(step + 1, wide.repeat(wide) - step), np.minimum(r, s)[c:d].repeat(wide)))
+        key, which = np.unique(np.concatenate(keys), return_inverse=True)
+        return key, np.bincount(which, np.concatenate(counts), len(key)).astype(np.int64)
 
     def align(self, x: np.ndarray) -> list[tuple[int | None, int, float]]:
         """(query, offset, share of differing bits) of every query that aligns; offset: place here minus place there."""
-        key = self._offsets(x)
+        key, hits = self._histogram(x)
         query, shift = key >> 32, (key & 0xFFFFFFFF) - (1 << 31)
         first = np.maximum(0, shift)
         n = np.minimum(len(x), self.sizes[query] + shift) - first
-        enough = 2 * n >= np.minimum(len(x), self.sizes[query])
-        query, shift, first, n = query[enough], shift[enough], first[enough], n[enough]
+        enough = (2 * n >= np.minimum(len(x), self.sizes[query])) & (hits >= HITS * n)
+        order = np.flatnonzero(enough)
+        order = order[np.argsort(np.abs(shift[order]), kind="stable")]
+        query, shift, first, n = query[order], shift[order], first[order], n[order]
         best: dict[int, tuple[float, int, int]] = {}
+        done = np.zeros(len(self.ids), dtype=bool)
         for a, b in _runs(n):
-            here = _spread(first[a:b], n[a:b])
-            there = _spread(self.starts[query[a:b]] + first[a:b] - shift[a:b], n[a:b])
-            bits = np.add.reduceat(np.bitwise_count(x[here] ^ self.values[there]).astype(np.int64), np.cumsum(n[a:b]) - n[a:b])
-            errors = bits / (32 * n[a:b])
+            # Offsets come by size, so the first one without a differing bit is the best of its query.
+            at = np.arange(a, b)[~done[query[a:b]]]
+            if not len(at):
+                continue
+            here = _spread(first[at], n[at])
+            there = _spread(self.starts[query[at]] + first[at] - shift[at], n[at])
+            bits = np.add.reduceat(np.bitwise_count(x[here] ^ self.values[there]).astype(np.int64), np.cumsum(n[at]) - n[at])
+            errors = bits / (32 * n[at])
             for k in np.flatnonzero(errors <= BIT_ERRORS).tolist():
-                q, at = int(query[a + k]), int(shift[a + k])
-                best[q] = min(best.get(q, (2.0, 0, 0)), (float(errors[k]), abs(at), at))
+                q, where = int(query[at[k]]), int(shift[at[k]])
+                best[q] = min(best.get(q, (2.0, 0, 0)), (float(errors[k]), abs(where), where))
+            done[query[at[bits == 0]]] = True
         return [(self.ids[q], at, e) for q, (e, _, at) in sorted(best.items())]
 
 
-def align(self, x: np.ndarray) -> list[tuple[int, int, float]]:
-        """(query, offset, share of differing bits) of every query that aligns; offset: place here minus place there."""
-        low, high = np.searchsorted(self.values, x, "left"), np.searchsorted(self.values, x, "right")
-        n = high - low
-        if not n.sum():
-            return []
-        at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        offset = np.repeat(np.arange(len(x)), n) - self.place[at]
-        key, count = np.unique(self.owner[at] << 32 | offset + (1 << 31), return_counts=True)
-        key, count = key[count >= COLLISIONS], count[count >= COLLISIONS]
-        out = []
-        for q in np.unique(key >> 32).tolist():
-            mine = key >> 32 == q
-            shift = int(key[mine][np.argmax(count[mine])] & 0xFFFFFFFF) - (1 << 31)
-            other = self.prints[q]
-            a, b = max(0, shift), min(len(x), len(other) + shift)
-            errors = float(np.bitwise_count(x[a:b] ^ other[a - shift : b - shift]).sum()) / (32 * (b - a))
-            if errors <= BIT_ERRORS and 2 * (b - a) >= min(len(x), len(other)):
-                out.append((int(self.ids[q]), shift, errors))
-        return out
-
-
 def align(prints: DataFrame, queries: DataFrame, block: int = BLOCK) -> DataFrame:
     """(rec_id, matches) for every recording of ``prints``; matches: (query, offset, bit_errors) with each distinct query."""
     context = prints.sparkSession.sparkContext
     distinct = settle(queries.groupBy("fingerprint").agg(F.min("rec_id").alias("rec_id")).where(F.length("fingerprint") > 0))
-    parts = max(1, -(-distinct.count() // block))
+    size, most = distinct.agg(F.coalesce(F.sum(F.length("fingerprint")), F.lit(0)), F.count("*")).first()
+    # A query is a block's least part; a hash deals them out evenly.
+    parts = max(1, min(most, -(-size // block)))
     # Ids may repeat or be null, so blocks' rows meet by a key of their own.
     keyed = prints.select("rec_id", "fingerprint", (F.lit(0) if parts == 1 else F.monotonically_increasing_id()).cast("long").alias("row"))
     if parts > 1:

@@ -7,9 +7,10 @@ their odds in toxic texts are over ODDS times those in clean ones, which any sha
 The lexicon is a trie, and a word is looked up by running its Levenshtein automaton along the trie: one edit for words
 of 5 letters or more, two from 9; digits may stand in words, and where such a word is no term its runs of letters are
 looked up. A term whose misspellings clean texts contain as often as toxic ones is matched
-exactly only. Each match has a context window of CONTEXT words; quotation marks around it or words of reporting in it
-make it a quotation. A ridge-penalised logistic regression turns a text's counts of plain, misspelled and quoted
-matches into a score; it is fitted to the table of these counts, which has at most 128 rows.
+exactly only. Each match has a context window of CONTEXT words and a score in it from 0, abuse, to 1, quotation: 1 with
+quotation marks on both sides, and the more the nearer a word of reporting stands. A match counts by one less its score as
+plain or misspelled abuse and by its score as quotation. A ridge-penalised logistic regression turns these three sums, on
+a logarithmic scale in half steps, into a text's score; it is fitted to the table of their combinations.
 
 Fitting is bounded by TRAIN_ROWS and runs as Spark jobs; scoring is one pass without a shuffle. Language,
 source, ids and labels never enter a score.
@@ -34,9 +35,9 @@ from pyspark.sql import functions as F
 
 from .shared import documents, give_back, release, settle, tidy
 
-FOLDS, TRAIN_ROWS, ODDS, CONTEXT, CAP = 5, 40_000, 3, 6, 3
+FOLDS, TRAIN_ROWS, ODDS, CONTEXT = 5, 40_000, 3, 6
 _WORD, _LETTERS = re.compile(r"(?<![^\W_])\d*+[^\W\d_][^\W_]*"), re.compile(r"[^\W\d_]+")
-_QUOTES = "\"'“”„«»‘’`"
+_QUOTES = "\"“”„«»‘’`"
 #: Words of reporting that mark a quotation.
 REPORTING = frozenset("said says quote quoted quotes called calling word words term wrote reported citing dit mot cite sagte wort zitat dijo palabra cita".split())
 _MEMO = 200_000
@@ -93,7 +94,7 @@ class Model:
     #: Of the constant and of plain, misspelled and quoted matches.
     weights: list[float]
 
-    def probability(self, found: list[tuple[int, int, bool]]) -> float:
+    def probability(self, found: list[tuple[int, int, float]]) -> float:
         z = self.weights[0] + sum(a * b for a, b in zip(self.weights[1:], features(found), strict=True))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
@@ -138,8 +139,8 @@ class Matcher:
         found = self.trie.nearest(word, edits)
         return found if found and self.fuzzy[found[1]] else None
 
-    def matches(self, text: str) -> list[tuple[int, int, bool]]:
-        """(edits, term, quoted) of every match, in order."""
+    def matches(self, text: str) -> list[tuple[int, int, float]]:
+        """(edits, term, context score) of every match, in order."""
         low = text.lower()
         words = _WORD.findall(low)
         memo, hit = self.memo, {}
@@ -160,16 +161,20 @@ class Matcher:
             if w in hit:
                 a, b = max(0, k - CONTEXT), min(len(words), k + CONTEXT + 1)
                 before, after = low[places[a][0] : places[k][0]], low[places[k][1] : places[b - 1][1]]
-                marked = any(q in before for q in _QUOTES if q != "'") and any(q in after for q in _QUOTES if q != "'")
-                out.append((*hit[w], marked or not REPORTING.isdisjoint(words[a:b])))
+                marked = any(q in before for q in _QUOTES) and any(q in after for q in _QUOTES)
+                near = min((abs(j - k) for j in range(a, b) if words[j] in REPORTING), default=CONTEXT + 1)
+                out.append((*hit[w], 1.0 if marked else 1 - max(0, near - 1) / CONTEXT))
         return out
 
 
-def features(found: list[tuple[int, int, bool]]) -> tuple[int, int, int]:
-    """Plain, misspelled and quoted matches, up to CAP of each."""
-    plain = sum(d == 0 and not q for d, _, q in found)
-    near = sum(d > 0 and not q for d, _, q in found)
-    return min(plain, CAP), min(near, CAP), min(sum(q for *_, q in found), CAP)
+def level(x: float) -> float:
+    """A sum on a logarithmic scale, in half steps."""
+    return math.floor(2 * math.log2(1 + x) + 0.5) / 2
+
+
+def features(found: list[tuple[int, int, float]]) -> tuple[float, float, float]:
+    """Levels of plain abuse, of misspelled abuse and of quotation."""
+    return level(sum(1 - q for d, _, q in found if d == 0)), level(sum(1 - q for d, _, q in found if d > 0)), level(sum(q for *_, q in found))
 
 
 def held_out(id_col: str) -> Column:
@@ -199,7 +204,7 @@ def _lexicon(train: DataFrame, n_toxic: int, n: int) -> list[str]:
     return [r["term"] for r in strong.collect()]
 
 
-def _regression(table: list[tuple[tuple[int, int, int], int, int]], penalty: float = 0.5) -> list[float]:
+def _regression(table: list[tuple[tuple[float, float, float], int, int]], penalty: float = 0.5) -> list[float]:
     """Newton's method on counts ((features), toxic, all); weights shrink to PRIOR, so what is never seen keeps sense."""
     prior = np.array([0.0, 2.0, 1.5, 0.3])
     x = np.array([[1, *f] for f, _, _ in table], dtype=float)
@@ -233,17 +238,17 @@ def fit(df: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model
         matcher = Matcher(terms)
         for batch in batches:
             found = [matcher.matches(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[t if d == 0 else -t - 1 for d, t, q in f] for f in found], pa.list_(pa.int32())), pa.array([[q for *_, q in f] for f in found], pa.list_(pa.bool_()))], names=["toxic", "terms", "quoted"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[t if d == 0 else -t - 1 for d, t, q in f] for f in found], pa.list_(pa.int32())), pa.array([[q for *_, q in f] for f in found], pa.list_(pa.float64()))], names=["toxic", "terms", "quoted"])
 
-    found = settle(train.select("toxic", "text").mapInArrow(tidy(find), "toxic int, terms array<int>, quoted array<boolean>"))
+    found = settle(train.select("toxic", "text").mapInArrow(tidy(find), "toxic int, terms array<int>, quoted array<double>"))
     near = found.select("toxic", F.explode(F.array_distinct(F.filter("terms", lambda t: t < 0))).alias("t")).groupBy("t").agg(F.sum("toxic").alias("pos"), F.count("*").alias("n")).collect()
     fuzzy = [True] * len(terms)
     for r in near:
         fuzzy[-r["t"] - 1] = r["pos"] * (n - n_toxic) > 3 * (r["n"] - r["pos"]) * n_toxic
     on = F.lit("".join("01"[x] for x in fuzzy))
     use = F.expr("filter(arrays_zip(terms, quoted), z -> z.terms >= 0 or substring(on, -z.terms, 1) = '1')")
-    kinds = ("not z.quoted and z.terms >= 0", "not z.quoted and z.terms < 0", "z.quoted")
-    counted = found.withColumn("on", on).select("toxic", use.alias("m")).select("toxic", *(F.expr(f"least({CAP}, size(filter(m, z -> {k})))").alias(f"f{i}") for i, k in enumerate(kinds)))
+    sums = ("filter(m, z -> z.terms >= 0), 0D, (s, z) -> s + 1 - z.quoted", "filter(m, z -> z.terms < 0), 0D, (s, z) -> s + 1 - z.quoted", "m, 0D, (s, z) -> s + z.quoted")
+    counted = found.withColumn("on", on).select("toxic", use.alias("m")).select("toxic", *(F.expr(f"floor(2 * log2(1 + aggregate({x})) + 0.5D) / 2D").alias(f"f{i}") for i, x in enumerate(sums)))
     rows = counted.groupBy("f0", "f1", "f2").agg(F.sum("toxic").alias("pos"), F.count("*").alias("n")).collect()
     release(train, found)
     return Model(terms, fuzzy, _regression([((r["f0"], r["f1"], r["f2"]), r["pos"], r["n"]) for r in rows]))
