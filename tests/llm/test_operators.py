@@ -285,3 +285,41 @@ def test_chat_windows_keep_the_budget_and_repeat_the_system_turn(spark):
         assert len(w["text"].replace("<|", " <|").split()) <= 300 + 4 * 12
         assert w["text"].startswith("<|seen|>system\nbe kind" if k else "<|turn|>system\nbe kind")
         assert all(w["text"][m["start"] : m["end"]] == "word " * 90 for m in w["mask"])
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_same_rows_as_sql(spark, sf_dir, name):
+    import compare
+    import duckdb
+
+    con = duckdb.connect()
+    compare.views(con, sf_dir)
+    assert compare.difference(registry.queries()[name](spark, sf_dir), con, registry.oracle_sql()[name]) == ""
+
+
+def test_windows_by_tokens_of_a_vocabulary(spark):
+    source = [(1, k, "user" if k % 2 else "assistant", "word " * 5, 100) for k in range(6)]
+    df = spark.createDataFrame(source, "conv_id long, turn long, role string, text string, n_ids int")
+    assert len(chat.windows(df, budget=250, history=0).first()["windows"]) == 1
+    assert [w["fresh"] for w in chat.windows(df, budget=250, history=0, tokens="n_ids").first()["windows"]] == [2, 2, 2]
+
+
+def test_conversations_without_rows_and_with_rows_that_repeat(spark):
+    none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert [r["conv_id"] for r in chat.digests(none).collect()] == [-7]
+    source = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "user", "a"), (None, None, None, None)]
+    found = {r["conv_id"]: (r["n_turns"], r["turns_sha256"]) for r in chat.digests(spark.createDataFrame(source, none.schema)).collect()}
+    assert found[1] == (3, plain.sha("user\na\nuser\na\nuser\nb\n")) and found[None] == (1, plain.sha("\n\n"))
+
+
+def test_rows_with_repeated_and_null_ids(spark, none):
+    text = " ".join(f"w{k}" for k in range(40))
+    df = spark.createDataFrame([(1, text), (1, text), (2, text), (None, text), (None, None), (3, text + " end")], "doc_id long, text string")
+    count = lambda rows: sorted((str(r["doc_id"]), *r[1:]) for r in rows)
+    near = count(tuple(r) and r for r in neardup.near_duplicates(df).collect())
+    assert near == [("1", 36, 1, True), ("1", 36, 1, True), ("2", 36, 1, False), ("3", 37, 1, False), ("None", 0, None, True), ("None", 36, None, True)]
+    gone = sorted((str(r["doc_id"]), r["n_words"], r["n_removed"]) for r in substring.digests(df).collect())
+    assert gone == [("1", 40, 0), ("1", 40, 0), ("2", 40, 40), ("3", 41, 40), ("None", 0, 0), ("None", 40, 0)]
+    vocabulary = public_vocabulary("byte_bpe_50k.json")
+    assert packing.packed(df, vocabulary).count() == 6 and bpe.encode(df, vocabulary).count() == 6
+    assert quality.verdicts(df).count() == 6 and secrets.report(df).count() == 6

@@ -31,10 +31,14 @@ def unescaped(text: Column) -> Column:
     return F.array_join(F.transform(F.split(text, r"\\\\"), lambda part: F.replace(part, F.lit("\\o"), F.lit("<|"))), "\\")
 
 
-def windows(df: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """(conv_id, windows): each window has its text, its mask (start, end in code points) and its numbers of repeated and fresh turns."""
-    rows = df.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    words = F.size(F.filter(F.split("text", "[ \\t-\\r]+"), lambda w: w != ""))
+def windows(df: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokens: str | None = None) -> DataFrame:
+    """(conv_id, windows): each window has its text, its mask (start, end in code points) and its numbers of repeated and fresh turns.
+
+    ``tokens`` names a column with the tokens of a turn's text in some vocabulary, such as the size of what ``bpe.encode``
+    gives (null: none); without one, words count. Three more stand for the template.
+    """
+    count = F.coalesce(F.col(tokens).cast("int"), F.lit(0)) if tokens else F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "[ \\t-\\r]+"), lambda w: w != ""))
+    rows = df.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), count.alias("count"))
     rows = rows.select(
         "conv_id",
         F.struct(
@@ -43,7 +47,7 @@ def windows(df: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> Data
             "text",
             F.concat(F.replace(escaped(F.col("role")), F.lit("\n"), F.lit("\\n")), F.lit("\n")).alias("head"),
             escaped(F.col("text")).alias("body"),
-            (words + 3).alias("tokens"),
+            (F.col("count") + 3).alias("tokens"),
         ).alias("t"),
     )
     turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, html, media, neardup, packing, quality, secrets, substring, toxicity
+from . import bpe, chat, html, media, neardup, oracle, packing, quality, secrets, substring, toxicity
 from .shared import public_vocabulary, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,11 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(table(spark, sf_dir, "conversations"))
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of operator 7's policy rejects, alone and beside others, by bitwise aggregation of the ledger."""
+    return quality.ablation(quality.ledger(table(spark, sf_dir, "documents")), "v1")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_bpe": op1_bpe,
@@ -64,8 +69,15 @@ def queries() -> dict[str, Query]:
         "op8_minhash_neardup": op8_minhash_neardup,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_chat_windows": op10_chat_windows,
+        "quality_ablation": quality_ablation,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op7_quality_ledger": oracle.VERDICTS,
+        "op8_minhash_neardup": oracle.NEAR_COPIES,
+        "op9_substring_dedup": oracle.REPEATS,
+        "op10_chat_windows": oracle.chat(chat.BUDGET, chat.HISTORY),
+        "quality_ablation": oracle.ABLATION,
+    }
