@@ -323,3 +323,18 @@ def test_rows_with_repeated_and_null_ids(spark, none):
     vocabulary = public_vocabulary("byte_bpe_50k.json")
     assert packing.packed(df, vocabulary).count() == 6 and bpe.encode(df, vocabulary).count() == 6
     assert quality.verdicts(df).count() == 6 and secrets.report(df).count() == 6
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_bpe_of_long_fragments(name):
+    import random
+
+    from tributary.llm.shared import file_bytes
+
+    own, library = bpe.Bpe(file_bytes(public_vocabulary(name))), Tokenizer.from_file(public_vocabulary(name))
+    library.no_truncation()
+    draw = random.Random(8)
+    for n in (61, 200, 3000):
+        for letters in ("ab", "aeinrst", "hello", "=-"):
+            text = "".join(draw.choice(letters) for _ in range(n))
+            assert list(memoryview(own.encode(text)).cast("I")) == library.encode(text, add_special_tokens=False).ids, (n, letters)
