@@ -59,3 +59,19 @@ def test_pipeline_in_plain_python(spark, sf_dir, tmp_path):
     want = plain.pieces(hidden, Tokenizer.from_file(public_vocabulary("byte_bpe_50k.json")))
     found = {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in corpus_pipeline.run(spark, sf_dir).collect()}
     assert found == want
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, odd, none, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(7, 0), (4, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, docs in (("odd", odd), ("none", none)):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.read.parquet(f"{tmp_path}/labels.parquet").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        rows = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            rows = stage(spark, rows, f"{tmp_path}/{name}")
+            assert rows.columns == docs.columns
+        packed = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        # Copies and passages go; null and empty texts stay.
+        assert {r["doc_id"] for r in packed} >= ({1, 2, 3, 4, 5, 7} if name == "odd" else set()) and 8 not in {r["doc_id"] for r in packed}

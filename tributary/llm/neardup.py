@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import WORD, documents, settle, sized, tidy, unused
+from .shared import WORD, documents, settle, settled_alone, sized, tidy, unused
 
 COORDINATES, MATCHES, SHINGLE, DRAWS, RARE = 64, 35, 5, 6, 16
 #: Ids are broadcast up to this number (8 MB); beyond it they are joined by a shuffle.
@@ -256,6 +256,7 @@ def links(sets: DataFrame, rows: DataFrame, shingle: int = SHINGLE, matches: int
     return settle(first.union(second).union(third))
 
 
+@settled_alone
 def near_duplicates(df: DataFrame, shingle: int = SHINGLE, percent: int = 80, coordinates: int = COORDINATES, matches: int = MATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document."""
     rows = documents(df, id_col, text_col)

@@ -6,7 +6,8 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import wraps
 from pathlib import Path
 
 import pyarrow as pa
@@ -24,9 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share; a temporary one only for a local session that names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="tributary-checkpoints-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -40,15 +43,44 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tributary/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _STEPS:
+        _STEPS[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables that steps in progress have written.
+_STEPS: list[list[str]] = []
+
+
+def _delete(spark: SparkSession, folders: Iterable[str]) -> None:
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(*settled: DataFrame) -> None:
     """Delete what ``settle`` wrote for these; nothing lazy may still need them."""
     for df in settled:
-        for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file)
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, {f.rsplit("/", 1)[0] for f in df.inputFiles()})
+
+
+def settled_alone(make: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``make``, whose result is written as a table; all that was written on the way to it is deleted then."""
+
+    @wraps(make)
+    def run(*args, **kwargs) -> DataFrame:
+        _STEPS.append([])
+        try:
+            result = make(*args, **kwargs)
+        except BaseException:
+            _STEPS.pop()
+            raise
+        folders = _STEPS.pop()
+        out = settle(result)
+        _delete(out.sparkSession, folders)
+        return out
+
+    return run
 
 
 def sized(df: DataFrame, rows: int = 500_000) -> DataFrame:
