@@ -1,7 +1,11 @@
 """A training corpus from ``documents``: toxic texts go, near copies go, repeated passages go, secrets are masked, the rest is packed.
 
-Each stage takes what its predecessor kept, written as Parquet and read again. All but the last return the columns of
-``documents``; where a stage changes a text, ``n_chars`` follows.
+Each stage takes what its predecessor kept, written as Parquet and read again; a stage's table is deleted when the next
+one's is written. All but the last return the columns of ``documents``; where a stage changes a text, ``n_chars`` follows.
+
+Edge cases: null and empty texts are not toxic, link with nothing, hold no passage and no secret, and pack as a closing id;
+rows that repeat an id are judged each by its own text, and stay or go together as near copies; an empty table gives an
+empty result; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.llm import neardup, packing, secrets, substring, toxicity
-from tributary.llm.shared import public_vocabulary, settle, table
+from tributary.llm.shared import public_vocabulary, release, settle, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -32,7 +36,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: words in windows that an earlier document has are removed."""
+    """Operator 9: words in windows that an earlier document has are removed; texts that lose words are the rest, joined by
+    one space, and documents that lose all go."""
     return _recounted(substring.without_repeats(docs))
 
 
@@ -59,7 +64,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for _, stage in STAGES[:-1]:
         docs = settle(stage(spark, docs, sf_dir))
+        release(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
