@@ -51,6 +51,11 @@ def flattened(df: DataFrame, key: str, vectors_col: str = "embeddings", texts_co
     return rows.where(vectors.usable(F.col("embedding")))
 
 
+def matrix(rows: list[list[float]]) -> np.ndarray:
+    """Vectors of one length as rows; none make an empty matrix."""
+    return np.array(rows, dtype=float).reshape(len(rows), len(rows[0]) if rows else 0)
+
+
 def with_norm(items: DataFrame) -> DataFrame:
     return items.withColumn("norm", vectors.norm(F.col("embedding")))
 
@@ -82,7 +87,7 @@ def nearest_items_block(items: DataFrame, queries: DataFrame, k: int = 1) -> Dat
 
     def run(block: DataFrame) -> DataFrame:
         rows = block.where(vectors.usable(F.col("embedding"))).select("query_id", "query_pos", "embedding").orderBy("query_id", "query_pos").collect()
-        sent = context.broadcast(([(r[0], r[1]) for r in rows], np.array([r[2] for r in rows], dtype=float).reshape(len(rows), -1)))
+        sent = context.broadcast(([(r[0], r[1]) for r in rows], matrix([r[2] for r in rows])))
 
         def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys, q = sent.value

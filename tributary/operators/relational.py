@@ -89,6 +89,7 @@ def numbered(rows: DataFrame, key: str, order: list[str], start: int = 1) -> Dat
     spread = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
     sizes = spread.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_low"))
     before = sizes.select("_part", "_low", (F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).alias("_before"))
+    # One row of four numbers for each partition.
     out = spread.join(F.broadcast(before), "_part")
     return out.withColumn(key, F.coalesce("_before", F.lit(0)) + F.col("_at") - F.col("_low") + start).drop("_part", "_at", "_low", "_before")
 

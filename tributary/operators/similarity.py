@@ -40,7 +40,7 @@ def item_sums(items: DataFrame, queries: DataFrame) -> DataFrame:
 
     def run(block: DataFrame) -> DataFrame:
         rows = block.where(vectors.usable(F.col("embedding"))).select("query_id", "embedding").orderBy("query_id").collect()
-        sent = context.broadcast((np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=float).reshape(len(rows), -1)))
+        sent = context.broadcast((np.array([r[0] for r in rows], dtype=np.int64), nearest.matrix([r[1] for r in rows])))
 
         def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids, q = sent.value

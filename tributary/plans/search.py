@@ -90,7 +90,7 @@ def in_given_order(rows: DataFrame, key: str, ids: list[int]) -> DataFrame:
     """Rows with the given ids and their positions in the list."""
     spark = rows.sparkSession
     order = spark.createDataFrame([(i, k) for k, i in enumerate(ids)], f"`{key}` long, position int")
-    return rows.join(F.broadcast(order), key)
+    return rows.join(F.broadcast(order) if len(ids) <= 100_000 else order, key)
 
 
 def displayed(rows: DataFrame, items_col: str, n: int = 5, chars: int = 30) -> DataFrame:

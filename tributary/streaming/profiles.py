@@ -29,9 +29,10 @@ def append_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 
 
 def on_new_documents(stream: DataFrame, process, path: str, checkpoint: str) -> StreamingQuery:
-    """Run a batch pipeline on each arrival of documents and append what it returns."""
+    """Run a batch pipeline on each arrival of documents; what it returns goes to a folder ``batch=<id>`` of its own, so a
+    batch that is run again after a failure replaces what it had written."""
 
-    def run(batch: DataFrame, _: int) -> None:
-        process(batch).write.mode("append").parquet(path)
+    def run(batch: DataFrame, batch_id: int) -> None:
+        process(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
