@@ -94,14 +94,21 @@ def nearest_nodes(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", "sentence", "ord", *ways)
 
 
-@query("op_l8_without_submitters")
+def _made(spark: SparkSession, sf: str) -> DataFrame:
+    """A sentence for each part: a supplier, or for parts of odd size the submitter, delivers a machine for a price."""
+    who = "if(p_size % 2 = 0, 'Dodavatel\\tdodavatel', 'Objednatel\\tobjednatel')"
+    words = f"concat('1\\t', {who}, '\\tNOUN\\t_\\tCase=Nom\\t2\\tnsubj\\t_\\t_\\n2\\tdodá\\tdodat\\tVERB\\t_\\t_\\t0\\troot\\t_\\t_\\n3\\tstroj', p_partkey, '\\tstroj\\tNOUN\\t_\\tCase=Acc\\t2\\tobj\\t_\\t_\\n4\\tza\\tza\\tADP\\t_\\t_\\t5\\tcase\\t_\\t_\\n5\\tcenu\\tcena\\tNOUN\\t_\\tCase=Acc\\t2\\tobl\\t_\\t_\\n')"
+    return trees.sentences(table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), F.expr(words).alias("conllu")))
+
+
+@query("op_l8_without_submitters", "select p_partkey as doc_id, case when p_size % 2 = 0 then 'Dodavatel dodá stroj' || p_partkey || ' za cenu' else '' end as text from part")
 def without_submitters(spark: SparkSession, sf: str) -> DataFrame:
-    return trees.texts(trees.without_submitter_clauses(_sentences(spark, sf)))
+    return trees.texts(trees.without_submitter_clauses(_made(spark, sf)))
 
 
-@query("op_l9_subject_parts")
+@query("op_l9_subject_parts", "select p_partkey as doc_id, case when p_size % 2 = 0 then 'stroj' || p_partkey || ' za cenu' else '' end as text from part")
 def subject_parts(spark: SparkSession, sf: str) -> DataFrame:
-    return trees.subject_parts(_sentences(spark, sf)).select("doc_id", "sentence", trees.sentence_text(F.col("tokens")).alias("text"))
+    return trees.subject_parts(_made(spark, sf)).select("doc_id", trees.sentence_text(F.col("tokens")).alias("text"))
 
 
 @query("op_l10_without_empty_sentences", _SUBTREES + "select doc_id, sentence::int as sentence, count(*) as n from t anti join gone using (doc_id, sentence, ord) group by 1, 2")
@@ -110,9 +117,9 @@ def without_empty_sentences(spark: SparkSession, sf: str) -> DataFrame:
     return left.select("doc_id", "sentence", F.size("tokens").cast("long").alias("n"))
 
 
-@query("op_l11_default_filters")
+@query("op_l11_default_filters", "select p_partkey as doc_id, 'stroj' || p_partkey as text from part where p_size % 2 = 0")
 def default_filters(spark: SparkSession, sf: str) -> DataFrame:
-    return trees.texts(trees.filtered(_sentences(spark, sf)))
+    return trees.texts(trees.filtered(_made(spark, sf)))
 
 
 @query("op_r17_conllu_files", _TOKENS + "select doc_id, count(*) as n, sum(ord * length(form))::bigint as weight from t group by 1")
