@@ -80,9 +80,20 @@ def nearest_items(items: DataFrame, queries: DataFrame, k: int | None = 1, dista
     return top_k(pairs, F.round("distance", 9).asc(), k, [*query_key], [*item_key])
 
 
-def nearest_items_block(items: DataFrame, queries: DataFrame, k: int = 1) -> DataFrame:
-    """``nearest_items`` by cosine as matrix products: each task multiplies its items with a broadcast block of queries and
-    keeps k a query, so at most k rows a query and task are shuffled. Same result, for many queries."""
+def _block_distances(v: np.ndarray, q: np.ndarray, distance: str) -> np.ndarray:
+    """Queries x items. Cosine is a matrix product; differences are taken a few items at a time, so no cube of all is held."""
+    if distance == "cosine":
+        return 1 - (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T
+    out, step = np.empty((len(q), len(v))), max(1, 2_000_000 // max(1, q.size))
+    for a in range(0, len(v), step):
+        gap = q[:, None, :] - v[None, a : a + step, :]
+        out[:, a : a + step] = np.sqrt(np.einsum("ijk,ijk->ij", gap, gap)) if distance == "euclidean" else np.abs(gap).sum(axis=2)
+    return out
+
+
+def nearest_items_block(items: DataFrame, queries: DataFrame, k: int = 1, distance: str = "cosine") -> DataFrame:
+    """``nearest_items`` by matrices: each task compares its items with a broadcast block of queries and keeps k a query,
+    so at most k rows a query and task are shuffled. Same result, for many queries."""
     context = items.sparkSession.sparkContext
 
     def run(block: DataFrame) -> DataFrame:
@@ -93,14 +104,13 @@ def nearest_items_block(items: DataFrame, queries: DataFrame, k: int = 1) -> Dat
             keys, q = sent.value
             if not len(keys):
                 return
-            q = q / np.linalg.norm(q, axis=1, keepdims=True)
             # The k best so far of each query, in rows: rounded and whole distance, contract, position.
             near, whole, ids, at = (np.zeros((len(keys), 0), dtype=t) for t in (float, float, np.int64, np.int64))
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 v = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-                d = 1 - q @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T
+                d = _block_distances(v, q, distance)
                 fresh = [np.tile(batch.column(c).to_numpy(zero_copy_only=False), (len(keys), 1)) for c in (0, 1)]
                 near, whole, ids, at = (np.hstack(x) for x in ((near, np.round(d, 9)), (whole, d), (ids, fresh[0]), (at, fresh[1])))
                 order = np.lexsort((at, ids, near), axis=1)[:, :k]

@@ -52,6 +52,16 @@ def euclidean_knn(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(nearest.nearest_items(roles.ref_item(spark, sf), roles.query_item(spark, sf), 10, "euclidean"), "distance")
 
 
+@query("op_c1_euclidean_knn_block", _knn_sql(_EUC, 10))
+def euclidean_knn_block(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(nearest.nearest_items_block(roles.ref_item(spark, sf), roles.query_item(spark, sf), 10, "euclidean"), "distance")
+
+
+@query("op_c12_manhattan_match_block", _knn_sql(_L1, 1))
+def manhattan_match_block(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(nearest.nearest_items_block(roles.ref_item(spark, sf), roles.query_item(spark, sf), 1, "manhattan"), "distance")
+
+
 @query("op_c12_manhattan_match", _knn_sql(_L1, 1))
 def manhattan_match(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(nearest.nearest_items(roles.ref_item(spark, sf), roles.query_item(spark, sf), 1, "manhattan"), "distance")
