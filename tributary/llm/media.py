@@ -150,7 +150,7 @@ class Index:
 
     def _histogram(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query << 32 | offset + 2 ** 31, places with an equal band) of every offset that has some."""
-        keys, counts = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        key, hits = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         for bit, owner, place, length, first in self.bands:
             word = (x >> np.uint32(bit) & np.uint32(0xFFFF)).astype(np.int64)
             here, size = _run_lengths(word)
@@ -164,10 +164,12 @@ class Index:
                 for c, d in _runs(r + s - 1):
                     wide = (r + s - 1)[c:d]
                     step = _spread(np.zeros(d - c, dtype=np.int64), wide)
-                    keys.append((owner[there][c:d] << 32).repeat(wide) | begin[c:d].repeat(wide) + step + (1 << 31))
-                    counts.append(np.minimum(np.minimum(step + 1, wide.repeat(wide) - step), np.minimum(r, s)[c:d].repeat(wide)))
-        key, which = np.unique(np.concatenate(keys), return_inverse=True)
-        return key, np.bincount(which, np.concatenate(counts), len(key)).astype(np.int64)
+                    more = (owner[there][c:d] << 32).repeat(wide) | begin[c:d].repeat(wide) + step + (1 << 31)
+                    n_more = np.minimum(np.minimum(step + 1, wide.repeat(wide) - step), np.minimum(r, s)[c:d].repeat(wide))
+                    # Added up after each portion, so memory follows the number of offsets, not of hits.
+                    key, which = np.unique(np.concatenate([key, more]), return_inverse=True)
+                    hits = np.bincount(which, np.concatenate([hits, n_more]), len(key)).astype(np.int64)
+        return key, hits
 
     def align(self, x: np.ndarray) -> list[tuple[int | None, int, float]]:
         """(query, offset, share of differing bits) of every query that aligns; offset: place here minus place there."""

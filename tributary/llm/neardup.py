@@ -48,7 +48,7 @@ COORDINATES, MATCHES, SHINGLE, DRAWS, RARE = 64, 35, 5, 6, 16
 BROADCAST_IDS = 1_000_000
 _WORD = re.compile(WORD)
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-_SLICE = 1_500_000
+_SLICE = 1_000_000
 _SEEDS = np.random.default_rng(20).integers(1, 1 << 63, size=2 * 1024, dtype=np.uint64)
 
 

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .shared import WORD, documents, give_back, settle, tidy, unused
 
 WINDOW = 13
-BUCKET_CHARS = 2_000_000
+BUCKET_CHARS = 1_500_000
 BATCH_CHARS = 1_000_000
 BROADCAST_SPANS = 1_000_000
 SAMPLE_DOCUMENTS = 20_000
