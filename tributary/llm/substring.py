@@ -25,6 +25,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from .shared import WORD, documents, give_back, settle, tidy, unused
 
 WINDOW = 13
-BUCKET_CHARS = 1_500_000
+BUCKET_CHARS = 2_000_000
 BATCH_CHARS = 1_000_000
 BROADCAST_SPANS = 1_000_000
 SAMPLE_DOCUMENTS = 20_000
@@ -96,14 +97,20 @@ def _spans(starts: np.ndarray, docs: np.ndarray, window: int) -> tuple[np.ndarra
     return docs[at], starts[at], starts[np.concatenate([at[1:], [len(starts)]]) - 1] + window
 
 
+@cache
+def _tools() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    """One pair for each worker."""
+    return zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+
+
 def _packed(arrays: list[np.ndarray], strings: list[str]) -> bytes:
     head = np.array([len(strings), len(arrays[0])], dtype=np.int64).tobytes()
     body = head + b"".join(a.astype(np.int64).tobytes() for a in arrays) + "\n".join(strings).encode("utf-8", "surrogatepass")
-    return zstandard.ZstdCompressor(level=3).compress(body)
+    return _tools()[0].compress(body)
 
 
 def _unpacked(blob: bytes, n: int) -> tuple[list[np.ndarray], list[str]]:
-    body = zstandard.ZstdDecompressor().decompress(blob)
+    body = _tools()[1].decompress(blob)
     strings, size = np.frombuffer(body, dtype=np.int64, count=2)
     numbers = np.frombuffer(body, dtype=np.int64, offset=16, count=n * size).reshape(n, size)
     return list(numbers), body[16 + 8 * n * int(size) :].decode("utf-8", "surrogatepass").split("\n") if strings else []
@@ -205,8 +212,9 @@ def spans(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col:
         kept = Batch(buckets, frequent.value, window)
 
         def out() -> Iterator[pa.RecordBatch]:
-            for bucket, super_kmers, settled in kept.flush():
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([super_kmers], pa.binary()), pa.array([settled], pa.binary())], names=["bucket", "super_kmers", "settled"])
+            rows = list(kept.flush())
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "super_kmers", "settled"])
 
         for batch in batches:
             for k in range(batch.num_rows):
