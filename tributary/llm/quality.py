@@ -6,7 +6,7 @@ Everything is a DataFrame expression on one row, so nothing is shuffled; only th
 
 Edge cases: null, empty and blank texts have no words and fail ``few_words``; texts of one or two words have no
 three-word window; repeated rows get the same bits each; an empty table gives an empty ledger; only the id and the
-text are read, so extra columns cannot clash. Windows are sorted by a hash, then by their words, and compared by words.
+text are read, so extra columns cannot clash. Windows are sorted by a hash; neighbours of one hash are compared by their words.
 """
 
 from __future__ import annotations
@@ -51,11 +51,11 @@ def ledger(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         (F.length(text) - F.length(F.translate(text, upper, ""))).cast("long").alias("n_upper"),
         F.filter(F.split(text, "\n"), lambda line: line.rlike("[^ \\t-\\r]")).alias("lines"),
-        # Each window with its place, sorted: equal windows become neighbours. A hash goes first, so words are seldom compared.
-        F.expr("if(size(words) < 3, array(), sort_array(transform(sequence(1, greatest(size(words) - 2, 1)), i -> struct(xxhash64(element_at(words, i), try_element_at(words, i + 1), try_element_at(words, i + 2)) as h, element_at(words, i) as x, try_element_at(words, i + 1) as y, try_element_at(words, i + 2) as z, i))))").alias("windows"),
+        # Each window's hash with its place, sorted: equal windows become neighbours.
+        F.expr("if(size(words) < 3, array(), sort_array(transform(sequence(1, greatest(size(words) - 2, 1)), i -> struct(xxhash64(element_at(words, i), try_element_at(words, i + 1), try_element_at(words, i + 2)) as h, i))))").alias("windows"),
     )
     # The places that have an equal neighbour, in order, cover three words each.
-    twice = "array_sort(array_distinct(flatten(filter(zip_with(windows, slice(windows, 2, greatest(size(windows) - 1, 0)), (a, b) -> if(a.h = b.h and a.x = b.x and a.y = b.y and a.z = b.z, array(a.i, b.i), null)), x -> x is not null))))"
+    twice = "array_sort(array_distinct(flatten(filter(zip_with(windows, slice(windows, 2, greatest(size(windows) - 1, 0)), (a, b) -> if(a.h = b.h and element_at(words, a.i) = element_at(words, b.i) and element_at(words, a.i + 1) = element_at(words, b.i + 1) and element_at(words, a.i + 2) = element_at(words, b.i + 2), array(a.i, b.i), null)), x -> x is not null))))"
     covered = f"aggregate({twice}, named_struct('n', 0L, 'to', 0), (s, i) -> named_struct('n', s.n + i + 2 - greatest(s.to, i - 1), 'to', i + 2), s -> s.n)"
     measured = base.select(
         id_col,
