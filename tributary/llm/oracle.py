@@ -60,3 +60,60 @@ spans as (select conv_id, start, max(b) + 1 as stop from walk group by 1, 2),
 f as (select x.conv_id, sum(s.wide[x.stop + 1] - s.wide[h.first + 1] + case when x.start > 0 then s.wide[s.lead + 1] else 0 end)::bigint as formatted_chars from spans x join s on s.conv_id = x.conv_id join h on h.conv_id = x.conv_id and h.k = x.start group by 1)
 select t.conv_id, count(*)::bigint as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by i)) as turns_sha256, coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
  sha256(coalesce(string_agg(text, '' order by i) filter (where role = 'assistant'), '')) as loss_sha256, any_value(formatted_chars) as formatted_chars from t join f on f.conv_id = t.conv_id group by 1"""
+
+
+FIM = """with t as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as units, sha256('1:' || coalesce(doc_id::varchar, '')) as h from documents),
+n as (select *, len(units)::bigint as n, ('0x' || h[1:8])::bigint as h1, ('0x' || h[9:16])::bigint as h2, ('0x' || h[17:24])::bigint as h3, ('0x' || h[25:32])::bigint as h4 from t),
+c as (select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+ case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form from n),
+p as (select *, array_to_string(units[1 : a], '') as prefix, array_to_string(units[a + 1 : b], '') as middle, array_to_string(units[b + 1 : n], '') as suffix from c)
+select doc_id, n, form, case when form <> 'plain' then length(prefix) end::bigint as prefix_chars, case when form <> 'plain' then length(middle) end::bigint as middle_chars,
+ sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256, sha256(text) as restored_sha256 from p"""
+
+
+def _repairs() -> str:
+    """A walk over each conversation's turns that keeps, for each grammar state, the least pair of cost and audit."""
+
+    def edit(state: str, cost: str, letter: str) -> str:
+        return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}'}}"
+
+    def inserted(*states: str) -> tuple[str, ...]:
+        start, system, user, assistant = states
+        return start, system, f"least({user}, {', '.join(edit(s, '3', 'I') for s in (start, system, assistant))})", f"least({assistant}, {edit(user, '3', 'I')})"
+
+    never = "{'c': 1000000000::bigint, 'a': ''}"
+    names = ("start", "system", "user_", "assistant")
+    near = inserted(*(f"w.{n}" for n in names))
+    # The second insertion in a row starts from a user turn that the first one made.
+    before = ", ".join(f"{x} as {n}" for x, n in zip(near[:3], names)) + ", w.assistant as last"
+    to_user = "least(b.start, b.system, b.assistant)"
+
+    def turn(state: str, initial: str, source: str, rerole: bool) -> str:
+        ways = [edit(f"b.{state}", "4", "D"), f"case when f.initial = '{initial}' and not lost then {edit(source, 'f.more', 'K')} else {never} end"]
+        if rerole:
+            ways.append(f"case when not lost then {edit(source, '3 + f.more', 'R')} else {never} end")
+        return f"least({', '.join(ways)})"
+
+    steps = ", ".join([f"{edit('b.start', '4', 'D')} as start", f"{turn('system', 's', 'b.start', False)} as system", f"{turn('user_', 'u', to_user, True)} as user_", f"{turn('assistant', 'a', 'b.user_', True)} as assistant"])
+    return f"""with recursive k(n, c, i) as (select range, range, 0 from range(256) union all select n, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i + 1 from k where i < 8),
+crc as (select list(c order by n) as t from k where i = 8),
+r as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as key from conversations),
+h as (select conv_id, turn, role, text, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(key, ''), lambda x: ascii(x)::bigint)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 20 as harm from r, crc),
+d as (select conv_id, turn, case when harm = 4 then 'user' else role end as role, case harm when 1 then '' when 2 then translate(text, '.!?', '') else text end as text, unnest(case harm when 0 then []::int[] when 3 then [0, 1] else [0] end) as copy_ from h),
+o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as bare, left(role, 1) as initial from d),
+p as (select *, row_number() over (partition by conv_id, role, text order by i) as nth from o),
+f as (select *, bare = '' as blank, bare <> '' and nth > 1 as duplicate, bare <> '' and nth = 1 and right(bare, 1) not in ('.', '!', '?') as cut, case when cut then 3 else 0 end as more, bare = '' or nth > 1 as lost,
+ lag(initial) over (partition by conv_id order by i) || initial as pair from p),
+g as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps, sum(blank::int)::bigint as blank, sum(duplicate::int)::bigint as duplicate, sum(cut::int)::bigint as truncated, sum((pair is not null and pair not in ('su', 'ua', 'au'))::int)::bigint as illegal, count(*) as n from f group by 1),
+walk as (select conv_id, 0::bigint as i, n, {{'c': 0::bigint, 'a': ''}} as start, {never} as system, {never} as user_, {never} as assistant from g
+ union all select b.conv_id, b.i + 1, b.n, {steps} from (select conv_id, i, n, start, system, user_, least(last, {edit('user_', '3', 'I')}) as assistant from (select w.conv_id, w.i, w.n, {before} from walk w where w.i < w.n)) b join f on f.conv_id = b.conv_id and f.i = b.i + 1),
+e as (select conv_id, least(start, last, {edit('user_', '3', 'I')}) as best from (select w.conv_id, {before} from walk w where w.i = w.n)),
+a as (select conv_id, best.c as cost, best.a as audit, unnest(range(1, length(best.a) + 1)) as p from e),
+s as (select a.conv_id, p, audit[p] as e, sum((audit[p] <> 'I')::int) over w as i, sum((audit[p] <> 'D')::int) over w as j from a window w as (partition by conv_id order by p)),
+u as (select s.*, f.role, f.text, max((s.j = 1 and s.e = 'K' and f.initial = 's')::int) over (partition by s.conv_id) as lead from s join f on f.conv_id = s.conv_id and f.i = greatest(s.i, 1)),
+m as (select conv_id, string_agg(case when e = 'K' then role else case when (j - lead) % 2 = 1 then 'user' else 'assistant' end end || ':' || case when e = 'I' then '' else text end, chr(10) order by p) filter (where e <> 'D') as out from u group by 1)
+select c.conv_id, {', '.join(f'coalesce(g.{x}, 0)::bigint as {x}' for x in ('gaps', 'blank', 'duplicate', 'truncated', 'illegal'))}, coalesce(e.best.c, 0)::bigint as cost, coalesce(e.best.a, '') as audit, sha256(coalesce(m.out, '')) as repaired_sha256
+from (select distinct conv_id from conversations) c left join g on g.conv_id = c.conv_id left join e on e.conv_id = c.conv_id left join m on m.conv_id = c.conv_id"""
+
+
+REPAIRS = _repairs()

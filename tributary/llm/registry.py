@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, html, media, neardup, oracle, packing, quality, secrets, substring, toxicity
+from . import bpe, chat, classifier, fim, html, media, neardup, oracle, packing, quality, repair, secrets, substring, toxicity
 from .shared import public_vocabulary, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,18 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(table(spark, sf_dir, "conversations"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.digests(table(spark, sf_dir, "conversations"))
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each rule of operator 7's policy rejects, alone and beside others, by bitwise aggregation of the ledger."""
     return quality.ablation(quality.ledger(table(spark, sf_dir, "documents")), "v1")
@@ -69,6 +81,9 @@ def queries() -> dict[str, Query]:
         "op8_minhash_neardup": op8_minhash_neardup,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_chat_windows": op10_chat_windows,
+        "op11_fill_in_middle": op11_fill_in_middle,
+        "op12_conversation_repair": op12_conversation_repair,
+        "op13_quality_classifier": op13_quality_classifier,
         "quality_ablation": quality_ablation,
     }
 
@@ -79,5 +94,7 @@ def oracle_sql() -> dict[str, str]:
         "op8_minhash_neardup": oracle.NEAR_COPIES,
         "op9_substring_dedup": oracle.REPEATS,
         "op10_chat_windows": oracle.chat(chat.BUDGET, chat.HISTORY),
+        "op11_fill_in_middle": oracle.FIM,
+        "op12_conversation_repair": oracle.REPAIRS,
         "quality_ablation": oracle.ABLATION,
     }
