@@ -17,7 +17,7 @@ AXIS_KM, FLATTENING = 6378.137, 1 / 298.257223563
 
 def located(lat: Column, lon: Column) -> Column:
     """A usable point: both numbers there, not NaN, and not both zero."""
-    return F.coalesce(~(F.isnan(lat) | F.isnan(lon)) & ~((lat == 0) & (lon == 0)), F.lit(False))
+    return F.coalesce(lat.isNotNull() & lon.isNotNull() & ~(F.isnan(lat) | F.isnan(lon)) & ~((lat == 0) & (lon == 0)), F.lit(False))
 
 
 def planar_km(lat_a: Column, lon_a: Column, lat_b: Column, lon_b: Column, km_latitude: float = KM_LATITUDE, km_longitude: float = KM_LONGITUDE) -> Column:

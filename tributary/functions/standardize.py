@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,10 @@ def cosine(distance: Column) -> Column:
     return (2 - distance) / 2
 
 
+#: Up to this distance ``log1p`` gives 1.
+LOG1P_LEVEL = math.e - 1
+
+
 def log1p(distance: Column) -> Column:
     """1 up to a distance of e - 1, then 1 / ln(1 + distance)."""
     return F.when(distance <= 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 1 / F.log1p(F.greatest(distance, F.lit(1e-12)))))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, vectors
+from . import spatial
 
 QUERY_ROWS = 20_000
 
@@ -130,13 +131,18 @@ def location_distances(places: DataFrame, queries: DataFrame, kind: str = "plana
     """Every (query, contract) pair with its distance in kilometres; unusable points are left out. Both sides have lat and lon."""
     left = places.where(geo.located(F.col("lat"), F.col("lon"))).select("contract_id", "lat", "lon")
     right = queries.where(geo.located(F.col("lat"), F.col("lon"))).select("query_id", F.col("lat").alias("qlat"), F.col("lon").alias("qlon"))
-    km = {"planar": geo.planar_km, "great_circle": geo.great_circle_km, "geodesic": geo.geodesic_km}[kind]
-    value = km(F.col("lat"), F.col("lon"), F.col("qlat"), F.col("qlon"))
+    value = _kilometres(kind)(F.col("lat"), F.col("lon"), F.col("qlat"), F.col("qlon"))
     return in_blocks(right, ["query_id"], lambda q: left.crossJoin(q).select("query_id", "contract_id", value.alias("distance")))
 
 
+def _kilometres(kind: str) -> Callable[..., Column]:
+    return {"planar": geo.planar_km, "great_circle": geo.great_circle_km, "geodesic": geo.geodesic_km}[kind]
+
+
 def nearest_places(places: DataFrame, queries: DataFrame, k: int = 1, kind: str = "planar") -> DataFrame:
-    pairs = usable(location_distances(places, queries, kind), "distance")
+    """The k nearest places of every query; only candidates from the spatial index are measured."""
+    near = spatial.candidates(places, queries, k, kind)
+    pairs = usable(near.select("query_id", "contract_id", _kilometres(kind)(F.col("lat"), F.col("lon"), F.col("qlat"), F.col("qlon")).alias("distance")), "distance")
     return top_k(pairs, F.round("distance", 9).asc(), k, ["query_id"], ["contract_id"])
 
 

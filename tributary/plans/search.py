@@ -36,13 +36,13 @@ class SearchEngine:
         return self.embed(lines)
 
     def query_by_subject(self, texts: DataFrame) -> DataFrame:
-        return similarity.top(similarity.by_items(self.items, self.query_items(texts)), self.num_results)
+        return similarity.fused_top({"subject": (self.items, self.query_items(texts))}, self.num_results)
 
     def query_by_entity_subject(self, texts: DataFrame) -> DataFrame:
-        return similarity.top(similarity.by_items(self.entity_items, self.query_items(texts)), self.num_results)
+        return similarity.fused_top({"entity_subject": (self.entity_items, self.query_items(texts))}, self.num_results)
 
     def query_by_address(self, addresses: DataFrame) -> DataFrame:
-        return similarity.top(similarity.by_place(self.places, self.locate(addresses)), self.num_results)
+        return similarity.top_by_place(self.places, self.locate(addresses), self.num_results)
 
     def query(self, subject: DataFrame | None = None, locality: DataFrame | None = None, entity_subject: DataFrame | None = None, isolate: bool = False) -> DataFrame:
         """Fusion of the components that are given. Texts of both kinds form one list that both item components score, unless ``isolate``."""
@@ -51,20 +51,20 @@ class SearchEngine:
         if not isolate and len(own) == 2:
             both = own["subject"].unionByName(own["entity_subject"])
             own = dict.fromkeys(own, both)
-        parts = {name: similarity.by_items(self.items if name == "subject" else self.entity_items, rows) for name, rows in own.items()}
+        parts = {name: (self.items if name == "subject" else self.entity_items, rows) for name, rows in own.items()}
         if locality is not None:
-            parts["locality"] = similarity.by_place(self.places, self.locate(locality))
+            parts["locality"] = self.places, self.locate(locality)
         return self._ranked(parts)
 
     def query_by_user_profile(self, profile_items: DataFrame, profile_places: DataFrame, components: tuple[str, ...] = ("subject", "locality", "entity_subject")) -> DataFrame:
         """Recommendations for many profiles at once: (query_id, embedding) rows, a profile's cached items among them, and (query_id, pos, lat, lon)."""
         parts = {}
         if "subject" in components:
-            parts["subject"] = similarity.by_items(self.items, profile_items)
+            parts["subject"] = self.items, profile_items
         if "locality" in components:
-            parts["locality"] = similarity.by_place(self.places, similarity.first_places(profile_places))
+            parts["locality"] = self.places, similarity.first_places(profile_places)
         if "entity_subject" in components:
-            parts["entity_subject"] = similarity.by_items(self.entity_items, profile_items)
+            parts["entity_subject"] = self.entity_items, profile_items
         return self._ranked(parts)
 
     def sections(self, profile_items: DataFrame, profile_places: DataFrame) -> dict[str, DataFrame]:
@@ -72,8 +72,12 @@ class SearchEngine:
         kinds = {"all": ("subject", "locality", "entity_subject"), "subject": ("subject",), "locality": ("locality",), "entity_subject": ("entity_subject",)}
         return {name: self.query_by_user_profile(profile_items, profile_places, kind) for name, kind in kinds.items()}
 
-    def _ranked(self, parts: dict[str, DataFrame]) -> DataFrame:
-        return similarity.top(similarity.fused(parts, bias=self.random_bias_rate, seed=self.seed), self.num_results)
+    def _ranked(self, parts: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
+        """A random bias changes every contract's similarity, so with one all pairs are scored."""
+        if not self.random_bias_rate:
+            return similarity.fused_top(parts, self.num_results)
+        every = {name: similarity.by_place(*sides) if name == "locality" else similarity.by_items(*sides) for name, sides in parts.items()}
+        return similarity.top(similarity.fused(every, bias=self.random_bias_rate, seed=self.seed), self.num_results)
 
 
 def search_form(subject: str = "", locality: str = "", entity_subject: str = "") -> dict[str, str]:

@@ -234,27 +234,27 @@ def group_weighted_mean(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op_e4_contract_similarity_topk", with_roles("ref_item", "query_item") + ITEMS.format(items="ref_item") + top_sql("select * from mean", 10))
 def contract_similarity(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(similarity.top(similarity.by_items(roles.ref_item(spark, sf), roles.query_item(spark, sf)), 10), "similarity")
+    return _rounded(similarity.fused_top({"subject": (roles.ref_item(spark, sf), roles.query_item(spark, sf))}, 10), "similarity")
 
 
 @query("op_c9_entity_similarity_topk", with_roles("entity_item", "query_item") + ITEMS.format(items="entity_item") + top_sql("select * from mean", 3))
 def entity_similarity(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(similarity.top(similarity.by_items(roles.entity_item(spark, sf), roles.query_item(spark, sf)), 3), "similarity")
+    return _rounded(similarity.fused_top({"entity_subject": (roles.entity_item(spark, sf), roles.query_item(spark, sf))}, 3), "similarity")
 
 
 @query("op_e6_location_similarity_topk", with_roles("location", "query_location") + PLACES + top_sql("select * from near", 10))
 def location_similarity(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(similarity.top(similarity.by_place(roles.location(spark, sf), roles.query_location(spark, sf)), 10), "similarity")
+    return _rounded(similarity.top_by_place(roles.location(spark, sf), roles.query_location(spark, sf), 10), "similarity")
 
 
 def _fused(spark: SparkSession, sf: str, parts: tuple[str, ...], k: int) -> DataFrame:
     queries = roles.query_item(spark, sf)
     every = {
-        "subject": lambda: similarity.by_items(roles.ref_item(spark, sf), queries),
-        "locality": lambda: similarity.by_place(roles.location(spark, sf), roles.query_location(spark, sf)),
-        "entity_subject": lambda: similarity.by_items(roles.entity_item(spark, sf), queries),
+        "subject": (roles.ref_item(spark, sf), queries),
+        "locality": (roles.location(spark, sf), roles.query_location(spark, sf)),
+        "entity_subject": (roles.entity_item(spark, sf), queries),
     }
-    return _rounded(similarity.top(similarity.fused({p: every[p]() for p in parts}), k), "similarity")
+    return _rounded(similarity.fused_top({p: every[p] for p in parts}, k), "similarity")
 
 
 FUSE = ", mean_entity as (select query_id, contract_id, sum(s * s) / sum(s) as similarity from (select q.query_id, i.contract_id, (2 - (" + _COS + ")) / 2 as s from entity_item i, query_item q) group by all)"
