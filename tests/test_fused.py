@@ -21,6 +21,7 @@ def sides(spark):
 
     items = [(c, p, vector()) for c in range(60) for p in range(rng.randrange(1, 6))]
     items += [(100, p, vector()) for p in range(90)] + [(c, 0, [1.0, 0.0, 0.0, 0.0, 0.0]) for c in range(200, 215)]
+    items += [(100, 90 + p, [0.5, -1.0, 0.25, 0.0, 2.0]) for p in range(40)]
     items += [(300, 0, None), (301, 0, [0.0] * 5), (302, 0, [float("nan")] * 5)]
     entity = [(rng.randrange(5), p, vector()) for p in range(80)]
     places = [(rng.randrange(90), 50 + rng.uniform(-0.2, 0.2), 14 + rng.uniform(-0.2, 0.2)) for _ in range(150)] + [(300, 0.0, 0.0), (301, None, 1.0)]

@@ -132,15 +132,15 @@ class _Block:
             self.vectors.append(vectors if place or not len(part) else vectors / np.linalg.norm(vectors, axis=1, keepdims=True))
         self.width = max(1, *(len(v) for v in self.vectors))
 
-    def sums(self, no: int, rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """2 x groups x queries: sums of squared and of plain similarities, or twice the least distance."""
+    def sums(self, no: int, rows: np.ndarray, times: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """2 x groups x queries: sums of squared and of plain similarities, or twice the least distance; a row counts ``times``."""
         v, first = self.vectors[no], self.first[no]
         if self.places[no]:
             d = np.sqrt(((rows[:, None, 0] - v[None, :, 0]) * geo.KM_LATITUDE) ** 2 + ((rows[:, None, 1] - v[None, :, 1]) * geo.KM_LONGITUDE) ** 2)
             least = np.minimum.reduceat(np.minimum.reduceat(d, first, axis=1), starts, axis=0)
             return np.stack([least, least])
         s = (1 + (rows / np.linalg.norm(rows, axis=1, keepdims=True)) @ v.T) / 2
-        return np.stack([np.add.reduceat(np.add.reduceat(x, first, axis=1), starts, axis=0) for x in (s * s, s)])
+        return np.stack([np.add.reduceat(np.add.reduceat(x, first, axis=1) * times[:, None], starts, axis=0) for x in (s * s, s)])
 
     def merged(self, no: int, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         return np.minimum(one, two) if self.places[no] else one + two
@@ -166,7 +166,7 @@ class _Scorer:
         self.sums: dict[int, np.ndarray] = {}
         self.out: list[tuple] = []
 
-    def add(self, names: np.ndarray, whole: np.ndarray, no: np.ndarray, rows: list[np.ndarray]) -> None:
+    def add(self, names: np.ndarray, whole: np.ndarray, no: np.ndarray, times: np.ndarray, rows: list[np.ndarray]) -> None:
         """``names``: contract and part of each row; ``rows``: for each component the vectors of its rows."""
         cuts = np.flatnonzero(np.any(names[1:] != names[:-1], axis=1)) + 1
         starts = np.concatenate(([0], cuts))
@@ -178,7 +178,7 @@ class _Scorer:
         for c, part in enumerate(rows):
             if len(part) and len(self.block.first[c]):
                 own, first = np.unique(group[no == c], return_index=True)
-                made = self.block.sums(c, part, first)
+                made = self.block.sums(c, part, times[no == c], first)
                 for i, g in enumerate(own):
                     every[g][c] = made[:, i]
         for head, sums in zip(heads, every, strict=True):
@@ -246,8 +246,11 @@ def fused_top(components: dict[str, tuple[DataFrame, DataFrame]], k: int = 1, we
     asked = [plain(side[1], "query_id", p) for side, p in zip(sides, places, strict=True)]
     # Contracts of many rows: at most a PACK-th of all rows.
     many = rows.groupBy("contract_id").agg(F.count("*").alias("n")).where(F.col("n") > PACK).select("contract_id", F.expr(f"cast(n div {PACK} + 1 as int)").alias("parts"))
-    dealt = rows.join(many, "contract_id", "left").select("contract_id", F.coalesce(F.pmod(F.xxhash64("v"), F.col("parts")), F.lit(0)).cast("long").alias("part"), F.col("parts").isNull().alias("whole"), "no", "v")
-    dealt = dealt.repartition("contract_id", "part").sortWithinPartitions("contract_id", "part")
+    few = rows.join(many, "contract_id", "left_anti").select("contract_id", F.lit(0).cast("long").alias("part"), F.lit(True).alias("whole"), "no", F.lit(1).cast("long").alias("times"), "v")
+    # Equal rows of a large contract are counted first: they have one hash and would meet in one part.
+    counted = rows.join(many, "contract_id").groupBy("contract_id", "parts", "no", "v").agg(F.count("*").alias("times"))
+    much = counted.select("contract_id", F.pmod(F.xxhash64("v"), F.col("parts")).cast("long").alias("part"), F.lit(False).alias("whole"), "no", "times", "v")
+    dealt = few.unionByName(much).repartition("contract_id", "part").sortWithinPartitions("contract_id", "part")
     n = reduce(DataFrame.unionByName, [q.select("query_id") for q in asked]).count()
     blocks = max(1, -(-n // BLOCK))
     listed = [weights[name] for name in components]
@@ -263,9 +266,9 @@ def fused_top(components: dict[str, tuple[DataFrame, DataFrame]], k: int = 1, we
             for batch in batches:
                 for a in range(0, batch.num_rows if len(sent.value.names) else 0, step):
                     cut = batch.slice(a, step)
-                    contract, part, whole, number = (cut.column(c).to_numpy(zero_copy_only=False) for c in range(4))
-                    vs = [cut.column(4).filter(pa.array(number == c)) for c in range(len(listed))]
-                    scorer.add(np.stack([contract, part], axis=1), whole, number, [v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1) if len(v) else np.zeros((0, 0)) for v in vs])
+                    contract, part, whole, number, times = (cut.column(c).to_numpy(zero_copy_only=False) for c in range(5))
+                    vs = [cut.column(5).filter(pa.array(number == c)) for c in range(len(listed))]
+                    scorer.add(np.stack([contract, part], axis=1), whole, number, times, [v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1) if len(v) else np.zeros((0, 0)) for v in vs])
                     yield from map(pa.RecordBatch.from_pandas, scorer.parts())
             scorer.close()
             yield from map(pa.RecordBatch.from_pandas, scorer.parts())
