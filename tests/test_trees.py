@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -117,3 +118,61 @@ def test_submitter_clauses_go(spark):
     left = trees.without_submitter_clauses(rows)
     assert {r["doc_id"]: r["text"] for r in trees.texts(left).collect()} == {k: want for k, (_, want) in enumerate(made.values())}
     assert trees.without_empty_sentences(left).count() == 2
+
+
+def test_nodes_found_from_all_tokens_at_once(drawn):
+    conditions = ((("lemma", ("[ab]",)), ("feats[Case]", ("Nom",))), (("upos", ("VERB",)), ("unheard", ("x",))))
+    ways = {"next": 3, "previous": 2, "ancestor": 2, "descendant": 100}
+    rows = trees.sentences(drawn)
+
+    def alone(way, reach):
+        return F.transform("tokens", lambda t: trees.nearest_node(F.col("tokens"), t["ord"], conditions, way, reach)).alias(f"one_{way}")
+
+    one = [alone(way, reach) for way, reach in ways.items()]
+    for r in trees.found_nodes(rows, conditions, ways, "all_").select("*", *one).collect():
+        for way in ways:
+            assert r[f"all_{way}"] == r[f"one_{way}"], way
+
+
+def _long(n: int, shape: str) -> list[dict]:
+    """A sentence of n tokens whose tree is a chain, a bush, or drawn."""
+    draw = random.Random(n)
+    head = {"chain": lambda k: k, "bush": lambda k: min(k, 1), "drawn": lambda k: draw.randrange(max(0, k - 6), k) + 1 if k else 0}[shape]
+    lemmas = "stroj dodat předmět objednatel uvedený pořízení zavazovat být".split()
+    return [{"ord": k + 1, "form": "je", "lemma": draw.choice(lemmas), "upos": draw.choice(["NOUN", "VERB", "PUNCT"]), "feats": [("Case", "Nom")], "head": head(k), "deprel": draw.choice(["obj", "nmod", "conj", "cop", "root"]), "space": True} for k in range(n)]
+
+
+@pytest.mark.parametrize("shape", ["chain", "bush", "drawn"])
+def test_long_sentences_take_seconds(shape):
+    began = time.process_time()
+    tokens = _long(5000, shape)
+    assert trees.subject_places(trees.Sentence(tokens)) is not None
+    assert len(trees.places_without_submitters(trees.Sentence(tokens))) <= 5000
+    assert time.process_time() - began < 10
+
+
+def test_ranges_are_subtrees():
+    tokens = _long(300, "drawn")
+    s = trees.Sentence(tokens)
+    heads = {k: t["head"] - 1 for k, t in enumerate(tokens)}
+
+    def above(k):
+        while (k := heads[k]) >= 0:
+            yield k
+
+    for k in range(300):
+        under = [j for j in range(300) if k in above(j)]
+        assert s.below(k).tolist() == under and s.places[s.under(k)].tolist() == under
+
+
+def test_heads_in_a_circle_count_as_roots():
+    tokens = [{"ord": k + 1, "form": "x", "lemma": "stroj", "upos": "NOUN", "feats": [], "head": (2, 1, 2, 9)[k], "deprel": "obj", "space": True} for k in range(4)]
+    s = trees.Sentence(tokens)
+    assert s.head.tolist() == [-1, 0, 1, -1]
+
+
+def test_subtrees_of_a_deep_sentence_go(spark):
+    """A chain of 300 tokens hangs on the first; all of it goes with its lemma."""
+    text = "".join(f"{k}\tf\t{'cut' if k == 2 else 'w'}\tNOUN\t_\t_\t{k - 1}\tdep\t_\t_\n" for k in range(1, 301))
+    rows = trees.sentences(spark.createDataFrame([(1, text)], "doc_id long, conllu string"))
+    assert [len(r["tokens"]) for r in trees.without_subtrees(rows, ("cut",)).collect()] == [1]

@@ -1,20 +1,24 @@
 """Dependency trees: sentences from and to CoNLL-U, and the filters that leave what a contract is about.
 
 A sentence is one row, (key.., sentence, tokens): its tokens in order, numbered from 1, each with the number of its head
-(0: the root). Filters on words and subtrees are expressions over that array. The two that walk trees by many rules
-(``without_submitter_clauses``, ``subject_parts``) are small Python functions of one sentence, run on Arrow batches;
-sentences never meet, so nothing is shuffled.
+(0: the root). Filters on words and subtrees are expressions over that array. The two that decide by many rules
+(``without_submitter_clauses``, ``subject_parts``) and the searches from all tokens at once (``found_nodes``) work on arrays of
+one sentence (``Sentence``), run on Arrow batches; sentences never meet, so nothing is shuffled.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import wraps
+from itertools import takewhile
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 TOKEN = "struct<ord: int, form: string, lemma: string, upos: string, feats: map<string, string>, head: int, deprel: string, space: boolean>"
 #: Nodes as columns of CoNLL-U name them; a condition is (attribute, patterns), its patterns match whole values.
@@ -89,22 +93,27 @@ def kept(tokens: Column, keep: Column) -> Column:
     return F.get(F.transform(F.array(marked), renumber), F.lit(0))
 
 
-def without_subtrees(rows: DataFrame, lemmas: tuple[str, ...]) -> DataFrame:
-    """Removes tokens with such a lemma and all that hangs on them.
+def hanging(tokens: Column, hit: Callable[[Column], Column]) -> Column:
+    """For each token whether it or one above it is hit.
 
-    Marks climb to the root by pointer jumping: each round looks twice as far up, so sixteen rounds do for any sentence
-    of up to 65,536 tokens; rounds beyond the height of the tree change nothing.
+    Marks climb to the root by pointer jumping: each round looks twice as far up, so rounds grow with the logarithm of the
+    sentence's length only.
     """
-    start = F.transform("tokens", lambda t: F.struct(t["lemma"].isin(*lemmas).alias("hit"), t["head"].alias("up")))
+    start = F.transform(tokens, lambda t: F.struct(F.coalesce(hit(t), F.lit(False)).alias("hit"), t["head"].alias("up")))
 
     def jump(s: Column, _: Column) -> Column:
         above = lambda x: F.get(s, x["up"] - 1)
         return F.transform(s, lambda x: F.when(x["up"] > 0, F.struct((x["hit"] | above(x)["hit"]).alias("hit"), above(x)["up"].alias("up"))).otherwise(x))
 
-    rounds = F.sequence(F.lit(1), F.least(F.lit(16), F.ceil(F.log2(F.size("tokens") + 1)) + 1).cast("int"))
-    hit = F.aggregate(rounds, start, jump, lambda s: F.transform(s, lambda x: ~x["hit"]))
-    some = F.exists("tokens", lambda t: t["lemma"].isin(*lemmas))
-    return rows.withColumn("tokens", F.when(some, kept(F.col("tokens"), hit)).otherwise(F.col("tokens")))
+    rounds = F.sequence(F.lit(1), (F.ceil(F.log2(F.size(tokens) + 1)) + 1).cast("int"))
+    return F.aggregate(rounds, start, jump, lambda s: F.transform(s, lambda x: x["hit"]))
+
+
+def without_subtrees(rows: DataFrame, lemmas: tuple[str, ...]) -> DataFrame:
+    """Removes tokens with such a lemma and all that hangs on them."""
+    said = lambda t: t["lemma"].isin(*lemmas)
+    keep = F.transform(hanging(F.col("tokens"), said), lambda hit: ~hit)
+    return rows.withColumn("tokens", F.when(F.exists("tokens", said), kept(F.col("tokens"), keep)).otherwise(F.col("tokens")))
 
 
 # Finding nodes
@@ -139,8 +148,8 @@ def nearest_node(tokens: Column, at: Column, conditions: Conditions, way: str, r
     ways = {
         "next": lambda: F.when(F.size(tokens) > at, F.sequence(at + 1, F.least(at + reach, F.size(tokens)))),
         "previous": lambda: F.when(at > 1, F.sequence(at - 1, F.greatest(at - reach, F.lit(1)))),
-        "ancestor": lambda: F.slice(ancestors(tokens, at), 1, reach),
-        "descendant": lambda: F.transform(F.filter(tokens, lambda t: F.array_contains(ancestors(tokens, t["ord"]), at)), lambda t: t["ord"]),
+        "ancestor": lambda: ancestors(tokens, at, reach),
+        "descendant": lambda: F.filter(F.transform(tokens, lambda t: t["ord"]), lambda k: (k != at) & F.get(hanging(tokens, lambda t: t["ord"] == at), k - 1)),
     }
     path = F.coalesce(ways[way](), F.array().cast("array<int>"))
     if itself:
@@ -148,52 +157,136 @@ def nearest_node(tokens: Column, at: Column, conditions: Conditions, way: str, r
     return F.get(F.filter(path, lambda k: satisfies(F.get(tokens, k - 1), conditions)), F.lit(0))
 
 
-def ancestors(tokens: Column, at: Column) -> Column:
-    """Numbers of the heads above a token, the nearest first."""
+def ancestors(tokens: Column, at: Column, reach: int) -> Column:
+    """Numbers of the first ``reach`` heads above a token, the nearest first."""
     start = F.struct(F.get(tokens, at - 1)["head"].alias("up"), F.array().cast("array<int>").alias("out"))
     climb = lambda s, _: F.when(s["up"] > 0, F.struct(F.get(tokens, s["up"] - 1)["head"].alias("up"), F.array_append(s["out"], s["up"]).alias("out"))).otherwise(s)
-    return F.aggregate(tokens, start, climb, lambda s: s["out"])
+    return F.aggregate(F.slice(tokens, 1, reach), start, climb, lambda s: s["out"])
 
 
 # Filters by rules
 
 
-class Sentence:
-    """A tree's tokens with the searches that rules are made of; places count from 0."""
+def _once(search: Callable) -> Callable:
+    """A search of a sentence, answered from memory from its second time on."""
 
-    def __init__(self, tokens: list[dict]):
-        self.tokens = tokens
-        self.head = [t["head"] - 1 for t in tokens]
-        self.feats = [dict(t["feats"] or ()) for t in tokens]
+    @wraps(search)
+    def answer(s: Sentence, *args, **kwargs):
+        key = (search.__name__, args, *kwargs.items())
+        if key not in s.answers:
+            s.answers[key] = search(s, *args, **kwargs)
+        return s.answers[key]
 
-    def meets(self, k: int, *conditions: Condition) -> bool:
-        for name, patterns in conditions:
-            value = self.feats[k].get(name[6:-1], "") if name.startswith("feats[") else self.tokens[k].get(name)
-            if value is not None and not any(re.fullmatch(p, value) for p in patterns):
-                return False
-        return True
+    return answer
 
-    def any(self, k: int, conditions: Conditions) -> bool:
-        return any(self.meets(k, *alternative) for alternative in conditions)
 
-    def above(self, k: int) -> list[int]:
-        out = []
-        while self.head[k] >= 0 and len(out) <= len(self.head):
-            k = self.head[k]
-            out.append(k)
-        return out
+class Sentence:
+    """A tree's tokens as arrays; places count from 0, and -1 stands for none.
 
-    def below(self, k: int) -> list[int]:
-        return [j for j in range(len(self.tokens)) if k in self.above(j)]
+    A walk around the tree numbers every token when it enters and when it leaves, so what hangs on a token is one range of
+    numbers. Searches answer for all tokens at once, each in one sweep over the sentence or up or down the walk.
+    Tokens whose heads go round in a circle count as roots.
+    """
 
-    def first(self, places, conditions: Conditions) -> int | None:
-        return next((j for j in places if self.any(j, conditions)), None)
+    def __init__(self, tokens: list[dict]):
+        self.tokens, n = tokens, len(tokens)
+        self.feats = [dict(t["feats"] or ()) for t in tokens]
+        self.places, self.answers = np.arange(n), {}
+        self.head, self.depth = np.full(n, -1), np.zeros(n, dtype=int)
+        self.enter, self.leave, self.walk = np.full(n, -1), np.full(n, -1), np.zeros(n, dtype=int)
+        children: list[list[int]] = [[] for _ in range(n)]
+        roots = []
+        for k, t in enumerate(tokens):
+            (children[t["head"] - 1] if 0 < (t["head"] or 0) <= n else roots).append(k)
+        clock = 0
+        for root in (*roots, *range(n)):
+            if self.enter[root] >= 0:
+                continue
+            stack = [(root, -1)]
+            while stack:
+                k, above = stack.pop()
+                if k < 0:
+                    self.leave[~k] = clock - 1
+                elif self.enter[k] < 0:
+                    self.enter[k], self.walk[clock], self.head[k], self.depth[k] = clock, k, above, self.depth[above] + 1 if above >= 0 else 0
+                    clock += 1
+                    stack.append((~k, -1))
+                    stack.extend((c, k) for c in reversed(children[k]))
+
+    @_once
+    def mask(self, conditions: Conditions) -> np.ndarray:
+        """Which tokens meet any of the alternatives; an attribute that a token does not have counts as met."""
+        met = np.zeros(len(self.tokens), dtype=bool)
+        for alternative in conditions:
+            every = np.ones(len(self.tokens), dtype=bool)
+            for name, patterns in alternative:
+                values = [f.get(name[6:-1], "") for f in self.feats] if name.startswith("feats[") else [t.get(name) for t in self.tokens]
+                right = {v: v is None or any(re.fullmatch(p, v) for p in patterns) for v in set(values)}
+                every &= np.array([right[v] for v in values], dtype=bool)
+            met |= every
+        return met
+
+    @_once
+    def before(self, conditions: Conditions, reach: int, itself: bool = False) -> np.ndarray:
+        """For each token the last place before it, at most ``reach`` away, that meets the conditions."""
+        last = np.maximum.accumulate(np.where(self.mask(conditions), self.places, -1))
+        last = last if itself else np.concatenate(([-1], last[:-1]))[: len(last)]
+        return np.where(self.places - last <= reach, last, -1)
+
+    @_once
+    def after(self, conditions: Conditions, reach: int) -> np.ndarray:
+        n = len(self.places)
+        following = np.minimum.accumulate(np.where(self.mask(conditions), self.places, n)[::-1])[::-1]
+        following = np.concatenate((following[1:], [n]))[:n]
+        return np.where((following < n) & (following - self.places <= reach), following, -1)
+
+    @_once
+    def up(self, conditions: Conditions, steps: int | None = None) -> np.ndarray:
+        """For each token the nearest above it that meets the conditions, at most ``steps`` heads away."""
+        met, found = self.mask(conditions), np.full(len(self.places), -1)
+        for k in self.walk:
+            above = self.head[k]
+            if above >= 0:
+                found[k] = above if met[above] else found[above]
+        return found if steps is None else np.where((found >= 0) & (self.depth - self.depth[found] <= steps), found, -1)
+
+    @_once
+    def first_below(self, conditions: Conditions) -> np.ndarray:
+        """For each token the first place that hangs on it and meets the conditions."""
+        met, n = self.mask(conditions), len(self.places)
+        found = np.full(n, n)
+        for k in self.walk[::-1]:
+            if self.head[k] >= 0:
+                found[self.head[k]] = min(found[self.head[k]], k if met[k] else n, found[k])
+        return np.where(found < n, found, -1)
+
+    def under(self, k: int, places: np.ndarray | None = None, itself: bool = False) -> np.ndarray:
+        """Whether the places (all, if none are given) hang on token ``k``."""
+        at = self.enter if places is None else self.enter[places]
+        return (at > self.enter[k] - itself) & (at <= self.leave[k])
+
+    def below(self, k: int) -> np.ndarray:
+        """All that hangs on ``k``, in the order of the sentence."""
+        return np.sort(self.walk[self.enter[k] + 1 : self.leave[k] + 1])
+
+
+def found_nodes(rows: DataFrame, conditions: Conditions, ways: dict[str, int], prefix: str = "") -> DataFrame:
+    """``rows`` with an array for each way (``next``, ``previous``, ``ancestor``, ``descendant``, and its reach): the number of
+    the node that ``nearest_node`` finds from each token. Linear in a sentence's length, for all its tokens together."""
+    names = [prefix + way for way in ways]
+    kind = StructType([*rows.schema.fields, *(StructField(name, ArrayType(IntegerType())) for name in names)])
 
-    def before(self, k: int, reach: int, conditions: Conditions, itself: bool = False) -> int | None:
-        return self.first(range(k - (not itself), max(-1, k - reach - 1), -1), conditions)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[list] = [[] for _ in ways]
+            for tokens in batch.column(batch.schema.get_field_index("tokens")).to_pylist():
+                s = Sentence(tokens or [])
+                for out, (way, reach) in zip(found, ways.items(), strict=True):
+                    search = {"next": lambda: s.after(conditions, reach), "previous": lambda: s.before(conditions, reach), "ancestor": lambda: s.up(conditions, reach), "descendant": lambda: s.first_below(conditions)}  # noqa: B023
+                    out.append([int(k) + 1 if k >= 0 else None for k in search[way]()])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.list_(pa.int32())) for x in found)], names=[*batch.schema.names, *names])
 
-    def after(self, k: int, reach: int, conditions: Conditions) -> int | None:
-        return self.first(range(k + 1, min(len(self.tokens), k + reach + 1)), conditions)
+    return rows.mapInArrow(run, kind)
 
 
 def _is(name: str, *patterns: str) -> Conditions:
@@ -221,102 +314,83 @@ NEVER_KEPT = _is("lemma", "smlouva", "uzavření", "předmět", "plnění")
 PRICES, REFERENCES = ("cena", "hodnota", "DPH"), ("příloha", "dále", "jen")
 
 
-def _submitter_near(s: Sentence, k: int) -> bool:
-    j = s.before(k, 10, _is("lemma", *SUBMITTERS), itself=True)
-    return j is not None and (j == k or s.before(j, 2, FOR) is None)
-
-
-def _whole_work(s: Sentence, k: int) -> bool:
-    j = s.before(k, 5, WORK, itself=True)
-    return j is not None and (j == k or (s.after(j, 5, DETERMINER) is None and s.before(j, 2, SUBJECT) is None))
-
-
-#: A word that meets one of these names no subject.
-REFUSALS: tuple[Callable[[Sentence, int], bool], ...] = (
-    lambda s, k: not s.any(k, TARGETS),
-    lambda s, k: s.any(k, NEVER_WORDS),
-    lambda s, k: s.any(k, NEVER_LEMMAS),
-    _submitter_near,
-    _whole_work,
-    lambda s, k: s.before(k, 10, PLACE_OR_TIME, itself=True) is not None,
-    lambda s, k: s.before(k, 5, DOUBTFUL) is not None,
-    lambda s, k: s.first(s.above(k)[:4], CONDITIONAL) is not None,
-)
-
-
-def names_subject(s: Sentence, k: int) -> bool:
-    """Whether a word that nothing refuses is the object or subject of a verb of delivery, or hangs on a noun of it."""
-    done = s.before(k, 5, PERFORMING)
-    if done is not None and s.before(done, 3, (*SUBJECT, *DETERMINER)) is not None:
-        return True
-    if s.any(k, _is("deprel", "nmod")):
-        return s.first(s.above(k), CLOSING) is not None
-    if s.before(k, 5, TARGET_VERBS) is None:
-        return False
-    if s.any(k, _is("deprel", "obl", "obl:arg")):
-        return not s.any(k, REALISING) and s.before(k, 5, SUBJECT) is None
-    return True
-
-
-def with_conjuncts(s: Sentence, candidates: list[int]) -> list[int]:
-    """Each candidate with the conjuncts behind its subtree, up to those below the next candidate."""
-    out = []
-    for i, k in enumerate(candidates):
-        out.append(k)
-        under = s.below(k)
-        at = under[-1] if under and under[-1] + 1 != k else k
-        following = candidates[i + 1] if i + 1 < len(candidates) else None
-        while (at := s.after(at, 7, CONJUNCTS)) is not None and following not in s.above(at):
-            out.append(at)
-    return out
-
-
-def phrase(s: Sentence, k: int) -> list[int]:
-    """The words that a candidate stands for: its subtree, or what follows a verb inside it; cut at far punctuation."""
-    verb = s.first(s.below(k), VERBS)
-    if verb is not None and abs(verb - k) < 10 and s.any(verb, SAID_VERB) and s.before(verb, 2, DETERMINER) is None:
-        words = []
-        for j in range(verb + 1, len(s.tokens)):
-            if j != k and k not in s.above(j):
-                break
-            words.append(j)
+def refused(s: Sentence) -> np.ndarray:
+    """Words that name no subject, whatever their verb."""
+    submitter, work = s.before(_is("lemma", *SUBMITTERS), 10, itself=True), s.before(WORK, 5, itself=True)
+    for_submitter = (submitter != s.places) & (s.before(FOR, 2)[submitter] >= 0)
+    this_work = (work != s.places) & ((s.after(DETERMINER, 5)[work] >= 0) | (s.before(SUBJECT, 2)[work] >= 0))
+    near = ((submitter >= 0) & ~for_submitter) | ((work >= 0) & ~this_work) | (s.before(PLACE_OR_TIME, 10, itself=True) >= 0) | (s.before(DOUBTFUL, 5) >= 0)
+    return ~s.mask(TARGETS) | s.mask(NEVER_WORDS) | s.mask(NEVER_LEMMAS) | near | (s.up(CONDITIONAL, 4) >= 0)
+
+
+def names_subject(s: Sentence) -> np.ndarray:
+    """Words that are the object or subject of a verb of delivery, or hang on a noun of it."""
+    done = s.before(PERFORMING, 5)
+    performed = (done >= 0) & (s.before((*SUBJECT, *DETERMINER), 3)[done] >= 0)
+    aside = s.mask(_is("deprel", "obl", "obl:arg")) & (s.mask(REALISING) | (s.before(SUBJECT, 5) >= 0))
+    by_verb = (s.before(TARGET_VERBS, 5) >= 0) & ~aside
+    return performed | np.where(s.mask(_is("deprel", "nmod")), s.up(CLOSING) >= 0, by_verb)
+
+
+def _followed(link: np.ndarray, at: int) -> Iterator[int]:
+    while (at := int(link[at])) >= 0:
+        yield at
+
+
+def with_conjuncts(s: Sentence, candidates: np.ndarray) -> list[int]:
+    """Candidates and their conjuncts: links lead from each word to the next conjunct near it, and a candidate's chain of
+    them starts behind its subtree and ends at the first that hangs on the candidate that follows."""
+    link = s.after(CONJUNCTS, 7)
+    last = np.array([max(s.below(k), default=k) for k in candidates], dtype=int)
+    # A subtree that ends right before its own head is looked over from the head on.
+    at = np.where(last + 1 == candidates, candidates, last)
+    out = set(candidates.tolist())
+    for start, following in zip(at, [*candidates[1:], None], strict=False):
+        out |= set(takewhile(lambda p: following is None or not s.under(following, p), _followed(link, start)))  # noqa: B023
+    return sorted(out)
+
+
+def phrase(s: Sentence, k: int) -> np.ndarray:
+    """The words that a candidate stands for: its subtree, or the unbroken part of it behind a verb of its own; without what
+    hangs on a subject inside, and up to far punctuation."""
+    verb = s.first_below(VERBS)[k]
+    if verb >= 0 and abs(verb - k) < 10 and s.mask(SAID_VERB)[verb] and s.before(DETERMINER, 2)[verb] < 0:
+        inside = s.under(k, itself=True)[verb + 1 :]
+        words = verb + 1 + np.arange(np.argmin(np.append(inside, False)))
     else:
-        words = [k, *s.below(k)]
-    out = []
-    for j in words:
-        subject = s.first(s.above(j), SUBJECT)
-        if subject is not None and k in s.above(subject):
-            continue
-        if abs(j - k) > 10 and s.tokens[j]["upos"] == "PUNCT":
-            break
-        out.append(j)
-    return out
+        words = np.concatenate(([k], s.below(k)))
+    subject = s.up(SUBJECT)[words]
+    words = words[~((subject >= 0) & s.under(k, subject))]
+    far = (np.abs(words - k) > 10) & s.mask(_is("upos", "PUNCT"))[words]
+    return words[: np.argmax(np.append(far, True))]
 
 
 def subject_places(s: Sentence) -> list[int]:
     """Places of the words that name a contract's subject."""
-    candidates = [k for k in range(len(s.tokens)) if not any(refused(s, k) for refused in REFUSALS) and names_subject(s, k)]
-    words = {j for k in with_conjuncts(s, candidates) for j in phrase(s, k)}
-    return sorted(j for j in words if not s.any(j, NEVER_KEPT))
+    if not s.tokens:
+        return []
+    named = np.zeros(len(s.tokens), dtype=bool)
+    for k in with_conjuncts(s, np.flatnonzero(~refused(s) & names_subject(s))):
+        named[phrase(s, k)] = True
+    return np.flatnonzero(named & ~s.mask(NEVER_KEPT)).tolist()
 
 
 def places_without_submitters(s: Sentence) -> list[int]:
     """Places outside clauses whose subject is the submitter: the nearest verb above it goes with all below. If a supplier
     is a subject inside, the last such one's own verb goes instead."""
-    gone: set[int] = set()
-    nominative = ("feats[Case]", ("Nom",))
-    for k in range(len(s.tokens)):
-        lemma = lambda *of: ("lemma", tuple(f"(?i:{x})" for x in of))
-        if k in gone or not s.meets(k, lemma("objednatel", "kupující", "zadavatel"), nominative):
-            continue
-        verb = s.first(s.above(k), _is("upos", "VERB"))
-        top = k if verb is None else verb
-        for j in s.below(top):
-            if s.meets(j, lemma(*SUPPLIERS), nominative):
-                own = s.first(s.above(j), _is("upos", "VERB"))
-                top = top if own is None else own
-        gone |= {top, *s.below(top)}
-    return [k for k in range(len(s.tokens)) if k not in gone]
+    gone = np.zeros(len(s.tokens), dtype=bool)
+
+    def subject(*lemmas: str) -> np.ndarray:
+        return s.mask(((("lemma", tuple(f"(?i:{x})" for x in lemmas)), ("feats[Case]", ("Nom",))),))
+
+    verb, supplier = s.up(_is("upos", "VERB")), subject(*SUPPLIERS)
+    for k in np.flatnonzero(subject("objednatel", "kupující", "zadavatel")):
+        if not gone[k]:
+            top = verb[k] if verb[k] >= 0 else k
+            own = verb[supplier & s.under(top)]
+            own = own[own >= 0]
+            gone |= s.under(own[-1] if len(own) else top, itself=True)
+    return np.flatnonzero(~gone).tolist()
 
 
 def _by_rule(rows: DataFrame, rule: Callable[[Sentence], list[int]], flat: bool) -> DataFrame:

@@ -88,10 +88,10 @@ d as (select u.doc_id, u.sentence, u.node as ord, min(u.ord) as descendant from
 select doc_id, sentence::int as sentence, ord::int as ord, next::int as next, previous::int as previous, ancestor::int as ancestor, descendant::int as descendant from k left join v using (doc_id, sentence, ord) left join d using (doc_id, sentence, ord)""",
 )
 def nearest_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    tokens, at = F.col("tokens"), F.col("ord")
-    ways = [trees.nearest_node(tokens, at, _CONDITIONS, way, 3 if way in ("next", "previous") else 100).alias(way) for way in ("next", "previous", "ancestor", "descendant")]
-    rows = _sentences(spark, sf).select("doc_id", "sentence", "tokens", F.explode(F.transform("tokens", lambda t: t["ord"])).alias("ord"))
-    return rows.select("doc_id", "sentence", "ord", *ways)
+    ways = {"next": 3, "previous": 3, "ancestor": 100, "descendant": 100}
+    found = trees.found_nodes(_sentences(spark, sf).select("doc_id", "sentence", "tokens"), _CONDITIONS, ways)
+    each = found.select("doc_id", "sentence", F.posexplode(F.arrays_zip(*ways)).alias("at", "node"))
+    return each.select("doc_id", "sentence", (F.col("at") + 1).alias("ord"), *(F.col("node")[way].alias(way) for way in ways))
 
 
 def _made(spark: SparkSession, sf: str) -> DataFrame:
