@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, vectors
-from . import spatial
+from . import pivots, spatial
 
 QUERY_ROWS = 20_000
 
@@ -76,22 +76,18 @@ def vector_distances(items: DataFrame, queries: DataFrame, distance: str = "cosi
 
 
 def nearest_items(items: DataFrame, queries: DataFrame, k: int | None = 1, distance: str = "cosine", item_key: tuple[str, ...] = ("contract_id", "pos"), query_key: tuple[str, ...] = ("query_id", "query_pos")) -> DataFrame:
-    """The k nearest items of every query vector, ascending; equal distances go by the item's key."""
+    """The k nearest items of every query vector, ascending; equal distances go by the item's key.
+
+    With k given, tasks keep k rows a query; all pairs are written out only where all are wanted, or under other keys.
+    """
+    usual = (item_key, query_key) == (("contract_id", "pos"), ("query_id", "query_pos"))
+    if k is not None and usual:
+        types = {name: df.schema[name].dataType for df, key in ((queries, query_key), (items, item_key)) for name in key}
+        return nearest_items_block(items, queries, k, distance).select(*(F.col(name).cast(kind).alias(name) for name, kind in types.items()), "distance", "rank")
     pairs = vector_distances(items, queries, distance, item_key, query_key)
     return top_k(pairs, F.round("distance", 9).asc(), k, [*query_key], [*item_key])
 
 
-def _block_distances(v: np.ndarray, q: np.ndarray, distance: str) -> np.ndarray:
-    """Queries x items. Cosine is a matrix product; differences are taken a few items at a time, so no cube of all is held."""
-    if distance == "cosine":
-        return 1 - (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T
-    out, step = np.empty((len(q), len(v))), max(1, 2_000_000 // max(1, q.size))
-    for a in range(0, len(v), step):
-        gap = q[:, None, :] - v[None, a : a + step, :]
-        out[:, a : a + step] = np.sqrt(np.einsum("ijk,ijk->ij", gap, gap)) if distance == "euclidean" else np.abs(gap).sum(axis=2)
-    return out
-
-
 def nearest_items_block(items: DataFrame, queries: DataFrame, k: int = 1, distance: str = "cosine") -> DataFrame:
     """``nearest_items`` by matrices: each task compares its items with a broadcast block of queries and keeps k a query,
     so at most k rows a query and task are shuffled. Same result, for many queries."""
@@ -111,7 +107,7 @@ def nearest_items_block(items: DataFrame, queries: DataFrame, k: int = 1, distan
                 if not batch.num_rows:
                     continue
                 v = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-                d = _block_distances(v, q, distance)
+                d = pivots.distances(v, q, distance)
                 fresh = [np.tile(batch.column(c).to_numpy(zero_copy_only=False), (len(keys), 1)) for c in (0, 1)]
                 near, whole, ids, at = (np.hstack(x) for x in ((near, np.round(d, 9)), (whole, d), (ids, fresh[0]), (at, fresh[1])))
                 order = np.lexsort((at, ids, near), axis=1)[:, :k]
@@ -127,6 +123,12 @@ def nearest_items_block(items: DataFrame, queries: DataFrame, k: int = 1, distan
     return top_k(pairs, F.round("distance", 9).asc(), k, ["query_id", "query_pos"], ["contract_id", "pos"])
 
 
+def nearest_items_indexed(items: DataFrame, queries: DataFrame, k: int = 1, distance: str = "cosine") -> DataFrame:
+    """``nearest_items`` by a metric index, for items that form groups: rings of vectors that cannot hold a nearer one are left out."""
+    pairs = pivots.Index(items, distance).nearest(queries, k)
+    return top_k(pairs, F.round("distance", 9).asc(), k, ["query_id", "query_pos"], ["contract_id", "pos"])
+
+
 def location_distances(places: DataFrame, queries: DataFrame, kind: str = "planar") -> DataFrame:
     """Every (query, contract) pair with its distance in kilometres; unusable points are left out. Both sides have lat and lon."""
     left = places.where(geo.located(F.col("lat"), F.col("lon"))).select("contract_id", "lat", "lon")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo, standardize, vectors
-from ..operators import cluster, nearest, similarity
+from ..operators import cluster, density, nearest, similarity
 from . import roles
 from .roles import table, with_roles
 
@@ -47,6 +47,16 @@ def cosine_knn_block(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(nearest.nearest_items_block(roles.ref_item(spark, sf), roles.query_item(spark, sf), 10), "distance")
 
 
+@query("op_c3_cosine_knn_indexed", _knn_sql(_COS, 10))
+def cosine_knn_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(nearest.nearest_items_indexed(roles.ref_item(spark, sf), roles.query_item(spark, sf), 10), "distance")
+
+
+@query("op_c12_manhattan_match_indexed", _knn_sql(_L1, 1))
+def manhattan_match_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(nearest.nearest_items_indexed(roles.ref_item(spark, sf), roles.query_item(spark, sf), 1, "manhattan"), "distance")
+
+
 @query("op_c1_euclidean_knn", _knn_sql(_EUC, 10))
 def euclidean_knn(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(nearest.nearest_items(roles.ref_item(spark, sf), roles.query_item(spark, sf), 10, "euclidean"), "distance")
@@ -114,6 +124,38 @@ def epsilon_links(spark: SparkSession, sf: str) -> DataFrame:
     return cluster.epsilon_link_counts(vecs, 1.05)
 
 
+#: Dense vectors, their clusters by reachability, and every vector's cluster, named by its smallest member.
+_DENSE = with_roles("ref_item").replace("with ", "with recursive ", 1) + f""", u as (select contract_id * 5 + pos as id, embedding from ref_item),
+near as (select i.id as a, q.id as b from u i, u q where {_COS} <= 0.72),
+core as (select a from near group by a having count(*) >= 5),
+edge as (select a, b from near join core using (a) where b in (select a from core)),
+reach as (select a as id, a as seen from core union select r.id, e.b from reach r join edge e on e.a = r.seen),
+root as (select id, min(seen) as root from reach group by 1),
+big as (select root from root group by 1 having count(*) >= 5),
+member as (select u.id, case when b.root is null then u.id else b.root end as cluster, b.root is not null as dense from u left join root r on r.id = u.id left join big b on b.root = r.root)
+"""
+
+
+@query("op_c11_density_clusters", _DENSE + "select id as vec_id, cluster, dense, count(*) over (partition by cluster) as n_members from member")
+def density_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """Clusters of unit vectors that have five within 1.2 of each other; the rest by equal vectors."""
+    found = density.density_clusters(roles.ref_item(spark, sf), 1.2).withColumn("vec_id", F.col("contract_id") * 5 + F.col("pos"))
+    named = found.groupBy("cluster_id").agg(F.min("vec_id").alias("cluster"), F.count("*").alias("n_members"))
+    return found.join(named, "cluster_id").select("vec_id", "cluster", "dense", "n_members")
+
+
+@query(
+    "op_c11_density_nearest",
+    _DENSE
+    + f""", {with_roles("query_item").removeprefix("with ").strip()}, best as (select query_id, query_pos, id, d from (select q.query_id, q.query_pos, i.id, {_COS} as d, row_number() over (partition by query_id, query_pos order by round({_COS}, 9), i.id) as rank from u i, query_item q) where rank = 1)
+select query_id, query_pos, m.id as vec_id, round(d, 6) + 0.0 as distance from best join member b on b.id = best.id join member m on m.cluster = b.cluster""",
+)
+def density_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    items = roles.ref_item(spark, sf)
+    found = density.density_nearest(items, density.density_clusters(items, 1.2), roles.query_item(spark, sf))
+    return _rounded(found.select("query_id", "query_pos", (F.col("contract_id") * 5 + F.col("pos")).alias("vec_id"), "distance"), "distance")
+
+
 def _place_sql(distance: str, k: int = 5) -> str:
     return with_roles("location", "query_location") + f"""
 , pairs as (select q.query_id, l.contract_id, {distance} as d from location l, query_location q)
