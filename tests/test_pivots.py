@@ -32,8 +32,8 @@ def everything(items, queries, k, metric):
 
 @pytest.mark.parametrize("metric", ["cosine", "euclidean", "manhattan"])
 def test_indexed_neighbours_are_those_of_all_pairs(spark, monkeypatch, metric):
-    monkeypatch.setattr(pivots, "RING", 16)
-    monkeypatch.setattr(pivots, "PORTION", 8)
+    for name, value in (("CELL", 20), ("RING", 16), ("PORTION", 8), ("_CUBE", 100)):
+        monkeypatch.setattr(pivots, name, value)
     v = np.concatenate([groups(1, 300), np.repeat(groups(2, 1), 60, axis=0), np.random.default_rng(3).normal(size=(40, 8))])
     odd = [(500, 0, None), (501, 0, [0.0] * 8), (502, 0, [float("nan")] * 8)]
     items = frame(spark, v, ITEM).unionByName(spark.createDataFrame(odd, ITEM))
@@ -47,6 +47,7 @@ def test_indexed_neighbours_are_those_of_all_pairs(spark, monkeypatch, metric):
 
 
 def test_most_pairs_are_left_out_where_vectors_form_groups(spark, monkeypatch):
+    monkeypatch.setattr(pivots, "CELL", 60)
     monkeypatch.setattr(pivots, "RING", 32)
     items, queries = frame(spark, groups(5, 3000, centres=40), ITEM), frame(spark, groups(6, 60, centres=40), QUERY)
     share = pivots.Index(items).compared(queries, 5)
@@ -54,6 +55,7 @@ def test_most_pairs_are_left_out_where_vectors_form_groups(spark, monkeypatch):
 
 
 def test_bounds_are_below_all_distances(spark, monkeypatch):
+    monkeypatch.setattr(pivots, "CELL", 20)
     monkeypatch.setattr(pivots, "RING", 8)
     v = groups(7, 200)
     q = np.concatenate([groups(8, 10), np.random.default_rng(9).normal(size=(10, 8))])
@@ -96,8 +98,8 @@ def plain_clusters(v: np.ndarray, epsilon: float, least: int) -> list[set[int]]:
 
 @pytest.mark.parametrize(("epsilon", "least"), [(0.1, 5), (0.05, 3), (0.3, 8)])
 def test_clusters_are_those_of_all_pairs(spark, monkeypatch, epsilon, least):
-    monkeypatch.setattr(pivots, "RING", 16)
-    monkeypatch.setattr(pivots, "PORTION", 32)
+    for name, value in (("CELL", 40), ("RING", 16), ("PORTION", 32), ("_CUBE", 200)):
+        monkeypatch.setattr(pivots, name, value)
     v = np.concatenate([groups(11, 400, spread=0.03), np.random.default_rng(12).normal(size=(60, 8)), np.repeat(groups(13, 1), 30, axis=0), np.repeat(np.random.default_rng(14).normal(size=(3, 8)), 2, axis=0), groups(15, 10)[:, :] * 2.0])
     found: dict = {}
     for r in density.density_clusters(frame(spark, v, ITEM), epsilon, least).collect():

@@ -81,13 +81,13 @@ def density_clusters(items: DataFrame, epsilon: float = 0.5, least: int = 5) ->
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, times, v, (keys, q) in pivots.met(batch):
+            for _, times, v, keys, q in pivots.met(batch):
                 near = (pivots.distances(v, q, "cosine") <= most) @ times
                 yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0].copy()), pa.array(near.astype(np.int64))], names=["node", "near"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for nodes, _, v, (keys, q) in pivots.met(batch):
+            for nodes, _, v, keys, q in pivots.met(batch):
                 names, at = np.unique(np.concatenate((nodes, keys[:, 0])), return_inverse=True)
                 i, j = np.nonzero(pivots.distances(v, q, "cosine") <= most)
                 root = _roots(np.stack([at[j], at[len(nodes) + i]], axis=1), len(names))

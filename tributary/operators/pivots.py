@@ -1,6 +1,6 @@
 """A metric index of vectors: nearest neighbours and links within a distance, without comparing all pairs.
 
-A few hundred vectors, drawn by a hash of their keys, are pivots. Every vector belongs to its nearest pivot, and a pivot's
+At most a few hundred vectors, one for each CELL, drawn by a hash of their keys, are pivots. Every vector belongs to its nearest pivot, and a pivot's
 vectors, sorted by their distance to it, are cut into rings of at most about RING vectors, each a packed row. The
 triangle inequality bounds every distance from a query to a ring by the query's distance to the pivot and the ring's
 two radii, and by half its distance beyond its own nearest pivot. Nearest neighbours take two passes: the ring that
@@ -14,7 +14,6 @@ how much that is depends on the vectors: much where they form groups, little whe
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -28,7 +27,9 @@ from pyspark.sql import functions as F
 from ..functions import vectors
 from ..sources import files
 
-PIVOTS, RING, RINGS, PORTION = 256, 512, 65_536, 512
+PIVOTS, CELL, RING, RINGS, PORTION = 256, 2048, 4096, 65_536, 4096
+#: Distances that a task holds at once.
+_CUBE = 2_000_000
 #: Distances are rounded to 9 digits before they are compared.
 _NEAR = 1e-8
 
@@ -85,7 +86,7 @@ class Index:
         self.metric, self.context = metric, spark.sparkContext
         rows = items.where(vectors.usable(F.col("embedding"))).select(F.col("contract_id").cast("long").alias("contract_id"), F.col("pos").cast("long").alias("pos"), F.col("embedding").cast("array<double>").alias("embedding"))
         self.n = rows.count()
-        drawn = rows.select("embedding", F.xxhash64("contract_id", "pos").alias("at")).orderBy("at").limit(max(1, min(pivots, math.isqrt(self.n)))).collect()
+        drawn = rows.select("embedding", F.xxhash64("contract_id", "pos").alias("at")).orderBy("at").limit(max(1, min(pivots, self.n // CELL))).collect()
         self.pivots = np.unique(np.array([r[0] for r in drawn], dtype=float), axis=0) if drawn else np.zeros((0, 0))
         path = files.scratch(spark)
         self._packed(rows, max(RING, -(-self.n // RINGS))).write.parquet(path)
@@ -170,12 +171,16 @@ class Index:
 
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for contracts, poses, v, found in met(batch):
-                    keys, q = found[0], found[1]
+                for contracts, poses, v, keys, q in met(batch):
                     d = distances(v, q, metric)
-                    order = np.lexsort((np.broadcast_to(poses, d.shape), np.broadcast_to(contracts, d.shape), np.round(d, 9)), axis=1)[:, :k]
-                    mine = np.repeat(keys, order.shape[1], axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (mine[:, 0].copy(), mine[:, 1].copy(), contracts[order].ravel(), poses[order].ravel(), np.take_along_axis(d, order, 1).ravel())], names=["query_id", "query_pos", "contract_id", "pos", "distance"])
+                    near = np.round(d, 9)
+                    i, j = np.nonzero(near <= np.partition(near, min(k, len(v)) - 1, axis=1)[:, [min(k, len(v)) - 1]])
+                    # Of ties at the k-th place those with the smallest keys.
+                    order = np.lexsort((poses[j], contracts[j], near[i, j], i))
+                    i, j = i[order], j[order]
+                    first = np.arange(len(i)) - np.searchsorted(i, i) < k
+                    i, j = i[first], j[first]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys[i, 0], keys[i, 1], contracts[j], poses[j], d[i, j])], names=["query_id", "query_pos", "contract_id", "pos", "distance"])
 
         rows = queries.where(vectors.usable(F.col("embedding"))).select(F.col("query_id").cast("long").alias("query_id"), F.col("query_pos").cast("long").alias("query_pos"), F.col("embedding").cast("array<double>").alias("embedding"), F.lit(0.0).alias("most"))
         portions = max(1, -(-rows.count() // PORTION))
@@ -198,7 +203,7 @@ class Index:
 
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for contracts, poses, v, (keys, q) in met(batch):
+                for contracts, poses, v, keys, q in met(batch):
                     d = distances(v, q, metric)
                     i, j = np.nonzero(d <= most)
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys[i, 0], keys[i, 1], contracts[j], poses[j], d[i, j])], names=["query_id", "query_pos", "contract_id", "pos", "distance"])
@@ -215,11 +220,12 @@ class Index:
         return used / max(1, self.n * queries.count())
 
 
-def met(batch: pa.RecordBatch) -> Iterator[tuple]:
-    """The meetings of a batch as arrays: contracts, positions and vectors of a ring, keys and vectors of its queries."""
+def met(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+    """The meetings of a batch as arrays: contracts, positions and vectors of a ring, keys and vectors of some of its queries."""
     for n in range(batch.num_rows):
         contracts, poses, v = (batch.column(c)[n].values.to_numpy(zero_copy_only=False) for c in range(3))
         found = batch.column(3)[n].values
         keys = np.stack([found.field(c).to_numpy(zero_copy_only=False) for c in (0, 1)], axis=1)
-        q = found.field(2).flatten().to_numpy(zero_copy_only=False).reshape(len(keys), -1)
-        yield contracts, poses, v.reshape(len(contracts), -1), (keys, q)
+        q, step = _flat(found.field(2), len(keys)), max(1, _CUBE // len(contracts))
+        for a in range(0, len(keys), step):
+            yield contracts, poses, v.reshape(len(contracts), -1), keys[a : a + step], q[a : a + step]
