@@ -111,11 +111,20 @@ def sections(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
-@query("op_m11_search_form", "select * from (values (0, 'subject', 'stroje'), (1, 'locality', 'Jilemnice'), (1, 'entity_subject', 'obchod')) t(form, field, value)")
+_FORM = "select event_id as form, case when event_type <> 'error' then event_type else '' end as subject, case when value > 10 then props end as locality, case when event_type = 'error' then 'user ' || user_id else '' end as entity_subject from events"
+
+
+@query("op_m11_search_form", f"with f as ({_FORM}) select * from (select form, 'subject' as field, subject as value from f union all select form, 'locality', locality from f union all select form, 'entity_subject', entity_subject from f) where value <> ''")
 def search_form(spark: SparkSession, sf: str) -> DataFrame:
-    """Fields of two forms; empty ones are left out."""
-    forms = [search.search_form("stroje"), search.search_form("", "Jilemnice", "obchod")]
-    return spark.createDataFrame([(k, *pair) for k, form in enumerate(forms) for pair in form.items()], "form int, field string, value string")
+    """Every event as a form's fields; those that are empty or not there are left out."""
+    error = F.col("event_type") == "error"
+    forms = table(spark, sf, "events").select(
+        F.col("event_id").alias("form"),
+        F.when(~error, F.col("event_type")).otherwise("").alias("subject"),
+        F.when(F.col("value") > 10, F.col("props")).alias("locality"),
+        F.when(error, F.concat(F.lit("user "), F.col("user_id").cast("string"))).otherwise("").alias("entity_subject"),
+    )
+    return search.search_forms(forms)
 
 
 @query("op_m7_profiles", "select lpad(s_suppkey::varchar, 8, '0') as user_id, 'registry' as origin, [s_name] as items from supplier where s_suppkey % 2 = 0 union all select c_custkey::varchar, 'profile', [c_mktsegment] from customer where c_custkey in (select s_suppkey from supplier where s_suppkey % 2 = 1)")
@@ -252,11 +261,11 @@ def by_metric(spark: SparkSession, sf: str) -> DataFrame:
     return relational.numbered(scored, "place", ["worse", "p_type"]).select("p_type", "score", F.col("place").cast("long").alias("place"))
 
 
-@query("op_r14_regrouped_results", "pivot (select p_brand, p_size % 3 as dataset, p_retailprice from part) on 's' || dataset using round(avg(p_retailprice), 4) group by p_brand")
+@query("op_r14_regrouped_results", "select p_brand, " + ", ".join(f"round(avg(p_retailprice) filter (where p_size % 3 = {k}), 8) as s{k}" for k in range(3)) + " from part group by 1")
 def regrouped_results(spark: SparkSession, sf: str) -> DataFrame:
     """Results by model and dataset, side by side."""
     rows = table(spark, sf, "part").select("p_brand", F.concat(F.lit("s"), F.expr("p_size % 3")).alias("dataset"), "p_retailprice")
-    return rows.groupBy("p_brand").pivot("dataset", ["s0", "s1", "s2"]).agg(F.round(F.avg("p_retailprice"), 4))
+    return rows.groupBy("p_brand").pivot("dataset", ["s0", "s1", "s2"]).agg(F.round(F.avg("p_retailprice"), 8))
 
 
 _FULL = "1 - list_dot_product(i.embedding, q.embedding) / (sqrt(list_dot_product(i.embedding, i.embedding)) * sqrt(list_dot_product(q.embedding, q.embedding)))"

@@ -85,6 +85,12 @@ def search_form(subject: str = "", locality: str = "", entity_subject: str = "")
     return {k: v for k, v in (("subject", subject), ("locality", locality), ("entity_subject", entity_subject)) if v}
 
 
+def search_forms(rows: DataFrame, key: str = "form") -> DataFrame:
+    """(key, field, value): the fields of many forms, a column each beside the key; empty ones are left out."""
+    fields = [F.struct(F.lit(name).alias("field"), F.col(name).alias("value")) for name in ("subject", "locality", "entity_subject")]
+    return rows.select(key, F.inline(F.filter(F.array(*fields), lambda f: f["value"] != "")))
+
+
 def hydrated(results: DataFrame, contracts: DataFrame) -> DataFrame:
     """Results with the details of their contracts, joined by id, in the order of rank; contracts that are missing drop out alone."""
     return results.join(contracts, "contract_id")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo, standardize, vectors
-from ..operators import cluster, density, nearest, similarity
+from ..operators import calibration, cluster, density, nearest, similarity
 from . import roles
 from .roles import table, with_roles
 
@@ -204,6 +204,26 @@ def geodesic_nearest(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(nearest.nearest_places(roles.location(spark, sf), roles.query_location(spark, sf), 5, "geodesic"), "distance")
 
 
+def _calibration_sql(passes: int = 2, candidates: int = 1001) -> str:
+    """Each pass tries evenly spaced factors between the neighbours of the best one so far."""
+    steps = [f"d as (select (l.lat - q.lat) * 111.319::double as y, l.lon - q.lon as x, {_CIRCLE} as km from location l join query_location q on l.contract_id // 50 = q.query_id)", f"b0 as (select 0.0::double as low, {geo.KM_LATITUDE}::double as high, 0.0::double as factor, 0.0::double as error)"]
+    for n in range(1, passes + 1):
+        steps.append(f"f{n} as (select k, low + (high - low) * k / {candidates - 1} as factor, (high - low) / {candidates - 1} as step from b{n - 1}, (select unnest(range({candidates})) as k))")
+        steps.append(f"e{n} as (select factor, step, sum(abs(sqrt(y * y + x * factor * x * factor) - km)) / sum(km) as error from f{n}, d group by 1, 2)")
+        steps.append(f"b{n} as (select factor - step as low, factor + step as high, factor, error from e{n} order by error limit 1)")
+    return with_roles("location", "query_location") + ", " + ", ".join(steps) + f" select round(factor, 3) as factor, round(error, 6) as error from b{passes}"
+
+
+@query("op_r13_longitude_factor", _calibration_sql())
+def longitude_factor(spark: SparkSession, sf: str) -> DataFrame:
+    """Kilometres to a degree of longitude at which planar distances of customers and the places asked for err least."""
+    places, asked = roles.location(spark, sf), roles.query_location(spark, sf).select("query_id", F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"))
+    pairs = places.withColumn("query_id", F.expr("contract_id div 50")).join(asked, "query_id").select(F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"), "lat_b", "lon_b")
+    circle = geo.great_circle_km(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))
+    factor, error = calibration.longitude_factor(pairs.withColumn("distance", circle))
+    return spark.createDataFrame([(round(factor, 3), round(error, 6))], "factor double, error double")
+
+
 @query("op_c10_location_valid", "select count(*) as n from customer where not (((c_custkey * 37) % 250) = 0 and ((c_custkey * 53) % 670) = 0)")
 def location_valid(spark: SparkSession, sf: str) -> DataFrame:
     moved = roles.location(spark, sf).select((F.col("lat") - 48.55).alias("lat"), (F.col("lon") - 12.10).alias("lon"))

@@ -192,9 +192,15 @@ def character_vector(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "benchmark").select("item_id", F.transform(T.character_vector(F.col("text")), lambda x: x.cast("long")).alias("vector"))
 
 
-@query("op_e11_ignore_mask", "select list_transform(range(500), lambda k: case when k = 0 or list_contains([ord(' '), ord(chr(10)), ord('.'), ord('ž')], k) then 0 else 1 end) as mask")
+@query(
+    "op_e11_ignore_mask",
+    "select doc_id, bin::int as bin, count(*)::int as n from (select doc_id, ascii(c) % 500 as bin from (select doc_id, unnest(string_split(text, '')) as c from documents where text <> '')) where bin <> 0 and not list_contains([ord(' '), ord(chr(10)), ord('.'), ord('ž')], bin) group by 1, 2",
+)
 def ignore_mask(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.range(1).select(T.ignore_mask(" \n.ž").alias("mask"))
+    """Each document's character counts where the mask lets them through; the bin of the length is ignored with any letter."""
+    rows = table(spark, sf, "documents").select("doc_id", T.character_vector(F.col("text")).alias("v"))
+    masked = rows.select("doc_id", F.posexplode(F.zip_with("v", T.ignore_mask(" \n.ž"), lambda n, m: n * m)).alias("bin", "n"))
+    return masked.where("n > 0")
 
 
 @query("op_e12_letter_ratio", "select doc_id, round(length(regexp_replace(text, '[^a-z]', '', 'g')) / greatest(length(text), 1), 6) as ratio from documents")
