@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
+from ..functions import keywords as K
 from ..functions import text as T
 from .nearest import top_k
 
@@ -33,6 +34,8 @@ KEYWORDS = {
 RANGE, BINS, CONTEXTS, REACH = 2040, 3, 10, 3
 #: Words that headings and lists of goods have.
 ARTICLE, NAME, GOODS, TOPICS = "článek", "název", "Zboží", ("cena", "doba", "místo")
+#: Fixed value of the engine: so many occurrences of a keyword count in a text.
+MOST = 1002
 #: Characters of a block of text, and of those before and after it that belong to it as well.
 _BLOCK, _BEHIND, _AHEAD = 512, 32, 160
 
@@ -49,13 +52,15 @@ def occurrences(docs: DataFrame, keywords: dict[str, float] = KEYWORDS, key: str
     of occurrences carry the few characters around them, not the text.
     """
 
-    def around(at: Column, blocks: Column) -> Column:
-        return F.transform(at, lambda p: F.struct(p.alias("occ"), F.get(blocks, F.floor(p / _BLOCK).cast("int")).alias("block"), F.least(p, p % _BLOCK + F.when(p >= _BLOCK, _BEHIND).otherwise(0)).cast("int").alias("off")))
+    weights = F.create_map(*(x for k, w in keywords.items() for x in (F.lit(k), F.lit(float(w)))))
 
-    blocked = docs.select(key, F.col(text).alias("_text"), _blocks(F.col(text)).alias("_blocks"))
-    cut = lambda hits: F.transform(hits, lambda h: F.struct(h["occ"].alias("occ"), F.substring(h["block"], F.greatest(h["off"] - 20, F.lit(0)) + 1, F.least(h["off"], F.lit(20))).alias("behind"), F.substring(h["block"], h["off"] + 1, F.lit(_AHEAD)).alias("ahead")))
-    found = F.array(*(F.struct(F.lit(k).alias("keyword"), F.lit(float(w)).alias("weight"), cut(around(T.positions(F.col("_text"), k), F.col("_blocks"))).alias("hits")) for k, w in keywords.items()))
-    each = blocked.select(key, F.explode(found).alias("k")).select(key, "k.keyword", "k.weight", F.explode("k.hits").alias("h")).select(key, "keyword", "weight", "h.occ", "h.behind", "h.ahead")
+    def around(hit: Column) -> Column:
+        p = hit["occ"]
+        block, off = F.get("_blocks", F.floor(p / _BLOCK).cast("int")), F.least(p, p % _BLOCK + F.when(p >= _BLOCK, _BEHIND).otherwise(0)).cast("int")
+        return F.struct(hit["keyword"].alias("keyword"), p.alias("occ"), F.substring(block, F.greatest(off - 20, F.lit(0)) + 1, F.least(off, F.lit(20))).alias("behind"), F.substring(block, off + 1, F.lit(_AHEAD)).alias("ahead"))
+
+    blocked = docs.select(key, K.hits(F.col(text), list(keywords), MOST).alias("_hits"), _blocks(F.col(text)).alias("_blocks"))
+    each = blocked.select(key, F.inline(F.transform("_hits", around))).withColumn("weight", F.try_element_at(weights, "keyword"))
     behind, n = F.col("behind"), F.length("keyword")
     ahead = lambda size: F.substring(F.col("ahead"), F.lit(1), size)
     plus = lambda condition, by: F.when(condition, by).otherwise(0.0)

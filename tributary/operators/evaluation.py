@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import keywords as K
 from ..functions import text as T
 from ..functions import vectors as V
 from . import relational
@@ -123,6 +124,6 @@ def contract_texts(docs: DataFrame) -> DataFrame:
 
 def concordances(docs: DataFrame, keywords: list[str], key: str = "doc_id", text: str = "text", around: int = 50) -> DataFrame:
     """(key, keyword, at, context): every place of every keyword, in either case, with the characters around it."""
-    found = F.array(*(F.struct(F.lit(k).alias("keyword"), T.positions(F.col(text), k, None).alias("places")) for k in keywords))
-    cut = lambda k: F.transform(k["places"], lambda p: F.struct(k["keyword"].alias("keyword"), p.alias("at"), F.substring(F.col(text), F.greatest(p - around, F.lit(0)) + 1, F.least(p, F.lit(around)) + F.length(k["keyword"]) + around).alias("context")))
-    return docs.select(key, F.explode(F.flatten(F.transform(found, cut))).alias("h")).select(key, "h.keyword", "h.at", "h.context")
+    start = F.greatest(F.col("occ") - around, F.lit(0)) + 1
+    each = docs.select(key, F.col(text).alias("_text"), F.explode(K.hits(F.col(text), keywords)).alias("h")).select(key, "_text", "h.keyword", "h.occ")
+    return each.select(key, "keyword", F.col("occ").alias("at"), F.substring("_text", start, F.least("occ", F.lit(around)) + F.length("keyword") + around).alias("context"))
