@@ -107,15 +107,32 @@ def slow_score(model, text: str) -> float:
         hit = whole(w) or (None if w.isalpha() else min(filter(None, map(whole, re.findall(r"[^\W\d_]+", w))), default=None))
         if hit:
             a, b = max(0, k - 6), min(len(words), k + 7)
-            quotes = [any(c in '"“”„«»‘’`' for c in low[x:y]) for x, y in ((places[a][0], places[k][0]), (places[k][1], places[b - 1][1]))]
             near = min([abs(j - k) for j in range(a, b) if words[j] in toxicity.REPORTING], default=7)
-            q = 1.0 if all(quotes) else 1 - max(0, near - 1) / 6
+            q = 1.0 if _enclosed(low, *places[k]) else 1 - max(0, near - 1) / 6
             sums[int(hit[0] > 0)] += 1 - q
             sums[2] += q
     z = model.weights[0] + sum(w * math.floor(2 * math.log2(1 + x) + 0.5) / 2 for w, x in zip(model.weights[1:], sums, strict=True))
     return 1 / (1 + math.exp(-z))
 
 
+def _enclosed(text: str, start: int, end: int) -> bool:
+    """Whether a pair of marks of one kind stands around a stretch, in its line."""
+    first, last = text.rfind("\n", 0, start) + 1, text.find("\n", end)
+    line, x, y = text[first : last if last >= 0 else len(text)], start - first, end - first
+    for marks in ('"“”„', "«»", "‘’", "`"):
+        opened = None
+        for at, c in enumerate(line):
+            inside = 0 < at < len(line) - 1 and line[at - 1].isalnum() and line[at + 1].isalnum()
+            if c in marks and not inside:
+                if opened is not None:
+                    if opened < x and y <= at:
+                        return True
+                    opened = None
+                elif c != "’":
+                    opened = at
+    return False
+
+
 def test_scores_by_comparing_every_word_with_every_term(spark):
     import random
 

@@ -7,10 +7,10 @@ their odds in toxic texts are over ODDS times those in clean ones, which any sha
 The lexicon is a trie, and a word is looked up by running its Levenshtein automaton along the trie: one edit for words
 of 5 letters or more, two from 9; digits may stand in words, and where such a word is no term its runs of letters are
 looked up. A term whose misspellings clean texts contain as often as toxic ones is matched
-exactly only. Each match has a context window of CONTEXT words and a score in it from 0, abuse, to 1, quotation: 1 with
-quotation marks on both sides, and the more the nearer a word of reporting stands. A match counts by one less its score as
-plain or misspelled abuse and by its score as quotation. A ridge-penalised logistic regression turns these three sums, on
-a logarithmic scale in half steps, into a text's score; it is fitted to the table of their combinations.
+exactly only. Each match has a score from 0, abuse, to 1, quotation: 1 inside a pair of quotation marks, and otherwise
+the more the nearer a word of reporting stands in its context window of CONTEXT words. A match counts by one less its
+score as plain or misspelled abuse and by its score as quotation. A ridge-penalised logistic regression turns these
+three sums, on a logarithmic scale in half steps, into a text's score; it is fitted to the table of their combinations.
 
 Fitting is bounded by TRAIN_ROWS and runs as Spark jobs; scoring is one pass without a shuffle. Language,
 source, ids and labels never enter a score.
@@ -24,8 +24,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -37,12 +39,46 @@ from .shared import documents, give_back, release, settle, tidy
 
 FOLDS, TRAIN_ROWS, ODDS, CONTEXT = 5, 40_000, 3, 6
 _WORD, _LETTERS = re.compile(r"(?<![^\W_])\d*+[^\W\d_][^\W_]*"), re.compile(r"[^\W\d_]+")
-_QUOTES = "\"“”„«»‘’`"
+#: Quotation marks by family: the first mark of a family opens and the next one closes, but for those that only close.
+_FAMILIES, _CLOSING = ('"“”„', "«»", "‘’", "`"), "’"
+_MARK = re.compile('["“”„«»‘’`]')
 #: Words of reporting that mark a quotation.
 REPORTING = frozenset("said says quote quoted quotes called calling word words term wrote reported citing dit mot cite sagte wort zitat dijo palabra cita".split())
 _MEMO = 200_000
 
 
+class Quoted:
+    """Whether a stretch of a text lies inside a quotation."""
+
+    def __init__(self, text: str):
+        pairs = sorted(quotations(text))
+        self.starts = [a for a, _ in pairs]
+        #: The farthest end of a quotation that begins no later.
+        self.ends = list(accumulate((b for _, b in pairs), max))
+
+    def holds(self, start: int, end: int) -> bool:
+        k = bisect_left(self.starts, start)
+        return k > 0 and self.ends[k - 1] >= end
+
+
+def quotations(text: str) -> list[tuple[int, int]]:
+    """Where quotations begin and end: marks of one family in turn within a line; a mark between letters or digits is none."""
+    out, opened, last = [], {}, 0
+    for m in _MARK.finditer(text):
+        at, mark = m.start(), m[0]
+        if text[at - 1 : at].isalnum() and text[at + 1 : at + 2].isalnum():
+            continue
+        if text.find("\n", last, at) >= 0:
+            opened = {}
+        last = at
+        family = next(k for k, marks in enumerate(_FAMILIES) if mark in marks)
+        if family in opened:
+            out.append((opened.pop(family), at))
+        elif mark not in _CLOSING:
+            opened[family] = at
+    return out
+
+
 class Trie:
     """Lexicon as nested dictionaries; the term's number stands under the empty string."""
 
@@ -156,12 +192,11 @@ class Matcher:
         if not hit:
             return []
         out = []
-        places = [m.span() for m in _WORD.finditer(low)]
+        places, quoted = [m.span() for m in _WORD.finditer(low)], Quoted(low)
         for k, w in enumerate(words):
             if w in hit:
                 a, b = max(0, k - CONTEXT), min(len(words), k + CONTEXT + 1)
-                before, after = low[places[a][0] : places[k][0]], low[places[k][1] : places[b - 1][1]]
-                marked = any(q in before for q in _QUOTES) and any(q in after for q in _QUOTES)
+                marked = quoted.holds(*places[k])
                 near = min((abs(j - k) for j in range(a, b) if words[j] in REPORTING), default=CONTEXT + 1)
                 out.append((*hit[w], 1.0 if marked else 1 - max(0, near - 1) / CONTEXT))
         return out
