@@ -216,13 +216,6 @@ def test_ties_and_rows_that_repeat(spark):
     assert len(rows) == 3 and len({(r["text"], r["path"]) for r in rows}) == 1
 
 
-def test_winning_paths_of_a_host_with_many(spark):
-    counted = spark.range(5000).selectExpr("if(id % 2 = 0, 'h', '') as host", "concat('p', id) as path", "id div 3 as pages", "cast(id % 7 as double) as weight")
-    rows = sorted(counted.collect(), key=lambda r: (r["host"], -r["pages"], -r["weight"], r["path"]))
-    want = {h: [r["path"] for r in rows if r["host"] == h][:4] for h in ("h", "")}
-    assert {r["host"]: r["paths"] for r in html.winning_paths(counted).collect()} == want
-
-
 def test_recordings_align_at_their_offset(spark):
     draw = np.random.default_rng(1)
     time = np.arange(2000) / media.RATE

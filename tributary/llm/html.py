@@ -1,18 +1,20 @@
 """Operator 2: main text of web pages by consensus host paths.
 
 Every page's containers are scored by the text in their blocks that is neither boilerplate nor links. The best one votes
-for its generalised path (tags with their classes, numbers masked) within its host. Votes are counted in Spark and each
-page is extracted again with its host's winning paths: all containers of the first of them that the page has, and that
-together hold nearly all unlinked text of the page's own best container, make the text; else that one does.
+for its generalised path (tags with their classes, numbers masked) within its host. Votes are counted in Spark; the paths
+with at least SHARE of their host's votes win. Each page is extracted again: all containers of its own path, if that won,
+make the text; else those of the first winning path, by votes, whose containers score on this page; else its own best one.
 
-Votes are grouped with map-side counts and ranked by bounded lists, so a host with a third of all pages or with many
-paths is no hot spot. Hosts' paths are broadcast while there are at most BROADCAST_HOSTS of them and joined by a shuffle
-beyond. Reading a page takes time and memory in proportion to it, however deep its elements lie: blocks are numbered, and
+Votes are grouped with map-side counts. A path with SHARE of its host's votes has that share of its own salted part of
+them too, so parts keep a bounded list each, and a host with a third of all pages or with many paths is no hot spot.
+Hosts' paths are broadcast while there are at most BROADCAST_HOSTS of them and joined by a shuffle beyond. Reading a page takes time and memory in proportion to it, however deep its elements lie: blocks are numbered, and
 an element is a range of them, so what it holds is a difference of prefix sums.
 
-What a class, id or role calls a menu, a notice, comments and the like is left out, but a name alone does not decide: an
-element that holds most of the page's unlinked text stays if other words of it speak of content or layout, or if it has
-the page's heading or article inside; and if nothing else has text, what is left over stays.
+What a class, id or role calls a menu, a notice, comments and the like is left out. A name that says it of a part that
+the element has or lacks (``has-notice``, ``no-sidebar``) does not count. An element that holds most of the page's unlinked
+text stays if it has the page's heading or article inside, or if other words of it speak of content or layout and no name
+has such a part as its head, the last word but for boxes (``post-sidebar-wrap`` is a sidebar, ``social-news`` news).
+Readers' comments never stay for these reasons. If nothing else has text, what is left over stays.
 
 Edge cases: null and empty pages give an empty text; markup that is not closed at the end of a page is left out, wrong
 declarations count as comments, end tags without a start are ignored; pages without a usable url vote together under the
@@ -25,6 +27,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 from itertools import accumulate
 
@@ -35,9 +38,8 @@ from pyspark.sql.window import Window
 
 from .shared import settle, small_batches, tidy
 
-#: Paths of a host that are tried; hosts that are broadcast; least share of the unlinked text of the page's own best
-#: container that a vote's containers must hold.
-PATHS, BROADCAST_HOSTS, NEARLY = 4, 100_000, 0.9
+#: Least share of its host's votes that a winning path has; hosts that are broadcast; parts of a host's votes.
+SHARE, BROADCAST_HOSTS, PARTS = 0.1, 100_000, 64
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img".split())
 _SILENT = frozenset("script style noscript template head title iframe object svg canvas audio video map nav footer aside button select option textarea input dialog menu noembed noframes xmp".split())
@@ -54,13 +56,18 @@ _BOILERPLATE = frozenset(
 )
 #: Of these an article or main element can be one, too.
 _REPLIES = frozenset("ad advert advertisement comment comments promo related reply replies sponsored".split())
+#: Readers' comments, whatever else a name says.
+_READERS = frozenset("comment comments commentlist discussion disqus reply replies respond".split())
 _CONTENT = frozenset("article body content entry main post story text".split())
+_LAYOUT = frozenset("col columns container layout page row site wrap wrapper".split())
 #: Words that say of an element that it has, or lacks, such parts.
-_LAYOUT = frozenset("col columns container has layout no page row site with without wrap wrapper".split())
+_HAVING = frozenset("free has no with without".split())
+#: Words that may follow the head of a name.
+_BOXES = frozenset("area block box col column columns container group holder inner left list outer right row section wrap wrapper".split())
 #: Elements that end when one of these begins; only these, and rows of tables, are looked through for it.
 _CLOSES = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 _LOOSE = frozenset("p li td th tr dt dd option tbody thead tfoot".split())
-_NAME = re.compile(r"[A-Za-z]+")
+_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _NUMBER = re.compile(r"\d+")
 _TAG_END = r"""(?>[^>=]++|=\s*+(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*+|(?=>)))*+>"""
 #: Comment, wrong declaration or end tag, end tag, start tag; else markup that is not closed.
@@ -69,8 +76,23 @@ _ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*
 _READ = frozenset(("class", "id", "role", "style", "hidden", "aria-hidden"))
 
 
+@lru_cache(50_000)
+def _words(said: str) -> tuple[frozenset[str], frozenset[str]]:
+    """Words of the names in an attribute, but for those of parts that an element has or lacks; and the names' heads."""
+    words, heads = set(), set()
+    for name in said.split():
+        parts = [w.lower() for w in _NAME.findall(name)]
+        having = next((k for k, w in enumerate(parts) if w in _HAVING), None)
+        if having is not None:
+            parts = [w for w in parts[:having] if parts[having] != "free" or w not in _BOILERPLATE]
+        if parts:
+            words |= set(parts)
+            heads.add(next((w for w in reversed(parts) if w not in _BOXES), parts[-1]))
+    return frozenset(words), frozenset(heads)
+
+
 class _Node:
-    __slots__ = ("tag", "label", "parent", "block", "silent", "link", "within", "depth", "bonus", "suspect", "excused", "first", "last", "path", "inline")
+    __slots__ = ("tag", "label", "parent", "block", "silent", "link", "within", "depth", "bonus", "suspect", "excused", "readers", "first", "last", "path", "inline")
 
     def __init__(self, tag: str, label: str, parent: _Node | None, first: int):
         self.tag, self.label, self.parent, self.first, self.last = tag, label, parent, first, first
@@ -79,16 +101,16 @@ class _Node:
         self.link = tag == "a" or (parent is not None and parent.link)
         #: Stands for the path from the root.
         self.path = hash((parent.path, label)) if parent else 0
-        self.silent = self.suspect = self.excused = self.within = False
+        self.silent = self.suspect = self.excused = self.readers = self.within = False
         self.bonus = 0.0
         self.inline: Counter | None = None
 
-    def way(self) -> str:
+    def way(self) -> list[str]:
         labels, node = [], self
         while node.parent is not None:
             labels.append(node.label)
             node = node.parent
-        return ">".join(reversed(labels))
+        return labels[::-1]
 
 
 def _attributes(said: str) -> dict[str, str]:
@@ -183,7 +205,8 @@ class Page:
         self._open(tag, _attributes(said))
 
     def _open(self, tag: str, values: dict[str, str]) -> None:
-        names = {w.lower() for k in ("class", "id", "role") if k in values for w in _NAME.findall(values[k])}
+        said = [_words(values[k]) for k in ("class", "id", "role") if k in values]
+        names = frozenset().union(*(words for words, _ in said))
         inside = self.node
         label = tag + "".join(f".{_NUMBER.sub('#', c)}" for c in sorted(values.get("class", "").split()))
         node = _Node(tag, label, inside, len(self.blocks))
@@ -202,7 +225,8 @@ class Page:
         words = _REPLIES if tag in ("article", "main") else _BOILERPLATE
         node.suspect = tag not in ("html", "body") and (tag == "form" or not words.isdisjoint(names))
         if node.suspect:
-            node.excused = not _CONTENT.isdisjoint(names) or not _LAYOUT.isdisjoint(names)
+            node.readers = not _READERS.isdisjoint(names)
+            node.excused = not (_CONTENT | _LAYOUT).isdisjoint(names) and all(words.isdisjoint(heads) for _, heads in said)
             self.suspects.append(node)
         elif tag in _LANDMARKS:
             self.landmarks.append(len(self.blocks))
@@ -241,7 +265,7 @@ class Page:
         for node in self.suspects:
             most = 2 * (before[node.last] - before[node.first]) > before[-1]
             # A landmark that starts at block k lies inside if k is among its blocks.
-            if most and (node.excused or marks[node.last] > marks[node.first]):
+            if most and not node.readers and (node.excused or marks[node.last] > marks[node.first]):
                 continue
             doubtful.append(node)
             for k in range(max(node.first, gone_to), node.last):
@@ -254,13 +278,13 @@ class Page:
         self.free = [0, *accumulate(f if k else 0 for f, k in zip(free, keep, strict=True))]
         self.bound = [0, *accumulate(n if k else 0 for n, k in zip(self.links, keep, strict=True))]
 
+    def score(self, containers: list[_Node]) -> float:
+        """Text of containers, none inside another, less twice the linked, with what their names add."""
+        return sum(max(0, self.good[c.last] - self.good[c.first] - 2 * (self.bound[c.last] - self.bound[c.first])) * (1 + c.bonus) for c in containers)
+
     def scored(self) -> list[tuple[float, _Node]]:
         """Containers with their scores, best first; of equals the deeper one, then the first."""
-        out = []
-        for k, c in enumerate(self.containers):
-            good = self.good[c.last] - self.good[c.first]
-            if good:
-                out.append((-max(0, good - 2 * (self.bound[c.last] - self.bound[c.first])) * (1 + c.bonus), -c.depth, k))
+        out = [(-self.score([c]), -c.depth, k) for k, c in enumerate(self.containers) if self.good[c.last] > self.good[c.first]]
         return [(-score, self.containers[k]) for score, _, k in sorted(out)]
 
     def text_of(self, containers: list[_Node]) -> str:
@@ -273,21 +297,25 @@ class Page:
             at = max(at, c.last)
         return "\n".join(out)
 
-    def holding(self, way: str) -> list[_Node]:
+    def holding(self, way: list[str]) -> list[_Node]:
         """The containers of a path; none of them lies in another, as a path tells the depth."""
         path = 0
-        for label in way.split(">") if way else ():
+        for label in way:
             path = hash((path, label))
         return [c for c in self.containers if c.path == path and self.good[c.last] > self.good[c.first]]
 
-    def unlinked(self, containers: list[_Node], within: _Node) -> int:
-        """Characters outside links that the containers hold of what ``within`` holds."""
-        cut = ((max(c.first, within.first), min(c.last, within.last)) for c in containers)
-        return sum(self.free[b] - self.free[a] for a, b in cut if a < b)
+    def chosen(self, ways: list[list[str]]) -> tuple[list[_Node], bool]:
+        """The containers that make the text, by the winning paths; whether one of those chose them."""
+        scored = self.scored()
+        best = [scored[0][1]] if scored else []
+        if best and scored[0][0] > 0 and best[0].way() in ways:
+            return self.holding(best[0].way()), True
+        found = next((c for c in map(self.holding, ways) if self.score(c) > 0), None)
+        return found or best, found is not None
 
 
 def votes(pages: DataFrame) -> DataFrame:
-    """(host, path, pages, weight) of the containers that pages (page_id, host, html) score best."""
+    """(host, path, pages, weight) of the containers that pages (page_id, host, html) score best; a path is its labels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -298,29 +326,28 @@ def votes(pages: DataFrame) -> DataFrame:
                     hosts.append(host)
                     paths.append(best[0][1].way())
                     weights.append(best[0][0])
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(weights, pa.float64())], names=["host", "path", "weight"])
-
-    return pages.mapInArrow(tidy(run), "host string, path string, weight double").groupBy("host", "path").agg(F.count("*").alias("pages"), F.sum(F.log1p("weight")).alias("weight"))
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.list_(pa.string())), pa.array(weights, pa.float64())], names=["host", "path", "weight"])
 
+    return pages.mapInArrow(tidy(run), "host string, path array<string>, weight double").groupBy("host", "path").agg(F.count("*").alias("pages"), F.sum(F.log1p("weight")).alias("weight"))
 
-def winning_paths(counted: DataFrame, paths: int = PATHS) -> DataFrame:
-    """(host, paths): the paths with most votes, most first; ties by weight, then by path.
 
-    Ranked by salted parts of a host first, so that no task sorts all paths of a large one and no row holds them.
-    """
-    order = (F.desc("pages"), F.desc(F.round("weight", 3)), "path")
-    salted = counted.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(64)))
-    some = salted.withColumn("k", F.row_number().over(Window.partitionBy("host", "salt").orderBy(*order))).where(F.col("k") <= paths)
-    ranked = some.withColumn("k", F.row_number().over(Window.partitionBy("host").orderBy(*order))).where(F.col("k") <= paths)
-    return ranked.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("k", "path"))).alias("r")).select("host", F.col("r.path").alias("paths"))
+def winning_paths(counted: DataFrame, share: float = SHARE) -> DataFrame:
+    """(host, paths): the paths with at least ``share`` of their host's votes, most first; ties by weight, then by path."""
+    part = Window.partitionBy("host", "part")
+    parts = counted.withColumn("part", F.pmod(F.xxhash64("path"), F.lit(PARTS))).withColumn("votes", F.sum("pages").over(part))
+    could = F.when(F.col("pages") >= share * F.col("votes"), F.struct(-F.col("pages"), -F.round("weight", 3), "path"))
+    # At most 1 / share paths of a part could win.
+    hosts = parts.groupBy("host").agg(F.sum("pages").alias("votes"), F.sort_array(F.collect_list(could)).alias("could"))
+    won = F.filter("could", lambda c: -c["col1"] >= share * F.col("votes"))
+    return hosts.select("host", F.transform(won, lambda c: c["path"]).alias("paths"))
 
 
-def extract(df: DataFrame, paths: int = PATHS, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract(df: DataFrame, share: float = SHARE, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text, path, by_vote) of every page."""
     small_batches(df.sparkSession)
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col), "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     pages = df.select(F.col(id_col).cast("long").alias(id_col), host.alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), F.col(url_col).alias("url"))
-    won = settle(winning_paths(votes(pages.select(id_col, "host", "html")), paths))
+    won = settle(winning_paths(votes(pages.select(id_col, "host", "html")), share))
     joined = pages.join(F.broadcast(won) if won.count() <= BROADCAST_HOSTS else won, "host", "left").select(id_col, "url", "html", "paths")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,14 +355,10 @@ def extract(df: DataFrame, paths: int = PATHS, id_col: str = "page_id", url_col:
             texts, used, voted = [], [], []
             for html, ways in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 page = Page(html)
-                scored = page.scored()
-                best = [scored[0][1]] if scored else []
-                least = NEARLY * page.unlinked(best, best[0]) if best else 0
-                chosen = next((c for c in map(page.holding, ways or []) if c and page.unlinked(c, best[0]) >= least), None)
-                nodes = chosen or best
+                nodes, by_vote = page.chosen(ways or [])
                 texts.append(page.text_of(nodes))
-                used.append(nodes[0].way() if nodes else None)
-                voted.append(chosen is not None)
+                used.append(">".join(nodes[0].way()) if nodes else None)
+                voted.append(by_vote)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(used, pa.string()), pa.array(voted, pa.bool_())], names=[id_col, "url", "text", "path", "by_vote"])
 
     return joined.mapInArrow(tidy(run), f"`{id_col}` long, url string, text string, path string, by_vote boolean")
