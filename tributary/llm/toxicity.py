@@ -150,13 +150,14 @@ class Matcher:
     def __init__(self, terms: list[str], fuzzy: list[bool] | None = None):
         self.trie, self.exact = Trie(terms), {t: k for k, t in enumerate(terms)}
         self.fuzzy = fuzzy or [True] * len(terms)
-        parts = set()
+        parts: dict[str, set[tuple[int, int]]] = {}
         for t, on in zip(terms, self.fuzzy, strict=True):
             pieces = most_edits(len(t)) + 1
             if on and pieces > 1:
                 cut = [len(t) * k // pieces for k in range(pieces + 1)]
-                parts |= {t[a:b] for a, b in zip(cut, cut[1:])}
-        #: Some part of a term stands unchanged in every misspelling of it.
+                for a, b in zip(cut, cut[1:]):
+                    parts.setdefault(t[a:b], set()).add((a, len(t)))
+        #: Some part of a term stands unchanged in every misspelling of it, moved by no more letters than there are edits.
         self.parts, self.sizes = parts, sorted({len(x) for x in parts})
         self.memo: dict[str, tuple[int, int] | None] = {}
 
@@ -170,11 +171,19 @@ class Matcher:
         if word in self.exact:
             return 0, self.exact[word]
         edits = edits_for(len(word))
-        if not edits or not any(word[a : a + n] in self.parts for n in self.sizes for a in range(len(word) - n + 1)):
+        if not edits or not self._shares_a_part(word, edits):
             return None
         found = self.trie.nearest(word, edits)
         return found if found and self.fuzzy[found[1]] else None
 
+    def _shares_a_part(self, word: str, edits: int) -> bool:
+        m, parts = len(word), self.parts
+        for n in self.sizes:
+            for a in range(m - n + 1):
+                if (part := word[a : a + n]) in parts and any(abs(a - b) <= edits and abs(m - k) <= edits for b, k in parts[part]):
+                    return True
+        return False
+
     def matches(self, text: str) -> list[tuple[int, int, float]]:
         """(edits, term, context score) of every match, in order."""
         low = text.lower()
