@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import evaluation, relational
+from ..operators import evaluation, markup, relational
 from . import roles
 from .roles import table, with_roles
 
@@ -302,3 +302,20 @@ def links_of_pages(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", F.size(found).cast("long").alias("links"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
 
 
+
+
+#: Character references in SQL, decoded as the selection of elements does.
+_DECODED = "replace(replace(replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&apos;', chr(39)), '&nbsp;', ' '), '&amp;', '&')"
+_NAVS, _LINKS = "regexp_extract_all(html, '(?s)<nav>.*?</nav>')", """regexp_extract_all(nav, '<a href="[^"]*">[^<]*</a>')"""
+_HREF, _TEXT = _DECODED.format("""regexp_extract(a, 'href="([^"]*)"', 1)"""), _DECODED.format("regexp_extract(a, '>([^<]*)<', 1)")
+_ADS = """regexp_extract_all(html, '<div class="ad">([^<]*)</div>', 1)"""
+
+
+@query("op_a26_links_of_lists", f"with n as (select page_id, unnest({_NAVS}) as nav, generate_subscripts({_NAVS}, 1) as element from pages), a as (select page_id, element, unnest({_LINKS}) as a, generate_subscripts({_LINKS}, 1) as link from n) select page_id, element, link, {_HREF} as href, {_TEXT} as text from a")
+def links_of_lists(spark: SparkSession, sf: str) -> DataFrame:
+    return markup.links(table(spark, sf, "pages"), "nav")
+
+
+@query("op_a26_texts_by_class", f"with d as (select page_id, unnest({_ADS}) as said, generate_subscripts({_ADS}, 1) as element from pages) select page_id, element, {_DECODED.format('said')} as text from d")
+def texts_by_class(spark: SparkSession, sf: str) -> DataFrame:
+    return markup.texts(table(spark, sf, "pages"), "div", "ad")
