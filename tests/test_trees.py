@@ -176,3 +176,22 @@ def test_subtrees_of_a_deep_sentence_go(spark):
     text = "".join(f"{k}\tf\t{'cut' if k == 2 else 'w'}\tNOUN\t_\t_\t{k - 1}\tdep\t_\t_\n" for k in range(1, 301))
     rows = trees.sentences(spark.createDataFrame([(1, text)], "doc_id long, conllu string"))
     assert [len(r["tokens"]) for r in trees.without_subtrees(rows, ("cut",)).collect()] == [1]
+
+
+def test_sentences_searched_together_keep_to_themselves():
+    """Sentences in a row give the places that each gives alone, and thousands of short ones take no long time."""
+    draw = random.Random(11)
+    some = [_long(draw.randrange(9), "drawn") + _long(draw.randrange(6), "chain") for _ in range(300)]
+    for sentence in some:
+        for k, t in enumerate(sentence, 1):
+            t |= {"ord": k, "head": draw.randrange(k), "lemma": draw.choice("stroj dodat předmět objednatel dílo pro místo uvedený pořízení dodavatel zavazovat provedený".split())}
+    whole, sizes = [t for sentence in some for t in sentence], [len(sentence) for sentence in some]
+    for rule in (trees.subject_places, trees.places_without_submitters):
+        alone, at = [], 0
+        for sentence in some:
+            alone += [at + k for k in rule(trees.Sentence(sentence))]
+            at += len(sentence)
+        assert rule(trees.Sentence(whole, sizes)) == alone and alone
+    words, began = [t for t in some if t] * 20, time.process_time()
+    trees.subject_places(trees.Sentence([t for sentence in words for t in sentence], [len(sentence) for sentence in words]))
+    assert time.process_time() - began < 4e-4 * len(words)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from functools import wraps
+from functools import lru_cache, wraps
 from itertools import takewhile
 
 import numpy as np
@@ -30,9 +30,14 @@ Conditions = tuple[tuple[Condition, ...], ...]
 # CoNLL-U
 
 
+def _spread(docs: DataFrame, key: str) -> DataFrame:
+    """The documents dealt out to all cores: a file of a few megabytes holds more trees than one task should take."""
+    return docs.repartition(4 * docs.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def sentences(docs: DataFrame, key: str = "doc_id", conllu: str = "conllu") -> DataFrame:
     """(key, sentence, tokens) from CoNLL-U texts; comments, ranges of words and empty nodes are left out."""
-    blocks = docs.select(key, F.posexplode(F.split(conllu, r"\n[ \t]*\n+")).alias("sentence", "block"))
+    blocks = _spread(docs.select(key, conllu), key).select(key, F.posexplode(F.split(conllu, r"\n[ \t]*\n+")).alias("sentence", "block"))
     rows = F.filter(F.transform(F.split("block", "\n"), lambda x: F.split(x, "\t")), lambda c: (F.size(c) >= 8) & F.get(c, F.lit(0)).rlike("^[0-9]+$"))
 
     def token(c: Column) -> Column:
@@ -180,24 +185,37 @@ def _once(search: Callable) -> Callable:
     return answer
 
 
+@lru_cache(maxsize=1024)
+def _whole(patterns: tuple[str, ...]) -> Callable[[str], re.Match | None]:
+    """Matches values that one of the patterns describes whole."""
+    return re.compile("|".join(f"(?:{p})" for p in patterns) or "(?!)").fullmatch
+
+
 class Sentence:
     """A tree's tokens as arrays; places count from 0, and -1 stands for none.
 
     A walk around the tree numbers every token when it enters and when it leaves, so what hangs on a token is one range of
     numbers. Searches answer for all tokens at once, each in one sweep over the sentence or up or down the walk.
     Tokens whose heads go round in a circle count as roots.
+
+    Several sentences in a row are searched together, ``sizes`` tokens each, as short ones cost little more than the calls
+    they take; no search leaves a token's own sentence, whose places are ``first`` to ``end`` - 1.
     """
 
-    def __init__(self, tokens: list[dict]):
+    def __init__(self, tokens: list[dict], sizes: list[int] | None = None):
         self.tokens, n = tokens, len(tokens)
+        self.sizes = [n] if sizes is None else sizes
+        each = np.array(self.sizes, dtype=int)
+        self.end = np.repeat(np.cumsum(each), each)
+        self.first = self.end - np.repeat(each, each)
         self.feats = [dict(t["feats"] or ()) for t in tokens]
         self.places, self.answers = np.arange(n), {}
         self.head, self.depth = np.full(n, -1), np.zeros(n, dtype=int)
         self.enter, self.leave, self.walk = np.full(n, -1), np.full(n, -1), np.zeros(n, dtype=int)
         children: list[list[int]] = [[] for _ in range(n)]
         roots = []
-        for k, t in enumerate(tokens):
-            (children[t["head"] - 1] if 0 < (t["head"] or 0) <= n else roots).append(k)
+        for k, (t, first, end) in enumerate(zip(tokens, self.first.tolist(), self.end.tolist(), strict=True)):
+            (children[first + t["head"] - 1] if 0 < (t["head"] or 0) <= end - first else roots).append(k)
         clock = 0
         for root in (*roots, *range(n)):
             if self.enter[root] >= 0:
@@ -220,25 +238,28 @@ class Sentence:
         for alternative in conditions:
             every = np.ones(len(self.tokens), dtype=bool)
             for name, patterns in alternative:
-                values = [f.get(name[6:-1], "") for f in self.feats] if name.startswith("feats[") else [t.get(name) for t in self.tokens]
-                right = {v: v is None or any(re.fullmatch(p, v) for p in patterns) for v in set(values)}
-                every &= np.array([right[v] for v in values], dtype=bool)
+                values, fits = self.values(name), _whole(patterns)
+                every &= np.array([v is None or fits(v) is not None for v in values], dtype=bool)
             met |= every
         return met
 
+    @_once
+    def values(self, name: str) -> list[str | None]:
+        return [f.get(name[6:-1], "") for f in self.feats] if name.startswith("feats[") else [t.get(name) for t in self.tokens]
+
     @_once
     def before(self, conditions: Conditions, reach: int, itself: bool = False) -> np.ndarray:
         """For each token the last place before it, at most ``reach`` away, that meets the conditions."""
         last = np.maximum.accumulate(np.where(self.mask(conditions), self.places, -1))
         last = last if itself else np.concatenate(([-1], last[:-1]))[: len(last)]
-        return np.where(self.places - last <= reach, last, -1)
+        return np.where((self.places - last <= reach) & (last >= self.first), last, -1)
 
     @_once
     def after(self, conditions: Conditions, reach: int) -> np.ndarray:
         n = len(self.places)
         following = np.minimum.accumulate(np.where(self.mask(conditions), self.places, n)[::-1])[::-1]
         following = np.concatenate((following[1:], [n]))[:n]
-        return np.where((following < n) & (following - self.places <= reach), following, -1)
+        return np.where((following < self.end) & (following - self.places <= reach), following, -1)
 
     @_once
     def up(self, conditions: Conditions, steps: int | None = None) -> np.ndarray:
@@ -265,11 +286,32 @@ class Sentence:
         at = self.enter if places is None else self.enter[places]
         return (at > self.enter[k] - itself) & (at <= self.leave[k])
 
+    def own(self, k: int) -> np.ndarray:
+        """The places of the sentence that ``k`` is in."""
+        return np.arange(self.first[k], self.end[k])
+
     def below(self, k: int) -> np.ndarray:
         """All that hangs on ``k``, in the order of the sentence."""
         return np.sort(self.walk[self.enter[k] + 1 : self.leave[k] + 1])
 
 
+#: Tokens of sentences that are searched together.
+_TOGETHER = 4096
+
+
+def _together(column: pa.Array) -> Iterator[Sentence]:
+    """The sentences of a batch in their order, some thousand tokens at a time."""
+    tokens, sizes = [], []
+    for sentence in column.to_pylist():
+        tokens += sentence or []
+        sizes.append(len(sentence or []))
+        if len(tokens) >= _TOGETHER:
+            yield Sentence(tokens, sizes)
+            tokens, sizes = [], []
+    if sizes:
+        yield Sentence(tokens, sizes)
+
+
 def found_nodes(rows: DataFrame, conditions: Conditions, ways: dict[str, int], prefix: str = "") -> DataFrame:
     """``rows`` with an array for each way (``next``, ``previous``, ``ancestor``, ``descendant``, and its reach): the number of
     the node that ``nearest_node`` finds from each token. Linear in a sentence's length, for all its tokens together."""
@@ -279,11 +321,12 @@ def found_nodes(rows: DataFrame, conditions: Conditions, ways: dict[str, int], p
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list[list] = [[] for _ in ways]
-            for tokens in batch.column(batch.schema.get_field_index("tokens")).to_pylist():
-                s = Sentence(tokens or [])
+            for s in _together(batch.column(batch.schema.get_field_index("tokens"))):
                 for out, (way, reach) in zip(found, ways.items(), strict=True):
                     search = {"next": lambda: s.after(conditions, reach), "previous": lambda: s.before(conditions, reach), "ancestor": lambda: s.up(conditions, reach), "descendant": lambda: s.first_below(conditions)}  # noqa: B023
-                    out.append([int(k) + 1 if k >= 0 else None for k in search[way]()])
+                    at = search[way]()
+                    numbers = [k + 1 if k >= 0 else None for k in np.where(at >= 0, at - s.first, -1).tolist()]
+                    out += [numbers[end - size : end] for end, size in zip(np.cumsum(s.sizes).tolist(), s.sizes, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.list_(pa.int32())) for x in found)], names=[*batch.schema.names, *names])
 
     return rows.mapInArrow(run, kind)
@@ -341,11 +384,13 @@ def with_conjuncts(s: Sentence, candidates: np.ndarray) -> list[int]:
     """Candidates and their conjuncts: links lead from each word to the next conjunct near it, and a candidate's chain of
     them starts behind its subtree and ends at the first that hangs on the candidate that follows."""
     link = s.after(CONJUNCTS, 7)
-    last = np.array([max(s.below(k), default=k) for k in candidates], dtype=int)
+    last = np.array([s.walk[s.enter[k] + 1 : s.leave[k] + 1].max(initial=-1) for k in candidates], dtype=int)
+    last = np.where(last < 0, candidates, last)
     # A subtree that ends right before its own head is looked over from the head on.
     at = np.where(last + 1 == candidates, candidates, last)
     out = set(candidates.tolist())
-    for start, following in zip(at, [*candidates[1:], None], strict=False):
+    beside = [b if s.first[a] == s.first[b] else None for a, b in zip(candidates, candidates[1:], strict=False)]
+    for start, following in zip(at, [*beside, None], strict=False):
         out |= set(takewhile(lambda p: following is None or not s.under(following, p), _followed(link, start)))  # noqa: B023
     return sorted(out)
 
@@ -355,7 +400,7 @@ def phrase(s: Sentence, k: int) -> np.ndarray:
     hangs on a subject inside, and up to far punctuation."""
     verb = s.first_below(VERBS)[k]
     if verb >= 0 and abs(verb - k) < 10 and s.mask(SAID_VERB)[verb] and s.before(DETERMINER, 2)[verb] < 0:
-        inside = s.under(k, itself=True)[verb + 1 :]
+        inside = s.under(k, np.arange(verb + 1, s.end[k]), itself=True)
         words = verb + 1 + np.arange(np.argmin(np.append(inside, False)))
     else:
         words = np.concatenate(([k], s.below(k)))
@@ -369,8 +414,13 @@ def subject_places(s: Sentence) -> list[int]:
     """Places of the words that name a contract's subject."""
     if not s.tokens:
         return []
+    candidates = s.mask(TARGETS) & names_subject(s)
+    # Most sentences have none, or only such as the many rules need not be asked for.
+    candidates = np.flatnonzero(candidates & ~refused(s)) if candidates.any() else ()
+    if not len(candidates):
+        return []
     named = np.zeros(len(s.tokens), dtype=bool)
-    for k in with_conjuncts(s, np.flatnonzero(~refused(s) & names_subject(s))):
+    for k in with_conjuncts(s, candidates):
         named[phrase(s, k)] = True
     return np.flatnonzero(named & ~s.mask(NEVER_KEPT)).tolist()
 
@@ -387,9 +437,10 @@ def places_without_submitters(s: Sentence) -> list[int]:
     for k in np.flatnonzero(subject("objednatel", "kupující", "zadavatel")):
         if not gone[k]:
             top = verb[k] if verb[k] >= 0 else k
-            own = verb[supplier & s.under(top)]
+            places = s.own(k)
+            own = verb[places[supplier[places] & s.under(top, places)]]
             own = own[own >= 0]
-            gone |= s.under(own[-1] if len(own) else top, itself=True)
+            gone[places] |= s.under(own[-1] if len(own) else top, places, itself=True)
     return np.flatnonzero(~gone).tolist()
 
 
@@ -400,11 +451,16 @@ def _by_rule(rows: DataFrame, rule: Callable[[Sentence], list[int]], flat: bool)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index("tokens")
-            changed = []
-            for tokens in batch.column(at).to_pylist():
-                places = rule(Sentence(tokens))
-                number = {k: n for n, k in enumerate(places, 1)}
-                changed.append([{**tokens[k], "ord": number[k], "head": 0 if flat else number.get(tokens[k]["head"] - 1, 0)} for k in places])
+            changed: list[list[dict]] = []
+            for s in _together(batch.column(at)):
+                places, end = iter(rule(s)), 0
+                place = next(places, None)
+                for size in s.sizes:
+                    end, number = end + size, {}
+                    while place is not None and place < end:
+                        number[place] = len(number) + 1
+                        place = next(places, None)
+                    changed.append([{**s.tokens[k], "ord": n, "head": 0 if flat else number.get(end - size + (s.tokens[k]["head"] or 0) - 1, 0)} for k, n in number.items()])
             columns = list(batch.columns)
             columns[at] = pa.array(changed, out_schema.field("tokens").type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
