@@ -63,3 +63,11 @@ def test_texts_whose_lower_case_is_longer(spark, tmp_path, name):
     df = driver.queries()[name](spark, str(tmp_path))
     assert {0, 2} <= {r["doc_id"] for r in df.collect()}
     assert compare.difference(df, con, driver.oracle_sql()[name]) == ""
+
+
+def test_lists_of_a_nation_do_not_travel_with_customers_and_orders(spark):
+    """In op_a9 the join with the lists comes last and is a broadcast, so no exchange or sort of rows holds one."""
+    df = registry.queries()["op_a9_contract_entity_subjects"](spark, SF)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join " in line]
+    assert "s_nationkey" in joins[0] and "o_custkey" in joins[1] and "strategy=broadcast" in joins[0], plan
