@@ -64,3 +64,12 @@ def test_nothing_to_find(spark):
     assert df.select(K.hits(F.col("text"), []).alias("h")).first()["h"] == []
     assert contexts.occurrences(df, {"slovo": 1.0}).count() == 0
     assert evaluation.concordances(df, ["t"], around=1).count() == 2
+
+
+def test_starts_compare_rounded_scores(spark, monkeypatch):
+    """A score that is two thirds of the best but for the last bit is not above them."""
+    weights = [0.0] * 21
+    weights[5], weights[15] = 0.45, 0.1 + 0.2
+    rows = spark.createDataFrame([(1, k, w) for k, w in enumerate(weights)], "doc_id long, bin int, weight double")
+    monkeypatch.setattr(contexts, "histogram", lambda *_: rows)
+    assert [r["start"] for r in contexts.starts(rows).collect()] == [5 * 680]

@@ -103,7 +103,8 @@ def starts(docs: DataFrame, keywords: dict[str, float] = KEYWORDS, key: str = "d
     """(key, start, score) of the bins whose edge score is above two thirds of the document's highest."""
     scored = histogram(docs, keywords, key, text, span).withColumn("score", edge_score("weight", Window.partitionBy(key).orderBy("bin")))
     best = scored.withColumn("best", F.max("score").over(Window.partitionBy(key)))
-    return best.where("score > best * 2 / 3").select(key, (F.col("bin") * (span // BINS)).alias("start"), "score")
+    # Rounded: sums of the same ratings in another order, or a score of exactly two thirds, may differ in the last bit.
+    return best.where("round(score, 9) > round(best * 2 / 3, 9)").select(key, (F.col("bin") * (span // BINS)).alias("start"), "score")
 
 
 def fixed_contexts(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text", span: int = RANGE) -> DataFrame:
