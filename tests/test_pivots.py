@@ -141,3 +141,11 @@ def test_nearest_through_clusters_brings_all_members(spark):
     found = density.density_nearest(items, clusters, frame(spark, v[:1], QUERY)).collect()
     assert {(r["contract_id"], r["pos"]) for r in found} == {key for key, c in of.items() if c == of[0, 0]} and len(found) > 5
     assert {round(r["distance"], 9) for r in found} == {0.0}
+
+
+def test_a_task_holds_few_distances_whatever_the_batch(spark, monkeypatch):
+    """The block search takes items by slices, so what it holds grows neither with a batch nor with the items."""
+    monkeypatch.setattr(nearest, "CELLS", 60)
+    items, queries = frame(spark, np.concatenate([groups(8, 200), np.repeat(groups(9, 1), 90, axis=0)]), ITEM), frame(spark, groups(9, 12), QUERY)
+    for k in (1, 7, 400):
+        assert ranked(nearest.nearest_items_block(items, queries, k)) == everything(items, queries, k, "cosine")
