@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tributary.operators import density, nearest, pivots
+from tributary.operators import cluster, density, nearest, pivots
 
 ITEM, QUERY = "contract_id long, pos long, embedding array<double>", "query_id long, query_pos long, embedding array<double>"
 
@@ -149,3 +149,20 @@ def test_a_task_holds_few_distances_whatever_the_batch(spark, monkeypatch):
     items, queries = frame(spark, np.concatenate([groups(8, 200), np.repeat(groups(9, 1), 90, axis=0)]), ITEM), frame(spark, groups(9, 12), QUERY)
     for k in (1, 7, 400):
         assert ranked(nearest.nearest_items_block(items, queries, k)) == everything(items, queries, k, "cosine")
+
+
+def test_link_counts_are_those_of_all_pairs_and_send_no_pair(spark, monkeypatch):
+    v = np.concatenate([groups(12, 150, centres=6), np.repeat(groups(13, 1), 40, axis=0), np.eye(8)[:2] * 0.3, np.eye(8)[:1] * 0.7])
+    ids = [*range(len(v) - 1), 3]
+    rows = spark.createDataFrame([(k, [float(y) for y in x]) for k, x in zip(ids, v, strict=True)] + [(900, None), (901, [0.0] * 8)], "vec_id long, embedding array<double>").repartition(3)
+    for epsilon in (0.2, 0.4):
+        links = cluster.epsilon_links(rows, epsilon).select("a", "b").collect()
+        want: dict[int, int] = {}
+        for k in (k for link in links for k in link):
+            want[k] = want.get(k, 0) + 1
+        for size, cells in ((16_384, 1_000_000), (50, 300)):
+            monkeypatch.setattr(cluster, "BLOCK", size)
+            monkeypatch.setattr(cluster, "_CELLS", cells)
+            found = cluster.epsilon_link_counts(rows, epsilon)
+            assert {r["vec_id"]: r["n_links"] for r in found.collect()} == want and want
+            assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
