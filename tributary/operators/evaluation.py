@@ -10,6 +10,9 @@ from ..functions import text as T
 from ..functions import vectors as V
 from . import relational
 
+#: Parts in which the values of groups are ranked.
+PARTS = 64
+
 
 def tokens(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, token, n) of each text's words, split at white space."""
@@ -36,17 +39,32 @@ def dice(common: Column, total: Column) -> Column:
     return F.coalesce(F.try_divide(2 * common, total), F.lit(0.0))
 
 
-def average_rank(value: str, partition: list[str]) -> Column:
-    """Rank with equal values at the mean of their places."""
-    order = Window.partitionBy(*partition).orderBy(value)
-    same = Window.partitionBy(*partition, value)
-    return F.rank().over(order) + (F.count("*").over(same) - 1) / 2
+def average_ranks(rows: DataFrame, by: str, value: str, rank: str, parts: int = PARTS) -> DataFrame:
+    """(by, value, rank) of each group's distinct values, equal ones at the mean of their places.
+
+    A group is not sorted in one task: its counted values are cut at quantiles, and a part begins where the ones before end.
+    """
+    counted = rows.groupBy(by, value).agg(F.count("*").alias("_n"))
+    cuts = sorted(set(counted.approxQuantile(value, [k / parts for k in range(1, parts)], 0.25 / parts))) if parts > 1 else []
+    part = sum(((F.col(value) > cut).cast("int") for cut in cuts), F.lit(0))
+    placed = counted.withColumn("_part", part)
+    inside = Window.partitionBy(by, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("_by").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # A row for each group and part.
+    sizes = placed.groupBy(F.col(by).alias("_by"), "_part").agg(F.sum("_n").alias("_n"))
+    starts = sizes.select("_by", F.col("_part").alias("_at"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    numbered = placed.withColumn("_before", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    joined = numbered.join(starts, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_part") == F.col("_at")))
+    return joined.select(F.col(by).alias("_by"), F.col(value).alias("_value"), (F.col("_start") + F.col("_before") + (F.col("_n") + 1) / 2).alias(rank))
 
 
 def correlations(rows: DataFrame, by: str, x: str, y: str) -> DataFrame:
     """(by, pearson, spearman, n); NaN and null count as 0, as missing similarities do."""
     clean = rows.select(by, *(F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(c) for c in (x, y)))
-    ranked = clean.select(by, x, y, average_rank(x, [by]).alias("rx"), average_rank(y, [by]).alias("ry"))
+    ranked = clean
+    for value, rank in ((x, "rx"), (y, "ry")):
+        ranks = average_ranks(clean, by, value, rank)
+        ranked = ranked.join(ranks, F.col(by).eqNullSafe(F.col("_by")) & (F.col(value) == F.col("_value"))).drop("_by", "_value")
     return ranked.groupBy(by).agg(F.corr(x, y).alias("pearson"), F.corr("rx", "ry").alias("spearman"), F.count("*").alias("n"))
 
 
