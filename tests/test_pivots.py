@@ -166,3 +166,16 @@ def test_link_counts_are_those_of_all_pairs_and_send_no_pair(spark, monkeypatch)
             found = cluster.epsilon_link_counts(rows, epsilon)
             assert {r["vec_id"]: r["n_links"] for r in found.collect()} == want and want
             assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize(("epsilon", "least"), [(0.1, 5), (0.3, 8)])
+def test_density_clusters_come_from_blocks_and_shuffle_no_vector_for_a_meeting(spark, monkeypatch, epsilon, least):
+    """Vectors met in the rings of the index before, to which random ones travelled in the square of their number."""
+    monkeypatch.setattr(density, "BLOCK", 50)
+    monkeypatch.setattr(density, "CELLS", 300)
+    monkeypatch.setattr(pivots, "Index", None)
+    v = np.concatenate([groups(21, 160, spread=0.03), np.random.default_rng(22).normal(size=(40, 8)), np.repeat(groups(23, 1), 12, axis=0)])
+    found: dict = {}
+    for r in density.density_clusters(frame(spark, v, ITEM), epsilon, least).collect():
+        found.setdefault(r["cluster_id"], set()).add(r["contract_id"] * 3 + r["pos"])
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, plain_clusters(v, epsilon, least)))

@@ -4,15 +4,16 @@ A vector is dense if at least ``least`` vectors, itself included, lie within ``e
 vectors within ``epsilon`` of each other share a cluster, clusters of fewer than ``least`` vectors are none, and a vector
 in no cluster forms one with its equals. This is the flat cut of the hierarchy of mutual reachability at ``epsilon``.
 
-Equal vectors are counted first and travel as one. Neighbours come from the metric index, ring by ring; a meeting of a ring
-with some vectors tells counts for the first pass, and for the second its own connected components, so a region in which
-everything is near everything sends one row for each vector it holds, never its pairs. Links meet in stars, contracted in
-rounds that are written as tables.
+Equal vectors are counted first and travel as one. Each task compares its vectors, by matrix products, with blocks of BLOCK
+vectors that are broadcast in turn, and sends a count for each vector of the block in the first pass; in the second, the links
+of a forest over its batch and the block. So all pairs are compared, but neither pairs nor vectors are shuffled for them.
+Links meet in stars, contracted in rounds that are written as tables.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,10 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..sources import files
-from . import nearest, pivots
+from . import nearest
+
+#: Vectors of a block that is broadcast, and similarities that a task holds at once.
+BLOCK, CELLS = 16_384, 1_000_000
 
 
 def _settled(df: DataFrame) -> DataFrame:
@@ -66,6 +70,50 @@ def components(links: DataFrame) -> DataFrame:
         mark = seen
 
 
+def _unit(v: np.ndarray) -> np.ndarray:
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def _vectors(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Unit vectors of a column; none make an empty matrix."""
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return _unit(flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)) if len(flat) else np.zeros((0, 1))
+
+
+def _near(v: np.ndarray, q: np.ndarray, most: float) -> Iterator[tuple[slice, np.ndarray]]:
+    """Slices of unit vectors, and which of them lie within a cosine distance of which of ``q``: slice x ``q``.
+
+    Products are taken in single precision; those that its rounding leaves in doubt, again in double.
+    """
+    one, two, step = v.astype(np.float32), np.ascontiguousarray(q.astype(np.float32).T), max(1, CELLS // max(1, len(q)))
+    least, doubt = 1 - most, (v.shape[1] + 16) * 1.2e-7
+    for a in range(0, len(v), step):
+        at = slice(a, a + step)
+        product = one[at] @ two
+        near = product >= np.float32(least)
+        # The two limits are wider than the doubt by a rounding at most.
+        i, j = np.nonzero((product > least - doubt) & (product < least + doubt))
+        for c in range(0, len(i), 10_000):
+            x, y = i[c : c + 10_000], j[c : c + 10_000]
+            near[x, y] = 1 - np.einsum("ij,ij->i", v[a + x], q[y]) <= most
+        yield at, near
+
+
+def _against_blocks(rows: DataFrame, schema: str, meet: Callable[..., Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``meet(batches, (nodes, n, unit vectors))`` of all rows (node, n, embedding) with each broadcast block of them."""
+    spark = rows.sparkSession
+    blocks = max(1, -(-rows.count() // BLOCK))
+    # All blocks meet the same exchange, which gives every core some vectors however the files are cut.
+    dealt = rows.repartition(2 * spark.sparkContext.defaultParallelism, "node")
+
+    def run(no: int) -> DataFrame:
+        some = rows.where(F.pmod(F.xxhash64("node"), F.lit(blocks)) == no).toArrow()
+        sent = spark.sparkContext.broadcast((*(some.column(c).to_numpy() for c in (0, 1)), _vectors(some.column(2))))
+        return dealt.mapInArrow(lambda batches: meet(batches, sent.value), schema)
+
+    return reduce(DataFrame.unionByName, [run(no) for no in range(blocks)])
+
+
 def density_clusters(items: DataFrame, epsilon: float = 0.5, least: int = 5) -> DataFrame:
     """(contract_id, pos, cluster_id, dense) of every usable row (contract_id, pos, embedding).
 
@@ -73,34 +121,38 @@ def density_clusters(items: DataFrame, epsilon: float = 0.5, least: int = 5) ->
     """
     most = epsilon * epsilon / 2
     rows = items.where(vectors.usable(F.col("embedding"))).select("contract_id", "pos", F.col("embedding").cast("array<double>").alias("embedding")).withColumn("node", F.xxhash64("embedding"))
-    # The index keeps two numbers for each vector: here its hash, and how many rows have it.
-    heads = _settled(rows.groupBy("node").agg(F.first("embedding").alias("embedding"), F.count("*").alias("n")).select(F.col("node").alias("contract_id"), F.col("n").alias("pos"), "embedding"))
+    heads = _settled(rows.groupBy("node").agg(F.count("*").alias("n"), F.first("embedding").alias("embedding")))
 
-    def asked(some: DataFrame) -> DataFrame:
-        return some.select(F.col("contract_id").alias("query_id"), F.col("pos").alias("query_pos"), "embedding", F.lit(most).alias("most"))
-
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counts(batches: Iterator[pa.RecordBatch], block: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+        nodes, _, q = block
+        near = np.zeros(len(nodes))
         for batch in batches:
-            for _, times, v, keys, q in pivots.met(batch):
-                near = (pivots.distances(v, q, "cosine") <= most) @ times
-                yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0].copy()), pa.array(near.astype(np.int64))], names=["node", "near"])
-
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            times = batch.column(1).to_numpy()
+            # Sums of whole numbers that single precision holds are exact in it.
+            kind = np.float32 if times.sum() < 1 << 24 else np.float64
+            for at, within in _near(_vectors(batch.column(2)), q, most):
+                near += times[at].astype(kind) @ within.astype(kind)
+        seen = near > 0
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[seen]), pa.array(near[seen].astype(np.int64))], names=["node", "near"])
+
+    def joined(batches: Iterator[pa.RecordBatch], block: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+        nodes, _, q = block
         for batch in batches:
-            for nodes, _, v, keys, q in pivots.met(batch):
-                names, at = np.unique(np.concatenate((nodes, keys[:, 0])), return_inverse=True)
-                i, j = np.nonzero(pivots.distances(v, q, "cosine") <= most)
-                root = _roots(np.stack([at[j], at[len(nodes) + i]], axis=1), len(names))
-                linked = np.flatnonzero(root != np.arange(len(names)))
-                yield pa.RecordBatch.from_arrays([pa.array(names[linked]), pa.array(names[root[linked]])], names=["a", "b"])
-
-    index = pivots.Index(heads, "cosine")
-    portions = max(1, -(-heads.count() // pivots.PORTION))
-    near = index.meetings(index.visits(asked(heads)), portions).mapInArrow(counts, "node long, near long").groupBy("node").agg(F.sum("near").alias("near"))
-    core = _settled(heads.join(near.where(F.col("near") >= least).select(F.col("node").alias("contract_id")), "contract_id", "left_semi"))
-    inner = pivots.Index(core, "cosine")
-    root = components(inner.meetings(inner.visits(asked(core)), portions).mapInArrow(joined, "a long, b long"))
-    named = core.select(F.col("contract_id").alias("node"), F.col("pos").alias("n")).join(root, "node", "left").select("node", "n", F.coalesce("root", "node").alias("cluster_id"))
+            own = batch.column(0).to_numpy()
+            names, at = np.unique(np.concatenate((nodes, own)), return_inverse=True)
+            root, there, here = np.arange(len(names)), at[: len(nodes)], at[len(nodes) :]
+            for part, within in _near(_vectors(batch.column(2)), q, most):
+                # Only links between parts that are not yet joined change anything.
+                i, j = np.nonzero(within & (root[here[part], None] != root[None, there]))
+                if len(i):
+                    root = _roots(np.stack([root[here[part]][i], root[there][j]], axis=1), len(names))[root]
+            linked = np.flatnonzero(root != np.arange(len(names)))
+            yield pa.RecordBatch.from_arrays([pa.array(names[linked]), pa.array(names[root[linked]])], names=["a", "b"])
+
+    near = _against_blocks(heads, "node long, near long", counts).groupBy("node").agg(F.sum("near").alias("near"))
+    core = _settled(heads.join(near.where(F.col("near") >= least).select("node"), "node", "left_semi"))
+    root = components(_against_blocks(core, "a long, b long", joined))
+    named = core.select("node", "n").join(root, "node", "left").select("node", "n", F.coalesce("root", "node").alias("cluster_id"))
     large = named.groupBy("cluster_id").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("cluster_id")
     clusters = named.join(large, "cluster_id", "left_semi").select("node", "cluster_id")
     return rows.join(clusters, "node", "left").select("contract_id", "pos", F.coalesce("cluster_id", "node").alias("cluster_id"), F.col("cluster_id").isNotNull().alias("dense"))
