@@ -179,3 +179,11 @@ def test_density_clusters_come_from_blocks_and_shuffle_no_vector_for_a_meeting(s
     for r in density.density_clusters(frame(spark, v, ITEM), epsilon, least).collect():
         found.setdefault(r["cluster_id"], set()).add(r["contract_id"] * 3 + r["pos"])
     assert sorted(map(sorted, found.values())) == sorted(map(sorted, plain_clusters(v, epsilon, least)))
+
+
+def test_queries_go_to_the_members_of_their_clusters(spark):
+    """All queries may lead to one cluster, whose members then must not meet in one task."""
+    items = frame(spark, groups(24, 60, spread=0.01, centres=1), ITEM)
+    found = density.density_nearest(items, density.density_clusters(items, 0.2, 5), frame(spark, groups(25, 4, spread=0.01, centres=1), QUERY))
+    joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line]
+    assert "strategy=broadcast" in joins[0] and found.count() == 240, joins

@@ -166,5 +166,8 @@ def density_nearest(items: DataFrame, clusters: DataFrame, queries: DataFrame, k
     """
     key = ["contract_id", "pos"]
     distinct = items.groupBy("embedding").agg(F.min(F.struct(*key)).alias("first")).select("first.contract_id", "first.pos", "embedding")
-    found = nearest.nearest_items(distinct, queries, k).join(clusters.select(*key, "cluster_id"), key).drop(*key)
-    return found.join(clusters.select(*key, "cluster_id"), "cluster_id").select("query_id", "query_pos", *key, "cluster_id", "distance")
+    found = _settled(nearest.nearest_items(distinct, queries, k).join(clusters.select(*key, "cluster_id"), key).drop(*key))
+    members = clusters.select(*key, "cluster_id")
+    # Most queries may lead to one cluster, so they go to its members, which stay where they are.
+    pairs = nearest.in_blocks(found, ["query_id"], lambda some: members.join(some, "cluster_id"))
+    return pairs.select("query_id", "query_pos", *key, "cluster_id", "distance")
