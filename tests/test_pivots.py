@@ -187,3 +187,15 @@ def test_queries_go_to_the_members_of_their_clusters(spark):
     found = density.density_nearest(items, density.density_clusters(items, 0.2, 5), frame(spark, groups(25, 4, spread=0.01, centres=1), QUERY))
     joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line]
     assert "strategy=broadcast" in joins[0] and found.count() == 240, joins
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean", "manhattan"])
+def test_least_distances_are_those_of_all_pairs_and_join_nothing(spark, monkeypatch, metric):
+    monkeypatch.setattr(nearest, "CELLS", 60)
+    odd = [(500, 0, None), (501, 0, [0.0] * 8), (502, 0, [float("nan")] * 8)]
+    items = frame(spark, groups(26, 120), ITEM).unionByName(spark.createDataFrame(odd, ITEM))
+    queries = frame(spark, np.concatenate([groups(27, 10), groups(26, 2)]), QUERY).unionByName(spark.createDataFrame(odd, QUERY))
+    want = nearest.vector_distances(items, queries, metric).groupBy("query_id", "query_pos").agg(F.round(F.min("distance"), 7).alias("d"))
+    found = nearest.least_distances(items, queries, metric)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, found.select("query_id", "query_pos", F.round("distance", 7)).collect())) == sorted(map(tuple, want.collect()))

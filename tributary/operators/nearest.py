@@ -133,6 +133,34 @@ def nearest_items_block(items: DataFrame, queries: DataFrame, k: int = 1, distan
     return top_k(pairs, F.round("distance", 9).asc(), k, ["query_id", "query_pos"], ["contract_id", "pos"])
 
 
+def least_distances(items: DataFrame, queries: DataFrame, distance: str = "cosine") -> DataFrame:
+    """(query_id, query_pos, distance): each query's distance to its nearest item, by matrices as in ``nearest_items_block``.
+    A task holds CELLS distances and sends one number for each query."""
+    context = items.sparkSession.sparkContext
+
+    def run(block: DataFrame) -> DataFrame:
+        rows = block.where(vectors.usable(F.col("embedding"))).select("query_id", "query_pos", "embedding").collect()
+        sent = context.broadcast(([[r[c] for r in rows] for c in (0, 1)], matrix([r[2] for r in rows])))
+
+        def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keys, q = sent.value
+            if not len(q):
+                return
+            found, step = np.full(len(q), np.nan), max(1, CELLS // len(q))
+            for batch in (full.slice(a, step) for full in batches for a in range(0, full.num_rows, step)):
+                v = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                # A distance that is no number counts for nothing.
+                found = np.fmin(found, np.fmin.reduce(pivots.distances(v, q, distance), axis=1))
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in keys), pa.array(found)], names=["query_id", "query_pos", "distance"])
+
+        return items.where(vectors.usable(F.col("embedding"))).select(F.col("embedding").cast("array<double>")).mapInArrow(least, "query_id long, query_pos long, distance double")
+
+    types = [queries.schema[name].dataType for name in ("query_id", "query_pos")]
+    parts = in_blocks(queries, ["query_id"], run, rows=4096).where(~F.isnan("distance"))
+    found = parts.groupBy("query_id", "query_pos").agg(F.min("distance").alias("distance"))
+    return found.select(*(F.col(name).cast(kind).alias(name) for name, kind in zip(("query_id", "query_pos"), types, strict=True)), "distance")
+
+
 def nearest_items_indexed(items: DataFrame, queries: DataFrame, k: int = 1, distance: str = "cosine") -> DataFrame:
     """``nearest_items`` by a metric index, for items that form groups: rings of vectors that cannot hold a nearer one are left out."""
     pairs = pivots.Index(items, distance).nearest(queries, k)
