@@ -64,3 +64,14 @@ def test_nothing_to_score(sides):
     items, asked = sides["subject"]
     assert similarity.fused_top({"subject": (items.limit(0), asked)}, 3).count() == 0
     assert similarity.fused_top({"subject": (items, asked.limit(0))}, 3).count() == 0
+
+
+@pytest.mark.parametrize("pack, cells", [(1024, 500_000), (3, 40)])
+def test_sums_of_items_are_those_of_all_pairs(sides, monkeypatch, pack, cells):
+    monkeypatch.setattr(similarity, "PACK", pack)
+    monkeypatch.setattr(similarity.nearest, "CELLS", cells)
+    items, asked = sides["subject"]
+    s = F.col("similarity")
+    want = similarity.item_similarities(items, asked).groupBy("query_id", "contract_id").agg(F.sum(s * s).alias("s2"), F.sum(s).alias("s1"))
+    plain = lambda df: sorted(tuple(r) for r in df.select("query_id", "contract_id", F.round("s2", 7), F.round("s1", 7)).collect())
+    assert plain(similarity.item_sums(items.repartition(3), asked)) == plain(want)

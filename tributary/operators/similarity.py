@@ -25,6 +25,8 @@ from . import nearest, spatial
 
 #: Weights of the engine's components.
 WEIGHTS = {"subject": 1.0, "locality": 0.1, "entity_subject": 0.1}
+#: Rows of a contract that one task takes, and query rows that are broadcast at once.
+PACK, BLOCK = 1024, 4096
 
 
 def item_similarities(items: DataFrame, queries: DataFrame) -> DataFrame:
@@ -40,34 +42,59 @@ def self_weighted_mean(pairs: DataFrame, keys: tuple[str, ...] = ("query_id", "c
 
 
 def item_sums(items: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, contract_id, s2, s1): sums over all pairs of items of squared similarities and of similarities."""
+    """(query_id, contract_id, s2, s1): sums over all pairs of items of squared similarities and of similarities.
+
+    A contract's items meet in one task, which says its sums; only those of contracts of more than PACK items are added up
+    in a shuffle.
+    """
     context = items.sparkSession.sparkContext
+    source = items.where(vectors.usable(F.col("embedding"))).select("contract_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    many = source.groupBy("contract_id").agg(F.count("*").alias("n")).where(F.col("n") > PACK).select("contract_id")
+    few = source.join(many, "contract_id", "left_anti").repartition("contract_id").sortWithinPartitions("contract_id")
+
+    def sums(rows: DataFrame) -> DataFrame:
+        def run(block: DataFrame) -> DataFrame:
+            asked = block.where(vectors.usable(F.col("embedding"))).select("query_id", "embedding").orderBy("query_id").collect()
+            sent = context.broadcast((np.array([r[0] for r in asked], dtype=np.int64), nearest.matrix([r[1] for r in asked])))
+
+            def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                ids, q = sent.value
+                if not len(ids):
+                    return
+                q = q / np.linalg.norm(q, axis=1, keepdims=True)
+                names, at = np.unique(ids, return_index=True)
+                step = max(1, nearest.CELLS // len(ids))
+                for contracts, v in _runs(batches, step):
+                    s = (1 + (v / np.linalg.norm(v, axis=1, keepdims=True)) @ q.T) / 2
+                    first = np.flatnonzero(np.append(True, contracts[1:] != contracts[:-1]))
+                    both = [np.add.reduceat(np.add.reduceat(x, at, axis=1), first, axis=0) for x in (s * s, s)]
+                    columns = np.tile(names, len(first)), np.repeat(contracts[first], len(names)), both[0].ravel(), both[1].ravel()
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["query_id", "contract_id", "s2", "s1"])
 
-    def run(block: DataFrame) -> DataFrame:
-        rows = block.where(vectors.usable(F.col("embedding"))).select("query_id", "embedding").orderBy("query_id").collect()
-        sent = context.broadcast((np.array([r[0] for r in rows], dtype=np.int64), nearest.matrix([r[1] for r in rows])))
+            return rows.mapInArrow(add, "query_id long, contract_id long, s2 double, s1 double")
 
-        def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, q = sent.value
-            if not len(ids):
-                return
-            q = q / np.linalg.norm(q, axis=1, keepdims=True)
-            names, at = np.unique(ids, return_index=True)
-            for batch in batches:
-                if len(batch):
-                    v = np.stack(batch["embedding"].to_numpy())
-                    s = (1 + (v / np.linalg.norm(v, axis=1, keepdims=True)) @ q.T) / 2
-                    contracts, which = np.unique(batch["contract_id"].to_numpy(), return_inverse=True)
-                    order = np.argsort(which, kind="stable")
-                    first = np.searchsorted(which[order], np.arange(len(contracts)))
-                    sums = [np.add.reduceat(np.add.reduceat(x[order], first, axis=0), at, axis=1) for x in (s * s, s)]
-                    yield pd.DataFrame({"query_id": np.tile(names, len(contracts)), "contract_id": np.repeat(contracts, len(names)), "s2": sums[0].ravel(), "s1": sums[1].ravel()})
+        return nearest.in_blocks(queries.select("query_id", "embedding"), ["query_id"], run, rows=4096)
+
+    parts = sums(source.join(many, "contract_id", "left_semi").sortWithinPartitions("contract_id"))
+    return sums(few).unionByName(parts.groupBy("query_id", "contract_id").agg(F.sum("s2").alias("s2"), F.sum("s1").alias("s1")))
 
-        source = items.where(vectors.usable(F.col("embedding"))).select("contract_id", "embedding")
-        return source.mapInPandas(add, "query_id long, contract_id long, s2 double, s1 double")
 
-    parts = nearest.in_blocks(queries.select("query_id", "embedding"), ["query_id"], run, rows=4096)
-    return parts.groupBy("query_id", "contract_id").agg(F.sum("s2").alias("s2"), F.sum("s1").alias("s1"))
+def _runs(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Contracts and vectors of at most ``size`` + PACK rows; only contracts of more than PACK rows are cut."""
+    names, rest, most = np.zeros(0, dtype=np.int64), None, size + PACK
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+        names = np.concatenate((names, batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)))
+        rest = v if rest is None else np.concatenate((rest, v))
+        while len(names) > most:
+            starts = np.flatnonzero(names[1 : most + 1] != names[:most]) + 1
+            end = int(starts[-1]) if len(starts) else most
+            yield names[:end], rest[:end]
+            names, rest = names[end:], rest[end:]
+    if len(names):
+        yield names, rest
 
 
 def by_items(items: DataFrame, queries: DataFrame) -> DataFrame:
@@ -112,10 +139,6 @@ def fused(components: dict[str, DataFrame], weights: dict[str, float] = WEIGHTS,
     return score.withColumn("similarity", standardize.random_bias(F.col("similarity"), bias, seed))
 
 
-#: Rows of a contract that one task takes, and query rows that are broadcast at once.
-PACK, BLOCK = 1024, 4096
-
-
 class _Block:
     """Queries of one block: for each component, where its query rows lie among all queries of the block."""
 
