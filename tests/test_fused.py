@@ -75,3 +75,15 @@ def test_sums_of_items_are_those_of_all_pairs(sides, monkeypatch, pack, cells):
     want = similarity.item_similarities(items, asked).groupBy("query_id", "contract_id").agg(F.sum(s * s).alias("s2"), F.sum(s).alias("s1"))
     plain = lambda df: sorted(tuple(r) for r in df.select("query_id", "contract_id", F.round("s2", 7), F.round("s1", 7)).collect())
     assert plain(similarity.item_sums(items.repartition(3), asked)) == plain(want)
+
+
+@pytest.mark.parametrize("parts", [("subject", "locality", "entity_subject"), ("locality",)])
+def test_places_alone_come_from_the_spatial_index(sides, monkeypatch, parts):
+    """Contracts and queries without items are not scored with all others, and the best are the same."""
+    want = rounded(similarity.fused_top({name: sides[name] for name in parts}, 8))
+    scored, all_pairs = [], similarity._scored_top
+    monkeypatch.setattr(similarity, "_scored_top", lambda c, *rest: scored.append(c["locality"]) or all_pairs(c, *rest))
+    monkeypatch.setattr(similarity, "PAIRS", 0)
+    assert rounded(similarity.fused_top({name: sides[name] for name in parts}, 8)) == want
+    places, asked = sides["locality"]
+    assert len(scored) == len(parts) // 2 and all(p.count() < places.count() and q.count() < asked.count() for p, q in scored)

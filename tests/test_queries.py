@@ -78,3 +78,11 @@ def test_no_row_for_each_pair_of_vectors(spark, name):
     """Vectors are compared inside tasks; a join without a key made a row for each pair before."""
     plan = registry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join Cross" not in plan and "Join Inner" not in plan, plan  # joins of contracts alone are left_anti and left_semi
+
+
+@pytest.mark.parametrize("name", ["op_e8_component_subset_topk", "op_m10_sections"])
+def test_same_rows_as_sql_where_places_are_many(spark, con, monkeypatch, name):
+    from tributary.operators import similarity
+
+    monkeypatch.setattr(similarity, "PAIRS", 0)
+    assert compare.difference(registry.queries()[name](spark, SF), con, registry.oracle_sql()[name]) == ""

@@ -27,6 +27,8 @@ from . import nearest, spatial
 WEIGHTS = {"subject": 1.0, "locality": 0.1, "entity_subject": 0.1}
 #: Rows of a contract that one task takes, and query rows that are broadcast at once.
 PACK, BLOCK = 1024, 4096
+#: Pairs of a contract's and a query's place beyond which the spatial index is worth its own jobs.
+PAIRS = 100_000_000
 
 
 def item_similarities(items: DataFrame, queries: DataFrame) -> DataFrame:
@@ -116,15 +118,8 @@ def by_place(places: DataFrame, queries: DataFrame, kind: str = "planar") -> Dat
 
 
 def top_by_place(places: DataFrame, queries: DataFrame, k: int = 1) -> DataFrame:
-    """``top(by_place(places, queries), k)``, measuring only places that the spatial index leaves.
-
-    A contract may have several places: with at most m of them for each, the k best are among the (k - 1) m + 1 nearest.
-    """
-    most = places.groupBy("contract_id").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]
-    near = spatial.candidates(places, queries, (k - 1) * most + 1, level=standardize.LOG1P_LEVEL)
-    km = geo.planar_km(F.col("lat"), F.col("lon"), F.col("qlat"), F.col("qlon"))
-    nearest_of_each = near.groupBy("query_id", "contract_id").agg(F.min(km).alias("distance"))
-    return top(nearest_of_each.select("query_id", "contract_id", standardize.log1p(F.col("distance")).alias("similarity")), k)
+    """``top(by_place(places, queries), k)``, measuring only places that the spatial index leaves."""
+    return top(_near_places(places, queries, k), k)
 
 
 def fused(components: dict[str, DataFrame], weights: dict[str, float] = WEIGHTS, bias: float = 0.0, seed: int = 0) -> DataFrame:
@@ -255,7 +250,45 @@ def fused_top(components: dict[str, tuple[DataFrame, DataFrame]], k: int = 1, we
     """``top(fused(...), k)`` of components given as their (contract) rows and query rows, without a row for each pair.
 
     Rows with an embedding are items, rows with lat and lon places; contracts have a contract_id, queries a query_id.
+    Where a contract or a query has places only, its similarity is one of distance: beyond PAIRS pairs of places these come
+    from the spatial index, and only contracts and queries that both have items are scored with each other.
+    """
+    located = [name for name, (rows, _) in components.items() if "embedding" not in rows.columns]
+    if len(located) != 1 or components[located[0]][0].count() * components[located[0]][1].count() <= PAIRS:
+        return _scored_top(components, k, weights)
+    name = located[0]
+    places, asked = components[name]
+    share = weights[name] / sum(weights[c] for c in components)
+    others = [sides for c, sides in components.items() if c != name]
+    if not others:
+        return top(_near_places(places, asked, k, share), k)
+
+    def known(no: int, key: str) -> DataFrame:
+        return reduce(DataFrame.unionByName, [sides[no].where(vectors.usable(F.col("embedding"))).select(key) for sides in others]).distinct()
+
+    contracts, queries = known(0, "contract_id"), known(1, "query_id")
+    theirs = asked.join(queries, "query_id", "left_semi")
+    scored = _scored_top({**components, name: (places.join(contracts, "contract_id", "left_semi"), theirs)}, k, weights).drop("rank")
+    parts = [_near_places(places, asked.join(queries, "query_id", "left_anti"), k, share), _near_places(places.join(contracts, "contract_id", "left_anti"), theirs, k, share)]
+    alike = [part.select(*(F.col(c).cast(scored.schema[c].dataType).alias(c) for c in scored.columns)) for part in parts]
+    return top(reduce(DataFrame.unionByName, alike, scored), k)
+
+
+def _near_places(places: DataFrame, queries: DataFrame, k: int, share: float = 1.0) -> DataFrame:
+    """(query_id, contract_id, similarity): ``share`` of the similarity by distance, of all contracts that can be among the k best
+    of a query, measuring only places that the spatial index leaves.
+
+    A contract may have several places: with at most m of them for each, the k best are among the (k - 1) m + 1 nearest.
     """
+    most = places.groupBy("contract_id").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]
+    near = spatial.candidates(places, queries, (k - 1) * most + 1, level=standardize.LOG1P_LEVEL, share=share)
+    km = geo.planar_km(F.col("lat"), F.col("lon"), F.col("qlat"), F.col("qlon"))
+    nearest_of_each = near.groupBy("query_id", "contract_id").agg(F.min(km).alias("distance"))
+    return nearest_of_each.select("query_id", "contract_id", (standardize.log1p(F.col("distance")) * share).alias("similarity"))
+
+
+def _scored_top(components: dict[str, tuple[DataFrame, DataFrame]], k: int, weights: dict[str, float]) -> DataFrame:
+    """``fused_top`` by scoring every contract with every query."""
     spark = next(iter(components.values()))[0].sparkSession
     places = ["embedding" not in rows.columns for rows, _ in components.values()]
 

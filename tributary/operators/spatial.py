@@ -121,12 +121,14 @@ def packed(places: DataFrame, leaf: int) -> DataFrame:
     return rows.mapInArrow(pack, "leaf long, n long, south double, north double, west double, east double, ids array<long>, lats array<double>, lons array<double>")
 
 
-def candidates(places: DataFrame, queries: DataFrame, k: int, kind: str = "planar", level: float = 0.0) -> DataFrame:
+def candidates(places: DataFrame, queries: DataFrame, k: int, kind: str = "planar", level: float = 0.0, share: float = 1.0) -> DataFrame:
     """(query_id, contract_id, lat, lon, qlat, qlon): for each query all places that can be among its k nearest, and few others.
 
     ``places``: (contract_id, lat, lon), ``queries``: (query_id, lat, lon). Up to the distance ``level`` all places count
-    as equally near, and those with the smallest ids come first.
+    as equally near, and those with the smallest ids come first. Similarities of which only a ``share`` counts are equal
+    over as much wider a gap.
     """
+    slight = _NEAR / min(1.0, share)
     spark = places.sparkSession
     context = spark.sparkContext
     ids = {name: df.schema[name].dataType for df, name in ((places, "contract_id"), (queries, "query_id"))}
@@ -154,7 +156,7 @@ def candidates(places: DataFrame, queries: DataFrame, k: int, kind: str = "plana
                 enough = (np.cumsum(b.n[order], axis=1) < k).sum(axis=1)
                 at = np.minimum(enough, len(b.leaf) - 1)[:, None]
                 most = np.where(enough[:, None] < len(b.leaf), np.take_along_axis(np.take_along_axis(high, order, 1), at, 1), np.inf)
-                most = np.maximum(most, level) * (1 + _NEAR) + _NEAR
+                most = np.maximum(most, level) * (1 + slight) + slight
                 i, j = np.nonzero(low <= most)
                 yield pa.RecordBatch.from_arrays([pa.array(b.leaf[j]), *(pa.array(x[cut][i]) for x in (q, lat, lon)), pa.array(most[i, 0])], names=["leaf", "query_id", "qlat", "qlon", "most"])
 
@@ -174,7 +176,7 @@ def candidates(places: DataFrame, queries: DataFrame, k: int, kind: str = "plana
                     # The first k by distance, then id; ids ascend in a leaf, so a stable order is enough.
                     order = np.argsort(d, axis=1, kind="stable")[:, :some]
                     kth = np.take_along_axis(d, order[:, -1:], 1)
-                    within = (d > level) & (d <= kth * slack * (1 + _NEAR) + _NEAR)
+                    within = (d > level) & (d <= kth * slack * (1 + slight) + slight)
                     np.put_along_axis(within, order, True, 1)
                     within &= d * (1 - SPREAD * (kind == "geodesic")) <= most[cut, None]
                     i, j = np.nonzero(within)
