@@ -262,6 +262,24 @@ def test_alignment_finds_what_every_offset_finds():
         assert want >= 35 and same >= least * want, (rate, same, want)
 
 
+def test_short_recordings_are_compared_by_spectra_and_align_as_by_the_index(monkeypatch):
+    draw = np.random.default_rng(6)
+
+    def flipped(x: np.ndarray, rate: float) -> np.ndarray:
+        return x ^ np.packbits(draw.random((len(x), 32)) < rate, axis=1).view(">u4").ravel().astype(np.uint32)
+
+    prints = [draw.integers(0, 1 << 32, int(n), dtype=np.uint32) for n in draw.integers(1, 700, 40)] + [np.zeros(n, dtype=np.uint32) for n in (1, 2, 60, 512, 513)]
+    heard = [flipped(x[len(x) // 5 :], rate) for x in prints for rate in (0.0, 0.1, 0.22, 0.25)] + [prints[0][:0], prints[3], prints[3]]
+    queries = [(k, x.astype("<u4").tobytes()) for k, x in enumerate(prints)]
+    index = media.Index(queries)
+    want = [index.align(x) for x in heard]
+    assert [sorted(x) for x in media.Block(queries).align(heard)] == [sorted(x) for x in want] and sum(map(len, want)) > 100
+    short = [(k, x) for k, x in queries if len(x) <= 4 * media.SHORT]
+    assert len(short) < len(queries)
+    monkeypatch.setattr(media.Index, "_histogram", lambda *_: 1 / 0)
+    assert sum(map(len, media.Block(short).align([x for x in heard if len(x) <= media.SHORT]))) > 50
+
+
 def test_silence_takes_no_longer_than_its_length(spark):
     import time
 
