@@ -199,3 +199,26 @@ def test_least_distances_are_those_of_all_pairs_and_join_nothing(spark, monkeypa
     found = nearest.least_distances(items, queries, metric)
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, found.select("query_id", "query_pos", F.round("distance", 7)).collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean", "manhattan"])
+def test_full_order_is_that_of_all_pairs_and_no_join_makes_them(spark, monkeypatch, metric):
+    monkeypatch.setattr(nearest, "CELLS", 60)
+    v = np.concatenate([groups(1, 80), np.repeat(groups(2, 1), 9, axis=0)])
+    w = np.concatenate([groups(4, 12), v[80:83]])
+    odd = [(500, 0, None), (501, 0, [0.0] * 8), (502, 0, [float("nan")] * 8), (503, 0, [])]
+    items = frame(spark, v, ITEM).unionByName(spark.createDataFrame(odd, ITEM))
+    queries = frame(spark, w, QUERY).unionByName(spark.createDataFrame(odd, QUERY))
+    found = nearest.nearest_items(items, queries, None, metric)
+    assert "MapInArrow" in (plan := found._jdf.queryExecution().optimizedPlan().toString()) and "Join" not in plan
+    want = []
+    for j, q in enumerate(w):
+        d = {"cosine": lambda x, y: 1 - x @ y / np.sqrt((x @ x) * (y @ y)), "euclidean": lambda x, y: np.sqrt(((x - y) ** 2).sum()), "manhattan": lambda x, y: np.abs(x - y).sum()}[metric]
+        order = sorted((round(d(x, q), 9) + 0.0, k // 3, k % 3) for k, x in enumerate(v))
+        want += [(j // 3, j % 3, rank, c, p, float(near)) for rank, (near, c, p) in enumerate(order, 1)]
+    rows = sorted(tuple(r) for r in found.select("query_id", "query_pos", "rank", "contract_id", "pos", "distance").collect())
+    assert [r[:5] for r in rows] == [r[:5] for r in want] and np.allclose([r[5] for r in rows], [r[5] for r in want], atol=1e-8)
+    named = nearest.nearest_items(items.selectExpr("'c' || contract_id as name", "embedding"), queries.selectExpr("'q' || query_id || '.' || query_pos as asked", "embedding"), 1, metric, ("name",), ("asked",))
+    near = {r["asked"]: r["distance"] for r in named.collect()}
+    assert near.keys() == {f"q{a}.{b}" for a, b, *_ in want} and all(abs(near[f"q{a}.{b}"] - d) < 1e-8 for a, b, rank, _, _, d in want if rank == 1)
+    assert nearest.nearest_items(items, queries.where("query_id = 500"), None, metric).count() == 0
