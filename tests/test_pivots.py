@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 import numpy as np
+import psutil
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,6 +155,54 @@ def test_a_task_holds_few_distances_whatever_the_batch(spark, monkeypatch):
         assert ranked(nearest.nearest_items_block(items, queries, k)) == everything(items, queries, k, "cosine")
 
 
+def test_distances_that_are_no_number_hide_no_neighbour(spark, monkeypatch):
+    """A vector with infinity has no distance; where it comes first, those after it are found all the same."""
+    monkeypatch.setattr(nearest, "CELLS", 1)
+    endless = [float("inf")] * 8
+    rows = [(k, 0, endless if k < 3 else [float(x) for x in v]) for k, v in enumerate(groups(10, 9))]
+    items, queries = spark.createDataFrame(rows, ITEM).coalesce(1), frame(spark, groups(11, 4), QUERY).unionByName(spark.createDataFrame([(50, 0, endless)], QUERY))
+    for metric in ("cosine", "euclidean"):
+        for k in (1, 2, 9):
+            found = ranked(nearest.nearest_items_block(items, queries, k, metric))
+            assert found == everything(items, queries, k, metric)
+            assert sum(f[0] < 50 for f in found) == 4 * min(k, 6 if metric == "cosine" else 9)
+
+
+def test_a_query_of_many_vectors_is_taken_in_blocks(spark, monkeypatch):
+    """All queries' vectors count for a block's size, also where one query has them all."""
+    items, queries = frame(spark, groups(8, 60), ITEM), frame(spark, groups(9, 90), QUERY).withColumn("query_pos", F.expr("query_id * 3 + query_pos")).withColumn("query_id", F.lit(7).cast("long"))
+    want = everything(items, queries, 2, "cosine")
+    least = {r[:2]: r[5] for r in want if r[2] == 1}
+    sizes = []
+    blocks = nearest.in_blocks
+    monkeypatch.setattr(nearest, "in_blocks", lambda df, key, run, **_: blocks(df, key, lambda block: sizes.append(block.count()) or run(block), rows=15))
+    assert ranked(nearest.nearest_items_block(items, queries, 2)) == want
+    assert sum(sizes) == 90 and max(sizes) < 45, sizes
+    assert {(r[0], r[1]): round(r[2], 7) for r in nearest.least_distances(items, queries).collect()} == least
+    assert ranked(nearest.top_k(nearest.vector_distances(items, queries), F.round("distance", 9).asc(), 2, ["query_id", "query_pos"], ["contract_id", "pos"])) == want
+    assert sum(sizes) == 270 and max(sizes) < 45, sizes
+
+
+def memory(kind: str) -> dict[int, float]:
+    """MB of every Python worker below this process, now (VmRSS) or at most (VmHWM)."""
+    workers = [p for p in psutil.Process().children(recursive=True) if "python" in p.name()]
+    return {p.pid: int(re.search(rf"{kind}:\s+(\d+)", Path(f"/proc/{p.pid}/status").read_text())[1]) / 1e3 for p in workers}
+
+
+@pytest.mark.parametrize("metric", ["cosine"])
+def test_memory_of_workers_is_bounded(spark, metric):
+    """10,000 items and 1,500 queries in one task: before tasks took slices, it held several arrays of all their distances."""
+    vector = "transform(sequence(1, 4), x -> sin(id * x) + 2D) as embedding"
+    items = spark.range(0, 10_000, 1, 1).selectExpr("id div 5 as contract_id", "id % 5 as pos", vector)
+    queries = spark.range(1_500).selectExpr("id as query_id", "0L as query_pos", vector)
+    before = memory("VmRSS")
+    for pid in before:
+        Path(f"/proc/{pid}/clear_refs").write_text("5")
+    for search in (nearest.nearest_items, nearest.nearest_items_block):
+        assert search(items, queries, 3, metric).count() == 4_500
+    assert (grown := {pid: most - before.get(pid, 0) for pid, most in memory("VmHWM").items()}) and max(grown.values()) < 400, grown
+
+
 def test_link_counts_are_those_of_all_pairs_and_send_no_pair(spark, monkeypatch):
     v = np.concatenate([groups(12, 150, centres=6), np.repeat(groups(13, 1), 40, axis=0), np.eye(8)[:2] * 0.3, np.eye(8)[:1] * 0.7])
     ids = [*range(len(v) - 1), 3]

@@ -1,7 +1,8 @@
 """Nearest neighbours and per-query top results.
 
 Reference rows stay where they are: queries, the small side, go to them. They are broadcast while there are at most
-QUERY_ROWS of them, and taken in blocks of that size beyond, so memory does not grow with the number of queries.
+QUERY_ROWS of them (vectors: QUERY_VECTORS), and taken in blocks of about that size beyond, so memory does not grow
+with the number of queries.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from ..functions import geo, vectors
 from . import pivots, spatial
 
 QUERY_ROWS = 20_000
+#: Query vectors that a task compares its items with, whichever queries they belong to.
+QUERY_VECTORS = 4096
 #: Distances that a task holds at once.
 CELLS = 500_000
 
@@ -89,7 +92,7 @@ def vector_distances(items: DataFrame, queries: DataFrame, distance: str = "cosi
         kinds = [df.schema[name] for df, key in ((queries, query_key), (items, item_key)) for name in key]
         return source.mapInArrow(pairs, StructType([*kinds, StructField("distance", DoubleType())]))
 
-    return in_blocks(queries, [query_key[0]], run, rows=4096).where(~F.isnan("distance"))
+    return in_blocks(queries, [*query_key], run, rows=QUERY_VECTORS).where(~F.isnan("distance"))
 
 
 def nearest_items(items: DataFrame, queries: DataFrame, k: int | None = 1, distance: str = "cosine", item_key: tuple[str, ...] = ("contract_id", "pos"), query_key: tuple[str, ...] = ("query_id", "query_pos")) -> DataFrame:
@@ -127,8 +130,8 @@ def nearest_items_block(items: DataFrame, queries: DataFrame, k: int = 1, distan
                 v = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
                 d = pivots.distances(v, q, distance)
                 rounded = np.round(d, 9)
-                # Once a query has k, only a row that is as near as its last one changes anything.
-                of = np.flatnonzero((rounded <= near[:, -1:]).any(axis=1)) if near.shape[1] == k else np.arange(len(keys))
+                # Once a query has k, only a row that is as near as its last one changes anything, or any if that one's distance is no number.
+                of = np.flatnonzero(~(rounded > near[:, -1:]).all(axis=1)) if near.shape[1] == k else np.arange(len(keys))
                 fresh = [np.broadcast_to(batch.column(c).to_numpy(zero_copy_only=False), (len(of), batch.num_rows)) for c in (0, 1)]
                 more = [np.hstack(x) for x in ((near[of], rounded[of]), (whole[of], d[of]), (ids[of], fresh[0]), (at[of], fresh[1]))]
                 order = np.lexsort((more[3], more[2], more[0]), axis=1)[:, :k]
@@ -145,7 +148,7 @@ def nearest_items_block(items: DataFrame, queries: DataFrame, k: int = 1, distan
         source = items.where(vectors.usable(F.col("embedding"))).select("contract_id", F.col("pos").cast("long").alias("pos"), "embedding")
         return source.mapInArrow(best, "query_id long, query_pos long, contract_id long, pos long, distance double")
 
-    pairs = in_blocks(queries, ["query_id"], run, rows=4096)
+    pairs = in_blocks(queries, ["query_id", "query_pos"], run, rows=QUERY_VECTORS).where(~F.isnan("distance"))
     return top_k(pairs, F.round("distance", 9).asc(), k, ["query_id", "query_pos"], ["contract_id", "pos"])
 
 
@@ -172,7 +175,7 @@ def least_distances(items: DataFrame, queries: DataFrame, distance: str = "cosin
         return items.where(vectors.usable(F.col("embedding"))).select(F.col("embedding").cast("array<double>")).mapInArrow(least, "query_id long, query_pos long, distance double")
 
     types = [queries.schema[name].dataType for name in ("query_id", "query_pos")]
-    parts = in_blocks(queries, ["query_id"], run, rows=4096).where(~F.isnan("distance"))
+    parts = in_blocks(queries, ["query_id", "query_pos"], run, rows=QUERY_VECTORS).where(~F.isnan("distance"))
     found = parts.groupBy("query_id", "query_pos").agg(F.min("distance").alias("distance"))
     return found.select(*(F.col(name).cast(kind).alias(name) for name, kind in zip(("query_id", "query_pos"), types, strict=True)), "distance")
 
