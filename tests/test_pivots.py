@@ -189,7 +189,7 @@ def memory(kind: str) -> dict[int, float]:
     return {p.pid: int(re.search(rf"{kind}:\s+(\d+)", Path(f"/proc/{p.pid}/status").read_text())[1]) / 1e3 for p in workers}
 
 
-@pytest.mark.parametrize("metric", ["cosine"])
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
 def test_memory_of_workers_is_bounded(spark, metric):
     """10,000 items and 1,500 queries in one task: before tasks took slices, it held several arrays of all their distances."""
     vector = "transform(sequence(1, 4), x -> sin(id * x) + 2D) as embedding"
