@@ -195,11 +195,13 @@ def test_memory_of_workers_is_bounded(spark, metric):
     vector = "transform(sequence(1, 4), x -> sin(id * x) + 2D) as embedding"
     items = spark.range(0, 10_000, 1, 1).selectExpr("id div 5 as contract_id", "id % 5 as pos", vector)
     queries = spark.range(1_500).selectExpr("id as query_id", "0L as query_pos", vector)
+    arrays = [nearest.flattened(df.groupBy(key).agg(F.collect_list("embedding").alias("embeddings")), key) for df, key in ((items, "contract_id"), (queries, "query_id"))]
     before = memory("VmRSS")
     for pid in before:
         Path(f"/proc/{pid}/clear_refs").write_text("5")
     for search in (nearest.nearest_items, nearest.nearest_items_block):
         assert search(items, queries, 3, metric).count() == 4_500
+    assert nearest.nearest_items(arrays[0].coalesce(1), arrays[1].withColumnRenamed("pos", "query_pos"), 3, metric).count() == 4_500
     assert (grown := {pid: most - before.get(pid, 0) for pid, most in memory("VmHWM").items()}) and max(grown.values()) < 400, grown
 
 
