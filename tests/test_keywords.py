@@ -5,11 +5,15 @@ from __future__ import annotations
 import random
 import time
 
+import compare
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from tributary.functions import keywords as K
 from tributary.functions import text as T
 from tributary.operators import contexts, evaluation
+from tributary.plans import registry
 
 WORDS = ["Předmět smlouvy", "předmět", "Cena", "a", "aa", "", "ŽLUŤOUČKÝ", "licence", "İstanbul", "smlouvy o"]
 TEXTS = ["", None, "aaaaa aaAa", "PŘEDMĚT SMLOUVY o předmětu smlouvy o dílo", "žluťoučký kůň", "İ İstanbul istanbul", "x" * 5000 + "cena", "Licence licenceLICENCE"]
@@ -73,3 +77,21 @@ def test_starts_compare_rounded_scores(spark, monkeypatch):
     rows = spark.createDataFrame([(1, k, w) for k, w in enumerate(weights)], "doc_id long, bin int, weight double")
     monkeypatch.setattr(contexts, "histogram", lambda *_: rows)
     assert [r["start"] for r in contexts.starts(rows).collect()] == [5 * 680]
+
+
+@pytest.mark.parametrize(
+    ("name", "wanted"),
+    [
+        # The heading-like lines that make the highest edge come after 1,200 occurrences.
+        ("op_i3_context_starts", {(1, 8840)}),
+    ],
+)
+def test_contexts_count_every_occurrence(spark, tmp_path, name, wanted):
+    """Before, only the first 1,002 of a keyword counted in a text."""
+    texts = ["none of them", "the " * 1200 + "x " * 2000 + "\nthe\n" * 300 + "x" * 3000, "la" * 1010 + "\nla\n"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    compare.views(con, str(tmp_path))
+    df = registry.queries()[name](spark, str(tmp_path))
+    assert wanted <= {(r["doc_id"], r["start"]) for r in df.collect()}
+    assert compare.difference(df, con, registry.oracle_sql()[name]) == ""

@@ -34,8 +34,6 @@ KEYWORDS = {
 RANGE, BINS, CONTEXTS, REACH = 2040, 3, 10, 3
 #: Words that headings and lists of goods have.
 ARTICLE, NAME, GOODS, TOPICS = "článek", "název", "Zboží", ("cena", "doba", "místo")
-#: Fixed value of the engine: so many occurrences of a keyword count in a text.
-MOST = 1002
 #: Characters of a block of text, and of those before and after it that belong to it as well.
 _BLOCK, _BEHIND, _AHEAD = 512, 32, 160
 
@@ -45,8 +43,8 @@ def _blocks(text: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / _BLOCK).cast("int")), lambda k: F.substring(text, F.greatest(k * _BLOCK - _BEHIND, F.lit(0)) + 1, F.lit(_BEHIND + _BLOCK + _AHEAD)))
 
 
-def occurrences(docs: DataFrame, keywords: dict[str, float] = KEYWORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, keyword, occ, rat) of every occurrence of a keyword, in either case.
+def occurrences(docs: DataFrame, keywords: dict[str, float] = KEYWORDS, key: str = "doc_id", text: str = "text", most: int | None = None) -> DataFrame:
+    """(key, keyword, occ, rat) of every occurrence of a keyword, in either case; with ``most``, of so many from the left.
 
     A rating is the keyword's weight times a coefficient that signs of a heading or of a defining sentence raise. Rows
     of occurrences carry the few characters around them, not the text.
@@ -59,7 +57,7 @@ def occurrences(docs: DataFrame, keywords: dict[str, float] = KEYWORDS, key: str
         block, off = F.get("_blocks", F.floor(p / _BLOCK).cast("int")), F.least(p, p % _BLOCK + F.when(p >= _BLOCK, _BEHIND).otherwise(0)).cast("int")
         return F.struct(hit["keyword"].alias("keyword"), p.alias("occ"), F.substring(block, F.greatest(off - 20, F.lit(0)) + 1, F.least(off, F.lit(20))).alias("behind"), F.substring(block, off + 1, F.lit(_AHEAD)).alias("ahead"))
 
-    blocked = docs.select(key, K.hits(F.col(text), list(keywords), MOST).alias("_hits"), _blocks(F.col(text)).alias("_blocks"))
+    blocked = docs.select(key, K.hits(F.col(text), list(keywords), most).alias("_hits"), _blocks(F.col(text)).alias("_blocks"))
     each = blocked.select(key, F.inline(F.transform("_hits", around))).withColumn("weight", F.try_element_at(weights, "keyword"))
     behind, n = F.col("behind"), F.length("keyword")
     ahead = lambda size: F.substring(F.col("ahead"), F.lit(1), size)

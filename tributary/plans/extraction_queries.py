@@ -17,6 +17,8 @@ from .roles import table, with_roles
 QUERIES: dict = {}
 #: Keywords that occur in the test documents, with weights, in place of the Czech ones.
 SAMPLE = {"the": 3.0, "la": 2.0, "der": 1.0}
+#: Fixed value of the listing of occurrences, which contexts do without: so many of a keyword count in a text.
+MOST = 1002
 
 
 def query(name: str, sql: str | None = None):
@@ -27,11 +29,11 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-def _occurrences_sql(source: str, keys: str, name: str) -> str:
-    """Tables ``name``_at and ``name``: (keys, keyword, occ, rat) of the rows (keys, text) of ``source``."""
+def _occurrences_sql(source: str, keys: str, name: str, end: str = "len(parts)") -> str:
+    """Tables ``name``_at and ``name``: (keys, keyword, occ, rat) of the rows (keys, text) of ``source``; ``end``: the first part that counts no more."""
     words = ", ".join(f"('{k}', {w})" for k, w in SAMPLE.items())
     folded = "lower(translate(text, 'İ', 'i'))"
-    return f"""{name}_at as (select {keys}, text, keyword, weight, length(keyword) as n, unnest(list_transform(range(1, least(len(parts), 1003)), lambda k: (list_sum(list_transform(parts[:k], lambda p: length(p))) + (k - 1) * length(keyword))::int)) as occ
+    return f"""{name}_at as (select {keys}, text, keyword, weight, length(keyword) as n, unnest(list_transform(range(1, {end}), lambda k: (list_sum(list_transform(parts[:k], lambda p: length(p))) + (k - 1) * length(keyword))::int)) as occ
  from (select {keys}, text, keyword, weight::double as weight, string_split({folded}, keyword) as parts from {source}, (values {words}) w(keyword, weight))),
 {name} as (select {keys}, keyword, occ, weight * (1.0::double + if(alone, 2.0, 0.0)::double + if(ahead[:n] = keyword, 1.5, 0.0)::double + if(ahead[:n] = upper(keyword), 1.5, 0.0)::double + if(contains(ahead[:3 * n], chr(10)), 2.0, 0.0)::double
  + if(regexp_matches(behind, '\\n[ ]*[0-9]'), 2.0, 0.0)::double + if(contains(ahead[:2 * n], ' je '), 2.0, 0.0)::double + if(contains(lower(behind), 'článek'), 2.0, 0.0)::double + if(length(behind) - length(replace(behind, 'I', '')) > 1, 2.0, 0.0)::double
@@ -39,9 +41,9 @@ def _occurrences_sql(source: str, keys: str, name: str) -> str:
  from (select *, text[occ + 1 : occ + 160] as ahead, text[greatest(occ - 20, 0) + 1 : occ] as behind, (occ = 0 or text[occ : occ] = chr(10)) and (occ + n >= length(text) or text[occ + n + 1 : occ + n + 1] = chr(10)) as alone from {name}_at))"""
 
 
-@query("op_i1_keyword_occurrences", f"with {_occurrences_sql('documents', 'doc_id', 'o')} select doc_id, keyword, occ, round(rat, 6) as rat from o")
+@query("op_i1_keyword_occurrences", f"with {_occurrences_sql('documents', 'doc_id', 'o', f'least(len(parts), {MOST + 1})')} select doc_id, keyword, occ, round(rat, 6) as rat from o")
 def keyword_occurrences(spark: SparkSession, sf: str) -> DataFrame:
-    return contexts.occurrences(table(spark, sf, "documents"), SAMPLE).withColumn("rat", F.round("rat", 6))
+    return contexts.occurrences(table(spark, sf, "documents"), SAMPLE, most=MOST).withColumn("rat", F.round("rat", 6))
 
 
 _STARTS = f"""with padded as (select doc_id, text || repeat(' ', (length(text) // 680 + 1) * 680 - length(text)) as text from documents),
