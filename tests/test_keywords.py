@@ -85,6 +85,8 @@ def test_starts_compare_rounded_scores(spark, monkeypatch):
         # The heading-like lines that make the highest edge come after 1,200 occurrences.
         ("op_i3_context_starts", {(1, 8840)}),
         ("op_i4_fixed_contexts", {(1, 8840)}),
+        # In one window, the only line of its own is the 1,011th occurrence.
+        ("op_i5_refined_starts", {(2, 2021)}),
     ],
 )
 def test_contexts_count_every_occurrence(spark, tmp_path, name, wanted):
