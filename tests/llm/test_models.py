@@ -280,6 +280,24 @@ def test_short_recordings_are_compared_by_spectra_and_align_as_by_the_index(monk
     assert sum(map(len, media.Block(short).align([x for x in heard if len(x) <= media.SHORT]))) > 50
 
 
+def test_fingerprints_take_little_longer_than_their_spectra():
+    """The filters cost as much as the spectra before: each compared and quantised its few numbers by itself."""
+    import time
+
+    sound = np.random.default_rng(5).normal(0, 3000, 32_768)
+
+    def seconds(run) -> float:
+        took = []
+        for _ in range(7):
+            began = time.process_time()
+            for _ in range(5):
+                run(sound)
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert seconds(media.fingerprint) < 1.45 * seconds(media.chroma)
+
+
 def test_silence_takes_no_longer_than_its_length(spark):
     import time
 

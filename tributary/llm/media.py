@@ -43,8 +43,9 @@ WIDTH = max(w for _, _, w, _ in FILTERS)
 LIMITS, BANDS, BIT_ERRORS, HITS, BLOCK = (-0.25, 0.0, 0.25), (0, 4, 8, 12, 16), 0.25, 0.004, 2 << 20
 #: Numbers that are compared at once.
 _AT_ONCE = 1_000_000
-#: Most places of a recording that is compared by spectra (half a minute); numbers of a matrix of spectra.
-SHORT, _CELLS = 512, 1 << 22
+#: Most places of a recording that is compared by spectra (half a minute); places whose spectra are held, of each side;
+#: recordings and queries of a tile of products, small enough for a core's cache.
+SHORT, _PLACES, _TILE = 512, 1 << 17, (64, 256)
 _GRAY = np.array([0, 1, 3, 2], dtype=np.uint32)
 
 
@@ -78,23 +79,23 @@ def fingerprint(samples: np.ndarray) -> np.ndarray:
         return np.zeros(0, dtype=np.uint32)
     total = np.zeros((len(image) + 1, 13))
     total[1:, 1:] = image.cumsum(0).cumsum(1)
-    at = np.arange(n)
 
     def area(t: int, dt: int, p: int, dp: int) -> np.ndarray:
-        return total[at + t + dt, p + dp] - total[at + t, p + dp] - total[at + t + dt, p] + total[at + t, p]
+        return total[t + dt : t + dt + n, p + dp] - total[t : t + n, p + dp] - total[t + dt : t + dt + n, p] + total[t : t + n, p]
 
-    out = np.zeros(n, dtype=np.uint32)
-    for h, p, w, kind in FILTERS:
-        whole = area(0, w, p, h)
+    one, whole = np.zeros((len(FILTERS), n)), np.zeros((len(FILTERS), n))
+    for k, (h, p, w, kind) in enumerate(FILTERS):
+        whole[k] = area(0, w, p, h)
         if kind == 0:
-            one = area(0, w, p, h // 2)
+            one[k] = area(0, w, p, h // 2)
         elif kind == 1:
-            one = area(0, w // 2, p, h)
+            one[k] = area(0, w // 2, p, h)
         elif kind == 2:
-            one = area(0, w // 2, p, h // 2) + area(w // 2, w - w // 2, p + h // 2, h - h // 2)
+            one[k] = area(0, w // 2, p, h // 2) + area(w // 2, w - w // 2, p + h // 2, h - h // 2)
         else:
-            one = area(w // 4, w // 2, p, h)
-        level = np.digitize(np.log((one + 0.01) / (np.maximum(whole - one, 0) + 0.01)), LIMITS)
+            one[k] = area(w // 4, w // 2, p, h)
+    out = np.zeros(n, dtype=np.uint32)
+    for level in np.digitize(np.log((one + 0.01) / (np.maximum(whole - one, 0) + 0.01)), LIMITS):
         out = out << np.uint32(2) | _GRAY[level]
     return out
 
@@ -231,34 +232,37 @@ def _alike(sizes: np.ndarray, places: int) -> list[np.ndarray]:
 def _few_errors(xs: list[np.ndarray], queries: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(recording, query, offset), as numbers in the lists, where both are short, overlap by half and differ in few bits, portion by portion."""
     m_all, n_all = (np.array([len(x) for x in rows], dtype=np.int64) for rows in (xs, queries))
-    for theirs in _alike(n_all, 1 << 17):
-        for mine in _alike(m_all, 1 << 16):
+    for theirs in _alike(n_all, _PLACES):
+        for mine in _alike(m_all, _PLACES):
             m, n = m_all[mine], n_all[theirs]
             least = (min(m.min(), n.min()) + 1) // 2
-            shifts = np.arange(least - n.max(), m.max() - least + 1)
+            # As large as offsets get in either direction; those that overlap less than by half are left out below.
+            shifts = np.arange(max(m.max(), n.max()) - least + 1)
             # Long enough that no offset of interest meets another one that wraps around.
-            size = -(-int(m.max() + n.max() - least + 1) // 16) * 16
+            size = -(-int(m.max() + n.max() - least + 1) // 2) * 2
             f = np.arange(size // 2 + 1)
-            wave = lambda at: np.stack([np.cos(2 * np.pi / size * (f[:, None] * at % size)), -np.sin(2 * np.pi / size * (f[:, None] * at % size))], axis=1).reshape(-1, len(at))
-            weight = np.repeat(np.where(f % (size // 2), 2, 1) / size, 2)
-            forth, back = wave(np.arange(max(m.max(), n.max()))).astype(np.float32), (weight * wave(shifts).T).astype(np.float32)
-            other = _spectra([queries[k] for k in theirs], forth)
-            # Lengths of one kind need no cube of overlaps.
-            n = n[:1] if (n == n[0]).all() else n
-            step = max(1, _CELLS // (size * len(theirs)))
-            for at in (mine[a : a + step] for a in range(0, len(mine), step)):
-                one = _spectra([xs[k] for k in at], forth).transpose(0, 2, 1)
-                both = np.concatenate([one, np.concatenate([one[:, :, 32:], -one[:, :, :32]], axis=2)], axis=1)
-                # Bits that agree less bits that differ: offsets x recordings x queries.
-                product = (back @ (both @ other).reshape(back.shape[1], -1)).reshape(len(shifts), len(at), len(theirs))
-                m = m_all[at]
-                m = m[:1] if (m == m[0]).all() else m
-                s, r, q = shifts[:, None, None], m[None, :, None], n[None, None, :]
-                overlap = np.minimum(r, q + s) - np.maximum(0, s)
-                limit = np.where((overlap > 0) & (2 * overlap >= np.minimum(r, q)), 32 * (1 - 2 * BIT_ERRORS) * overlap - 0.5, np.inf).astype(np.float32)
-                shift, x, y = np.unravel_index(np.flatnonzero(product >= limit), product.shape)
-                if len(x):
-                    yield at[x], theirs[y], shifts[shift]
+            angle = lambda at: 2 * np.pi / size * (f[:, None] * at % size)
+            there, weight = angle(np.arange(max(m.max(), n.max()))), np.where(f % (size // 2), 2, 1) / size
+            forth = np.stack([np.cos(there), -np.sin(there)], axis=1).reshape(-1, there.shape[1]).astype(np.float32)
+            even, odd = ((weight * wave(angle(shifts)).T).astype(np.float32) for wave in (np.cos, np.sin))
+            others, ones = _spectra([queries[k] for k in theirs], forth), _spectra([xs[k] for k in mine], forth).transpose(0, 2, 1)
+            tiles = [(mine[a : a + _TILE[0]], np.ascontiguousarray(ones[:, a : a + _TILE[0]])) for a in range(0, len(mine), _TILE[0])]
+            for b, (own, one) in ((b, tile) for b in range(0, len(theirs), _TILE[1]) for tile in tiles):
+                if one is tiles[0][1]:
+                    their, other = theirs[b : b + _TILE[1]], np.ascontiguousarray(others[:, :, b : b + _TILE[1]])
+                turned = np.concatenate([one[:, :, 32:], -one[:, :, :32]], axis=2)
+                # Bits that agree less bits that differ, at an offset and the opposite one: the same sum and difference.
+                half, rest = even @ (one @ other).reshape(len(f), -1), odd @ (turned @ other).reshape(len(f), -1)
+                # Lengths of one kind need no cube of overlaps.
+                r, q = (x[:1] if (x == x[0]).all() else x for x in (m_all[own], n_all[their]))
+                for product, s in ((half - rest, shifts), (half + rest, -shifts)):
+                    away = s[:, None, None]
+                    overlap = np.minimum(r[:, None], q + away) - np.maximum(0, away)
+                    limit = np.where((overlap > 0) & (2 * overlap >= np.minimum(r[:, None], q)), 32 * (1 - 2 * BIT_ERRORS) * overlap - 0.5, np.inf).astype(np.float32)
+                    product = product.reshape(len(s), len(own), len(their))
+                    shift, x, y = np.unravel_index(np.flatnonzero(product >= limit), product.shape)
+                    if len(x):
+                        yield own[x], their[y], s[shift]
 
 
 def align_short(xs: list[np.ndarray], queries: list[np.ndarray]) -> list[list[tuple[int, int, float]]]:
