@@ -235,6 +235,20 @@ def test_density_clusters_come_from_blocks_and_shuffle_no_vector_for_a_meeting(s
     assert sorted(map(sorted, found.values())) == sorted(map(sorted, plain_clusters(v, epsilon, least)))
 
 
+def test_dense_vectors_of_one_cluster_do_not_meet_every_block(spark, monkeypatch):
+    """All vectors were broadcast in both passes before, whatever the first block had shown of them."""
+    monkeypatch.setattr(density, "BLOCK", 50)
+    v = np.concatenate([groups(28, 400, spread=0.01, centres=1), groups(29, 60, spread=0.01, centres=1), np.random.default_rng(30).normal(size=(20, 8))])
+    rows, sent = frame(spark, v, ITEM), []
+    plain = type(rows).toArrow
+    monkeypatch.setattr(type(rows), "toArrow", lambda df: (sent.append(got := plain(df)), got)[1])
+    found: dict = {}
+    for r in density.density_clusters(rows, 0.2, 5).collect():
+        found.setdefault(r["cluster_id"], set()).add(r["contract_id"] * 3 + r["pos"])
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, plain_clusters(v, 0.2, 5)))
+    assert sum(x.num_rows for x in sent) < 300 < len(v)
+
+
 def test_queries_go_to_the_members_of_their_clusters(spark):
     """All queries may lead to one cluster, whose members then must not meet in one task."""
     items = frame(spark, groups(24, 60, spread=0.01, centres=1), ITEM)

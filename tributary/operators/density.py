@@ -5,9 +5,13 @@ vectors within ``epsilon`` of each other share a cluster, clusters of fewer than
 in no cluster forms one with its equals. This is the flat cut of the hierarchy of mutual reachability at ``epsilon``.
 
 Equal vectors are counted first and travel as one. Each task compares its vectors, by matrix products, with blocks of BLOCK
-vectors that are broadcast in turn, and sends a count for each vector of the block in the first pass; in the second, the links
-of a forest over its batch and the block. So all pairs are compared, but neither pairs nor vectors are shuffled for them.
-Links meet in stars, contracted in rounds that are written as tables.
+vectors that are broadcast in turn. In the first pass it sends counts, in the second the links of a forest over its batch and
+the block; neither pairs nor vectors are shuffled for them. Links meet in stars, contracted in rounds that are written as tables.
+
+Both passes begin with one block. A vector that is dense by that block's vectors alone needs no further count, and two vectors
+that its links have joined need no further link. So only vectors that are not yet known as dense go on to be counted, and
+those outside the largest cluster so far to be linked, each of them with all: the result is that of all pairs. Where most
+vectors are dense and belong together, as random ones do, that leaves few; where none are, all pairs are compared.
 """
 
 from __future__ import annotations
@@ -99,19 +103,24 @@ def _near(v: np.ndarray, q: np.ndarray, most: float) -> Iterator[tuple[slice, np
         yield at, near
 
 
-def _against_blocks(rows: DataFrame, schema: str, meet: Callable[..., Iterator[pa.RecordBatch]]) -> DataFrame:
-    """``meet(batches, (nodes, n, unit vectors))`` of all rows (node, n, embedding) with each broadcast block of them."""
+def _blocks(rows: DataFrame) -> list[DataFrame]:
+    """Rows (node, ...) in blocks of about BLOCK, by a hash."""
+    blocks = -(-rows.count() // BLOCK)
+    return [rows.where(F.pmod(F.xxhash64("node"), F.lit(blocks)) == no) for no in range(blocks)]
+
+
+def _against(rows: DataFrame, blocks: list[DataFrame], schema: str, meet: Callable[..., Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``meet(batches, (nodes, n, unit vectors))`` of all rows (node, n, embedding) with each of the blocks, which are broadcast."""
     spark = rows.sparkSession
-    blocks = max(1, -(-rows.count() // BLOCK))
     # All blocks meet the same exchange, which gives every core some vectors however the files are cut.
     dealt = rows.repartition(2 * spark.sparkContext.defaultParallelism, "node")
 
-    def run(no: int) -> DataFrame:
-        some = rows.where(F.pmod(F.xxhash64("node"), F.lit(blocks)) == no).toArrow()
+    def run(block: DataFrame) -> DataFrame:
+        some = block.toArrow()
         sent = spark.sparkContext.broadcast((*(some.column(c).to_numpy() for c in (0, 1)), _vectors(some.column(2))))
-        return dealt.mapInArrow(lambda batches: meet(batches, sent.value), schema)
+        return dealt.mapInArrow(lambda batches: meet(batches, sent.value) if len(sent.value[0]) else iter(()), schema)
 
-    return reduce(DataFrame.unionByName, [run(no) for no in range(blocks)])
+    return reduce(DataFrame.unionByName, map(run, blocks), spark.createDataFrame([], schema))
 
 
 def density_clusters(items: DataFrame, epsilon: float = 0.5, least: int = 5) -> DataFrame:
@@ -123,6 +132,15 @@ def density_clusters(items: DataFrame, epsilon: float = 0.5, least: int = 5) ->
     rows = items.where(vectors.usable(F.col("embedding"))).select("contract_id", "pos", F.col("embedding").cast("array<double>").alias("embedding")).withColumn("node", F.xxhash64("embedding"))
     heads = _settled(rows.groupBy("node").agg(F.count("*").alias("n"), F.first("embedding").alias("embedding")))
 
+    def own_counts(batches: Iterator[pa.RecordBatch], block: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+        _, times, q = block
+        kind = np.float32 if times.sum() < 1 << 24 else np.float64
+        for batch in batches:
+            near = np.zeros(batch.num_rows, dtype=np.int64)
+            for at, within in _near(_vectors(batch.column(2)), q, most):
+                near[at] = within.astype(kind) @ times.astype(kind)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(near)], names=["node", "near"])
+
     def counts(batches: Iterator[pa.RecordBatch], block: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
         nodes, _, q = block
         near = np.zeros(len(nodes))
@@ -149,25 +167,47 @@ def density_clusters(items: DataFrame, epsilon: float = 0.5, least: int = 5) ->
             linked = np.flatnonzero(root != np.arange(len(names)))
             yield pa.RecordBatch.from_arrays([pa.array(names[linked]), pa.array(names[root[linked]])], names=["a", "b"])
 
-    near = _against_blocks(heads, "node long, near long", counts).groupBy("node").agg(F.sum("near").alias("near"))
-    core = _settled(heads.join(near.where(F.col("near") >= least).select("node"), "node", "left_semi"))
-    root = components(_against_blocks(core, "a long, b long", joined))
+    nears, links = "node long, near long", "a long, b long"
+    blocks = _blocks(heads)
+    dense = _settled(_against(heads, blocks[:1], nears, own_counts).where(F.col("near") >= least).select("node"))
+    if len(blocks) > 1:
+        rest = _settled(heads.join(dense, "node", "left_anti"))
+        near = _against(heads, _blocks(rest), nears, counts).groupBy("node").agg(F.sum("near").alias("near"))
+        dense = dense.unionByName(near.where(F.col("near") >= least).select("node"))
+    core = _settled(heads.join(dense, "node", "left_semi"))
+    blocks = _blocks(core)
+    root = components(_against(core, blocks[:1], links, joined))
+    if len(blocks) > 1:
+        stars = _settled(core.join(root, "node", "left").withColumn("root", F.coalesce("root", "node")))
+        largest = stars.groupBy("root").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "root").first()["root"]
+        more = _against(core, _blocks(_settled(stars.where(F.col("root") != largest).drop("root"))), links, joined)
+        root = components(more.unionByName(stars.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     named = core.select("node", "n").join(root, "node", "left").select("node", "n", F.coalesce("root", "node").alias("cluster_id"))
     large = named.groupBy("cluster_id").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("cluster_id")
     clusters = named.join(large, "cluster_id", "left_semi").select("node", "cluster_id")
     return rows.join(clusters, "node", "left").select("contract_id", "pos", F.coalesce("cluster_id", "node").alias("cluster_id"), F.col("cluster_id").isNotNull().alias("dense"))
 
 
-def density_nearest(items: DataFrame, clusters: DataFrame, queries: DataFrame, k: int = 1) -> DataFrame:
-    """(query_id, query_pos, contract_id, pos, cluster_id, distance): the clusters of the k nearest distinct vectors of each
-    query, with all their members at the distance of the vector that led to them.
+def nearest_clusters(items: DataFrame, clusters: DataFrame, queries: DataFrame, k: int = 1) -> DataFrame:
+    """(query_id, query_pos, cluster_id, distance): the clusters of the k nearest distinct vectors of each query, written as a table.
 
     ``clusters``: (contract_id, pos, cluster_id) of the items, as ``density_clusters`` gives.
     """
     key = ["contract_id", "pos"]
     distinct = items.groupBy("embedding").agg(F.min(F.struct(*key)).alias("first")).select("first.contract_id", "first.pos", "embedding")
-    found = _settled(nearest.nearest_items(distinct, queries, k).join(clusters.select(*key, "cluster_id"), key).drop(*key))
-    members = clusters.select(*key, "cluster_id")
-    # Most queries may lead to one cluster, so they go to its members, which stay where they are.
+    return _settled(nearest.nearest_items(distinct, queries, k).join(clusters.select(*key, "cluster_id"), key).select("query_id", "query_pos", "cluster_id", "distance"))
+
+
+def with_members(found: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(query_id, query_pos, contract_id, pos, cluster_id, distance): rows (query_id, query_pos, cluster_id, distance) with all members of their clusters."""
+    key = ["contract_id", "pos"]
+    # Most queries may lead to one cluster, so they go to its members. These are few bytes, but become many rows: every core gets some.
+    members = clusters.select(*key, "cluster_id").repartition(2 * clusters.sparkSession.sparkContext.defaultParallelism, *key)
     pairs = nearest.in_blocks(found, ["query_id"], lambda some: members.join(some, "cluster_id"))
     return pairs.select("query_id", "query_pos", *key, "cluster_id", "distance")
+
+
+def density_nearest(items: DataFrame, clusters: DataFrame, queries: DataFrame, k: int = 1) -> DataFrame:
+    """(query_id, query_pos, contract_id, pos, cluster_id, distance): the clusters of the k nearest distinct vectors of each
+    query, with all their members at the distance of the vector that led to them."""
+    return with_members(nearest_clusters(items, clusters, queries, k), clusters)
